@@ -47,25 +47,32 @@ def _keys(keys: Sequence[str]) -> list[str]:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], ties: Sequence[str] = (),
-            totals: bool = False, cuts: Sequence | None = None) -> DataFrame:
-    """Running sums (current row included) per key in `order`, and per-key totals `<name>_total` on request.
+            totals: bool = False, cuts: Sequence | None = None, maxes: dict[str, Column] | None = None,
+            include_current: bool = True) -> DataFrame:
+    """Running sums and maxima per key in `order`, and per-key sum totals `<name>_total` on request.
 
     Rows that tie on (order, ties) must not exist: pre-aggregate them or name a unique tie column.
     """
-    keys = _keys(keys)
+    keys, maxes = _keys(keys), maxes or {}
     df = sliced(df, order, cuts)
-    part = df.groupBy(*keys, SLICE).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
+    part = df.groupBy(*keys, SLICE).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
+                                        *[F.max(e).alias(f"_s_{n}") for n, e in maxes.items()])
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     offsets = part.select(
         *keys, SLICE,
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.max(f"_s_{n}").over(before).alias(f"_o_{n}") for n in maxes],
         *([F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in sums] if totals else []))
-    inner = W.partitionBy(*keys, SLICE).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
-    out = df.select("*", *[F.sum(e).over(inner).alias(f"_r_{n}") for n, e in sums.items()]).join(offsets, [*keys, SLICE])
+    inner = W.partitionBy(*keys, SLICE).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
+    out = df.select("*", *[F.coalesce(F.sum(e).over(inner), F.lit(0)).alias(f"_r_{n}") for n, e in sums.items()],
+                    *[F.max(e).over(inner).alias(f"_r_{n}") for n, e in maxes.items()]).join(offsets, [*keys, SLICE])
     for n in sums:
         out = out.withColumn(n, F.col(f"_r_{n}") + F.col(f"_o_{n}"))
-    return out.drop(SLICE, *[f"_r_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    for n in maxes:
+        out = out.withColumn(n, F.greatest(f"_r_{n}", f"_o_{n}"))
+    both = [*sums, *maxes]
+    return out.drop(SLICE, *[f"_r_{n}" for n in both], *[f"_o_{n}" for n in both])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], name: str = "rank",
