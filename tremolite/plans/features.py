@@ -39,8 +39,9 @@ def cell_day_table(quakes: DataFrame) -> DataFrame:
            .groupBy("a", "b", "day").agg(F.count(lit(1)).alias("k")))
     span = lambda x: F.explode(F.sequence(F.ceil((x - 1) / lit(2.0)).cast("int"), F.floor((x + 1) / lit(2.0)).cast("int")))
     fore = one.select(span(c("a")).alias("ci"), "b", "day", "k").select("ci", span(c("b")).alias("cj"), "day", "k").groupBy("ci", "cj", "day").agg(F.sum("k").alias("nf"))
-    both = base.join(g, ["ci", "cj", "day"], "left")
-    return both.unionByName(fore, allowMissingColumns=True)
+    parts = base.unionByName(g, allowMissingColumns=True).unionByName(fore, allowMissingColumns=True)
+    # one row per (cell, day): each column is filled by exactly one of the three parts
+    return parts.groupBy("ci", "cj", "day").agg(*[F.max(x).alias(x) for x in parts.columns if x not in ("ci", "cj", "day")])
 
 
 def windows_at_steps(table: DataFrame, grid: DataFrame) -> DataFrame:
@@ -53,23 +54,30 @@ def windows_at_steps(table: DataFrame, grid: DataFrame) -> DataFrame:
         return cell.rangeBetween(a, b)
 
     cols: dict[str, Column] = {}
-    total = lambda col, a, b: F.coalesce(F.sum(col).over(span(a, b)), lit(0))
+
+    def upto(col, day):
+        # a frame that starts at the beginning only grows, so Spark adds each row once
+        return F.coalesce(F.sum(col).over(cell.rangeBetween(W.unboundedPreceding, day)), lit(0))
+
+    total = lambda col, a, b: upto(col, b) - upto(col, a - 1)
     for w in (3, 7, 14, 30, 90, 180):
         cols[f"n{w}"] = total("n", -w, -1)
     cols["p7"], cols["p30"] = total("n", -14, -8), total("n", -60, -31)
     for name, a, b in (("mx3", -3, -1), ("mx7", -7, -1), ("mx30", -30, -1), ("mxp3", -6, -4)):
         cols[name] = F.coalesce(F.max("mx").over(span(a, b)), lit(0.0))
-    cols["n90m3"], cols["s90m3"] = total("n3", -90, -1), F.coalesce(F.sum("s3").over(span(-90, -1)), lit(0.0))
+    cols["n90m3"], cols["s90m3"] = total("n3", -90, -1), total("s3", -90, -1)
+    # differences of running sums leave rounding dust where nothing happened
+    exact0 = lambda count, value: F.when(count > 0, value).otherwise(0.0)
     for name, a, b in (("ben7", -7, -1), ("ben30", -30, -1), ("benp", -60, -31)):
-        cols[name] = F.coalesce(F.sum("ben").over(span(a, b)), lit(0.0))
+        cols[name] = exact0(total("n", a, b), total("ben", a, b))
     cols["nf7"] = total("nf", -7, -1)
     first = F.first("fg", ignorenulls=True).over(span(-30, -1))
     lone = F.first(F.when(c("n").isNotNull(), c("fg").isNull()), ignorenulls=True).over(span(-30, -1))  # very first event of the cell
     fg = F.when(F.coalesce(lone, lit(False)), lit(None).cast("double")).otherwise(first)
     fpos = F.when(fg > 0, fg)
     cols["gn30"] = total("gn", -30, -1) - F.when(fpos.isNotNull(), 1).otherwise(0)
-    cols["gs30"] = F.coalesce(F.sum("gs").over(span(-30, -1)), lit(0.0)) - F.coalesce(fpos, lit(0.0))
-    cols["gq30"] = F.coalesce(F.sum("gq").over(span(-30, -1)), lit(0.0)) - F.coalesce(fpos * fpos, lit(0.0))
+    cols["gs30"] = total("gs", -30, -1) - F.coalesce(fpos, lit(0.0))
+    cols["gq30"] = total("gq", -30, -1) - F.coalesce(fpos * fpos, lit(0.0))
     cols["g130"] = total("g1", -30, -1) - F.when(fpos < 1, 1).otherwise(0)
     past = cell.rangeBetween(W.unboundedPreceding, -1)
     cols["last5"], cols["last4"] = F.max("t5").over(past), F.max("t4").over(past)
@@ -109,13 +117,17 @@ def catalogue_features(steps: DataFrame, rates: DataFrame) -> DataFrame:
     w = W.partitionBy("ci", "cj").orderBy("step")
     diff = c("rate_7d") - F.lag("rate_7d").over(w)
     x = x.withColumn("_diff", diff).withColumn("_i", c("step") / lit(3.0))
-    cnt = F.count(lit(1)).over(w.rowsBetween(-239, 0))
+    x = x.withColumns({"_d1": F.sum("_diff").over(w), "_d2": F.sum(c("_diff") * c("_diff")).over(w), "_rn": F.row_number().over(w)})
+    back = lambda name: c(name) - F.coalesce(F.lag(name, 239).over(w), lit(0))
+    m = F.least(c("_rn") - 1, lit(239))   # differences among the last 240 values, from integer running sums
+    x = x.withColumns({"_v1": F.coalesce(back("_d1"), lit(0)), "_v2": F.coalesce(back("_d2"), lit(0)), "_m": m})
+    cnt = c("_rn")
     return x.withColumns({
         "rate_trend_slope": frame_slope(c("rate_7d"), c("_i"), w.rowsBetween(-8, 0), 3),
         "b_value_trend": frame_slope(c("b_value"), c("_i"), w.rowsBetween(-5, 0), 3),
-        "pi_score": F.when(cnt >= 4, F.var_pop("_diff").over(w.rowsBetween(-238, 0))).otherwise(0.0),
+        "pi_score": F.when(cnt >= 4, F.try_divide(c("_v2"), c("_m")) - F.pow(F.try_divide(c("_v1"), c("_m")), 2)).otherwise(0.0),
         "pi_trend": F.when(cnt >= 6, F.avg("rate_7d").over(w.rowsBetween(-2, 0)) - F.avg("rate_7d").over(w.rowsBetween(-5, -3))).otherwise(0.0),
-    }).drop("_diff", "_i")
+    }).drop("_diff", "_i", "_d1", "_d2", "_rn", "_v1", "_v2", "_m")
 
 
 def stress_pairs(quakes: DataFrame, min_mag=5.5, max_km=300.0, depth=15.0) -> DataFrame:

@@ -42,9 +42,9 @@ def w09(v):
   d AS (SELECT *, r - lag(r) OVER (PARTITION BY ci, cj ORDER BY step) AS df FROM s),
   w AS (SELECT ci, cj, step, regr_slope(r, step/3e0) OVER (p ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS sl, count(*) OVER (p ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS n9, var_pop(df) OVER (p ROWS BETWEEN 238 PRECEDING AND CURRENT ROW) AS vp, count(*) OVER (p ROWS BETWEEN 239 PRECEDING AND CURRENT ROW) AS n240,
    avg(r) OVER (p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r3, avg(r) OVER (p ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS o3 FROM d WINDOW p AS (PARTITION BY ci, cj ORDER BY step))
-  SELECT ci, cj, step, 0.0 + round(CASE WHEN n9 >= 3 THEN coalesce(sl, 0) ELSE 0 END, 7) AS rate_trend_slope, round(CASE WHEN n240 >= 4 THEN vp ELSE 0 END, 9) AS pi_score, 0.0 + round(CASE WHEN n240 >= 6 THEN r3 - o3 ELSE 0 END, 7) AS pi_trend FROM w""")
+  SELECT ci, cj, step, 0.0 + round(CASE WHEN n9 >= 3 THEN coalesce(sl, 0) ELSE 0 END, 7) AS rate_trend_slope, round(CASE WHEN n240 >= 4 THEN vp ELSE 0 END + 1e-11, 9) AS pi_score, 0.0 + round(CASE WHEN n240 >= 6 THEN r3 - o3 ELSE 0 END, 7) AS pi_trend FROM w""")
 def w10(v):
-    return cat(v).select(*KEYS, R(c("rate_trend_slope"), 7).alias("rate_trend_slope"), R(c("pi_score"), 9).alias("pi_score"), R(c("pi_trend"), 7).alias("pi_trend"))
+    return cat(v).select(*KEYS, R(c("rate_trend_slope"), 7).alias("rate_trend_slope"), R(c("pi_score") + 1e-11, 9).alias("pi_score"), R(c("pi_trend"), 7).alias("pi_trend"))
 
 
 @query("W11_gap_statistics", f"""WITH {PAST}, e AS (SELECT *, (t - lag(t) OVER (PARTITION BY ci, cj, step ORDER BY t, event_id))/864e2 AS gap FROM pe WHERE age <= 30*86400),

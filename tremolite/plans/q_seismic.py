@@ -199,8 +199,8 @@ def t04(v):
 
 
 @query("A30_hotspot_overlap", f"""WITH h AS (SELECT ci, cj, CAST(floor({_YF}) AS INT) AS yr FROM quakes), n AS (SELECT yr, ci, cj, count(*) AS n FROM h GROUP BY 1,2,3), r AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY n DESC, ci, cj) AS rk, count(*) OVER (PARTITION BY yr) AS m FROM n), t AS (SELECT * FROM r WHERE rk <= greatest(1, CAST(floor(m*1e-1) AS BIGINT))),
-  k AS (SELECT yr, count(*) AS k FROM t GROUP BY 1), o AS (SELECT a.yr, count(*) AS both FROM t a JOIN t b ON b.yr = a.yr-1 AND a.ci=b.ci AND a.cj=b.cj GROUP BY 1)
-  SELECT k.yr, k.k AS n_hot, round(coalesce(both,0)/(k.k + p.k - coalesce(both,0)), 6) AS jaccard FROM k JOIN k p ON p.yr = k.yr-1 LEFT JOIN o ON o.yr = k.yr""")
+  k AS (SELECT yr, count(*) AS k FROM t GROUP BY 1), o AS (SELECT a.yr, count(*) AS bth FROM t a JOIN t b ON b.yr = a.yr-1 AND a.ci=b.ci AND a.cj=b.cj GROUP BY 1)
+  SELECT k.yr, k.k AS n_hot, round(coalesce(bth,0)/(k.k + p.k - coalesce(bth,0)), 6) AS jaccard FROM k JOIN k p ON p.yr = k.yr-1 LEFT JOIN o ON o.yr = k.yr""")
 def a30(v):
     n = v.quakes.groupBy(F.floor((c("dn") - 9131).cast("double") / lit(365.25)).cast("int").alias("yr"), "ci", "cj").agg(F.count(lit(1)).alias("n"))
     w = W.partitionBy("yr")  # cells of one year

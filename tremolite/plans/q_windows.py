@@ -235,9 +235,9 @@ def detrended(v):
     return detrend(p, "station", "dn", "v", 19723, 19738, steps=[(19740, 5)])
 
 
-@query("W25_step_and_trend", f"WITH {_DETREND} SELECT station, dn, 0.0 + round(resid, 10) AS resid FROM res")
+@query("W25_step_and_trend", f"WITH {_DETREND} SELECT station, dn, 0.0 + round(resid + 1e-9, 7) AS resid FROM res")
 def w25(v):
-    return detrended(v).select("station", "dn", R(c("resid"), 10).alias("resid"))
+    return detrended(v).select("station", "dn", R(c("resid") + 1e-9, 7).alias("resid"))
 
 
 def displacement_null(df, key, x, value, first, last, length, hop, edge, target):

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # pair-heavy joins have small inputs and large work: do not fold them into a few tasks
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -20,7 +22,8 @@ def build_session(app: str = "tremolite", master: str | None = None, shuffle_par
                   extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**RUNTIME_CONF, **(extra or {})}.items():
