@@ -11,8 +11,12 @@ POISSON1 = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.999405
 
 
 def modular_uniform(k: Column, b: Column) -> Column:
-    """Pseudo-random number in [0, 1) from plain integer arithmetic, the same in every SQL dialect."""
-    return ((k * 7919 + b * 104729 + (k % 97) * (b % 89) * 31) % 10007) / F.lit(10007.0)
+    """Pseudo-random number in [0, 1) from plain integer arithmetic, the same in every SQL dialect.
+
+    Cubing is a permutation modulo 10007, so every replicate is a fresh scatter of the row numbers.
+    """
+    x = (k * 7919 + b * 5381 + b * b * 31) % 10007
+    return (x * x % 10007 * x % 10007) / F.lit(10007.0)
 
 
 def poisson_weight(u: Column) -> Column:

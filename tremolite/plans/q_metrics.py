@@ -76,7 +76,8 @@ def a38(v):
     return s.select("name", "n", *[R(c(x)).alias(x) for x in ("mean", "p10", "median", "p90", "share_above", "share_below")])
 
 
-_U = "((k*7919 + b*104729 + (k % 97)*(b % 89)*31) % 10007)/10007e0"
+_X = "((k*7919 + b*5381 + b*b*31) % 10007)"
+_U = f"({_X}*{_X} % 10007 * {_X} % 10007)/10007e0"
 _W = "(" + " + ".join(f"CAST({_U} >= {t!r}e0 AS INT)" for t in rs.POISSON1) + ")"
 _DAYV = "dv AS (SELECT name, t_us // 86400000000 AS k, avg(value) AS v FROM series GROUP BY 1, 2)"
 
@@ -236,7 +237,7 @@ def f18(v):
     return g.select("fold", R(sc.gain(c("a"), c("b"))).alias("gain"), R(sc.bits(sc.gain(c("a"), c("b")))).alias("bits"))
 
 
-@query("A53_elapsed_scoring", f"""WITH {_TEST}, z AS (SELECT model, least(1, obs) AS y, 1-exp(-rate) AS p FROM ml), g AS (SELECT model, p, sum(y) AS a, sum(1-y) AS b FROM z GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY model ORDER BY p DESC) AS tp FROM g), u AS (SELECT model, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc FROM r GROUP BY 1)
+@query("A53_elapsed_scoring", f"""WITH {_TEST}, z AS (SELECT model, least(1, obs) AS y, 1-exp(-rate) AS p FROM ml), gg AS (SELECT model, round(p,12) AS p, sum(y) AS a, sum(1-y) AS b FROM z GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY model ORDER BY p DESC) AS tp FROM gg), u AS (SELECT model, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc FROM r GROUP BY 1)
   SELECT model, CAST(sum(y) AS BIGINT) AS n_hit, round(avg(pow(p-y,2)), 8) AS brier, CASE WHEN model = 'uniform' THEN 5e-1 ELSE round(any_value(auc), 3) END AS auc FROM z JOIN u USING (model) GROUP BY model""")
 def a53(v):
     m = by_model(with_observed(v)).select("model", F.least(c("obs"), lit(1)).alias("y"), (lit(1.0) - F.exp(-c("rate"))).alias("p"))
@@ -441,7 +442,7 @@ def plane_strain(df, keys, x, y, u, w, min_n=3):
         return F.try_divide(cx * cyy - cy * cxy, det), F.try_divide(cy * cxx - cx * cxy, det)
     (ux, uy), (wx, wy) = grad("u"), grad("w")
     shear = (uy + wx) / 2
-    return g.select(*keys, "n", F.when(F.abs(det * c("n")) < 1e-9, 0.0).otherwise(F.sqrt(ux * ux + wy * wy + lit(2.0) * shear * shear) * 1000).alias("strain"))
+    return g.select(*keys, "n", F.when(F.coalesce(F.try_divide(det, cxx * cyy), lit(0.0)) < 1e-9, 0.0).otherwise(F.sqrt(ux * ux + wy * wy + lit(2.0) * shear * shear) * 1000).alias("strain"))
 
 
 _GN = """gn AS (SELECT CAST(round_even((26+((user_id*379)%2001)/1e2)/1e1,0) AS INT) AS gi, CAST(round_even((128+((user_id*757)%2001)/1e2)/1e1,0) AS INT) AS gj, epoch_us(ts)//86400000000 AS dn, user_id, 26+((user_id*379)%2001)/1e2 AS la, 128+((user_id*757)%2001)/1e2 AS lo, avg(value) AS dx, avg(CAST(json_extract(props,'$.k') AS INT)) AS dy, avg(value*value)/1e3 AS dz FROM events GROUP BY 1,2,3,4,5,6)"""
@@ -455,8 +456,8 @@ def gnss_days(v, size=10.0):
 
 
 @query("A63_gnss_strain", f"""WITH {_GN}, x AS (SELECT *, (lo-gj*10)*11132e-2*cos(radians(gi*10)) AS xk, (la-gi*10)*11132e-2 AS yk FROM gn), m AS (SELECT gi, gj, dn, count(*) AS n, covar_pop(dx,xk) AS ux, covar_pop(dx,yk) AS uy, covar_pop(dy,xk) AS wx, covar_pop(dy,yk) AS wy, var_pop(xk) AS cx, var_pop(yk) AS cy, covar_pop(xk,yk) AS cxy FROM x GROUP BY 1,2,3 HAVING count(*) >= 3),
-  s AS (SELECT *, cx*cy-cxy*cxy AS det FROM m), z AS (SELECT gi, gj, dn, n, (ux*cy-uy*cxy)/det AS a, (uy*cx-ux*cxy)/det AS b, (wx*cy-wy*cxy)/det AS c, (wy*cx-wx*cxy)/det AS d FROM s WHERE abs(det) > 1e-6)
-  SELECT gi, gj, dn, n, round(sqrt(a*a+d*d+2*pow((b+c)/2,2))*1000, 2) AS strain FROM z""")
+  s AS (SELECT *, cx*cy-cxy*cxy AS det FROM m), z AS (SELECT gi, gj, dn, n, (ux*cy-uy*cxy)/det AS a, (uy*cx-ux*cxy)/det AS b, (wx*cy-wy*cxy)/det AS c, (wy*cx-wx*cxy)/det AS d, coalesce(det/nullif(cx*cy,0), 0) >= 1e-9 AS ok FROM s)
+  SELECT gi, gj, dn, n, CASE WHEN ok THEN round(sqrt(a*a+d*d+2*pow((b+c)/2,2))*1000, 2) ELSE 0 END AS strain FROM z""")
 def a63(v):
     g = gnss_days(v)
     g = g.withColumns({"xk": (c("lo") - c("gj") * 10) * lit(sp.DEG_KM) * F.cos(F.radians(c("gi") * 10)), "yk": (c("la") - c("gi") * 10) * lit(sp.DEG_KM)})
