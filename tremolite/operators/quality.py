@@ -22,7 +22,7 @@ def table_report(tables: dict[str, dict], spark) -> DataFrame:
         a = spec["df"].agg(F.count(lit(1)).alias("rows"), F.min(spec["day"]).cast("long").alias("first_day"), F.max(spec["day"]).cast("long").alias("last_day"))
         cov = F.least((c("last_day") - c("first_day")) / lit(float(spec["expected_days"])) * 100, lit(100.0))
         st = F.when(c("rows") == 0, "EMPTY").when(c("rows") < spec["min_rows"], "LOW").otherwise("OK")
-        parts.append(a.select(lit(name).alias("table"), "rows", "first_day", "last_day", F.round(cov, 1).alias("coverage_pct"), st.alias("status")))
+        parts.append(a.select(lit(name).alias("table"), "rows", "first_day", "last_day", F.when(c("last_day").isNotNull(), F.round(cov, 1)).alias("coverage_pct"), st.alias("status")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
