@@ -16,6 +16,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: for tables that several fits or scores read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     rest = [x for x in df.columns if x not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_m")).select(*keys, *[c(f"_m.{x}").alias(x) for x in rest])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs, windows as wn
+from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs, sinks as sk, windows as wn
 from . import features as ft, models as md, seismicity as se
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
@@ -317,13 +317,14 @@ def g16(v):
 
 @query("G17_monthly_outlook")
 def g17(v):
-    x = outlook_rows(v).withColumn("day", (c("step") * 3).cast("double"))
+    x = sk.materialized(outlook_rows(v).withColumn("day", (c("step") * 3).cast("double")), "outlook")
     feats = [k[0] for k in KERNELS] + ["background", "ci", "cj"]
     split = (0, 0.0, 1461.0, 1461.0, 2300.0)
-    parts = md.assign_folds(x, "day", [split], embargo=34.0)
+    parts = md.assign_folds(x, "day", [split], embargo=34.0).drop("fold")
     train, test = md.weighted(parts.where("part = 'train'"), "label"), parts.where("part = 'test'")
     a = md.probability(md.logistic(feats, l2=0.01, l1_ratio=0.5, rounds=20).fit(train), test, "pa")
     both = md.probability(md.boosted(feats, rounds=5, depth=3).fit(train), a, "pb").select("ci", "cj", "step", "label", F.round("pa", 9).alias("pa"), F.round("pb", 9).alias("pb"))
+    both = sk.materialized(both, "outlook-scores")
     r = wn.average_rank(wn.average_rank(both, [], "pa", "ra"), [], "pb", "rb")
     n = both.select(F.count(lit(1))).scalar()
     s = r.withColumn("score", F.round((c("ra") + c("rb")) / 2 / n, 9))

@@ -87,7 +87,7 @@ def parse_wide_kp(lines: DataFrame, first_year: int = 2011, first: int = 7) -> D
 def parse_observatory_minutes(lines: DataFrame, station: str) -> DataFrame:
     """Date, time, day of year and four components; 99999 and 88888 are missing."""
     d = fields(lines, at_least=7).where(F.rlike(F.element_at("f", 1), lit(r"^\d{4}-\d{2}-\d{2}$")))
-    ok = lambda i: missing(num(i), F.abs(num(i)) > 90000)
+    ok = lambda i: missing(num(i), F.abs(num(i)) >= 88888)
     return d.select(lit(station).alias("station"), F.expr("try_to_timestamp(concat(f[0], 'T', substring(f[1], 1, 8)))").alias("observed_at"), ok(3).alias("h"), ok(4).alias("d"), ok(5).alias("z"), ok(6).alias("f_total"))
 
 
@@ -135,8 +135,8 @@ def parse_ionosphere_maps(docs: DataFrame, bbox=(20.0, 50.0, 120.0, 155.0)) -> D
     la0, la1, lo0, lo1 = bbox
     expo = F.expr(r"coalesce(try_cast(nullif(trim(regexp_extract(value, '(?m)^(.{6}).*EXPONENT', 1)), '') AS INT), -1)")
     d = docs.select(expo.alias("expo"), F.explode(F.slice(F.split("value", "START OF TEC MAP"), 2, 100000)).alias("m"))
-    d = d.withColumn("m", F.split("m", "END OF TEC MAP")[0])
-    ep = F.split(F.trim(F.regexp_extract("m", r"(?m)^(\s*\d{4}\s+\d+\s+\d+\s+\d+\s+\d+\s+\d+)", 1)), r"\s+")
+    d = d.withColumn("m", F.split("m", r"[^\n]*END OF TEC MAP")[0])
+    ep = F.split(F.trim(F.regexp_extract("m", r"(?m)^[ \t]*(\d{4}(?:[ \t]+\d+){5})", 1)), r"\s+")
     band = r"(?m)^(.{8}.{6}.{6}.{6}).*LAT/LON1/LON2/DLON/H[^\n]*\n((?:[ \t]*-?\d+(?:[ \t]+-?\d+)*[ \t]*\r?(?:\n|$))+)"
     # the pattern is passed as a literal column so that its backslashes reach the regex engine unchanged
     heads, vals = F.regexp_extract_all("m", lit(band), lit(1)), F.regexp_extract_all("m", lit(band), lit(2))
