@@ -6,10 +6,14 @@ day boundaries, which makes every window a range frame over day numbers: one shu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import joins as jn, ordered as od
+from ..functions import physics as ph, spatial as sp
+from ..operators import joins as jn, ordered as od, sinks as sk
 from ..operators.windows import frame_slope
 
 c, lit = F.col, F.lit
@@ -162,24 +166,47 @@ def stress_features(pairs: DataFrame, grid: DataFrame, rates: DataFrame) -> Data
     return maps.join(best, ["ci", "cj", "step"], "left").withColumn("cfs_rate_state", F.greatest(F.coalesce("_rs", lit(1.0)), lit(1.0))).drop("_rs")
 
 
+def _kernel_sums(points: int, cap: int):
+    """Triggered counts of a block of probes from one block of events; rows of arrays in, one row per probe out."""
+    par = ph.TRIGGER
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                hi, day, w = (np.asarray(x, dtype="float64") for x in (r.hi, r.day, r.w))
+                rk, et, mag = (np.asarray(x, dtype="float64") for x in (r.rk, r.et, r.mag))
+                prod = par["K"] * np.exp(par["alpha"] * (mag - par["mc"]))
+                total = np.zeros(len(hi))
+                for lo in range(0, len(hi), 128):
+                    part = slice(lo, lo + 128)
+                    use = (rk[None, :] <= hi[part, None]) & (rk[None, :] > hi[part, None] - cap)
+                    age = np.where(use, day[part, None] - et[None, :] / DAY, 1.0)
+                    dens = sum((age + w[part, None] * ((k + 0.5) / points) + par["c"]) ** -par["p"] for k in range(points))
+                    total[part] = (np.where(use, dens, 0.0) * prod[None, :]).sum(axis=1) * w[part] / points
+                yield pd.DataFrame({"ci": r.ci, "cj": r.cj, "step": np.asarray(r.step), "w": np.asarray(r.w), "x": total})
+    return run
+
+
 def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, cap=2000) -> DataFrame:
     """Expected triggered count per (cell, step, window) from the last `cap` events before the window.
 
-    Events carry their rank in the cell; a step looks up the rank range that ends at its window start, so it meets at
-    most `cap` events however crowded the cell is, through at most two rank buckets.
+    Events carry their rank in the cell and travel in blocks of `cap` ranks; a probe needs the rank range that ends at its
+    window start, so it meets at most two blocks however crowded the cell is. Sums are formed inside the task.
     """
     ev = od.ranked(quakes.select("ci", "cj", "t", "event_id", "mag"), ["ci", "cj"], "t", ["event_id"], "rk")
+    blocks = ev.groupBy("ci", "cj", F.floor((c("rk") - 1) / cap).alias("rb")).agg(F.collect_list(F.struct("rk", c("t").alias("et"), "mag")).alias("e"))
+    blocks = blocks.select("ci", "cj", "rb", *[c(f"e.{x}").alias(x) for x in ("rk", "et", "mag")])
     daily = quakes.groupBy("ci", "cj", c("dn").alias("day")).agg(F.count(lit(1)).alias("n"))
     probes = grid.select("ci", "cj", "step", F.explode(F.array(*[lit(w) for w in windows])).alias("w")).withColumn("day", c("step") - c("w"))
     u = daily.withColumn("step", lit(None).cast("long")).withColumn("w", lit(None).cast("int")).unionByName(probes.withColumn("n", lit(None).cast("long")))
     hi = F.coalesce(F.sum("n").over(W.partitionBy("ci", "cj").orderBy("day").rangeBetween(W.unboundedPreceding, -1)), lit(0))
-    probes = u.withColumn("hi", hi).where("step IS NOT NULL").select("ci", "cj", "step", "w", "hi", "day")
-    pairs = jn.range_join(probes, ev.select("ci", "cj", "rk", c("t").alias("et"), "mag"), on=["ci", "cj"], time=("hi", "rk", -(cap - 1), 0))
-    at = lambda k: (c("day") * DAY - c("et")) / lit(float(DAY)) + c("w") * lit((k + 0.5) / points)
-    dens = sum((lit(1.0) / F.pow(at(k) + lit(ph.TRIGGER["c"]), lit(ph.TRIGGER["p"])) for k in range(1, points)), lit(1.0) / F.pow(at(0) + lit(ph.TRIGGER["c"]), lit(ph.TRIGGER["p"])))
-    trig = pairs.groupBy("ci", "cj", "step", "w").agg(F.sum(ph.productivity(c("mag")) * dens * c("w") / lit(float(points))).alias("_x"))
-    wide = trig.groupBy("ci", "cj", "step").agg(*[F.max(F.when(c("w") == w, c("_x"))).alias(f"_x{w}") for w in windows])
-    return wide
+    probes = u.withColumn("hi", hi).where("step IS NOT NULL AND hi > 0")
+    first = F.floor(F.greatest(c("hi") - cap, lit(0)) / cap)
+    probes = probes.select("ci", "cj", "step", "w", "hi", "day", F.explode(F.sequence(first, F.floor((c("hi") - 1) / cap))).alias("rb"))
+    probes = probes.groupBy("ci", "cj", "rb", F.floor(c("step") / 1024).alias("part")).agg(F.collect_list(F.struct("step", "w", "hi", "day")).alias("q"))
+    probes = probes.select("ci", "cj", "rb", *[c(f"q.{x}").alias(x) for x in ("step", "w", "hi", "day")])
+    sums = probes.join(blocks, ["ci", "cj", "rb"]).mapInPandas(_kernel_sums(points, cap), "ci int, cj int, step long, w int, x double")
+    return sums.groupBy("ci", "cj", "step").agg(*[F.sum(F.when(c("w") == w, c("x"))).alias(f"_x{w}") for w in windows])
 
 
 def triggering_residuals(x: DataFrame, wide: DataFrame, windows=(7, 30)) -> DataFrame:
@@ -232,4 +259,6 @@ def catalogue_matrix(quakes: DataFrame, grid: DataFrame) -> DataFrame:
     keys = ["ci", "cj", "step"]
     x = x.join(stress_features(stress_pairs(quakes), grid, rates), keys)
     x = triggering_residuals(x, triggering_expected(quakes, grid))
+    # neighbours and zones read the table twice: it is written once to the shared folder
+    x = sk.materialized(x, "features")
     return spatial_features(x).select(*keys, *CATALOGUE)
