@@ -256,10 +256,10 @@ _NULL = _DETREND + """, s AS (SELECT unnest([19723,19725,19727,19729,19731,19733
   z AS (SELECT station, quantile_cont(net, 0.95) FILTER (w0 <> 19745) AS p95, max(net) FILTER (w0 = 19745) AS net, count(net) FILTER (w0 <> 19745) AS n_base FROM g GROUP BY 1)"""
 
 
-@query("W26_displacement_null", f"WITH {_NULL} SELECT station, round(net, 5) AS net, round(p95, 5) AS p95, n_base, CAST(net > p95 AS INT) AS exceed FROM z WHERE net IS NOT NULL AND n_base >= 5")
+@query("W26_displacement_null", f"WITH {_NULL} SELECT station, round(net + 1e-9, 5) AS net, round(p95 + 1e-9, 5) AS p95, n_base, CAST(net > p95 AS INT) AS exceed FROM z WHERE net IS NOT NULL AND n_base >= 5")
 def w26(v):
     s = displacement_null(detrended(v), "station", "dn", "resid", 19723, 19742, 7, 2, 2, 19745)
-    return s.select("station", R(c("net"), 5).alias("net"), R(c("p95"), 5).alias("p95"), "n_base", "exceed")
+    return s.select("station", R(c("net") + 1e-9, 5).alias("net"), R(c("p95") + 1e-9, 5).alias("p95"), "n_base", "exceed")
 
 
 @query("W27_gap_list", """WITH d AS (SELECT DISTINCT station, dn FROM station_obs), g AS (SELECT *, lead(dn) OVER (PARTITION BY station ORDER BY dn) AS nd FROM d)
