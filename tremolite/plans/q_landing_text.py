@@ -16,14 +16,13 @@ c, lit = F.col, F.lit
 @query("S08_ionosphere_maps", """WITH o AS (SELECT 20 + (id % 7)*5e0 AS lat, flag FROM station_obs), r AS (SELECT lat, -180 + j*5e0 AS lon, flag + j AS v FROM o, range(73) g(j))
   SELECT lat, lon, count(*) AS n, round(max(v)*1e-1, 6) AS tec_max FROM r WHERE lon BETWEEN 120 AND 155 GROUP BY 1, 2""")
 def s08(v):
-    o = v.station_obs
-    vals = F.transform(F.sequence(lit(0), lit(72)), lambda j: F.format_string("%5d", c("flag") + j))
+    # the source is one small file here: spread it before the documents are made
+    o = v.station_obs.repartition(2 * v.spark.sparkContext.defaultParallelism)
+    vals = F.transform(F.sequence(lit(0), lit(72)), lambda j: F.lpad((c("flag") + j).cast("string"), 5, " "))
     rows = F.array_join(F.transform(F.sequence(lit(0), lit(4)), lambda i: F.array_join(F.slice(vals, i * 16 + 1, lit(16)), "")), "\n")
     band = F.concat(F.format_string("%8.1f", lit(20.0) + (c("id") % 7) * 5), lit("-180.0 180.0   5.0 450.0".ljust(52)), lit("LAT/LON1/LON2/DLON/H\n"), rows, lit("\n"))
     doc = F.concat(lit("    -1".ljust(60) + "EXPONENT\n" + " " * 60 + "END OF HEADER\n     1".ljust(60) + "START OF TEC MAP\n"), lit("  2024     1     1     2     0     0".ljust(60) + "EPOCH OF CURRENT MAP\n"), band, lit("     1".ljust(60) + "END OF TEC MAP\n"))
-    # documents are made once and spread out before the patterns run over them
-    docs = text(o, doc).repartition(2 * v.spark.sparkContext.defaultParallelism)
-    return st.parse_ionosphere_maps(docs).groupBy("lat", "lon").agg(F.count(lit(1)).alias("n"), R(F.max("tec")).alias("tec_max"))
+    return st.parse_ionosphere_maps(text(o, doc)).groupBy("lat", "lon").agg(F.count(lit(1)).alias("n"), R(F.max("tec")).alias("tec_max"))
 
 
 @query("S09_position_documents", "SELECT CAST(station AS VARCHAR) AS station_id, CAST(d AS VARCHAR)[1:10] AS date, qty AS height FROM daily_obs")
