@@ -283,21 +283,36 @@ def f19(v):
     return b.select("lat_min", "lon_min", "mag_min", F.to_json(cell).alias("cell_json"))
 
 
-@query("G14_forecast_windows")
-def g14(v):
-    starts = [1400, 1580, 1760, 1940]
-    parts = [by_model(with_observed(v, s, 90)).withColumn("start", lit(s)) for s in starts]
-    m = parts[0]
-    for p in parts[1:]:
-        m = m.unionByName(p)
+STARTS = [1400, 1580, 1760, 1940]
+
+
+def _window_sql(start):
+    test = _TEST.replace("2090", str(start + 90)).replace("2000", str(start))
+    return f"SELECT * FROM (WITH {test} SELECT model, {start} AS start, sum(rate) AS tf, CAST(sum(obs) AS BIGINT) AS tob, sum(obs*ln(greatest(rate,1e-10)) - greatest(rate,1e-10)) AS ll FROM ml GROUP BY 1) w{start}"
+
+
+_WINDOWS = "(" + " UNION ALL ".join(_window_sql(s) for s in STARTS) + ")"
+
+
+def forecast_windows(v):
+    """Scores of every reference model in every test window, one row each."""
+    m = None
+    for s in STARTS:
+        p = by_model(with_observed(v, s, 90)).withColumn("start", lit(s))
+        m = p if m is None else m.unionByName(p)
     rate = F.greatest(c("rate"), lit(1e-10))
-    return m.groupBy("model", "start").agg(R(F.sum("rate")).alias("total_forecast"), F.sum("obs").alias("total_observed"), R(F.sum(c("obs") * F.log(rate) - rate), 5).alias("log_likelihood"))
+    return m.groupBy("model", "start").agg(F.sum("rate").alias("tf"), F.sum("obs").alias("tob"), F.sum(c("obs") * F.log(rate) - rate).alias("ll"))
+
+
+@query("G14_forecast_windows", f"SELECT model, start, round(tf, 6) AS total_forecast, tob AS total_observed, round(ll, 5) AS log_likelihood FROM {_WINDOWS} w")
+def g14(v):
+    return forecast_windows(v).select("model", "start", R(c("tf")).alias("total_forecast"), c("tob").alias("total_observed"), R(c("ll"), 5).alias("log_likelihood"))
 
 
-@query("A50_benchmark_rollup")
+@query("A50_benchmark_rollup", f"SELECT model, count(*) AS windows, round(avg(ll), 5) AS mean_ll, round(stddev_samp(ll), 5) AS sd_ll, CAST(sum(tob) AS BIGINT) AS observed, round(sum(tf), 5) AS forecast FROM {_WINDOWS} w GROUP BY 1")
 def a50(v):
-    g = g14(v)
-    return g.groupBy("model").agg(F.count(lit(1)).alias("windows"), R(F.avg("log_likelihood"), 5).alias("mean_ll"), R(F.stddev_samp("log_likelihood"), 5).alias("sd_ll"), F.sum("total_observed").alias("observed"), R(F.sum("total_forecast"), 5).alias("forecast"))
+    g = forecast_windows(v)
+    return g.groupBy("model").agg(F.count(lit(1)).alias("windows"), R(F.avg("ll"), 5).alias("mean_ll"), R(F.stddev_samp("ll"), 5).alias("sd_ll"), F.sum("tob").alias("observed"), R(F.sum("tf"), 5).alias("forecast"))
 
 
 @query("G12_spatial_smoothing", f"""WITH {_FC90}, p AS (SELECT ci, cj, 1-exp(-simple_etas) AS p FROM fc) SELECT a.ci, a.cj, round(sum(b.p*exp(-5e-1*(pow((a.ci-b.ci)*2,2)+pow((a.cj-b.cj)*2,2))/4e0))/sum(exp(-5e-1*(pow((a.ci-b.ci)*2,2)+pow((a.cj-b.cj)*2,2))/4e0)), 9) AS smoothed FROM p a JOIN p b ON abs(a.ci-b.ci)<=1 AND abs(a.cj-b.cj)<=1 GROUP BY 1,2""")
