@@ -11,9 +11,9 @@ from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od,
 from . import features as ft, models as md, seismicity as se
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
-from .q_joins import GRID_SQL, STEP, STEP0, STEP1, ZONE_SQL, base_grid, grid_points, label_rows, stress_sources
+from .q_joins import _KPA, _PAIR, GRID_SQL, STEP, STEP0, STEP1, ZONE_SQL, base_grid, grid_points, label_rows, stress_sources
 from .q_metrics import gnss_days, plane_strain, smooth_cells, _GN
-from .q_windows import detrended, displacement_null, pre_event_z
+from .q_windows import _PREZ, _gsql, detrended, displacement_null, pre_event_z
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -390,7 +390,11 @@ def g19(v):
     return j.groupBy(c("k").cast("long").alias("day_offset")).agg(F.count(lit(1)).alias("n"), R(F.avg(c("v") - c("m")), 5).alias("mean_anomaly"))
 
 
-@query("G18_multi_signal_score")
+@query("G18_multi_signal_score", f"""WITH stx AS (SELECT q.event_id, sum({_KPA}) AS kpa FROM quakes q JOIN quakes s ON {_PAIR.replace('s.mag >= 5', 's.mag >= 55e-1')} WHERE q.mag >= 5 GROUP BY 1),
+  rt AS (SELECT q.event_id, count(*) FILTER (b.t >= q.t - 604800)/greatest(count(*)/365e0*7, 1e-1) AS ratio FROM quakes q JOIN quakes b ON b.t < q.t AND b.t >= q.t - 365*86400 AND abs(q.lat-b.lat) <= 2 AND abs(q.lon-b.lon) <= 2 WHERE q.mag >= 5 GROUP BY 1),
+  pz AS ({_PREZ.format(g=_gsql('2e0'), s='2e0')}), z AS (SELECT event_id, (obs-m)/s AS z FROM pz WHERE n >= 5 AND s >= 1e-2 AND obs IS NOT NULL),
+  j AS (SELECT CASE WHEN t < 883612800 THEN 'train' ELSE 'test' END AS part, CAST(coalesce(kpa > 5, false) AS INT) + CAST(coalesce(ratio > 15e-1, false) AS INT) + CAST(coalesce(abs(z) > 1, false) AS INT) AS score FROM quakes LEFT JOIN stx USING (event_id) LEFT JOIN rt USING (event_id) LEFT JOIN z USING (event_id) WHERE mag >= 5)
+  SELECT part, score, count(*) AS n, round(count(*)/sum(count(*)) OVER (PARTITION BY part), 6) AS share FROM j GROUP BY 1, 2""")
 def g18(v):
     q = v.quakes
     t = q.where("mag >= 5").select("event_id", "t", "lat", "lon", "depth_km")
