@@ -13,7 +13,7 @@ from .q_basic import DAY, R
 from .q_features import KEYS, cat
 from .q_joins import _KPA, _PAIR, GRID_SQL, STEP, STEP0, STEP1, ZONE_SQL, base_grid, grid_points, label_rows, stress_sources
 from .q_metrics import gnss_days, plane_strain, smooth_cells, _GN
-from .q_windows import _PREZ, _gsql, detrended, displacement_null, pre_event_z
+from .q_windows import _NULL, _PREZ, _gsql, detrended, displacement_null, pre_event_z
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -409,7 +409,13 @@ def g18(v):
     return g.withColumn("share", R(c("n") / F.sum("n").over(W.partitionBy("part"))))
 
 
-@query("G25_network_verdict")
+_KM = "2*6371e0*asin(least(1, sqrt(pow(sin(radians(36e0-la)/2),2)+cos(radians(la))*cos(radians(36e0))*pow(sin(radians(138e0-lo)/2),2))))"
+
+
+@query("G25_network_verdict", f"""WITH {_NULL}, dp AS (SELECT net, CAST(net > p95 AS INT) AS exceed, 26e0+((station*379)%2001)/1e2 AS la, 128e0+((station*757)%2001)/1e2 AS lo FROM z WHERE net IS NOT NULL AND n_base >= 5), dd AS (SELECT net, exceed, {_KM} AS km FROM dp),
+  bb AS (SELECT floor(km/25) AS b, avg(km) AS x, avg(net) AS y FROM dd GROUP BY 1), sl AS (SELECT round(quantile_cont((b2.y-b1.y)/(b2.x-b1.x), 0.5), 6) + 0.0 AS slope FROM bb b1 JOIN bb b2 ON b2.x > b1.x),
+  v AS (SELECT count(*) FILTER (km <= 400) AS n_near, count(*) FILTER (km >= 800) AS n_far, round(avg(exceed) FILTER (km <= 400), 6) AS near_share, round(avg(exceed) FILTER (km >= 800), 6) AS far_share FROM dd)
+  SELECT v.*, slope AS slope_per_km, CAST(near_share >= 5e-1 AND far_share <= 1e-1 AND slope < 0 AS INT) AS positive FROM v, sl""")
 def g25(v):
     d = displacement_null(detrended(v), "station", "dn", "resid", 19723, 19742, 7, 2, 2, 19745)
     km = sp.haversine_km(lit(26) + ((c("station") * 379) % 2001) / lit(100.0), lit(128) + ((c("station") * 757) % 2001) / lit(100.0), lit(36.0), lit(138.0))
