@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,8 +35,26 @@ def build_session(app: str = "tremolite", master: str | None = None, shuffle_par
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once a session, so that functions of its modules can be found there."""
+    context = spark.sparkContext
+    if getattr(context, "_tremolite_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tremolite-zip-"), "tremolite_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join(os.path.basename(package), os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._tremolite_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
