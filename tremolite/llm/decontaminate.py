@@ -82,16 +82,15 @@ def search(raw: bytes | None, index: dict, window: int = WINDOW) -> tuple[int, l
 
 
 def _searcher(index):
-    @F.arrow_udf("struct<n_words:bigint,runs:array<bigint>,items:array<string>>")
     def run(text: pa.Array) -> pa.Array:
         found = [search(raw, index.value) for raw in raw_texts(text)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())),
                                            pa.array([x[2] for x in found], pa.list_(pa.string()))], names=["n_words", "runs", "items"])
-    return run
+
+    return F.arrow_udf(run, "struct<n_words:bigint,runs:array<bigint>,items:array<string>>")
 
 
-@F.arrow_udf("array<bigint>")
-def merge_runs(a: pa.Array, b: pa.Array) -> pa.Array:
+def _merge_runs(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
         pairs, runs = sorted([*zip(x[::2], x[1::2], strict=True), *zip(y[::2], y[1::2], strict=True)]), []
@@ -128,7 +127,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             out = new.withColumns({"_bench_words": c("_bench_new.n_words"), "_bench_runs": c("_bench_new.runs"), "_bench_items": c("_bench_new.items")})
         else:
             new = materialized(new, "decontaminate")
-            out = new.withColumns({"_bench_runs": merge_runs(c("_bench_runs"), c("_bench_new.runs")),
+            out = new.withColumns({"_bench_runs": F.arrow_udf(_merge_runs, "array<bigint>")(c("_bench_runs"), c("_bench_new.runs")),
                                    "_bench_items": F.array_sort(F.array_union("_bench_items", "_bench_new.items"))})
         out = out.drop("_bench_new")
     return out.withColumn("_bench_bad", (hit_words() > 0) & (SHARE * hit_words() >= c("_bench_words")))

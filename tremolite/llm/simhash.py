@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.sinks import materialized
 from .common import pieces, prepare, raw_texts, table
@@ -58,11 +58,14 @@ def fingerprint(raw: bytes | None, size: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-@F.arrow_udf("long")
-def simhash(text: pa.Array) -> pa.Array:
+def _fingerprints(text: pa.Array) -> pa.Array:
     return pa.array(map(fingerprint, raw_texts(text)), pa.int64())
 
 
+def simhash(text: Column) -> Column:
+    return F.arrow_udf(_fingerprints, "long")(text)
+
+
 # ---- planning: which bits go together, and how far each part is probed ----
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
