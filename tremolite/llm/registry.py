@@ -1,7 +1,7 @@
 """The corpus queries and, where SQL can express them, their SQL twins."""
 
-from . import chat, decontaminate, mixing, pii, simhash, substring_dedup, url_filter
+from . import chat, cnn_quality, decontaminate, mixing, pii, simhash, substring_dedup, url_filter, warc
 
-_MODULES = (simhash, pii, decontaminate, mixing, url_filter, substring_dedup, chat)
+_MODULES = (warc, simhash, pii, decontaminate, mixing, cnn_quality, url_filter, substring_dedup, chat)
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.ORACLE for m in _MODULES if m.ORACLE}
