@@ -228,7 +228,7 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         met = met.select(group.alias("g"), "own", "fp")
     else:
         met = met.join(crowded, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), c("blocks"))
+        mine = F.pmod(F.xxhash64("fp"), c("blocks")).cast("int")
         met = met.withColumn("other", F.explode(F.sequence(lit(0), c("blocks") - 1)))
         met = met.select(F.when(c("blocks") == 1, group).when(c("own"), F.xxhash64("part", "key", mine, "other")).otherwise(F.xxhash64("part", "key", "other", mine)).alias("g"), "own", "fp").unionByName(
             met.where((c("blocks") > 1) & c("own")).select(F.xxhash64("part", "key", "other", mine).alias("g"), lit(False).alias("own"), "fp"))
