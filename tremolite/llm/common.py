@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the corpus operators: small Arrow batches, as one text may hold megabytes."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All columns but the needed ones under neutral names, and the way back: no name an operator adds can meet one of them."""
+    names = {x: f"_aside_{i}_" for i, x in enumerate(df.columns) if x not in needed}
+    back = {v: k for k, v in names.items()}
+    return df.toDF(*[names.get(x, x) for x in df.columns]), lambda out: out.select(*[F.col(names.get(x, x)).alias(x) for x in df.columns], *[F.col(x) for x in out.columns if x not in back and x not in df.columns])
+
+
 def ascii_lower(x: Column) -> Column:
     """A-Z only, whatever the locale or the script."""
     return F.translate(x, string.ascii_uppercase, string.ascii_lowercase)

@@ -22,7 +22,7 @@ NAME = "op6_mixing"
 ORACLE = None
 c, lit = F.col, F.lit
 BLOCK, REPEATS, SEED = 64, 3.0, 20
-SLOTS_PER_SHARD, MOST_SHARDS, BUCKET = 1 << 16, 4096, 8192
+SLOTS_PER_SHARD, MOST_SHARDS, BUCKET = 1 << 16, 4096, 1024
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], repeats: float = REPEATS) -> list[float]:
@@ -98,9 +98,10 @@ class Mix:
     def __init__(self, sized: DataFrame, pieces: DataFrame, slots: DataFrame):
         self.sized, self.pieces, self.slots = sized, pieces, slots
 
+    # slots come out of a small plan, so their estimated size says nothing: the hint keeps them from being broadcast
     def taken(self) -> DataFrame:
         """Columns of `sized` plus `_mix_taken`: the words of each document that the mix holds, repeats counted."""
-        held = self.slots.join(self.pieces, ["sid", "block"]).groupBy("_mix_row").agg(F.sum("words").alias("_mix_taken"))
+        held = self.slots.hint("merge").join(self.pieces, ["sid", "block"]).groupBy("_mix_row").agg(F.sum("words").alias("_mix_taken"))
         return self.sized.join(held, "_mix_row", "left").withColumn("_mix_taken", F.coalesce("_mix_taken", lit(0)).cast("bigint"))
 
     def texts(self, text: str) -> DataFrame:
@@ -109,7 +110,7 @@ class Mix:
         own = self.pieces.join(self.sized.select("_mix_row", words.alias("all")), "_mix_row")
         cut = own.select("sid", "block", "at", F.array_join(F.slice("all", (c("skip") + 1).cast("int"), c("words").cast("int")), " ").alias("t"))
         block = cut.groupBy("sid", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), " ").alias("text"))
-        return self.slots.join(block, ["sid", "block"])
+        return self.slots.hint("merge").join(block, ["sid", "block"])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weight: Callable[[int], float] = lambda i: 1.0 + i % 3,
@@ -121,6 +122,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows and equal ids each have their own place. No documents: no rows. Runs agree: orders and draws are keyed by hashes.
     """
     spark = prepare(docs.sparkSession)
+    docs = docs.drop("_mix_sid", "_mix_source_size", "_mix_target", "_mix_taken")  # columns of these names are replaced
     kept = docs.columns if carry else [doc_id]
     size = F.coalesce(F.regexp_count(c(text), lit(WORD)), lit(0)).cast("bigint")
     sized = docs.withColumns({"_mix_size": size, "_mix_source": c(source).cast("string"), "_mix_hash": F.xxhash64(c(doc_id), c(text)), "_mix_row": F.monotonically_increasing_id()})
@@ -137,10 +139,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     plan = spark.createDataFrame(rows, "sid int, shard int, first long, n long, blocks long, key long")
     slots = plan.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_slots, "sid int, shard int, slot long, block long")
     named = spark.createDataFrame([(i, r[0], int(r["size"]), float(t)) for i, (r, t) in enumerate(zip(found, targets, strict=True))],
-                                  "sid int, _name string, _mix_source_size long, _mix_target double")
+                                  "_mix_sid int, _name string, _mix_source_size long, _mix_target double")
     sized = sized.join(named, c("_mix_source").eqNullSafe(c("_name"))).drop("_name")
     buckets = max(1, sum(r["n"] for r in found) // BUCKET)
-    placed = sized.where("_mix_size > 0").select("_mix_row", "sid", "_mix_size", "_mix_hash", F.pmod("_mix_hash", lit(buckets)).alias("bucket"))
+    placed = sized.where("_mix_size > 0").select("_mix_row", c("_mix_sid").alias("sid"), "_mix_size", "_mix_hash", F.pmod("_mix_hash", lit(buckets)).alias("bucket"))
     fill = placed.groupBy("sid", "bucket").agg(F.sum("_mix_size").alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     fill = fill.select("sid", "bucket", F.coalesce(F.sum("n").over(before), lit(0)).alias("base"))
