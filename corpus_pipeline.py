@@ -10,27 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremolite.llm import cnn_quality, decontaminate, mixing, pii, simhash
-from tremolite.llm.common import table
+from tremolite.llm.common import set_aside, table
 from tremolite.operators.sinks import scratch
 
 
+def _aside(stage):
+    """The stage sees doc_id, text and source under their names and all other columns under neutral ones."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain, back = set_aside(docs, ("doc_id", "text", "source"))
+        return back(stage(spark, plain, sf_dir))
+    return run
+
+
+@_aside
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = cnn_quality.train(docs, table(spark, sf_dir, "labels"))
     return cnn_quality.score(docs, net).where(F.col("_quality") >= cnn_quality.THRESHOLD).select(*docs.columns)
 
 
+@_aside
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.survivors(docs)
 
 
+@_aside
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).where(~F.col("_bench_bad")).select(*docs.columns)
 
 
+@_aside
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs).select(*docs.columns)
 
 
+@_aside
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).taken().where(F.col("_mix_taken") > 0)
     return taken.select(*docs.columns, F.col("_mix_size").alias("mix_size"), F.col("_mix_source_size").alias("mix_source_size"),

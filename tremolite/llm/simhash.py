@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty table gives no rows. Nothing is left out: all fingerprints that lie within the distance end in one component.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("_sim_key", "_sim_group", "_sim_component")  # columns of these names are replaced
     kept = docs.columns if carry else [doc_id]
     marked = docs.withColumns({"_sim_fp": simhash(c(text)), "_sim_row": F.monotonically_increasing_id()})
     marked = materialized(marked.select(*kept, "_sim_fp", "_sim_row"), "simhash")

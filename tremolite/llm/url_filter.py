@@ -38,6 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     fits. Repeated URLs are judged once; repeated pages come out as often as they went in. No rules or no pages: every page
     gets the default, or no rows.
     """
+    pages = pages.drop("_url_key", "_url_rule", "_url_verdict")  # columns of these names are replaced
     digest = F.sha2(F.concat(c("h"), c("p")), 256)
     ready = rules.select(ascii_lower(F.coalesce(c("host"), lit(""))).alias("h"), F.coalesce(c("path"), lit("")).alias("p"), c("verdict").alias("v"))
     ready = ready.where(F.length("h") > 0).withColumn("digest", digest).select(
