@@ -29,9 +29,9 @@ c, lit = F.col, F.lit
 WINDOW, GRAM = 20, 5
 SPAN = WINDOW - GRAM + 1
 #: Bytes of text that a map task takes into memory at once; bytes of one group of suffixes; ways a large group is split.
-TEXT_BYTES, GROUP_BYTES, WAYS = 6 << 20, 24 << 20, 64
+TEXT_BYTES, GROUP_BYTES, WAYS = 2 << 20, 6 << 20, 64
 #: Text that one group of suffixes stands for on average.
-TEXT_PER_GROUP = 4 << 20
+TEXT_PER_GROUP = 1 << 20
 NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -105,7 +105,7 @@ def _pack(key, doc, tag, pos, off, low) -> bytes:
     rec = np.empty(len(new), _ANCHOR)
     for n, x in (("key", key), ("doc", doc), ("tag", tag), ("pos", pos)):
         rec[n] = x[new]
-    rec["mask"] = np.bitwise_or.reduceat(np.left_shift(1, off), new)
+    rec["mask"] = np.bitwise_or.reduceat(np.left_shift(1, off.astype(np.int64)), new)
     six = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     return np.uint32(len(rec)).tobytes() + rec.tobytes() + six.tobytes()
 
@@ -116,8 +116,8 @@ def _unpack(blob: bytes):
     six = np.frombuffer(blob, np.uint8, offset=4 + n * _ANCHOR.itemsize).reshape(-1, 6)
     low = np.zeros((len(six), 8), np.uint8)
     low[:, :6] = six
-    which, bit = np.nonzero(rec["mask"][:, None] >> np.arange(SPAN - 1, -1, -1) & 1)  # larger offsets first: ascending starts
-    return rec["key"][which], rec["doc"][which], rec["tag"][which], rec["pos"][which], (SPAN - 1 - bit).astype(np.int64), low.view("<u8").ravel()
+    which, bit = np.nonzero(np.unpackbits(rec["mask"].astype(">u2").view(np.uint8).reshape(-1, 2), axis=1))  # larger offsets first: ascending starts
+    return rec["key"][which], rec["doc"][which], rec["tag"][which], rec["pos"][which], (SPAN - 1 - bit).astype(np.int8), low.view("<u8").ravel()
 
 
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
@@ -183,7 +183,8 @@ def _local(held: list[tuple], buckets: int) -> list[tuple]:
     rows = _found_rows(doc[later], tag[later], start[later])
     keep = ~copy
     key, doc, tag, pos, off, low = key[keep], doc[keep], tag[keep], (start + off)[keep], off[keep], (_mix(whole) & np.uint64((1 << 48) - 1))[keep]
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    # anchors are the least of their neighbours, so their hashes crowd near zero: hashed again, groups are even
+    bucket = ((_mix(key ^ _BASE) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     return rows + _split(bucket, key, doc, tag, pos, off, low)
 
 
@@ -201,10 +202,8 @@ def _split(bucket, key, doc, tag, pos, off, low) -> list[tuple]:
 
 def _group(level: int):
     def resolve(blobs: list[bytes]) -> list[tuple]:
-        parts = [_unpack(x) for x in blobs]
-        key, doc, tag, pos, off, low = (np.concatenate(x) for x in zip(*parts, strict=True))
-        both = key ^ (low * _BASE)
-        order = np.argsort(both)
+        key, doc, tag, pos, off, low = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        order = np.argsort(key ^ (low * _BASE))
         same = (key[order][1:] == key[order][:-1]) & (low[order][1:] == low[order][:-1])
         hit = order[np.r_[False, same] | np.r_[same, False]]
         if not len(hit):
@@ -291,6 +290,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     position. An empty table gives no rows. Long texts are read in overlapping pieces.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("_sub_doc", "_sub_tag", "_sub_found")
     found = repeats(docs, doc_id, text).groupBy(c("doc").alias("_sub_doc"), c("tag").alias("_sub_tag")).agg(F.collect_list("data").alias("_sub_found"))
     mine = docs.withColumns({"_sub_key": F.coalesce(c(doc_id), lit(NO_ID)).cast("bigint"), "_sub_hash": F.xxhash64(text)})
     both = mine.join(found, (c("_sub_key") == c("_sub_doc")) & (c("_sub_hash") == c("_sub_tag")), "left")
