@@ -177,6 +177,7 @@ def test_seismic_samples(spark, tmp_path, order):
     struct.pack_into(f"{order}f", head, 0, 0.01)
     struct.pack_into(f"{order}f", head, 31 * 4, 36.5)
     struct.pack_into(f"{order}f", head, 32 * 4, 140.25)
+    struct.pack_into(f"{order}i", head, 304, 6)
     struct.pack_into(f"{order}i", head, 316, 4)
     (tmp_path / "a.sac").write_bytes(bytes(head) + np.array([1, 2, 3, 4], dtype=f"{order}f4").tobytes())
     (tmp_path / "b.sac").write_bytes(b"short")

@@ -1,15 +1,23 @@
-"""Spectral features of sample arrays: Arrow-batched functions, one array row in, one struct row out."""
+"""Spectral features of sample arrays. Arrays of one Arrow batch that have the same length are stacked and transformed together."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Bands in Hz.
 BAND_LF, BAND_HF, BAND_FULL, BAND_VLF = (0.1, 1.0), (1.0, 10.0), (0.1, 10.0), (0.01, 0.1)
+# What is reported where a band holds no frequency, a spectrum has too few points for a slope, or a ratio has no band;
+# and the least power that is ever divided by or put into a logarithm.
+EMPTY_BAND, FLAT_SLOPE, NO_RATIO, LEAST_POWER = 0.0, -2.0, 1.0, 1e-30
+# Points a slope needs, samples a power estimate needs, the least power a polarization is divided by.
+SLOPE_POINTS, POWER_SAMPLES, LEAST_HORIZONTAL = 6, 16, 1e-10
 
-WAVE_TYPE = "rms_z double, rms_h double, hv_ratio double, lf_power double, hf_power double, spectral_slope double"
+WAVE_TYPE = ("rms_z double, rms_h double, hv_ratio double, lf_power double, hf_power double, spectral_slope double, "
+             "vlf_power double, vlf_hv_ratio double")
 
 
 def rms(samples: Column) -> Column:
@@ -20,94 +28,128 @@ def rms(samples: Column) -> Column:
     return F.when(n > 0, F.sqrt(F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0))))
 
 
-def welch(x: np.ndarray, fs: float, seconds: float):
-    """One-sided power density with half-overlapping Hann windows."""
-    win = int(fs * seconds)
-    segs = np.lib.stride_tricks.sliding_window_view(x, win)[:: win // 2]
-    taper = np.hanning(win)
-    power = (np.abs(np.fft.rfft(segs * taper, axis=1)) ** 2).sum(axis=0) * 2.0 / (fs * (taper ** 2).sum() * len(segs))
-    return power, np.fft.rfftfreq(win, 1.0 / fs)
+def stacked(columns: list[pd.Series], width: int, compute: Callable[..., np.ndarray]) -> np.ndarray:
+    """`compute` on blocks of rows whose arrays are equally long (all channels cut to the shortest); its rows in input order."""
+    size = np.array([min((0 if a is None else len(a)) for a in row) for row in zip(*columns)], np.int64)
+    out = np.full((len(size), width), np.nan)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        blocks = [np.array([np.asarray(col.iloc[i][:n], np.float64) for i in rows]) for col in columns] if n else [np.empty((len(rows), 0))] * len(columns)
+        out[rows] = compute(*blocks)
+    return out
+
+
+def frame(values: np.ndarray, names: list[str]) -> pd.DataFrame:
+    """NaN becomes NULL."""
+    return pd.DataFrame(values, columns=names).astype(object).where(~np.isnan(values), None)
+
+
+def line_slope(x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Least-squares slope per row over the points in `use`."""
+    n = use.sum(1)
+    mx, my = (np.where(use, v, 0).sum(1) / np.maximum(n, 1) for v in (x, y))
+    dx = np.where(use, x - mx[:, None], 0)
+    dy = np.where(use, y - my[:, None], 0)
+    return (dx * dy).sum(1) / np.where(n > 1, (dx * dx).sum(1), 1)
+
 
+def power_density(x: np.ndarray, fs: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-sided density per row, averaged over Hann windows that overlap by half."""
+    taper = np.hanning(window)
+    cuts = np.lib.stride_tricks.sliding_window_view(x, window, axis=1)[:, ::window // 2]
+    power = np.square(np.abs(np.fft.rfft(cuts * taper, axis=2))).mean(1)
+    return power * 2 / (fs * np.square(taper).sum()), np.fft.rfftfreq(window, 1 / fs)
 
-def band_power(psd, freqs, band) -> float:
-    m = (freqs >= band[0]) & (freqs < band[1])
-    return float(np.log10(max(np.trapezoid(psd[m], freqs[m]), 1e-30))) if m.any() else 0.0
 
+def log_band_power(density: np.ndarray, freqs: np.ndarray, band: tuple[float, float]) -> np.ndarray:
+    inside = (band[0] <= freqs) & (freqs < band[1])
+    if not inside.any():
+        return np.full(len(density), EMPTY_BAND)
+    return np.log10(np.maximum(np.trapezoid(density[:, inside], freqs[inside], axis=1), LEAST_POWER))
 
-def slope(psd, freqs, band) -> float:
-    m = (freqs >= band[0]) & (freqs <= band[1]) & (psd > 0)
-    if m.sum() <= 5:
-        return -2.0
-    return float(np.polyfit(np.log10(freqs[m]), np.log10(psd[m]), 1)[0])
+
+def mean_ratio(ratio: np.ndarray, freqs: np.ndarray, band: tuple[float, float]) -> np.ndarray:
+    inside = (band[0] <= freqs) & (freqs <= band[1])
+    return ratio[:, inside].mean(1) if inside.any() else np.full(len(ratio), NO_RATIO)
 
 
 def waveform_features(fs: float, seconds: float = 10.0):
-    """Pandas UDF over (z, x, y) arrays: RMS, H/V ratio, band powers and spectral slope; NULLs for short or dead channels."""
+    """Pandas UDF over (z, x, y) arrays: RMS, H/V ratios, band powers and spectral slope; NULLs for short or dead channels."""
+    names = [x.split()[0] for x in WAVE_TYPE.split(", ")]
+    window = int(fs * seconds)
+
+    def block(*channels: np.ndarray) -> np.ndarray:
+        out = np.full((len(channels[0]), len(names)), np.nan)
+        if channels[0].shape[1] < window:
+            return out
+        z, x, y = (v - v.mean(1, keepdims=True) for v in channels)
+        alive = z.any(1) & x.any(1) & y.any(1)
+        if not alive.any():
+            return out
+        z, x, y = z[alive], x[alive], y[alive]
+        (pz, f), (px, _), (py, _) = (power_density(v, fs, window) for v in (z, x, y))
+        ratio = np.sqrt((px + py) / np.maximum(pz, LEAST_POWER))
+        total = pz + px + py
+        use = (BAND_FULL[0] <= f) & (f <= BAND_FULL[1]) & (total > 0)
+        logf = np.broadcast_to(np.log10(np.maximum(f, LEAST_POWER)), total.shape)
+        steep = line_slope(logf, np.log10(np.maximum(total, LEAST_POWER)), use)
+        energy = lambda *parts: np.sqrt(sum(np.square(v).mean(1) for v in parts))
+        out[alive] = np.stack([energy(z), energy(x, y), mean_ratio(ratio, f, BAND_FULL), log_band_power(total, f, BAND_LF), log_band_power(total, f, BAND_HF),
+                               np.where(use.sum(1) >= SLOPE_POINTS, steep, FLAT_SLOPE), log_band_power(total, f, BAND_VLF), mean_ratio(ratio, f, BAND_VLF)], 1)
+        return out
+
     @F.pandas_udf(WAVE_TYPE)
     def run(z: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        out = []
-        for parts in zip(z, x, y):
-            n = min(len(p) if p is not None else 0 for p in parts)
-            if n < int(fs * seconds):
-                out.append((None,) * 6)
-                continue
-            a = [np.asarray(p[:n], dtype="float64") for p in parts]
-            a = [p - p.mean() for p in a]
-            if any(not p.any() for p in a):
-                out.append((None,) * 6)
-                continue
-            r = [float(np.sqrt((p ** 2).mean())) for p in a]
-            (pz, f), (px, _), (py, _) = (welch(p, fs, seconds) for p in a)
-            hv = np.sqrt((px + py) / np.where(pz > 0, pz, 1e-30))
-            m = (f >= BAND_FULL[0]) & (f <= BAND_FULL[1])
-            total = pz + px + py
-            out.append((r[0], float(np.hypot(r[1], r[2])), float(hv[m].mean()) if m.any() else 1.0, band_power(total, f, BAND_LF), band_power(total, f, BAND_HF), slope(total, f, BAND_FULL)))
-        return pd.DataFrame(out, columns=["rms_z", "rms_h", "hv_ratio", "lf_power", "hf_power", "spectral_slope"])
+        return frame(stacked([z, x, y], len(names), block), names)
     return run
 
 
-def dft_power(x: np.ndarray, fs: float, lo: float, hi: float):
-    n = len(x)
-    if n < 16:
-        return None
-    size = 1 << (n - 1).bit_length()
-    spec = np.abs(np.fft.rfft(x - x.mean(), size)) ** 2 / size
-    f = np.arange(size // 2) * fs / size
-    m = (f >= lo) & (f <= hi)
-    return float(spec[:size // 2][m].mean()) if m.any() else None
-
-
-def higuchi(x: np.ndarray, k_max: int = 10):
-    """Fractal dimension from curve lengths at strides 1..k_max."""
-    n = len(x)
+def dft_power(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
+    """Mean power of the frequencies in [lo, hi] per row of x, padded with zeros to a power of two; NaN where there is none."""
+    x = np.atleast_2d(x)
+    n = x.shape[1]
+    if n < POWER_SAMPLES:
+        return np.full(len(x), np.nan)
+    padded = 2 ** int(np.ceil(np.log2(n)))
+    freqs = np.fft.rfftfreq(padded, 1 / fs)[:-1]
+    inside = (lo <= freqs) & (freqs <= hi)
+    if not inside.any():
+        return np.full(len(x), np.nan)
+    return np.square(np.abs(np.fft.rfft(x - x.mean(1, keepdims=True), padded)[:, :-1][:, inside])).mean(1) / padded
+
+
+def higuchi(x: np.ndarray, k_max: int = 10) -> np.ndarray:
+    """Fractal dimension per row of x. The length of the curve at stride k is, averaged over the k starting points,
+    L(k) = (N - 1) / (k^2 m) sum |x[i + k] - x[i]| with m the steps from that point; the dimension is the slope of ln L(k) over
+    ln(1/k). NaN for under 4 k_max samples or a curve without length at three strides."""
+    x = np.atleast_2d(x)
+    n = x.shape[1]
     if n < 4 * k_max:
-        return None
-    pts = []
-    for k in range(1, k_max + 1):
-        lengths = []
-        for m in range(1, k + 1):
-            steps = int((n - m) / k)
-            if steps < 2:
-                continue
-            idx = m - 1 + k * np.arange(steps)
-            lengths.append(np.abs(np.diff(x[idx])).sum() * (n - 1) / (k * steps * k))
-        if lengths and np.mean(lengths) > 0:
-            pts.append((np.log(1.0 / k), np.log(np.mean(lengths))))
-    if len(pts) < 3:
-        return None
-    return float(np.polyfit(*zip(*pts), 1)[0])
+        return np.full(len(x), np.nan)
+    strides = np.arange(1, k_max + 1)
+    lengths = np.empty((len(x), k_max))
+    for k in strides:
+        jumps = np.abs(x[:, k:] - x[:, :-k])
+        steps = (n - 1 - np.arange(k)) // k
+        padded = np.pad(jumps, ((0, 0), (0, -jumps.shape[1] % k))).reshape(len(x), -1, k)
+        lengths[:, k - 1] = (padded.sum(1) / steps).mean(1) * (n - 1) / k ** 2
+    use = lengths > 0
+    dimension = line_slope(np.broadcast_to(-np.log(strides), lengths.shape), np.log(np.where(use, lengths, 1)), use)
+    return np.where(use.sum(1) >= 3, dimension, np.nan)
 
 
 def ulf_features(fs: float = 1 / 60.0, lo: float = 0.001, hi: float = 0.1):
     """Pandas UDF over (z, h) arrays: band power of each, their ratio and the fractal dimension of z."""
+    names = ["power_z", "power_h", "polarization", "fractal_dim"]
+
+    def one(a: np.ndarray) -> np.ndarray:
+        return np.stack([dft_power(a, fs, lo, hi), higuchi(a)], 1)
+
     @F.pandas_udf("power_z double, power_h double, polarization double, fractal_dim double")
     def run(z: pd.Series, h: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(z, h):
-            a, b = np.asarray(a, dtype="float64"), np.asarray(b, dtype="float64")
-            pz, ph = dft_power(a, fs, lo, hi), dft_power(b, fs, lo, hi)
-            out.append((pz, ph, pz / ph if pz is not None and ph is not None and ph >= 1e-10 else None, higuchi(a)))
-        return pd.DataFrame(out, columns=["power_z", "power_h", "polarization", "fractal_dim"])
+        pz, ph = stacked([z], 2, one), stacked([h], 2, one)[:, 0]
+        ratio = np.where(ph >= LEAST_HORIZONTAL, pz[:, 0] / np.where(ph >= LEAST_HORIZONTAL, ph, 1), np.nan)
+        return frame(np.stack([pz[:, 0], ph, ratio, pz[:, 1]], 1), names)
     return run
 
 

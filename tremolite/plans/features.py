@@ -138,7 +138,7 @@ def stress_pairs(quakes: DataFrame, min_mag=5.5, max_km=300.0, depth=15.0) -> Da
     """(cell, source) stress changes: strong sources reach the few cells inside the distance box, cells are never crossed with all sources."""
     k = int(max_km / sp.DEG_KM / SIZE) + 1
     s = quakes.where(c("mag") >= min_mag).select("t", "lat", "lon", "depth_km", "mag", "ci", "cj")
-    p = jn.neighbours(s, k=k, include_self=True).where(c("ni").between(13, 23) & c("nj").between(64, 74))
+    p = jn.neighbours(s, k=k, include_self=True)
     la, lo = c("ni") * SIZE, c("nj") * SIZE
     p = p.where((F.abs(c("lat") - la) * lit(sp.DEG_KM) <= max_km) & (F.abs(c("lon") - lo) * lit(sp.DEG_KM) <= max_km))
     pa = ph.stress_change(c("lat"), c("lon"), c("depth_km"), c("mag"), la, lo, lit(depth))
@@ -166,7 +166,7 @@ def stress_features(pairs: DataFrame, grid: DataFrame, rates: DataFrame) -> Data
     return maps.join(best, ["ci", "cj", "step"], "left").withColumn("cfs_rate_state", F.greatest(F.coalesce("_rs", lit(1.0)), lit(1.0))).drop("_rs")
 
 
-def _kernel_sums(points: int, cap: int):
+def _kernel_sums(points: int):
     """Triggered counts of a block of probes from one block of events; rows of arrays in, one row per probe out."""
     par = ph.TRIGGER
 
@@ -179,7 +179,7 @@ def _kernel_sums(points: int, cap: int):
                 total = np.zeros(len(hi))
                 for lo in range(0, len(hi), 128):
                     part = slice(lo, lo + 128)
-                    use = (rk[None, :] <= hi[part, None]) & (rk[None, :] > hi[part, None] - cap)
+                    use = rk[None, :] <= hi[part, None]
                     age = np.where(use, day[part, None] - et[None, :] / DAY, 1.0)
                     dens = sum((age + w[part, None] * ((k + 0.5) / points) + par["c"]) ** -par["p"] for k in range(points))
                     total[part] = (np.where(use, dens, 0.0) * prod[None, :]).sum(axis=1) * w[part] / points
@@ -187,25 +187,24 @@ def _kernel_sums(points: int, cap: int):
     return run
 
 
-def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, cap=2000) -> DataFrame:
-    """Expected triggered count per (cell, step, window) from the last `cap` events before the window.
+def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, block=2048) -> DataFrame:
+    """Expected triggered count per (cell, step, window) from all events before the window.
 
-    Events carry their rank in the cell and travel in blocks of `cap` ranks; a probe needs the rank range that ends at its
-    window start, so it meets at most two blocks however crowded the cell is. Sums are formed inside the task.
+    Events carry their rank in the cell and travel in blocks of `block` ranks; a probe meets the blocks up to the rank at its
+    window start. Sums are formed inside the task, one row per probe and block.
     """
     ev = od.ranked(quakes.select("ci", "cj", "t", "event_id", "mag"), ["ci", "cj"], "t", ["event_id"], "rk")
-    blocks = ev.groupBy("ci", "cj", F.floor((c("rk") - 1) / cap).alias("rb")).agg(F.collect_list(F.struct("rk", c("t").alias("et"), "mag")).alias("e"))
+    blocks = ev.groupBy("ci", "cj", F.floor((c("rk") - 1) / block).alias("rb")).agg(F.collect_list(F.struct("rk", c("t").alias("et"), "mag")).alias("e"))
     blocks = blocks.select("ci", "cj", "rb", *[c(f"e.{x}").alias(x) for x in ("rk", "et", "mag")])
     daily = quakes.groupBy("ci", "cj", c("dn").alias("day")).agg(F.count(lit(1)).alias("n"))
     probes = grid.select("ci", "cj", "step", F.explode(F.array(*[lit(w) for w in windows])).alias("w")).withColumn("day", c("step") - c("w"))
     u = daily.withColumn("step", lit(None).cast("long")).withColumn("w", lit(None).cast("int")).unionByName(probes.withColumn("n", lit(None).cast("long")))
     hi = F.coalesce(F.sum("n").over(W.partitionBy("ci", "cj").orderBy("day").rangeBetween(W.unboundedPreceding, -1)), lit(0))
     probes = u.withColumn("hi", hi).where("step IS NOT NULL AND hi > 0")
-    first = F.floor(F.greatest(c("hi") - cap, lit(0)) / cap)
-    probes = probes.select("ci", "cj", "step", "w", "hi", "day", F.explode(F.sequence(first, F.floor((c("hi") - 1) / cap))).alias("rb"))
+    probes = probes.select("ci", "cj", "step", "w", "hi", "day", F.explode(F.sequence(lit(0).cast("bigint"), F.floor((c("hi") - 1) / block))).alias("rb"))
     probes = probes.groupBy("ci", "cj", "rb", F.floor(c("step") / 1024).alias("part")).agg(F.collect_list(F.struct("step", "w", "hi", "day")).alias("q"))
     probes = probes.select("ci", "cj", "rb", *[c(f"q.{x}").alias(x) for x in ("step", "w", "hi", "day")])
-    sums = probes.join(blocks, ["ci", "cj", "rb"]).mapInPandas(_kernel_sums(points, cap), "ci int, cj int, step long, w int, x double")
+    sums = probes.join(blocks, ["ci", "cj", "rb"]).mapInPandas(_kernel_sums(points), "ci int, cj int, step long, w int, x double")
     return sums.groupBy("ci", "cj", "step").agg(*[F.sum(F.when(c("w") == w, c("x"))).alias(f"_x{w}") for w in windows])
 
 

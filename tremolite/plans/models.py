@@ -19,11 +19,9 @@ YEAR = 365.25
 
 def walk_forward_splits(start: float, end: float, initial_years=5, step_years=1, test_years=1) -> list[tuple]:
     """(fold, train_start, train_end, test_start, test_end) of an expanding window."""
-    out, at = [], start + initial_years * YEAR
-    while at + test_years * YEAR <= end:
-        out.append((len(out), start, at, at, min(at + test_years * YEAR, end)))
-        at += step_years * YEAR
-    return out
+    first, step, test = start + initial_years * YEAR, step_years * YEAR, test_years * YEAR
+    folds = max(0, int((end - first - test) // step) + 1)
+    return [(k, start, first + k * step, first + k * step, first + k * step + test) for k in range(folds)]
 
 
 def assign_folds(df: DataFrame, day: str, splits: list[tuple], embargo: float = 0.0) -> DataFrame:
@@ -43,9 +41,9 @@ def _assembled(features: Sequence[str], model, scale: bool = False) -> Pipeline:
     return Pipeline(stages=[*stages, model])
 
 
-def weighted(df: DataFrame, label: str, cap: float = 20.0) -> DataFrame:
-    """Positive rows weighted by the class ratio (capped), as one scalar subquery."""
-    ratio = df.select(F.least(F.sum(1 - c(label)) / F.greatest(F.sum(label), lit(1)), lit(cap))).scalar()
+def weighted(df: DataFrame, label: str) -> DataFrame:
+    """Positive rows weighted by the class ratio, as one scalar subquery."""
+    ratio = df.select(F.sum(1 - c(label)) / F.greatest(F.sum(label), lit(1))).scalar()
     return df.withColumn("_w", F.when(c(label) == 1, ratio).otherwise(1.0))
 
 

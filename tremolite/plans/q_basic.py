@@ -303,6 +303,11 @@ def a15(v):
     return v.station_obs.groupBy("station").agg(R(F.var_pop("value"), 4).alias("power"), F.count(lit(1)).alias("n")).where("n >= 30")
 
 
+@query("A15b_hour_variance", """SELECT station, h, round(var_pop(value), 4) AS power, count(*) AS n FROM station_obs GROUP BY station, h HAVING count(*) >= 2""")
+def a15b(v):
+    return v.station_obs.groupBy("station", "h").agg(R(F.var_pop("value"), 4).alias("power"), F.count(lit(1)).alias("n")).where("n >= 2")
+
+
 @query("A16_station_day_stats", """SELECT station, dn, round(avg(value), 6) AS mean_value, min(value) AS low, max(value) AS high, count(*) AS n FROM station_obs GROUP BY 1, 2""")
 def a16(v):
     return v.station_obs.groupBy("station", "dn").agg(R(F.avg("value")).alias("mean_value"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(lit(1)).alias("n"))

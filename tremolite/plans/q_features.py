@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from . import features as ft
 from .q_basic import R
-from .q_joins import GRID_SQL, ZONE_SQL, base_grid, label_rows
-from .q_joins import STEP, STEP0, STEP1
+from .q_joins import GRID_SQL, STEP, ZONE_SQL, base_grid, label_rows, step_range
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -131,6 +130,6 @@ def g02(v):
 
 @query("G06_feature_matrix")
 def g06(v):
-    labels = label_rows(v.quakes.where("mag >= 5"), 7, STEP, STEP0, STEP1).withColumn("label", lit(1))
+    labels = label_rows(v.quakes.where("mag >= 5"), 7, STEP, *step_range(v)).withColumn("label", lit(1))
     m = ft.catalogue_matrix(v.quakes, base_grid(v)).join(labels, KEYS, "left")
     return m.withColumn("label", F.coalesce("label", lit(0)))

@@ -176,20 +176,39 @@ def label_rows(targets, window: int, step: int, offset: int, horizon: int):
     return jn.neighbours(t, include_self=True).select(c("ni").alias("ci"), c("nj").alias("cj"), "step").distinct()
 
 
-# the grid of the label and feature queries: days 9131 (1995-01-01) + 180 .. 11534, every 3 days
-STEP0, STEP1, STEP = 9131 + 180, 11534, 3
-GRID_SQL = f"cells AS (SELECT CAST(i.i AS INT) AS ci, CAST(j.j AS INT) AS cj FROM range(13, 24) i(i), range(64, 75) j(j)), steps AS (SELECT s.s AS step FROM range({STEP0}, {STEP1 + 1}, {STEP}) s(s)), base AS (SELECT * FROM cells, steps)"
+# The grid of the label and feature queries starts 180 days into the catalogue and has a step every 3 days; cells and
+# the last step come from the catalogue itself.
+WARM_UP, STEP = 180, 3
+_AXIS = lambda x: f"unnest(range(CAST((SELECT min({x}) FROM quakes) AS BIGINT), CAST((SELECT max({x}) FROM quakes) AS BIGINT) + 1))"
+CELL_SQL = f"cells AS (SELECT ci, cj FROM (SELECT CAST({_AXIS('ci')} AS INT) AS ci), (SELECT CAST({_AXIS('cj')} AS INT) AS cj))"
+GRID_SQL = f"{CELL_SQL}, steps AS (SELECT unnest(range(CAST((SELECT min(dn) FROM quakes) AS BIGINT) + {WARM_UP}, CAST((SELECT max(dn) FROM quakes) AS BIGINT) + 1, {STEP})) AS step), base AS (SELECT * FROM cells, steps)"
+
+
+def bounds(v):
+    """First and last day and cell of the catalogue: six numbers, read once per query."""
+    if "_bounds" not in v.__dict__:
+        v._bounds = v.quakes.agg(*[f(x).alias(f"{x}{n}") for x in ("dn", "ci", "cj") for n, f in ((0, F.min), (1, F.max))]).first()
+    return v._bounds
+
+
+def catalogue_cells(v):
+    b = bounds(v)
+    return ex.cell_grid(v.spark, (b["ci0"], b["ci1"]), (b["cj0"], b["cj1"]))
+
+
+def step_range(v):
+    return bounds(v)["dn0"] + WARM_UP, bounds(v)["dn1"]
 
 
 def base_grid(v):
-    return ex.with_steps(ex.cell_grid(v.spark, (13, 23), (64, 74)), STEP0, STEP1, STEP)
+    return ex.with_steps(catalogue_cells(v), *step_range(v), STEP)
 
 
 @query("J13_neighbour_label", f"""WITH {GRID_SQL}, tg AS (SELECT ci, cj, t FROM quakes WHERE mag >= 5),
   hits AS (SELECT DISTINCT b.ci, b.cj, b.step FROM base b JOIN tg ON abs(tg.ci-b.ci)<=1 AND abs(tg.cj-b.cj)<=1 AND tg.t > b.step*86400 AND tg.t <= (b.step+7)*86400)
   SELECT ci, cj, step, CAST(hits.ci IS NOT NULL AS INT) AS label FROM base LEFT JOIN hits USING (ci, cj, step)""")
 def j13(v):
-    hits = label_rows(v.quakes.where("mag >= 5"), 7, STEP, STEP0, STEP1).withColumn("label", lit(1))
+    hits = label_rows(v.quakes.where("mag >= 5"), 7, STEP, *step_range(v)).withColumn("label", lit(1))
     return base_grid(v).join(hits, ["ci", "cj", "step"], "left").withColumn("label", F.coalesce("label", lit(0)))
 
 
@@ -331,7 +350,7 @@ def j23(v):
     return expected_pairs(a).join(skip, ["station", "dn"], "left_anti").orderBy("dn", "station").limit(300)
 
 
-@query("J24_missing_chunks", """WITH s AS (SELECT DISTINCT station FROM attempts), ch AS (SELECT 19723 + 5*k AS c0 FROM range(6) r(k)),
+@query("J24_missing_chunks", """WITH s AS (SELECT DISTINCT station FROM attempts), ch AS (SELECT unnest(range(19723, CAST((SELECT max(dn) FROM attempts) AS BIGINT) + 1, 5)) AS c0),
   okd AS (SELECT DISTINCT station, 19723 + ((dn - 19723)//5)*5 AS c0, dn FROM attempts WHERE failed=0), n AS (SELECT station, c0, count(*) AS have FROM okd GROUP BY 1,2),
   miss AS (SELECT s.station, ch.c0, coalesce(have, 0) AS have FROM s CROSS JOIN ch LEFT JOIN n ON n.station=s.station AND n.c0=ch.c0 WHERE coalesce(have, 0) < 5),
   newest AS (SELECT * FROM miss ORDER BY c0 DESC, station LIMIT 20), oldest AS (SELECT * FROM miss ORDER BY c0, station LIMIT 40)
@@ -340,7 +359,8 @@ def j24(v):
     a, days, first = v.attempts, 5, 19723
     have = (a.where("failed = 0").select("station", "dn").distinct()
             .groupBy("station", (F.floor((c("dn") - first) / days) * days + first).alias("c0")).agg(F.count(lit(1)).alias("have")))
-    chunks = ex.with_steps(a.select("station").distinct(), first, first + 5 * days, days, "c0")
+    last = a.agg(F.max("dn")).first()[0]  # the calendar of the data
+    chunks = ex.with_steps(a.select("station").distinct(), first, last, days, "c0")
     miss = chunks.join(have, ["station", "c0"], "left").withColumn("have", F.coalesce("have", lit(0).cast("long"))).where(c("have") < days)
     newest = miss.orderBy(F.desc("c0"), "station").limit(20)   # reserve for the newest chunks
     oldest = miss.orderBy("c0", "station").limit(40)
@@ -349,10 +369,10 @@ def j24(v):
 
 # ---- set operations and expansion -----------------------------------------------------------------------------------
 
-@query("U01_hour_union", "SELECT DISTINCT h FROM (SELECT h FROM series WHERE name='click' UNION SELECT h FROM series WHERE name='view' UNION SELECT h FROM series WHERE name='error')")
+@query("U01_hour_union", "SELECT DISTINCT h FROM series")
 def u01(v):
     # all series live in one table, so the union of their hours is one scan and one distinct
-    return v.series.where(c("name").isin("click", "view", "error")).select("h").distinct()
+    return v.series.select("h").distinct()
 
 
 @query("U02_merge_feeds", """SELECT station, dn, round(sum(value), 4) AS total, count(DISTINCT kind) AS feeds FROM station_obs WHERE kind IN ('view', 'click') GROUP BY 1, 2""")

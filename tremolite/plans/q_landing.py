@@ -11,6 +11,7 @@ from ..functions import spectral as sp
 from ..operators import quality as ql, sinks as sk
 from ..sources import json as sj, text as st
 from .q_basic import DAY, NOW, R
+from .q_joins import CELL_SQL, bounds, catalogue_cells
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -229,12 +230,12 @@ def k09(v):
     return sk.report_rows(v.series.groupBy("name").agg(F.count(lit(1)).alias("n"), F.max("value").alias("high")), ["name"])
 
 
-@query("K10_dense_tensor", """WITH cells AS (SELECT CAST(i.i AS INT) AS ci, CAST(j.j AS INT) AS cj FROM range(13, 24) i(i), range(64, 75) j(j)), b AS (SELECT ci, cj, s.s AS m FROM cells, range(0, 80) s(s)), a AS (SELECT ci, cj, (dn-9131)//30 AS m, count(*) AS n, max(mag) AS mx FROM quakes GROUP BY 1,2,3)
+@query("K10_dense_tensor", f"""WITH {CELL_SQL}, b AS (SELECT ci, cj, m FROM cells, (SELECT unnest(range(0, CAST((SELECT max((dn-9131)//30) FROM quakes) AS BIGINT) + 1)) AS m)), a AS (SELECT ci, cj, (dn-9131)//30 AS m, count(*) AS n, max(mag) AS mx FROM quakes GROUP BY 1,2,3)
   SELECT ci, cj, m, [CAST(coalesce(n,0) AS DOUBLE), coalesce(mx, 0)] AS features FROM b LEFT JOIN a USING (ci, cj, m)""")
 def k10(v):
     from ..operators import expand as ex
     a = v.quakes.groupBy("ci", "cj", F.floor((c("dn") - 9131) / 30).alias("m")).agg(F.count(lit(1)).alias("n"), F.max("mag").alias("mx"))
-    grid = ex.with_steps(ex.cell_grid(v.spark, (13, 23), (64, 74)), 0, 79, 1, "m")
+    grid = ex.with_steps(catalogue_cells(v), 0, (bounds(v)["dn1"] - 9131) // 30, 1, "m")
     return sk.dense_vectors(a, grid, ["ci", "cj", "m"], ["n", "mx"])
 
 
@@ -347,12 +348,18 @@ def third(i, n=3):
     return F.transform(F.slice("embedding", size * i + 1, size), lambda x: x.cast("double"))
 
 
+def long_records(v, per: int = 128):
+    """Vectors of `per` consecutive ids, end to end in three channels: records long enough for every band."""
+    parts = v.table("embeddings").select("vec_id", F.floor(c("vec_id") / per).alias("rec"), third(0).alias("z"), third(1).alias("x"), third(2).alias("y"))
+    sorted_ = parts.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "z", "x", "y"))).alias("s"))
+    return sorted_.select("rec", *[F.flatten(c(f"s.{k}")).alias(k) for k in ("z", "x", "y")])
+
+
 @query("A61_waveform_features")
 def a61(v):
-    w = v.table("embeddings").select("vec_id", third(0).alias("z"), third(1).alias("x"), third(2).alias("y"))
-    f = sp.waveform_features(20.0, 0.8)
-    r = w.select("vec_id", f("z", "x", "y").alias("f")).select("vec_id", "f.*")
-    return r.select("vec_id", *[R(c(x)).alias(x) for x in r.columns[1:]])
+    f = sp.waveform_features(20.0, 100.0)
+    r = long_records(v).select("rec", f("z", "x", "y").alias("f")).select("rec", "f.*")
+    return r.select("rec", *[R(c(x)).alias(x) for x in r.columns[1:]])
 
 
 @query("A62_ulf_features")

@@ -11,7 +11,7 @@ from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od,
 from . import features as ft, models as md, seismicity as se
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
-from .q_joins import _KPA, _PAIR, GRID_SQL, STEP, STEP0, STEP1, ZONE_SQL, base_grid, grid_points, label_rows, stress_sources
+from .q_joins import _KPA, _PAIR, CELL_SQL, GRID_SQL, STEP, ZONE_SQL, base_grid, bounds, catalogue_cells, grid_points, label_rows, step_range, stress_sources
 from .q_metrics import gnss_days, plane_strain, smooth_cells, _GN
 from .q_windows import _NULL, _PREZ, _gsql, detrended, displacement_null, pre_event_z
 from .registry import query
@@ -136,16 +136,16 @@ TARGETS = [("M5", 5.0, 7), ("M5.5", 5.5, 7), ("M6", 6.0, 14)]
 def m11(v):
     out = None
     for name, mag, w in TARGETS:
-        r = label_rows(v.quakes.where(c("mag") >= mag), w, STEP, STEP0, STEP1).where(c("ci").between(13, 23) & c("cj").between(64, 74)).select(lit(name).alias("target"))
+        r = label_rows(v.quakes.where(c("mag") >= mag), w, STEP, *step_range(v)).join(catalogue_cells(v), ["ci", "cj"], "left_semi").select(lit(name).alias("target"))
         out = r if out is None else out.unionByName(r)
     return out.groupBy("target").agg(F.count(lit(1)).alias("n_pos"))
 
 
-@query("M12_sequence_samples", f"""WITH n AS (SELECT ci, cj, (dn-9131)//30 AS m, count(*) AS n FROM quakes GROUP BY 1,2,3), c AS (SELECT CAST(i.i AS INT) AS ci, CAST(j.j AS INT) AS cj FROM range(13, 24) i(i), range(64, 75) j(j)), b AS (SELECT ci, cj, s.s AS m FROM c, range(0, 80) s(s)), f AS (SELECT ci, cj, m, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (ci, cj, m)),
+@query("M12_sequence_samples", f"""WITH n AS (SELECT ci, cj, (dn-9131)//30 AS m, count(*) AS n FROM quakes GROUP BY 1,2,3), {CELL_SQL}, b AS (SELECT ci, cj, m FROM cells, (SELECT unnest(range(0, CAST((SELECT max(m) FROM n) AS BIGINT) + 1)) AS m)), f AS (SELECT ci, cj, m, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (ci, cj, m)),
   w AS (SELECT ci, cj, m, sum(n) OVER x AS total, count(*) OVER x AS k FROM f WINDOW x AS (PARTITION BY ci, cj ORDER BY m ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT ci, cj, m, CAST(total AS BIGINT) AS total FROM w WHERE k = 30""")
 def m12(v):
     n = v.quakes.groupBy("ci", "cj", F.floor((c("dn") - 9131) / 30).alias("m")).agg(F.count(lit(1)).alias("n"))
-    g = ex.with_steps(ex.cell_grid(v.spark, (13, 23), (64, 74)), 0, 79, 1, "m").join(n, ["ci", "cj", "m"], "left").withColumn("n", F.coalesce("n", lit(0)))
+    g = ex.with_steps(catalogue_cells(v), 0, (bounds(v)["dn1"] - 9131) // 30, 1, "m").join(n, ["ci", "cj", "m"], "left").withColumn("n", F.coalesce("n", lit(0)))
     s = md.sequence_samples(g, ["ci", "cj"], "m", ["n"], 30)
     return s.select("ci", "cj", "m", F.aggregate("sequence", lit(0.0), lambda a, x: a + x[0]).cast("long").alias("total"))
 
@@ -271,67 +271,97 @@ def g08(v):
 KERNELS = [("std", 1.0, 1.0, 1.1, 0.1), ("near", 0.8, 0.5, 1.1, 0.1), ("broad", 1.0, 2.0, 1.0, 0.5), ("slow", 1.0, 1.5, 0.6, 1.0), ("big", 1.5, 1.5, 1.1, 0.1), ("sharp", 1.0, 1.0, 1.3, 0.05)]
 
 
-def intensities(quakes, t0, steps, step_days=3, lags=300, mc=3.0):
+ORIGIN, BIN_DAYS, HORIZON = 788918400, 3, 30
+
+
+def _respond(steps: int, step_days: float):
+    """Log intensities of one cell at all steps: each bin with sources acts on the steps from its own on, by lag."""
+    delay = step_days * np.arange(steps)
+    response = {n: (delay + cc) ** -p for n, _, _, p, cc in KERNELS}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        out = []
+        for low in range(0, steps, 1024):
+            lag = np.arange(low, min(low + 1024, steps))[:, None] - pdf["bin"].to_numpy(dtype=int)[None, :]
+            seen, at = lag >= 0, np.maximum(lag, 0)
+            part = {n: np.log1p((r[at] * seen) @ pdf[n].to_numpy()) for n, r in response.items()}
+            part["background"] = np.log1p(seen @ pdf["own"].to_numpy(dtype=float))
+            out.append(pd.DataFrame({"ci": pdf["ci"].iloc[0], "cj": pdf["cj"].iloc[0], "step": np.arange(low, low + len(lag)), **part}))
+        return pd.concat(out)
+    return run
+
+
+def intensities(quakes, cells, t0: int, steps: int, step_days=BIN_DAYS, mc=3.0):
     """ln(1 + intensity) of six kernels and the cumulative background per (cell, step).
 
-    Events are summed into (cell, time bin) sources first; the time convolution then runs per cell over the bin axis,
-    whose length is the calendar.
+    `cells` is the (first, last) pair of either cell index; an event acts on the next step boundary and all later ones. Events
+    are summed into (cell, bin) sources map-side, so what follows is bounded by grid and calendar.
     """
     day = (c("t") - t0) / lit(float(DAY))
-    b = F.ceil(day / lit(float(step_days)))
-    b = F.when(day / step_days == F.floor(day / step_days), F.floor(day / step_days) + 1).otherwise(b)
-    q = quakes.where(day >= 0).select(b.alias("bin"), "lat", "lon", "mag", "ci", "cj").where(c("bin") < steps)
-    cells = F.array(*[F.struct(lit(i).alias("i"), lit(j).alias("j")) for i in range(13, 24) for j in range(64, 75)])
-    e = q.select("*", F.explode(cells).alias("g"))
-    dy, dx = c("g.i") * 2.0 - c("lat"), (c("g.j") * 2.0 - c("lon")) * F.cos(F.radians(c("g.i") * 2.0))
+    q = quakes.where(day >= 0).select((F.floor(day / step_days) + 1).alias("bin"), "lat", "lon", "mag", "ci", "cj").where(c("bin") < steps)
+    (i0, i1), (j0, j1) = cells
+    e = q.withColumn("gi", F.explode(F.sequence(lit(i0), lit(i1)))).withColumn("gj", F.explode(F.sequence(lit(j0), lit(j1))))
+    dy, dx = c("gi") * 2.0 - c("lat"), (c("gj") * 2.0 - c("lon")) * F.cos(F.radians(c("gi") * 2.0))
     d2 = dy * dy + dx * dx
-    src = e.groupBy(c("g.i").alias("ci"), c("g.j").alias("cj"), "bin").agg(
+    src = e.groupBy("gi", "gj", "bin").agg(
         *[F.sum(ph.p10(lit(a) * (c("mag") - mc)) * F.exp(-d2 / lit(2 * s * s))).alias(n) for n, a, s, _, _ in KERNELS],
-        F.count_if((e["ci"] == c("g.i")) & (e["cj"] == c("g.j"))).alias("own"))
-    names = [k[0] for k in KERNELS]
+        F.count_if((c("ci") == c("gi")) & (c("cj") == c("gj"))).alias("own")).withColumnsRenamed({"gi": "ci", "gj": "cj"})
+    schema = "ci int, cj int, step long, " + ", ".join(f"{k[0]} double" for k in KERNELS) + ", background double"
+    return src.groupBy("ci", "cj").applyInPandas(_respond(steps, step_days), schema)
 
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        axis = np.zeros((len(names) + 1, steps))
-        axis[:, pdf["bin"].to_numpy(dtype=int)] = pdf[[*names, "own"]].to_numpy().T
-        lag = step_days * np.arange(min(lags, steps))
-        out = {n: np.log1p(np.convolve(axis[i], 1.0 / (lag + cc) ** p)[:steps]) for i, (n, _, _, p, cc) in enumerate(KERNELS)}
-        return pd.DataFrame({"ci": pdf["ci"].iloc[0], "cj": pdf["cj"].iloc[0], "step": np.arange(steps), **out, "background": np.log1p(np.cumsum(axis[-1]))})
-    schema = "ci int, cj int, step long, " + ", ".join(f"{n} double" for n in names) + ", background double"
-    return src.groupBy("ci", "cj").applyInPandas(convolve, schema)
 
+def outlook_intensities(v):
+    b = bounds(v)
+    steps = (b["dn1"] - ORIGIN // 86400) // BIN_DAYS + 2
+    return intensities(v.quakes, ((b["ci0"], b["ci1"]), (b["cj0"], b["cj1"])), ORIGIN, steps)
 
-def outlook_rows(v, horizon=30):
-    x = intensities(v.quakes, 788918400, 800)
-    day = (c("t") - 788918400) / lit(float(DAY))
-    hits = v.quakes.where("mag >= 5").select("ci", "cj", F.explode(F.sequence(F.greatest(F.floor((day - horizon) / 3.0) + 1, lit(0)), F.floor(day / 3.0))).alias("step")).distinct().withColumn("label", lit(1))
-    return x.join(hits, ["ci", "cj", "step"], "left").withColumn("label", F.coalesce("label", lit(0)))
 
+def outlook_rows(v, horizon=HORIZON):
+    """Intensities with the label of the next `horizon` days; NULL where the catalogue ends before the window does."""
+    day = (c("t") - ORIGIN) / lit(float(DAY))
+    hits = v.quakes.where("mag >= 5").select("ci", "cj", F.explode(F.sequence(F.greatest(F.floor((day - horizon) / float(BIN_DAYS)) + 1, lit(0)), F.floor(day / float(BIN_DAYS)))).alias("step")).distinct().withColumn("label", lit(1))
+    end = bounds(v)["dn1"] - ORIGIN // 86400 + 1
+    known = c("step") * BIN_DAYS + horizon <= end
+    return outlook_intensities(v).join(hits, ["ci", "cj", "step"], "left").withColumn("label", F.when(known, F.coalesce("label", lit(0))))
 
-@query("G16_kernel_intensities", """WITH ev AS (SELECT lat, lon, mag, ci, cj, (t-788918400)/864e2 AS day FROM quakes), b AS (SELECT *, CAST(floor(day/3)+1 AS INT) AS bin FROM ev WHERE day >= 0), c AS (SELECT i.i AS gi, j.j AS gj FROM range(13, 24) i(i), range(64, 75) j(j)),
-  src AS (SELECT gi, gj, bin, sum(pow(10e0, mag-3)*exp(-(pow(gi*2e0-lat,2)+pow((gj*2e0-lon)*cos(radians(gi*2e0)),2))/2e0)) AS s, count(*) FILTER (b.ci=gi AND b.cj=gj) AS own FROM b, c WHERE bin < 800 GROUP BY 1,2,3), st AS (SELECT unnest([100, 300, 500, 700, 799]) AS step)
-  SELECT CAST(gi AS INT) AS ci, CAST(gj AS INT) AS cj, CAST(step AS BIGINT) AS step, round(ln(1+sum(CASE WHEN step-bin < 300 THEN s/pow(3e0*(step-bin)+1e-1, 11e-1) ELSE 0 END)), 6) AS std, round(ln(1+sum(own)), 6) AS background FROM src, st WHERE bin <= step GROUP BY 1,2,3""")
+
+_SRC_SUMS = ", ".join(f"sum(pow(10e0, {a!r}e0*(mag-3))*exp(-(pow(gi*2e0-lat,2)+pow((gj*2e0-lon)*cos(radians(gi*2e0)),2))/({2 * s * s!r}e0))) AS {n}" for n, a, s, _, _ in KERNELS)
+_LAG_SUMS = ", ".join(f"round(ln(1+sum({n}/pow(3e0*(step-bin)+{cc!r}e0, {p!r}e0))), 6) AS {n}" for n, _, _, p, cc in KERNELS)
+
+
+@query("G16_kernel_intensities", f"""WITH {CELL_SQL}, b AS (SELECT lat, lon, mag, ci, cj, CAST(floor((t-{ORIGIN})/864e2/3)+1 AS INT) AS bin FROM quakes WHERE t >= {ORIGIN}), c AS (SELECT ci AS gi, cj AS gj FROM cells),
+  src AS (SELECT gi, gj, bin, {_SRC_SUMS}, count(*) FILTER (b.ci=gi AND b.cj=gj) AS own FROM b, c GROUP BY 1,2,3), st AS (SELECT unnest(range(25, (SELECT max(bin) FROM b) + 1, 50)) AS step)
+  SELECT gi AS ci, gj AS cj, CAST(step AS BIGINT) AS step, {_LAG_SUMS}, round(ln(1+sum(own)), 6) AS background FROM src, st WHERE bin <= step GROUP BY 1,2,3""")
 def g16(v):
-    x = intensities(v.quakes, 788918400, 800).where(c("step").isin(100, 300, 500, 700, 799))  # report dates; every step is computed
-    return x.select("ci", "cj", "step", R(c("std")).alias("std"), R(c("background")).alias("background"))
+    x = outlook_intensities(v).where(c("step") % 50 == 25)  # report dates; every step is computed
+    return x.select("ci", "cj", "step", *[R(c(n)).alias(n) for n in [*[k[0] for k in KERNELS], "background"]])
+
+
+def _two_models(feats, train, rows):
+    """Mean probability of a penalised logistic model and boosted trees, both fitted on `train`."""
+    train = md.weighted(train, "label")
+    a = md.probability(md.logistic(feats, l2=0.01, l1_ratio=0.5, rounds=20).fit(train), rows, "pa")
+    both = md.probability(md.boosted(feats, rounds=10, depth=3).fit(train), a, "pb")
+    return both.select("ci", "cj", "step", "label", F.round((c("pa") + c("pb")) / 2, 9).alias("score"))
 
 
 @query("G17_monthly_outlook")
 def g17(v):
-    x = sk.materialized(outlook_rows(v).withColumn("day", (c("step") * 3).cast("double")), "outlook")
+    """Walk-forward scores calibrate the outlook; the models are then fitted again on all rows with a known label and score the last step."""
+    x = sk.materialized(outlook_rows(v).withColumn("day", (c("step") * BIN_DAYS).cast("double")), "outlook")
     feats = [k[0] for k in KERNELS] + ["background", "ci", "cj"]
-    split = (0, 0.0, 1461.0, 1461.0, 2300.0)
-    parts = md.assign_folds(x, "day", [split], embargo=34.0).drop("fold")
-    train, test = md.weighted(parts.where("part = 'train'"), "label"), parts.where("part = 'test'")
-    a = md.probability(md.logistic(feats, l2=0.01, l1_ratio=0.5, rounds=20).fit(train), test, "pa")
-    both = md.probability(md.boosted(feats, rounds=5, depth=3).fit(train), a, "pb").select("ci", "cj", "step", "label", F.round("pa", 9).alias("pa"), F.round("pb", 9).alias("pb"))
-    both = sk.materialized(both, "outlook-scores")
-    r = wn.average_rank(wn.average_rank(both, [], "pa", "ra"), [], "pb", "rb")
-    n = both.select(F.count(lit(1))).scalar()
-    s = r.withColumn("score", F.round((c("ra") + c("rb")) / 2 / n, 9))
-    pts = md.binned_calibration(s, "label", "score", 30)
-    s = s.withColumn("prob", md.interpolate(c("score"), pts))
-    base = x.groupBy("ci", "cj").agg(F.avg("label").alias("base"))
-    last = s.where(c("step") == 766).join(base, ["ci", "cj"])
+    known = x.where(c("label").isNotNull())
+    last_day, last_step = known.agg(F.max("day")).first()[0], x.agg(F.max("step")).first()[0]
+    scored = None
+    for split in md.walk_forward_splits(0.0, last_day, 3, 1, 1):
+        parts = md.assign_folds(known, "day", [split], embargo=float(HORIZON + BIN_DAYS + 1)).drop("fold")
+        fold = _two_models(feats, parts.where("part = 'train'"), parts.where("part = 'test'"))
+        scored = fold if scored is None else scored.unionByName(fold)
+    pts = md.binned_calibration(sk.materialized(scored, "outlook-scores"), "label", "score", 30)
+    now = _two_models(feats, known, x.where(c("step") == last_step)).withColumn("prob", md.interpolate(c("score"), pts))
+    base = known.groupBy("ci", "cj").agg(F.avg("label").alias("base"))
+    last = now.join(base, ["ci", "cj"])
     return last.select("ci", "cj", R(c("prob"), 3).alias("prob"), R(c("base"), 4).alias("baseline"), R(c("prob") / F.greatest(c("base"), lit(1e-4)), 1).alias("elevation_ratio"))
 
 

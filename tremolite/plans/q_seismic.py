@@ -8,7 +8,7 @@ from ..functions import physics as ph, scalar as sc, spatial as sp
 from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od
 from . import seismicity as se
 from .q_basic import DAY, R
-from .q_joins import ZONE_SQL, alarm_matches, alarms_targets, stress_sources, _AT, _KPA, _NEAR, _PAIR
+from .q_joins import CELL_SQL, ZONE_SQL, catalogue_cells, alarm_matches, alarms_targets, stress_sources, _AT, _KPA, _NEAR, _PAIR
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -283,7 +283,7 @@ def f08(v):
     return v.quakes.groupBy("ci", "cj").agg(R(F.sum(ph.omori_integral(c("mag"), age, age + 7.0)), 7).alias("expected_7d"), R(F.sum(ph.omori(c("mag"), age)), 8).alias("intensity"))
 
 
-FORECAST_SQL = """cells AS (SELECT CAST(i.i AS INT) AS ci, CAST(j.j AS INT) AS cj FROM range(13, 24) i(i), range(64, 75) j(j)), q AS (SELECT *, (t-788918400)/864e2 AS day FROM quakes WHERE (t-788918400)/864e2 < 2000),
+FORECAST_SQL = CELL_SQL + """, q AS (SELECT *, (t-788918400)/864e2 AS day FROM quakes WHERE (t-788918400)/864e2 < 2000),
   cc AS (SELECT ci, cj, count(*) FILTER (mag>=5) AS m5, count(*) FILTER (mag>=3) AS m3 FROM q GROUP BY 1,2), g AS (SELECT cells.ci, cells.cj, coalesce(m5,0) AS m5, coalesce(m3,0) AS m3 FROM cells LEFT JOIN cc USING (ci, cj)),
   sm AS (SELECT g.ci, g.cj, sum(exp(-5e-1*(pow((g.ci-s.ci)*2,2)+pow((g.cj-s.cj)*2,2))/4e0)*s.m5)/sum(exp(-5e-1*(pow((g.ci-s.ci)*2,2)+pow((g.cj-s.cj)*2,2))/4e0)) AS sm FROM g, g s WHERE s.m5 > 0 GROUP BY 1,2),
   tr AS (SELECT g.ci, g.cj, sum(4e-2*exp(mag-3)*greatest((pow(2000e0-day+7+1e-2, 1-11e-1)-pow(2000e0-day+1e-2, 1-11e-1))/(1-11e-1), 0)*exp(-5e-1*(pow(lat-g.ci*2,2)+pow(lon-g.cj*2,2)))) AS tr FROM g JOIN q ON abs(lat-g.ci*2) <= 3 AND abs(lon-g.cj*2) <= 3 WHERE mag >= 4 AND day > 2000-365 GROUP BY 1,2),
@@ -291,7 +291,7 @@ FORECAST_SQL = """cells AS (SELECT CAST(i.i AS INT) AS ci, CAST(j.j AS INT) AS c
 
 
 def forecasts(v, start=2000, window=7):
-    grid = ex.cell_grid(v.spark, (13, 23), (64, 74))
+    grid = catalogue_cells(v)
     return se.reference_forecasts(v.quakes, grid, start, window, T0)
 
 

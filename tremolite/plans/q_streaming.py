@@ -73,6 +73,14 @@ def r06(v):
     return spark.read.parquet(f"{root}/{q.lastProgress['batchId']}")
 
 
+@query("R07_stream_health", "SELECT count(*) AS rows_in, CAST(0 AS BIGINT) AS late_rows FROM station_obs")
+def r07(v):
+    s = stream_view(v, "station_obs", [EVENT_TS])
+    q, _ = si.run_available(si.dedup(s, ["station", "h"], "ts", "60 days").select("station", "h"), name="health")
+    status = v.spark.createDataFrame(si.health(q), "batch long, rows long, late_rows long, ms long")  # a row per batch
+    return status.agg(F.sum("rows").alias("rows_in"), F.sum("late_rows").alias("late_rows"))
+
+
 @query("R09_stream_static_enrichment", "SELECT network, count(*) AS n, round(avg(value), 6) AS mean_value FROM station_obs LEFT JOIN stations ON station = sid GROUP BY 1")
 def r09(v):
     s = stream_view(v, "station_obs").select("station", "value")

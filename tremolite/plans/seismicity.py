@@ -197,9 +197,10 @@ def reference_forecasts(quakes: DataFrame, grid: DataFrame, start: int, window:
     g = g.withColumns({"tot5": F.sum("m5").over(whole), "tot3": F.sum("m3").over(whole), "cells": F.count(lit(1)).over(whole)})
     days = lit(float(max(start, 1)))
     src = g.where("m5 > 0").select(c("ci").alias("si"), c("cj").alias("sj"), c("m5").alias("k"))
-    span = 10 * int(sigma) + 10  # wider than the grid: the kernel has no cut
-    reach = src.select("si", "sj", "k", F.explode(F.sequence(F.greatest(c("si") - span, lit(13)), F.least(c("si") + span, lit(23)))).alias("ci"))
-    reach = reach.select("*", F.explode(F.sequence(F.greatest(c("sj") - span, lit(64)), F.least(c("sj") + span, lit(74)))).alias("cj"))
+    # the kernel has no cut: every source cell reaches the box around the grid, whose corners are scalars
+    corner = lambda f, x: grid.select(f(x)).scalar()
+    reach = src.select("si", "sj", "k", F.explode(F.sequence(corner(F.min, "ci"), corner(F.max, "ci"))).alias("ci"))
+    reach = reach.select("*", F.explode(F.sequence(corner(F.min, "cj"), corner(F.max, "cj"))).alias("cj"))
     d2 = F.pow((c("ci") - c("si")) * 2.0, 2) + F.pow((c("cj") - c("sj")) * 2.0, 2)
     wt = F.exp(lit(-0.5) * d2 / lit(sigma * sigma))
     smooth = reach.groupBy("ci", "cj").agg((F.sum(wt * c("k")) / F.sum(wt)).alias("sm"))

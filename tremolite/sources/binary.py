@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,19 +49,20 @@ def daily_max(grid: DataFrame, date_pattern: str = r"(\d{4})-?(\d{2})-?(\d{2})")
     return grid.groupBy(d.alias("date")).agg(F.max("value").alias("value_max"), F.count(lit(1)).alias("n"))
 
 
+# Fixed values of the sample format: a header of 632 bytes; 4-byte floats, then integers from byte 280 on; float 0 is the sampling
+# interval, floats 31 and 32 the station's latitude and longitude; integer 6 is the header version (6, 7; 0 in bare headers),
+# integer 9 the number of samples. Files without an interval count as 100 Hz.
+_HEADER, _DELTA, _LAT, _LON, _VERSION, _COUNT, _KNOWN, _RATE = 632, 0, 31, 32, 280 + 4 * 6, 280 + 4 * 9, (0, 6, 7), 100.0
+
+
 def sac_samples(content: bytes):
-    """(sampling rate, lat, lon, samples) of one seismic sample file, or None when the header is not plausible."""
-    if len(content) < 632:
-        return None
-    for order in ("<", ">"):
-        npts = int(np.frombuffer(content, f"{order}i4", 1, 316)[0])
-        if 0 < npts <= 10_000_000:
-            head = np.frombuffer(content, f"{order}f4", 70, 0)
-            data = np.frombuffer(content[632:632 + 4 * npts], f"{order}f4")
-            if len(data) != npts:
-                return None
-            delta = float(head[0])
-            return (1.0 / delta if delta > 0 else 100.0), float(head[31]), float(head[32]), data.astype("float64")
+    """(sampling rate, lat, lon, samples) of one seismic sample file, or None unless version and length agree in one byte order."""
+    for kind in ("<", ">"):
+        word = lambda at, kind=kind: struct.unpack_from(f"{kind}i", content, at)[0]
+        if len(content) >= _HEADER and word(_VERSION) in _KNOWN and word(_COUNT) > 0 and len(content) >= _HEADER + 4 * word(_COUNT):
+            field = lambda number, kind=kind: struct.unpack_from(f"{kind}f", content, 4 * number)[0]
+            samples = np.frombuffer(content, f"{kind}f4", word(_COUNT), _HEADER).astype(np.float64)
+            return 1 / field(_DELTA) if field(_DELTA) > 0 else _RATE, field(_LAT), field(_LON), samples
     return None
 
 
@@ -71,7 +73,7 @@ def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 got = sac_samples(content)
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([got[0]]), pa.array([got[1]]), pa.array([got[2]]), pa.array([got[3].tolist()], pa.list_(pa.float64()))],
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([got[0]]), pa.array([got[1]]), pa.array([got[2]]), pa.ListArray.from_arrays([0, len(got[3])], pa.array(got[3]))],
                                                      names=["path", "fs", "lat", "lon", "samples"])
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(rows, "path string, fs double, lat double, lon double, samples array<double>")

@@ -134,7 +134,7 @@ def parse_ionosphere_maps(docs: DataFrame, bbox=(20.0, 50.0, 120.0, 155.0)) -> D
     """Maps of latitude bands with an exponent scale; 9999 is missing, only bands and columns of the box are kept."""
     la0, la1, lo0, lo1 = bbox
     expo = F.expr(r"coalesce(try_cast(nullif(trim(regexp_extract(value, '(?m)^(.{6}).*EXPONENT', 1)), '') AS INT), -1)")
-    d = docs.select(expo.alias("expo"), F.explode(F.slice(F.split("value", "START OF TEC MAP"), 2, 100000)).alias("m"))
+    d = docs.select(expo.alias("expo"), F.explode(F.slice(F.split("value", "START OF TEC MAP"), 2, F.greatest(F.size(F.split("value", "START OF TEC MAP")) - 1, lit(0)))).alias("m"))
     d = d.withColumn("m", F.split("m", r"[^\n]*END OF TEC MAP")[0])
     ep = F.split(F.trim(F.regexp_extract("m", r"(?m)^[ \t]*(\d{4}(?:[ \t]+\d+){5})", 1)), r"\s+")
     band = r"(?m)^(.{8}.{6}.{6}.{6}).*LAT/LON1/LON2/DLON/H[^\n]*\n((?:[ \t]*-?\d+(?:[ \t]+-?\d+)*[ \t]*\r?(?:\n|$))+)"

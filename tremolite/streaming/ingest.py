@@ -14,10 +14,13 @@ c, lit = F.col, F.lit
 
 
 def landed(spark: SparkSession, folder: str, table: str, files_per_batch: int = 64) -> DataFrame:
-    """File stream over one landed Parquet table; the schema is read once from the files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(folder))
+    """File stream over one landed Parquet table, a file or a folder of parts; the schema is read once from the files."""
+    path = f"{folder}/{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def dedup(stream: DataFrame, keys: Sequence[str], ts: str, horizon: str) -> DataFrame:
