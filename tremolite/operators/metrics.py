@@ -90,8 +90,7 @@ def mutual_information(df: DataFrame, x: str, y: str, keys: Sequence[str] = ())
     """Mutual information in bits of two discrete columns, from the joint counts only."""
     from pyspark.sql import Window as W
     joint = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_c"))
-    part = list(keys) or [F.lit(1)]
-    n = F.sum("_c").over(W.partitionBy(*part))
+    n = F.sum("_c").over(W.partitionBy(*keys)) if keys else joint.select(F.sum("_c")).scalar()  # without keys no window over everything
     nx = F.sum("_c").over(W.partitionBy(*list(keys), x))
     ny = F.sum("_c").over(W.partitionBy(*list(keys), y))
     j = joint.select(*keys, "_c", n.alias("_n"), nx.alias("_nx"), ny.alias("_ny"))

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import expand as ex, metrics as mt, ordered as od
+from ..operators import expand as ex, metrics as mt, ordered as od, sinks as sk
 
 c, lit = F.col, F.lit
 YEAR = 365.25
@@ -124,11 +124,12 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, s
 
     `score(df)` returns the score column expression; rows are ranked once, the shuffled column comes from one equi join.
     """
-    r = od.ranked(df, [], order, [tie], "_rk", total="_n")
+    r = sk.materialized(od.ranked(df, [], order, [tie], "_rk", total="_n"), "importance")
+    turn = F.when(lit(shift) % c("_n") == 0, lit(1)).otherwise(lit(shift))  # a full turn would change nothing
     base = mt.roc_auc(r.withColumn("_s", score()), label, "_s").select(c("auc").alias("base"))
     parts = None
     for f in features:
-        other = r.select(F.pmod(c("_rk") - 1 + shift, c("_n")).alias("_to"), c(f).alias("_f"))
+        other = r.select(F.pmod(c("_rk") - 1 + turn, c("_n")).alias("_to"), c(f).alias("_f"))
         moved = r.withColumn("_to", c("_rk") - 1).join(other, "_to").withColumn(f, c("_f"))
         a = mt.roc_auc(moved.withColumn("_s", score()), label, "_s").select(lit(f).alias("feature"), c("auc").alias("permuted"))
         parts = a if parts is None else parts.unionByName(a)
