@@ -143,11 +143,12 @@ def nearest_join(left: DataFrame, right: DataFrame, ids: Sequence[str], left_pos
     la, lo = left_pos
     ra, ro = right_pos
     spots = right.groupBy(ra, ro).agg(F.min(right_id).alias(right_id))
-    # the metric shrinks longitude by cos(lat); two degrees of slack per degree cover latitudes to 60
+    # the metric shrinks longitude by cos(lat) of the left row: its reach in longitude grows towards the poles
     width = float(max_distance)
+    reach = F.least(F.lit(width) / F.greatest(F.cos(F.radians(F.col(la))), F.lit(1e-9)), F.lit(360.0))
     probe = left.select(*ids, la, lo)
     probe = probe.select("*", _cover(F.col(la) - F.lit(width), F.col(la) + F.lit(width), width).alias("_by"))
-    probe = probe.select("*", _cover(F.col(lo) - F.lit(2 * width), F.col(lo) + F.lit(2 * width), width).alias("_bx"))
+    probe = probe.select("*", _cover(F.col(lo) - reach, F.col(lo) + reach, width).alias("_bx"))
     spots = spots.withColumn("_by", _bucket(F.col(ra), width)).withColumn("_bx", _bucket(F.col(ro), width))
     d = metric(F.col(la), F.col(lo), F.col(ra), F.col(ro))
     best = (probe.join(spots, ["_by", "_bx"]).withColumn("_d", d).where(F.col("_d") <= F.lit(width))
