@@ -98,3 +98,26 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     q, out = si.run_available(si.dedup(stream, ["k"], "ts", "10 days"))
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [0, 1, 2]
     assert sum(h["late_rows"] for h in si.health(q)) == 1
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    """A landed table may be a folder of parts: every part is read, over several batches."""
+    from tremolite.streaming import ingest as si
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    q, out = si.run_available(si.landed(spark, str(tmp_path), "events", files_per_batch=1).select("event_id"), name="folder")
+    assert sorted(r[0] for r in spark.read.parquet(out).select("event_id").collect()) == sorted(r[0] for r in events.select("event_id").collect())
+    assert len({r[0] for r in spark.read.parquet(out).select("_batch").distinct().collect()}) == 3
+    assert sum(h["rows"] for h in si.health(q)) == events.count()
+
+
+def test_grid_follows_the_catalogue(spark):
+    """Cells and steps of the feature grid come from the events, wherever and however long they are."""
+    from tremolite.plans import q_joins as qj
+
+    class Views:
+        pass
+    v = Views()
+    v.spark, v.quakes = spark, spark.createDataFrame([(100, 3, -7), (700, 5, 40)], "dn long, ci int, cj int")
+    got = qj.base_grid(v).agg({"ci": "min", "cj": "max", "step": "max"}).first()
+    assert (got["min(ci)"], got["max(cj)"], got["max(step)"]) == (3, 40, 700)
