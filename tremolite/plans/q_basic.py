@@ -31,6 +31,7 @@ def s28(v):
     return v.quakes.where(c("lat").between(30, 42) & c("lon").between(130, 145)).select("event_id", "lat", "lon")
 
 
+# Seismic intensity codes and their labels.
 INTENSITY = {10: "1", 20: "2", 30: "3", 40: "4", 45: "5-", 50: "5+", 55: "6-", 60: "6+", 70: "7"}
 
 
@@ -74,6 +75,7 @@ def p06(v):
         F.count(lit(1)).alias("n"), R(F.avg("mag")).alias("mean_mag"))
 
 
+# Depth limits of the classes.
 def depth_class(d):
     return (F.when(d.isNull(), "unknown").when(d < 30, "shallow_lt30km").when(d < 70, "intermediate_30_70km")
             .otherwise("deep_gt70km"))
@@ -256,6 +258,7 @@ def a09(v):
     return v.grid_obs.groupBy(F.year("d").alias("yr"), "gi", "gj").agg(R(F.avg("value")).alias("mean_value"))
 
 
+# Decades of the flux classes.
 def flare_class(flux):
     """Letter and one decimal of the decade an X-ray flux falls in."""
     scale = F.when(flux >= 1e-4, 1e-4).when(flux >= 1e-5, 1e-5).when(flux >= 1e-6, 1e-6).when(flux >= 1e-7, 1e-7).otherwise(1e-8)

@@ -79,11 +79,11 @@ def s11(v):
     return st.parse_hourly_space_weather(text(o, F.concat_ws("  ", *cols))).select(F.unix_seconds("observed_at").alias("observed"), "bz", "speed")
 
 
-@query("S12_earth_rotation_text", "SELECT CAST(station AS DOUBLE) AS x, CAST(line AS DOUBLE) AS y, round(tax*1000, 6) AS lod, CAST(year(d) AS INT) AS yr FROM daily_obs WHERE year(d) >= 1997")
+@query("S12_earth_rotation_text", "SELECT CAST(station AS DOUBLE) AS x, CAST(line AS DOUBLE) AS y, round(tax*1000, 6) AS lod, CAST(year(d) AS INT) AS yr FROM daily_obs")
 def s12(v):
     d = v.daily_obs
     line = F.concat_ws("   ", F.year("d"), F.month("d"), F.dayofmonth("d"), lit("50000"), c("station"), c("line"), lit("0.1"), c("tax"))
-    return st.parse_earth_rotation(text(d, line), 1997).select("x", "y", R(c("lod")).alias("lod"), F.year("date").alias("yr"))
+    return st.parse_earth_rotation(text(d, line), 1900).select("x", "y", R(c("lod")).alias("lod"), F.year("date").alias("yr"))
 
 
 @query("S13_neutron_series", "SELECT CAST(d AS VARCHAR)[1:10] AS date, qty AS counts FROM daily_obs WHERE disc > 0")
@@ -92,10 +92,10 @@ def s13(v):
     return st.parse_neutron_counts(text(v.daily_obs, line))
 
 
-@query("S14_wide_kp", "SELECT CAST(year(d) AS INT) AS yr, CAST(k*3 AS INT) AS hr, CAST(line AS DOUBLE) AS kp, count(*) AS n FROM daily_obs, range(8) r(k) WHERE year(d) >= 1996 GROUP BY 1,2,3")
+@query("S14_wide_kp", "SELECT CAST(year(d) AS INT) AS yr, CAST(k*3 AS INT) AS hr, CAST(line AS DOUBLE) AS kp, count(*) AS n FROM daily_obs, range(8) r(k) GROUP BY 1,2,3")
 def s14(v):
     line = F.concat_ws(" ", F.year("d"), F.month("d"), F.dayofmonth("d"), lit("1 2 3 4"), *[c("line")] * 8)
-    k = st.parse_wide_kp(text(v.daily_obs, line), 1996)
+    k = st.parse_wide_kp(text(v.daily_obs, line), 1900)
     return k.groupBy(F.year("time_tag").alias("yr"), F.hour("time_tag").alias("hr"), "kp").agg(F.count(lit(1)).alias("n"))
 
 

@@ -246,6 +246,7 @@ def a53(v):
     return m.groupBy("model").agg(F.sum("y").alias("n_hit"), R(F.avg(F.pow(c("p") - c("y"), 2)), 8).alias("brier")).join(auc, "model")
 
 
+# Magnitude bins of the forecasts.
 MAG_BINS = [(5.0, 5.5), (5.5, 6.0), (6.0, 6.5), (6.5, 7.0), (7.0, 7.5), (7.5, 8.0), (8.0, 9.0)]
 
 
