@@ -202,7 +202,8 @@ def _reader(root: str):
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
     """The records of all files that the manifest lists, digests checked."""
     files = spark.read.parquet(f"{root}/manifest").select("file")
-    return files.repartition("file").mapInArrow(_reader(root), RECORD_DDL)
+    # a stated number of tasks: the list of names is small, what is behind it is not
+    return files.repartition(max(1, min(files.count(), 20_000))).mapInArrow(_reader(root), RECORD_DDL)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
