@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import features as ft
+from . import features as ft, feeds as fd
 from .q_basic import R
 from .q_joins import GRID_SQL, STEP, ZONE_SQL, base_grid, label_rows, step_range
 from .registry import query
@@ -130,6 +130,9 @@ def g02(v):
 
 @query("G06_feature_matrix")
 def g06(v):
-    labels = label_rows(v.quakes.where("mag >= 5"), 7, STEP, *step_range(v)).withColumn("label", lit(1))
-    m = ft.catalogue_matrix(v.quakes, base_grid(v)).join(labels, KEYS, "left")
-    return m.withColumn("label", F.coalesce("label", lit(0)))
+    """Catalogue and feed features with the labels of three targets (magnitude, days ahead)."""
+    m = ft.catalogue_matrix(v.quakes, base_grid(v)).join(fd.feed_table(v, base_grid(v)), KEYS)
+    for name, mag, days in (("label", 5.0, 7), ("label_m55", 5.5, 7), ("label_m6", 6.0, 14)):
+        hits = label_rows(v.quakes.where(c("mag") >= mag), days, STEP, *step_range(v)).withColumn(name, lit(1))
+        m = m.join(hits, KEYS, "left").withColumn(name, F.coalesce(name, lit(0)))
+    return m

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
 from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs, sinks as sk, windows as wn
-from . import features as ft, models as md, seismicity as se
+from . import features as ft, feeds as fd, models as md, seismicity as se
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
 from .q_joins import _KPA, _PAIR, CELL_SQL, GRID_SQL, STEP, ZONE_SQL, base_grid, bounds, catalogue_cells, grid_points, label_rows, step_range, stress_sources
@@ -240,6 +240,11 @@ def g07(v):
     return f.select("ci", "cj", "step", R(c("olr_anomaly"), 5).alias("olr_anomaly"), *[R(c(x)).alias(x) for x in ("gravity_anomaly_rate", "so2_column_anomaly", "lightning_count_7d", "proton_flux_max_24h")])
 
 
+@query("G07b_all_feeds", fd.feed_sql(GRID_SQL))
+def g07b(v):
+    return fd.feed_table(v, base_grid(v)).select("ci", "cj", "step", *[R(c(n) + lit(1e-9)).alias(n) for n in fd.FEATURES])
+
+
 def gnss_features(days, keys, first, last, window=30):
     """Station-day displacements to (cell, step) features; a station-day reaches the `window` steps after it."""
     d = days.withColumn("disp", sp.horizontal_norm(c("dx"), c("dy")))
