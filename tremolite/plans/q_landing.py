@@ -5,11 +5,12 @@ The parser queries format whole driver tables as the text a feed would deliver,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import spectral as sp
 from ..operators import quality as ql, sinks as sk
-from ..sources import json as sj, text as st
+from ..sources import binary as bi, json as sj, text as st
 from .q_basic import DAY, NOW, R
 from .q_joins import CELL_SQL, bounds, catalogue_cells
 from .registry import query
@@ -340,6 +341,39 @@ def d08(v):
     return v.quakes.agg(F.count(lit(1)).alias("n"), F.count_if(c("t") > NOW).alias("n_future"), F.max(F.when(c("t") <= NOW, c("t"))).alias("last_valid"))
 
 
+# ---- binary files ---------------------------------------------------------------------------------------------------
+
+def vector_groups(v, per: int, ending: str):
+    """Vectors of `per` consecutive ids as one row, so that a file holds a bounded number of them."""
+    rows = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    g = rows.groupBy(F.floor(c("vec_id") / per).alias("part")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "e"))).alias("rows"))
+    return g.select(F.format_string(f"part-%d.{ending}", "part").alias("name"), "rows")
+
+
+@query("S21_binary_grids", """SELECT vec_id//64 AS part, CAST(vec_id % 64 AS DOUBLE) AS lat, CAST(i AS DOUBLE) AS lon, round(x, 6) AS value
+  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i % 2 = 0""")
+def s21(v):
+    def grid(row):
+        out = np.full((64, max(len(r["e"]) for r in row["rows"])), np.nan)
+        for r in row["rows"]:
+            out[r["vec_id"] % 64, :len(r["e"])] = r["e"]
+        return bi.npy_bytes(out)
+    root = sk.scratch(v.spark, "grids")
+    bi.write_files(vector_groups(v, 64, "npy"), root, grid)
+    cells = bi.decode_grid(v.spark, root).where("lon % 2 = 0")
+    return cells.select(F.regexp_extract("path", r"part-(-?\d+)", 1).cast("long").alias("part"), "lat", "lon", R(c("value")).alias("value"))
+
+
+@query("S22_sample_files", """WITH s AS (SELECT vec_id//16 AS part, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT part, count(*) AS n, round(sum(x), 4) AS total, round(max(x), 6) AS high, 2e1 AS fs FROM s GROUP BY 1""")
+def s22(v):
+    root = sk.scratch(v.spark, "samples")
+    bi.write_files(vector_groups(v, 16, "sac"), root, lambda row: bi.sac_bytes(np.concatenate([r["e"] for r in row["rows"]]), 20.0, 36.0, 140.0))
+    w = bi.read_waveforms(v.spark, root)
+    total = F.aggregate("samples", lit(0.0), lambda a, x: a + x)
+    return w.select(F.regexp_extract("path", r"part-(-?\d+)", 1).cast("long").alias("part"), F.size("samples").cast("long").alias("n"), R(total, 4).alias("total"),
+                    R(F.array_max("samples")).alias("high"), R(c("fs"), 3).alias("fs"))
+
+
 # ---- spectral jobs --------------------------------------------------------------------------------------------------
 
 def third(i, n=3):

@@ -81,6 +81,24 @@ def r07(v):
     return status.agg(F.sum("rows").alias("rows_in"), F.sum("late_rows").alias("late_rows"))
 
 
+@query("R08_stream_late_rows", """WITH h AS (SELECT min(t_us) + (max(t_us) - min(t_us)) // 2 AS cut FROM station_obs), m AS (SELECT cut, max(t_us) FILTER (t_us >= cut AND id % 2 = 0) AS top FROM station_obs, h GROUP BY cut)
+  SELECT count(*) AS rows_in, count(*) FILTER (t_us < cut AND t_us < top - 864000000000) AS late_rows FROM station_obs, m""")
+def r08(v):
+    """The newer half arrives in two batches, the older half in a third: its rows beyond the horizon are dropped and counted.
+    A batch is judged by the watermark that the batch before it started with, so the first one sets the mark."""
+    obs, root = v.station_obs, sk.scratch(v.spark, "late")
+    low, top = obs.agg(F.min("t_us"), F.max("t_us")).first()
+    cut, parts = low + (top - low) // 2, 4
+    rows = obs.select("id", F.timestamp_micros("t_us").alias("ts"), "t_us")
+    new = c("t_us") >= cut
+    for part in (rows.where(new & (c("id") % 2 == 0)), rows.where(new & (c("id") % 2 == 1)), rows.where(~new)):
+        part.repartition(parts).write.mode("append").parquet(f"{root}/obs.parquet")
+    s = si.landed(v.spark, root, "obs", files_per_batch=parts)
+    q, _ = si.run_available(si.dedup(s, ["id"], "ts", "10 days").select("id"), name="late")
+    status = v.spark.createDataFrame(si.health(q), "batch long, rows long, late_rows long, ms long")
+    return status.agg(F.sum("rows").alias("rows_in"), F.sum("late_rows").alias("late_rows"))
+
+
 @query("R09_stream_static_enrichment", "SELECT network, count(*) AS n, round(avg(value), 6) AS mean_value FROM station_obs LEFT JOIN stations ON station = sid GROUP BY 1")
 def r09(v):
     s = stream_view(v, "station_obs").select("station", "value")

@@ -77,3 +77,40 @@ def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
                                                      names=["path", "fs", "lat", "lon", "samples"])
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(rows, "path string, fs double, lat double, lon double, samples array<double>")
+
+
+def npy_bytes(values: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, values)
+    return out.getvalue()
+
+
+def sac_bytes(samples: np.ndarray, rate: float, lat: float, lon: float) -> bytes:
+    """A sample file with the fields that `sac_samples` reads; all others hold the format's mark for undefined."""
+    head = bytearray(struct.pack("<70f", *[-12345.0] * 70) + struct.pack("<40i", *[-12345] * 40) + b" " * 192)
+    for field, value in ((_DELTA, 1 / rate), (_LAT, lat), (_LON, lon)):
+        struct.pack_into("<f", head, 4 * field, value)
+    struct.pack_into("<i", head, _VERSION, 6)
+    struct.pack_into("<i", head, _COUNT, len(samples))
+    return bytes(head) + np.asarray(samples, "<f4").tobytes()
+
+
+def write_files(groups: DataFrame, root: str, encode: Callable[[dict], bytes]) -> int:
+    """One file per row below `root` (a folder all executors share), named by the column `name`; the number of files written.
+
+    A file appears under its name only when it is whole, so a retried task overwrites it with the same bytes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base)
+        for batch in batches:
+            for row in batch.to_pylist():
+                temporary = f"{base}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(temporary, compression=None) as out:
+                    out.write(encode(row))
+                store.move(temporary, f"{base}/{row['name']}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+    return groups.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
