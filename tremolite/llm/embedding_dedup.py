@@ -2,7 +2,7 @@
 
 Equal vectors are one node. Random hyperplanes deal the nodes into leaves, several times over; the nearest of a leaf are the first
 neighbour lists. Each round joins the neighbours (and reverse neighbours) of every node with each other and keeps the best; a
-list whose members all reach the threshold is saturated and grows. Rounds end when few lists change; an audit compares a fixed
+list whose members all reach the threshold is saturated and grows. Rounds end when hardly a link is new; an audit compares a fixed
 sample with all vectors, and more leaves and rounds follow while it misses links. Links of the lists give components; inside a
 component all members are then compared in blocks, so that link counts are whole however large a group of copies is.
 """
@@ -26,7 +26,7 @@ c, lit = F.col, F.lit
 THRESHOLD, SEED = 0.95, 11
 NEIGHBOURS, MOST, LEAF, TREES, ROUNDS = 10, 40, 256, 6, 4
 #: Vectors of the audit, and the recall it asks for before the search ends; rows of one block of the final comparison.
-AUDIT, RECALL, AUDITS, BLOCK = 256, 0.99, 3, 1024
+AUDIT, RECALL, AUDITS, BLOCK = 1024, 0.99, 3, 1024
 _LIST = "a long, b long, sim double, fresh boolean"
 
 
@@ -166,8 +166,9 @@ def descend(nodes: DataFrame, lists: DataFrame, kind: str, k: int, rounds: int)
         meet = meet.join(full, "m").select("p", "m", "fresh", "kth", "vec").repartition("p").sortWithinPartitions("p")
         better = meet.mapInArrow(_meet(kind), _LIST)
         lists = materialized(_trimmed(lists.withColumn("fresh", lit(False)).unionByName(better), k), "neighbours")
-        changed, total = lists.agg(F.count_if("fresh"), F.count(lit(1))).first()
-        if changed <= 0.005 * total:
+        near = c("sim") >= THRESHOLD
+        changed, total = lists.agg(F.count_if(near & c("fresh")), F.count_if(near)).first()
+        if changed <= 0.01 * total:
             break
     return lists
 
@@ -231,21 +232,19 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sample = {d: (np.array([v for v, _ in s]), _unit(np.frombuffer(b"".join(b for _, b in s), kind).reshape(len(s), -1).astype(np.float64))) for d, s in sample.items()}
     bare = nodes.select("dim", "v", "vec")
     truth = materialized(bare.mapInArrow(_sees(sample, kind), "a long, b long"), "audit")
-    links, lists = truth, None
+    lists = group = None
     for audit in range(AUDITS):
         trees = range(audit * TREES, (audit + 1) * TREES)
         leaves = bare.mapInArrow(_leaves(kind, depth, trees), "dim int, tree int, code long, v long, vec binary")
         first = leaves.repartitionByRange("dim", "tree", "code", "v").sortWithinPartitions("dim", "tree", "code", "v").mapInArrow(_inside(kind, k), _LIST)
         lists = materialized(_trimmed(first if lists is None else first.unionByName(lists), k), "neighbours")
         lists = descend(nodes, lists, kind, k, ROUNDS)
-        links = links.unionByName(lists.where(c("sim") >= THRESHOLD).select("a", "b"))
-        # the audit's own links must not help it: recall is taken from the lists alone
         group = components(lists.where(c("sim") >= THRESHOLD).select("a", "b"))
         of = lambda side: group.select(c("node").alias(side), c("component").alias(f"g_{side}"))
-        hit, asked = truth.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count_if(c("g_a") == c("g_b")), F.count(lit(1))).first()
-        if hit >= RECALL * asked:
+        seen = truth.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.avg(F.coalesce(c("g_a") == c("g_b"), lit(False)).cast("int")).alias("r"))
+        recall = seen.agg(F.avg("r")).first()[0]  # mean over vectors, so that one large group does not speak for all
+        if recall is None or recall >= RECALL:
             break
-    group = components(links)
     member = materialized(group.select(c("node").alias("v"), "component").join(nodes.select("v", "vec", "least", "weight"), "v"), "members")
     sizes = member.groupBy("component").agg(F.ceil(F.count(lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("least").alias("smallest"))
     dealt = member.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("v"), c("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(lit(0), c("blocks") - 1)))
