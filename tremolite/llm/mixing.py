@@ -22,6 +22,7 @@ NAME = "op6_mixing"
 ORACLE = None
 c, lit = F.col, F.lit
 BLOCK, REPEATS, SEED = 64, 3.0, 20
+BROADCAST_SOURCES = 20_000
 SLOTS_PER_SHARD, MOST_SHARDS, BUCKET = 1 << 16, 4096, 1024
 
 
@@ -140,6 +141,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     slots = plan.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_slots, "sid int, shard int, slot long, block long")
     named = spark.createDataFrame([(i, r[0], int(r["size"]), float(t)) for i, (r, t) in enumerate(zip(found, targets, strict=True))],
                                   "_mix_sid int, _name string, _mix_source_size long, _mix_target double")
+    # a row per source: counted above, so sent to every task while they are few, which keeps texts out of a shuffle by source
+    named = F.broadcast(named) if len(found) <= BROADCAST_SOURCES else named
     sized = sized.join(named, c("_mix_source").eqNullSafe(c("_name"))).drop("_name")
     buckets = max(1, sum(r["n"] for r in found) // BUCKET)
     placed = sized.where("_mix_size > 0").select("_mix_row", c("_mix_sid").alias("sid"), "_mix_size", "_mix_hash", F.pmod("_mix_hash", lit(buckets)).alias("bucket"))
