@@ -236,33 +236,40 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.mapInArrow(_verify(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: bool = True) -> DataFrame:
-    """`docs` (`carry`: else only doc_id) plus `_sim_row` (a row number), `_sim_fp` (fingerprint), `_sim_group` (a fingerprint that
-    names the group) and `_sim_component` (smallest doc_id that links reach).
-
-    Null and empty texts have the fingerprint zero and link like any other. Equal texts share a fingerprint and count once in
-    the search. A null doc_id is never the smallest unless it is alone, then the component is null. Repeated rows all stay.
-    An empty table gives no rows. Nothing is left out: all fingerprints that lie within the distance end in one component.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str, distance: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """`docs` with fingerprint and row number, written once; and the group and its smallest doc_id per fingerprint."""
     prepare(docs.sparkSession)
     docs = docs.drop("_sim_key", "_sim_group", "_sim_component")  # columns of these names are replaced
     kept = docs.columns if carry else [doc_id]
     marked = docs.withColumns({"_sim_fp": simhash(c(text)), "_sim_row": F.monotonically_increasing_id()})
-    marked = materialized(marked.select(*kept, "_sim_fp", "_sim_row"), "simhash")
+    marked = materialized(marked.select(*[x for x in kept if x not in ("_sim_fp", "_sim_row")], "_sim_fp", "_sim_row"), "simhash")
     least = materialized(marked.groupBy(c("_sim_fp").alias("fp")).agg(F.min(doc_id).alias("least")), "fingerprints")
     found = components(linked(least.select("fp"), distance))
     member = least.join(found, least["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("g"), "least")
     smallest = member.groupBy("g").agg(F.min("least").alias("_sim_component"))
-    member = member.join(smallest, "g").select(c("fp").alias("_sim_key"), c("g").alias("_sim_group"), "_sim_component")
+    return marked, member.join(smallest, "g").select(c("fp").alias("_sim_key"), c("g").alias("_sim_group"), "_sim_component")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: bool = True) -> DataFrame:
+    """`docs` (`carry`: else only doc_id) plus `_sim_row` (a row number), `_sim_fp` (fingerprint), `_sim_group` (a fingerprint that
+    names the group) and `_sim_component` (smallest doc_id that links reach).
+
+    Null and empty texts have the fingerprint zero and link like any other. Equal texts share a fingerprint and count once in
+    the search. A null doc_id is never the smallest unless it is alone, then the component is null. Repeated rows all stay.
+    An empty table gives no rows. Nothing is left out: all fingerprints that lie within the distance end in one component.
+    """
+    marked, member = _grouped(docs, doc_id, text, distance, carry)
     return marked.join(member, marked["_sim_fp"] == member["_sim_key"]).drop("_sim_key")
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id (nulls last), of repeated ones any one."""
-    found = near_duplicates(docs, doc_id, text, distance)
-    keep = found.groupBy("_sim_group").agg(F.min(F.struct(c(doc_id).isNull().alias("z"), c(doc_id).alias("d"), c("_sim_row").alias("r"))).alias("_k"))
+    marked, member = _grouped(docs, doc_id, text, distance, carry=True)
+    # ids and fingerprints decide; texts move once, to meet the rows that stay
+    narrow = marked.select(c(doc_id).alias("d"), "_sim_fp", "_sim_row").join(member, c("_sim_fp") == c("_sim_key"))
+    keep = narrow.groupBy("_sim_group").agg(F.min(F.struct(c("d").isNull().alias("z"), "d", c("_sim_row").alias("r"))).alias("_k"))
     keep = keep.select(c("_k.r").alias("_sim_keep"))
-    return found.join(keep, found["_sim_row"] == keep["_sim_keep"], "left_semi").select(*docs.columns)
+    return marked.join(keep, marked["_sim_row"] == keep["_sim_keep"], "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
