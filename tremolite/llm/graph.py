@@ -25,10 +25,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(c("b").alias("a"), c("a").alias("b")))
-        large = _to_least(both).where("b > a").select(c("b").alias("a"), c("m").alias("b")).unionByName(
-            _to_least(both).select("a", c("m").alias("b"))).where("a <> b").distinct()
-        small = _to_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        now = materialized(small.select(c("b").alias("a"), c("m").alias("b")).unionByName(small.select("a", c("m").alias("b"))).where("a <> b").distinct(), "links")
+        # large star: larger neighbours of a node move to its least one; every pair keeps its larger node in front
+        large = _to_least(both).where("b > a").select(c("b").alias("a"), c("m").alias("b")).distinct()
+        # small star: a node and its smaller neighbours move to the least of them
+        small = _to_least(large).select(F.explode(F.array("a", "b")).alias("a"), c("m").alias("b"))
+        now = materialized(small.where("a <> b").distinct(), "links")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
