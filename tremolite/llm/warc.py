@@ -151,7 +151,8 @@ def write_warc(pages: DataFrame, root: str, group_bytes: int = GROUP_BYTES, roll
     group = F.when(c("heavy").isNull(), F.format_string("%08d", base)).otherwise(F.format_string("%08d-%s-%05d", base, c("digest"), salt))
     idle = c("heavy").isNotNull() & (c("size") >= REVISIT_FROM) & F.coalesce(c("page_id") < c("top_id"), c("top_id").isNotNull())
     j = j.select(group.alias("grp"), "page_id", "url", F.when(idle, "").otherwise(c("html")).alias("html"), "digest", "size", c("heavy").isNotNull().alias("hot"), "top_id", "top_url")
-    sorted_ = j.repartition("grp").sortWithinPartitions("grp", "digest", F.desc_nulls_last("page_id"), "url")
+    # partitions follow the payload, not a session setting: about one group each
+    sorted_ = j.repartition(min(groups, 50_000), "grp").sortWithinPartitions("grp", "digest", F.desc_nulls_last("page_id"), "url")
     sorted_.mapInArrow(_writer(root, roll_bytes), MANIFEST_DDL).write.parquet(f"{root}/manifest")
     return pages.sparkSession.read.parquet(f"{root}/manifest")
 
