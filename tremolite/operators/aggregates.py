@@ -43,18 +43,16 @@ def sessions(df: DataFrame, key: str, t: str, gap: int, value: str, chunk: int =
         F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"),
         F.sum(v * v).alias("_q"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     edge = (F.col("_piece") == 0) | (F.col("_piece") == F.max("_piece").over(W.partitionBy(key, "_chunk")))
-    pieces = pieces.withColumn("_edge", edge)
-    inner, pieces = pieces.where(~F.col("_edge")), pieces.where("_edge")
-    w2 = W.partitionBy(key).orderBy("_t0")  # two rows per chunk of the calendar
+    # lane: all edges of a key together, the others by chunk, where each piece starts anew
+    pieces = pieces.withColumn("_lane", F.when(edge, F.lit(-(1 << 62))).otherwise(F.col("_chunk").cast("long")))
+    w2 = W.partitionBy(key, "_lane").orderBy("_t0")
     pieces = pieces.withColumn("_new", (F.col("_t0") - F.lag("_t1").over(w2) > F.lit(gap)).cast("int"))
     pieces = pieces.withColumn("_sid", F.sum(F.coalesce("_new", F.lit(0))).over(w2))
     n, s, q = F.sum("_n"), F.sum("_s"), F.sum("_q")
-    numbered = pieces.select(key, F.struct(F.lit(0).cast("long").alias("a"), F.col("_sid").alias("b")).alias("_g"), "_t0", "_t1", "_n", "_s", "_q", "_lo", "_hi")
-    alone = inner.select(key, F.struct((F.col("_chunk").cast("long") + 1).alias("a"), F.col("_piece").alias("b")).alias("_g"), "_t0", "_t1", "_n", "_s", "_q", "_lo", "_hi")
-    return numbered.unionByName(alone).groupBy(key, "_g").agg(
+    return pieces.groupBy(key, "_lane", "_sid").agg(
         F.min("_t0").alias("t_start"), F.max("_t1").alias("t_end"), n.alias("n"), (s / n).alias("mean"),
         F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std"),
-        F.min("_lo").alias("low"), F.max("_hi").alias("high")).drop("_g")
+        F.min("_lo").alias("low"), F.max("_hi").alias("high")).drop("_lane", "_sid")
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], shares: dict[str, Column] | None = None
