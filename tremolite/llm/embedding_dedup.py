@@ -3,13 +3,15 @@
 Equal vectors are one node. Random hyperplanes deal the nodes into leaves, several times over; the nearest of a leaf are the first
 neighbour lists. Each round joins the neighbours (and reverse neighbours) of every node with each other and keeps the best; a
 list whose members all reach the threshold is saturated and grows. Rounds end when hardly a link is new; an audit compares a fixed
-sample with all vectors, and more leaves and rounds follow while it misses links. Links of the lists give components; inside a
+sample with all vectors, and more leaves and rounds follow while it misses links (a warning tells if the last one still does). Links of
+the lists give components, with links that connect each leaf, since a list full of nearer members holds none to another group; inside a
 component all members are then compared in blocks, so that link counts are whole however large a group of copies is.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +112,28 @@ def _inside(kind: str, k: int):
     return run
 
 
+def _connect(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of a leaf that connect all that its pairs at the threshold connect; full lists do not hold them back."""
+        def found():
+            for rows in _groups(batches, 3, 2 * LEAF):
+                v = np.array([r[3] for r in rows])
+                x = _unit(np.frombuffer(b"".join(r[4] for r in rows), kind).reshape(len(rows), -1).astype(np.float64))
+                near, open_ = x @ x.T >= THRESHOLD, np.ones(len(v), bool)
+                for s in range(len(v)):
+                    waiting = [s] if open_[s] else []
+                    open_[s] = False
+                    while waiting:
+                        p = waiting.pop()
+                        more = np.flatnonzero(near[p] & open_)
+                        if len(more):
+                            open_[more] = False
+                            waiting.extend(more.tolist())
+                            yield np.full(len(more), v[p]), v[more]
+        yield from _batches(found(), ["a", "b"])
+    return run
+
+
 def _trim(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by (a, sim descending, b, old first): the first k different b of each a, more while they reach the threshold."""
@@ -232,19 +256,24 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sample = {d: (np.array([v for v, _ in s]), _unit(np.frombuffer(b"".join(b for _, b in s), kind).reshape(len(s), -1).astype(np.float64))) for d, s in sample.items()}
     bare = nodes.select("dim", "v", "vec")
     truth = materialized(bare.mapInArrow(_sees(sample, kind), "a long, b long"), "audit")
-    lists = group = None
+    lists = group = held = None
     for audit in range(AUDITS):
         trees = range(audit * TREES, (audit + 1) * TREES)
         leaves = bare.mapInArrow(_leaves(kind, depth, trees), "dim int, tree int, code long, v long, vec binary")
-        first = leaves.repartitionByRange("dim", "tree", "code", "v").sortWithinPartitions("dim", "tree", "code", "v").mapInArrow(_inside(kind, k), _LIST)
+        leaves = leaves.repartitionByRange("dim", "tree", "code", "v").sortWithinPartitions("dim", "tree", "code", "v")
+        first = leaves.mapInArrow(_inside(kind, k), _LIST)
+        across = leaves.mapInArrow(_connect(kind), "a long, b long").distinct()
+        held = materialized(across if held is None else across.unionByName(held), "leaf-links")
         lists = materialized(_trimmed(first if lists is None else first.unionByName(lists), k), "neighbours")
         lists = descend(nodes, lists, kind, k, ROUNDS)
-        group = components(lists.where(c("sim") >= THRESHOLD).select("a", "b"))
+        group = components(lists.where(c("sim") >= THRESHOLD).select("a", "b").unionByName(held))
         of = lambda side: group.select(c("node").alias(side), c("component").alias(f"g_{side}"))
         seen = truth.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.avg(F.coalesce(c("g_a") == c("g_b"), lit(False)).cast("int")).alias("r"))
         recall = seen.agg(F.avg("r")).first()[0]  # mean over vectors, so that one large group does not speak for all
         if recall is None or recall >= RECALL:
             break
+    else:
+        warnings.warn(f"op4: recall of the last audit is {recall:.4f}, less than {RECALL}", stacklevel=2)
     member = materialized(group.select(c("node").alias("v"), "component").join(nodes.select("v", "vec", "least", "weight"), "v"), "members")
     sizes = member.groupBy("component").agg(F.ceil(F.count(lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("least").alias("smallest"))
     dealt = member.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("v"), c("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(lit(0), c("blocks") - 1)))
