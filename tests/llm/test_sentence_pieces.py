@@ -59,10 +59,15 @@ def test_any_ids_decode_like_the_library():
     assert sp.decoder(MODEL)(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [LIB.decode(x) for x in lists]
 
 
-def test_check_finds_wrong_ids(monkeypatch):
+@pytest.mark.parametrize("lone", [True, False])
+def test_check_finds_wrong_ids(monkeypatch, lone):
     broken = sp.Vocabulary(MODEL)
-    broken.order = {k: -v for k, v in broken.order.items()}
+    assert broken.lone == "\n"
+    if not lone:
+        broken.lone = None
     monkeypatch.setitem(sp._READY, MODEL, (broken, sp._Cache(broken)))
+    assert sp.encoder(MODEL)(pa.array(HARD)).to_pylist() == LIB.encode(HARD)
+    broken.order = {k: -v for k, v in broken.order.items()}
     with pytest.raises(ValueError, match="differ"):
         sp.encoder(MODEL)(pa.array(["a strange tokenisation"]))
 
@@ -71,7 +76,7 @@ def test_small_cache(monkeypatch):
     monkeypatch.setattr(sp, "KEPT", 3)
     monkeypatch.setattr(sp, "KEPT_SIZE", 6)
     monkeypatch.setitem(sp._READY, MODEL, (v := sp.Vocabulary(MODEL), sp._Cache(v)))
-    assert sp.encoder(MODEL)(pa.array(HARD)).to_pylist() == LIB.encode(HARD) and len(sp._READY[MODEL][1]) <= 3
+    assert sp.encoder(MODEL)(pa.array(HARD)).to_pylist() == LIB.encode(HARD) and len(sp._READY[MODEL][1]) <= 3 >= len(sp._READY[MODEL][1].older)
 
 
 def test_tables(spark):

@@ -3,7 +3,8 @@
 A text's symbols are merged pair by pair in the order of an agenda: the adjacent pair whose piece scores highest goes first, of
 equal scores the leftmost. No merge crosses a place that no piece of the vocabulary spans, so a text falls into segments there (a run
 of space marks with the word behind it, or one symbol that no longer piece contains); each distinct segment of a task is merged
-once and kept in a bounded cache. The sentencepiece library encodes every Arrow batch as well and the results must agree.
+once and kept in a bounded cache. With every Arrow batch the sentencepiece library encodes the segments merged for it, and the ids must
+agree; of a vocabulary without a symbol that keeps segments apart it encodes the whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ c, lit = F.col, F.lit
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a task remembers, symbols of the longest one kept, bytes of text handled at once.
-KEPT, KEPT_SIZE, PART = 500_000, 64, 1 << 20
+KEPT, KEPT_SIZE, PART = 250_000, 64, 1 << 20
 
 codecs.register_error("tremolite_each", lambda e: ("�", e.start + 1))
 
@@ -73,7 +74,10 @@ class Vocabulary:
         # what the normaliser does to spaces, seen from outside; anything beyond it is left to the library
         self.prefix = lib.normalize("a") == MARK + "a"
         self.plain = all(lib.normalize(x) == MARK * self.prefix + x.replace(" ", MARK) for x in (" a  b ", "\t　ﬁ① Á­​Ａ"))
-        self.segments = re.compile(_segment_pattern([p for p in self.pieces if len(p) > 1])).findall
+        long = [p for p in self.pieces if len(p) > 1]
+        self.segments = re.compile(_segment_pattern(long)).findall
+        # a symbol that joins nothing, put in front of a segment to see it encoded alone
+        self.lone = next((x for x in "\n\x00\x01" if self.plain and not any(x in p for p in long)), None) if not any(MARK in p.lstrip(MARK) for p in long) else None
         self.text = [b"" if lib.is_control(i) else " ⁇ ".encode() if lib.is_unknown(i) else bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i)
                      else lib.id_to_piece(i).replace(MARK, " ").encode() for i in ids]
         self.control = np.array([lib.is_control(i) for i in ids])
@@ -133,19 +137,41 @@ class Vocabulary:
 
 
 class _Cache(dict):
-    """Segment to the bytes of its ids; emptied when full, long segments are not kept."""
+    """Segment to the bytes of its ids, in two generations: when the younger is full the older goes. `fresh`: merged since the last check."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.merge = vocabulary.merge
+        self.vocabulary, self.older, self.fresh = vocabulary, {}, []
 
     def __missing__(self, segment):
-        ids = array("i", self.merge(segment)).tobytes()
+        raw = self.older.get(segment)
+        if raw is None:
+            ids = self.vocabulary.merge(segment)
+            self.fresh.append((segment, ids))
+            raw = array("i", ids).tobytes()
         if len(segment) <= KEPT_SIZE:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
-            self[segment] = ids
-        return ids
+            self[segment] = raw
+        return raw
+
+    def check(self) -> None:
+        """The library's ids of the segments merged since the last call, many in one text with the lone symbol between them."""
+        library, lone, fresh = self.vocabulary.library, self.vocabulary.lone, self.fresh
+        self.fresh, front, between = [], library.encode(lone), self.vocabulary.merge(lone)
+        for at in range(0, len(fresh), 500):
+            some = fresh[at:at + 500]
+            ours = list(front[:-len(between)])
+            for _, ids in some:
+                ours += between
+                ours += ids
+            _agree(some[0][0], ours, library.encode(lone + lone.join(x for x, _ in some)))
+
+
+def _agree(text: str, ours: list[int], theirs: list[int]) -> None:
+    if ours != theirs:
+        raise ValueError(f"ids differ from the library's at or behind the text {text[:80]!r}")
 
 
 def _parts(text: str, whole: bool) -> Iterator[str]:
@@ -179,7 +205,7 @@ def _list_array(values: list[bytes]) -> pa.ListArray:
 
 
 def encoder(model: bytes, check: bool = True):
-    """An Arrow function from texts to lists of ids. With `check`, every part must equal what the library makes of it."""
+    """An Arrow function from texts to lists of ids. With `check`, every segment merged for a batch must equal what the library makes of it."""
     def encode(texts: pa.Array) -> pa.Array:
         vocabulary, cache = _ready(model)
         whole = not (vocabulary.plain and vocabulary.prefix)
@@ -189,12 +215,12 @@ def encoder(model: bytes, check: bool = True):
                 parts.append(part)
                 owner.append(i)
         ids = [b"".join(map(cache.__getitem__, vocabulary.segments(vocabulary.normal(x)))) for x in parts]
-        if check:
-            for at in range(0, len(parts), 64):
-                theirs = vocabulary.library.encode(parts[at:at + 64], num_threads=1)
-                for k, want in enumerate(theirs, at):
-                    if not np.array_equal(np.frombuffer(ids[k], np.intc), np.array(want, np.intc)):
-                        raise ValueError(f"ids differ from the library's for the text that begins {parts[k][:80]!r}")
+        if check and vocabulary.lone is not None:
+            cache.check()
+        elif check:
+            for part, raw in zip(parts, ids, strict=True):
+                _agree(part, np.frombuffer(raw, np.intc).tolist(), vocabulary.library.encode(part))
+        cache.fresh.clear()
         out = [b""] * len(texts)
         for i, x in zip(owner, ids, strict=True):
             out[i] = out[i] + x if out[i] else x
