@@ -166,13 +166,14 @@ def stress_features(pairs: DataFrame, grid: DataFrame, rates: DataFrame) -> Data
     return maps.join(best, ["ci", "cj", "step"], "left").withColumn("cfs_rate_state", F.greatest(F.coalesce("_rs", lit(1.0)), lit(1.0))).drop("_rs")
 
 
-def _kernel_sums(points: int):
+def _kernel_sums(points: int, zone_params: dict | None):
     """Triggered counts of a block of probes from one block of events; rows of arrays in, one row per probe out."""
-    par = ph.TRIGGER
+    fitted = zone_params or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
+                par = fitted.get(r.zone, ph.TRIGGER)
                 hi, day, w = (np.asarray(x, dtype="float64") for x in (r.hi, r.day, r.w))
                 rk, et, mag = (np.asarray(x, dtype="float64") for x in (r.rk, r.et, r.mag))
                 prod = par["K"] * np.exp(par["alpha"] * (mag - par["mc"]))
@@ -187,9 +188,11 @@ def _kernel_sums(points: int):
     return run
 
 
-def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, block=2048) -> DataFrame:
+def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, block=2048, zone_params: dict | None = None) -> DataFrame:
     """Expected triggered count per (cell, step, window) from all events before the window.
 
+    `zone_params` (see `trigger_fit.zone_parameters`) replaces the standard parameters in the zones it names.
+
     Events carry their rank in the cell and travel in blocks of `block` ranks; a probe meets the blocks up to the rank at its
     window start. Sums are formed inside the task, one row per probe and block.
     """
@@ -204,7 +207,8 @@ def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), poi
     probes = probes.select("ci", "cj", "step", "w", "hi", "day", F.explode(F.sequence(lit(0).cast("bigint"), F.floor((c("hi") - 1) / block))).alias("rb"))
     probes = probes.groupBy("ci", "cj", "rb", F.floor(c("step") / 1024).alias("part")).agg(F.collect_list(F.struct("step", "w", "hi", "day")).alias("q"))
     probes = probes.select("ci", "cj", "rb", *[c(f"q.{x}").alias(x) for x in ("step", "w", "hi", "day")])
-    sums = probes.join(blocks, ["ci", "cj", "rb"]).mapInPandas(_kernel_sums(points), "ci int, cj int, step long, w int, x double")
+    met = probes.join(blocks, ["ci", "cj", "rb"]).withColumn("zone", sp.zone_of(c("ci") * SIZE, c("cj") * SIZE))
+    sums = met.mapInPandas(_kernel_sums(points, zone_params), "ci int, cj int, step long, w int, x double")
     return sums.groupBy("ci", "cj", "step").agg(*[F.sum(F.when(c("w") == w, c("x"))).alias(f"_x{w}") for w in windows])
 
 

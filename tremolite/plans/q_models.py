@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs, sinks as sk, windows as wn
-from . import features as ft, feeds as fd, models as md, seismicity as se
+from ..operators import expand as ex, joins as jn, metrics as mt, resample as rs, sinks as sk, windows as wn
+from . import features as ft, feeds as fd, models as md, seismicity as se, trigger_fit as tg
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
 from .q_joins import _KPA, _PAIR, CELL_SQL, GRID_SQL, STEP, ZONE_SQL, base_grid, bounds, catalogue_cells, grid_points, label_rows, step_range, stress_sources
@@ -152,45 +152,41 @@ def m12(v):
 
 # ---- triggering fit -------------------------------------------------------------------------------------------------
 
-GRID = {"acp": [(1.0, 0.01, 1.1), (0.8, 0.05, 1.2)], "K": [0.02, 0.04], "mu_share": [0.3, 0.6]}
+_ZONED = f"z AS (SELECT {ZONE_SQL} AS zone, t/864e2 AS d, mag FROM quakes), s AS (SELECT zone, count(*) AS n, min(d) AS d0, max(d) - min(d) AS span FROM z GROUP BY zone HAVING count(*) >= 100 AND max(d) - min(d) >= 30)"
 
 
-def etas_grid_likelihood(events, group, grid=GRID, parents=500, max_events=5000, mc=3.0, min_events=100):
-    """Negative log-likelihood per group and parameter point.
+def _zone_days(v):
+    return v.quakes.select(sp.zone_of(c("lat"), c("lon")).alias("zone"), (c("t") / lit(float(DAY))).alias("day"), "mag")
 
-    An event meets at most `parents` predecessors through their rank; the kernel sum is linear in K, so pairs are
-    formed once per (alpha, c, p) and the K and mu grids are applied to one row per event.
-    """
-    r = od.ranked(events.select(group, "t", "event_id", "mag"), [group], "t", ["event_id"], "rk", total="n_all")
-    r = r.where(c("rk") > c("n_all") - max_events).withColumn("td", c("t") / lit(float(DAY)))
-    child = r.select(group, "event_id", "rk", "td", "mag")
-    par = r.select(group, c("rk").alias("prk"), c("td").alias("ptd"), c("mag").alias("pmag"))
-    pairs = jn.range_join(child, par, on=[group], time=("rk", "prk", -parents, -1)).where("ptd < td")
-    kern = lambda a, cc, p: F.sum(F.exp(lit(a) * (c("pmag") - mc)) / F.pow(c("td") - c("ptd") + lit(cc), lit(p)))
-    s = pairs.groupBy(group, "event_id").agg(*[kern(*x).alias(f"s{i}") for i, x in enumerate(grid["acp"])])
-    span = r.groupBy(group).agg(F.min("td").alias("t0"), F.max("td").alias("t1"), F.count(lit(1)).alias("n")).where(c("n") >= min_events)
-    e = child.join(s, [group, "event_id"], "left").join(span, group)
-    pts = [(i, a, cc, p, K, m) for i, (a, cc, p) in enumerate(grid["acp"]) for K in grid["K"] for m in grid["mu_share"]]
-    aggs = []
-    for j, (i, a, cc, p, K, m) in enumerate(pts):
-        mu = lit(m) * c("n") / (c("t1") - c("t0"))
-        lam = mu + lit(K) * F.coalesce(f"s{i}", lit(0.0))
-        tail = F.when(c("td") < c("t1"), ph.omori_integral(c("mag"), lit(0.0), c("t1") - c("td"), K, a, cc, p, mc)).otherwise(0.0)
-        aggs.append(F.struct(lit(j).alias("point"), lit(K).alias("K"), lit(a).alias("alpha"), lit(cc).alias("c"), lit(p).alias("p"), F.max(mu).alias("mu"),
-                             (F.max(mu) * (F.max("t1") - F.max("t0")) + F.sum(tail) - F.sum(F.log(lam))).alias("nll")))
-    return e.groupBy(group).agg(F.max("n").alias("n_events"), F.array(*aggs).alias("g")).select(group, "n_events", F.inline("g"))
-
-
-@query("G03_trigger_fit", f"""WITH z AS (SELECT *, {ZONE_SQL} AS zone FROM quakes), r0 AS (SELECT zone, event_id, t/864e2 AS td, mag, row_number() OVER (PARTITION BY zone ORDER BY t, event_id) AS rk, count(*) OVER (PARTITION BY zone) AS na FROM z), r AS (SELECT * FROM r0 WHERE rk > na - 5000),
-  s AS (SELECT a.zone, a.event_id, sum(exp(1e0*(b.mag-3))/pow(a.td-b.td+1e-2, 11e-1)) AS s0, sum(exp(8e-1*(b.mag-3))/pow(a.td-b.td+5e-2, 12e-1)) AS s1 FROM r a JOIN r b ON a.zone=b.zone AND b.rk BETWEEN a.rk-500 AND a.rk-1 AND b.td < a.td GROUP BY 1,2),
-  sp AS (SELECT zone, min(td) AS t0, max(td) AS t1, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 100), e AS (SELECT r.*, t0, t1, n, coalesce(s0,0) AS s0, coalesce(s1,0) AS s1 FROM r JOIN sp USING (zone) LEFT JOIN s ON s.zone=r.zone AND s.event_id=r.event_id),
-  pt(point, i, a, c, p, k, m) AS (VALUES (0,0,1e0,1e-2,11e-1,2e-2,3e-1),(1,0,1e0,1e-2,11e-1,2e-2,6e-1),(2,0,1e0,1e-2,11e-1,4e-2,3e-1),(3,0,1e0,1e-2,11e-1,4e-2,6e-1),(4,1,8e-1,5e-2,12e-1,2e-2,3e-1),(5,1,8e-1,5e-2,12e-1,2e-2,6e-1),(6,1,8e-1,5e-2,12e-1,4e-2,3e-1),(7,1,8e-1,5e-2,12e-1,4e-2,6e-1)),
-  l AS (SELECT zone, point, max(n) AS n, max(m*n/(t1-t0))*(max(t1)-max(t0)) + sum(CASE WHEN td < t1 THEN k*exp(a*(mag-3))*greatest((pow(t1-td+c, 1-p)-pow(c, 1-p))/(1-p), 0) ELSE 0 END) - sum(ln(m*n/(t1-t0) + k*CASE WHEN i = 0 THEN s0 ELSE s1 END)) AS nll FROM e, pt GROUP BY 1,2)
-  SELECT zone, max(n) AS n_events, CAST(arg_min(point, nll) AS INT) AS best_point, round(min(nll), 4) AS nll FROM l GROUP BY 1""")
+
+@query("G03_trigger_fit")
 def g03(v):
-    z = v.quakes.withColumn("zone", sp.zone_of(c("lat"), c("lon")))
-    g = etas_grid_likelihood(z, "zone")
-    return g.groupBy("zone").agg(F.max("n_events").alias("n_events"), F.min_by("point", "nll").alias("best_point"), R(F.min("nll"), 4).alias("nll"))
+    """Five parameters per zone from all events and all their predecessors; no SQL for an iterative fit, see G03b and tests/test_trigger_fit.py."""
+    f = tg.fit_zones(_zone_days(v))
+    return f.select("zone", "fitted", *[F.round(x, 4).alias(x) for x in tg.NAMES], F.round("nll", 2).alias("nll"), F.round("aic", 2).alias("aic"), "branching_ratio", "n_events", "duration_days")
+
+
+@query("G02b_zone_triggering")
+def g02b(v):
+    """Expected triggered counts with the fitted parameters of each cell's zone; tests/test_trigger_fit.py holds them against a plain sum."""
+    fitted = tg.zone_parameters(tg.fit_zones(_zone_days(v)))
+    x = ft.triggering_expected(v.quakes, base_grid(v), zone_params=fitted)
+    return x.select("ci", "cj", "step", R(c("_x7"), 5).alias("expected_7d"), R(c("_x30"), 5).alias("expected_30d"))
+
+
+@query("G03b_trigger_likelihood", f"""WITH {_ZONED}, e AS (SELECT z.zone, z.d - d0 AS t, mag - 3 AS m, n, span, 3e-1*n/span AS mu FROM z JOIN s USING (zone)),
+  g AS (SELECT zone, t, m, n, span, mu, count(*) AS k FROM e GROUP BY ALL),
+  p AS (SELECT a.zone, a.t, b.k, b.m, a.t - b.t + 1e-2 AS x, exp(b.m)*pow(a.t - b.t + 1e-2, -11e-1) AS f FROM (SELECT DISTINCT zone, t FROM e) a JOIN g b ON a.zone = b.zone AND b.t < a.t),
+  q AS (SELECT zone, t, sum(k*f) AS s, sum(k*f*m) AS sa, sum(k*-11e-1*f/x) AS sc, sum(k*-ln(x)*f) AS sp FROM p GROUP BY zone, t),
+  l AS (SELECT e.*, mu + 4e-2*coalesce(s, 0) AS lam, coalesce(s, 0) AS s, coalesce(sa, 0) AS sa, coalesce(sc, 0) AS sc, coalesce(sp, 0) AS sp, 4e-2*exp(m) AS w, span - t + 1e-2 AS y FROM e LEFT JOIN q USING (zone, t)),
+  i AS (SELECT *, pow(y, -1e-1) AS hi, pow(1e-2, -1e-1) AS lo FROM l),
+  j AS (SELECT *, w*(hi - lo)/-1e-1 AS tail, w*((hi*ln(y) - lo*ln(1e-2))/1e-1 + (hi - lo)/1e-2) AS tail_p FROM i)
+  SELECT zone, max(n) AS n_events, round(max(mu*span) + sum(tail) - sum(ln(lam)), 3) AS nll, 0.0 + round(max(mu*span) - sum(mu/lam), 3) AS d_ln_mu, 0.0 + round(sum(tail) - sum(4e-2*s/lam), 3) AS d_ln_k,
+  0.0 + round(sum(tail*m) - sum(4e-2*sa/lam), 3) AS d_alpha, 0.0 + round(sum(w*1e-2*(pow(y, -11e-1) - pow(1e-2, -11e-1))) - sum(4e-4*sc/lam), 3) AS d_ln_c, 0.0 + round(sum(tail_p) - sum(4e-2*sp/lam), 3) AS d_p FROM j GROUP BY zone""")
+def g03b(v):
+    """Likelihood and gradient of every zone at the starting point of the fit, over all pairs."""
+    f = tg.likelihood_at_start(_zone_days(v))
+    return f.select("zone", "n_events", *[F.round(x, 3).alias(x) for x in ("nll", "d_ln_mu", "d_ln_k", "d_alpha", "d_ln_c", "d_p")])
 
 
 # ---- optional feeds -------------------------------------------------------------------------------------------------
@@ -335,12 +331,16 @@ _SRC_SUMS = ", ".join(f"sum(pow(10e0, {a!r}e0*(mag-3))*exp(-(pow(gi*2e0-lat,2)+p
 _LAG_SUMS = ", ".join(f"round(ln(1+sum({n}/pow(3e0*(step-bin)+{cc!r}e0, {p!r}e0))), 6) AS {n}" for n, _, _, p, cc in KERNELS)
 
 
-@query("G16_kernel_intensities", f"""WITH {CELL_SQL}, b AS (SELECT lat, lon, mag, ci, cj, CAST(floor((t-{ORIGIN})/864e2/3)+1 AS INT) AS bin FROM quakes WHERE t >= {ORIGIN}), c AS (SELECT ci AS gi, cj AS gj FROM cells),
-  src AS (SELECT gi, gj, bin, {_SRC_SUMS}, count(*) FILTER (b.ci=gi AND b.cj=gj) AS own FROM b, c GROUP BY 1,2,3), st AS (SELECT unnest(range(25, (SELECT max(bin) FROM b) + 1, 50)) AS step)
-  SELECT gi AS ci, gj AS cj, CAST(step AS BIGINT) AS step, {_LAG_SUMS}, round(ln(1+sum(own)), 6) AS background FROM src, st WHERE bin <= step GROUP BY 1,2,3""")
+@query("G16_kernel_intensities", f"""WITH {CELL_SQL}, b AS (SELECT lat, lon, mag, ci, cj, (t-{ORIGIN})/864e2 AS day, CAST(floor((t-{ORIGIN})/864e2/3)+1 AS INT) AS bin FROM quakes WHERE t >= {ORIGIN}), c AS (SELECT ci AS gi, cj AS gj FROM cells),
+  src AS (SELECT gi, gj, bin, {_SRC_SUMS}, count(*) FILTER (b.ci=gi AND b.cj=gj) AS own FROM b, c GROUP BY 1,2,3),
+  st AS (SELECT unnest(range(0, (SELECT max(bin) FROM b) + 1)) AS step), g AS (SELECT gi, gj, step FROM c, st),
+  x AS (SELECT gi, gj, step, {_LAG_SUMS}, round(ln(1+sum(own)), 6) AS background FROM src, st WHERE bin <= step GROUP BY 1,2,3),
+  hit AS (SELECT DISTINCT 1 AS found, ci AS gi, cj AS gj, unnest(range(CAST(greatest(floor((day-30)/3)+1, 0) AS BIGINT), CAST(floor(day/3) AS BIGINT) + 1)) AS step FROM b WHERE mag >= 5)
+  SELECT gi AS ci, gj AS cj, CAST(step AS BIGINT) AS step, {', '.join(f'coalesce(x.{k[0]}, 0) AS {k[0]}' for k in KERNELS)}, coalesce(x.background, 0) AS background,
+  CASE WHEN step*3 + 30 <= (SELECT max(dn) FROM quakes) - {ORIGIN // 86400} + 1 THEN CAST(found IS NOT NULL AS INT) END AS label
+  FROM g LEFT JOIN x USING (gi, gj, step) LEFT JOIN hit USING (gi, gj, step)""")
 def g16(v):
-    x = outlook_intensities(v).where(c("step") % 50 == 25)  # report dates; every step is computed
-    return x.select("ci", "cj", "step", *[R(c(n)).alias(n) for n in [*[k[0] for k in KERNELS], "background"]])
+    return outlook_rows(v).select("ci", "cj", "step", *[R(c(n)).alias(n) for n in [*[k[0] for k in KERNELS], "background"]], "label")
 
 
 def _two_models(feats, train, rows):
