@@ -350,18 +350,35 @@ def vector_groups(v, per: int, ending: str):
     return g.select(F.format_string(f"part-%d.{ending}", "part").alias("name"), "rows")
 
 
-@query("S21_binary_grids", """SELECT vec_id//64 AS part, CAST(vec_id % 64 AS DOUBLE) AS lat, CAST(i AS DOUBLE) AS lon, round(x, 6) AS value
-  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i % 2 = 0""")
-def s21(v):
+def vector_grids(v, cell=lambda x: x):
+    """Files of 64 vectors as a grid of 64 rows, read back by the caller from the folder this returns."""
     def grid(row):
         out = np.full((64, max(len(r["e"]) for r in row["rows"])), np.nan)
         for r in row["rows"]:
-            out[r["vec_id"] % 64, :len(r["e"])] = r["e"]
+            out[r["vec_id"] % 64, :len(r["e"])] = cell(np.array(r["e"]))
         return bi.npy_bytes(out)
     root = sk.scratch(v.spark, "grids")
     bi.write_files(vector_groups(v, 64, "npy"), root, grid)
-    cells = bi.decode_grid(v.spark, root).where("lon % 2 = 0")
-    return cells.select(F.regexp_extract("path", r"part-(-?\d+)", 1).cast("long").alias("part"), "lat", "lon", R(c("value")).alias("value"))
+    return root
+
+
+def part_number():
+    return F.regexp_extract("path", r"part-(-?\d+)", 1).cast("long").alias("part")
+
+
+@query("S21_binary_grids", """SELECT vec_id//64 AS part, CAST(vec_id % 64 AS DOUBLE) AS lat, CAST(i AS DOUBLE) AS lon, round(x, 6) AS value
+  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)""")
+def s21(v):
+    return bi.decode_grid(v.spark, vector_grids(v)).select(part_number(), "lat", "lon", R(c("value")).alias("value"))
+
+
+@query("S21b_scaled_box", """SELECT vec_id//64 AS part, 20 + (vec_id % 64)/4e0 AS lat, 120 + i/2e0 AS lon, 0.0 + round(x*5e-1 + 1, 6) AS value
+  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE x >= 0 AND 20 + (vec_id % 64)/4e0 BETWEEN 22 AND 33 AND 120 + i/2e0 BETWEEN 1215e-1 AND 148""")
+def s21b(v):
+    """Packed grids with a fill value, decoded in a box; negative cells are stored as fill."""
+    root = vector_grids(v, lambda x: np.where(x < 0, -9999.0, x))
+    cells = bi.decode_grid(v.spark, root, lat0=20.0, lon0=120.0, dlat=0.25, dlon=0.5, fill=-9999.0, scale=0.5, offset=1.0, bbox=(22.0, 33.0, 121.5, 148.0))
+    return cells.select(part_number(), "lat", "lon", R(c("value")).alias("value"))
 
 
 @query("S22_sample_files", """WITH s AS (SELECT vec_id//16 AS part, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT part, count(*) AS n, round(sum(x), 4) AS total, round(max(x), 6) AS high, 2e1 AS fs FROM s GROUP BY 1""")
@@ -376,17 +393,18 @@ def s22(v):
 
 # ---- spectral jobs --------------------------------------------------------------------------------------------------
 
-def third(i, n=3):
-    """One of the equal parts of the vector, as a channel of samples."""
-    size = F.floor(F.size("embedding") / n).cast("int")
-    return F.transform(F.slice("embedding", size * i + 1, size), lambda x: x.cast("double"))
+def channel(samples, i, n=3):
+    """One of n equally long parts that cover all samples; where n does not divide their number the last parts overlap by a sample or two."""
+    size = F.ceil(F.size(samples) / n).cast("int")
+    start = F.greatest(F.least(size * i, F.size(samples) - size), lit(0))
+    return F.transform(F.slice(samples, start + 1, size), lambda x: x.cast("double"))
 
 
-def long_records(v, per: int = 128):
-    """Vectors of `per` consecutive ids, end to end in three channels: records long enough for every band."""
-    parts = v.table("embeddings").select("vec_id", F.floor(c("vec_id") / per).alias("rec"), third(0).alias("z"), third(1).alias("x"), third(2).alias("y"))
-    sorted_ = parts.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "z", "x", "y"))).alias("s"))
-    return sorted_.select("rec", *[F.flatten(c(f"s.{k}")).alias(k) for k in ("z", "x", "y")])
+def long_records(v, per: int = 96):
+    """Vectors of `per` consecutive ids, end to end, cut into three channels: records long enough for every band."""
+    parts = v.table("embeddings").select("vec_id", F.floor(c("vec_id") / per).alias("rec"), "embedding")
+    joined = parts.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("s")).select("rec", F.flatten(c("s.embedding")).alias("all"))
+    return joined.select("rec", *[channel("all", i).alias(k) for i, k in enumerate("zxy")])
 
 
 @query("A61_waveform_features")
@@ -398,7 +416,7 @@ def a61(v):
 
 @query("A62_ulf_features")
 def a62(v):
-    w = v.table("embeddings").select("vec_id", third(0, 2).alias("z"), third(1, 2).alias("h"))
+    w = v.table("embeddings").select("vec_id", channel("embedding", 0, 2).alias("z"), channel("embedding", 1, 2).alias("h"))
     r = w.select("vec_id", sp.ulf_features()("z", "h").alias("f")).select("vec_id", "f.*")
     return r.select("vec_id", *[R(c(x)).alias(x) for x in r.columns[1:]])
 

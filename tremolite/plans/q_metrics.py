@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs
-from . import features as ft
+from ..operators import expand as ex, joins as jn, metrics as mt, ordered as od, resample as rs, sinks as sk
+from . import features as ft, seismicity as se
 from .q_basic import DAY, R
 from .q_features import KEYS, PAST, cat
-from .q_joins import GRID_SQL, grid_points, isolated
+from .q_joins import CELL_SQL, GRID_SQL, catalogue_cells, grid_points, isolated
 from .q_seismic import FORECAST_SQL, MODELS, T0, forecasts
 from .q_windows import pre_event_z, _PREZ, _gsql
 from .registry import query
@@ -284,36 +286,68 @@ def f19(v):
     return b.select("lat_min", "lon_min", "mag_min", F.to_json(cell).alias("cell_json"))
 
 
-STARTS = [1400, 1580, 1760, 1940]
+# Days of a test window, days from one window to the next, days of the catalogue before the first.
+TEST_DAYS, TEST_STEP, TRAIN_DAYS = 7, 30, 365
+
+_WINDOWS = CELL_SQL + f""", q AS (SELECT *, (t-788918400)/864e2 AS day FROM quakes), b AS (SELECT floor(min(day))+{TRAIN_DAYS} AS f, max(day) AS l FROM q),
+  w AS (SELECT k, f+{TEST_STEP}*k AS start FROM (SELECT f, unnest(range(0, CAST(floor((l-{TEST_DAYS}-f)/{TEST_STEP}) AS BIGINT)+1)) AS k FROM b)),
+  cc AS (SELECT k, ci, cj, count(*) FILTER (mag>=5) AS m5, count(*) FILTER (mag>=3) AS m3 FROM w JOIN q ON day < start GROUP BY 1,2,3),
+  g AS (SELECT w.k, start, cells.ci, cells.cj, coalesce(m5,0) AS m5, coalesce(m3,0) AS m3 FROM cells CROSS JOIN w LEFT JOIN cc ON cc.k=w.k AND cc.ci=cells.ci AND cc.cj=cells.cj),
+  tt AS (SELECT k, sum(m5) AS t5, sum(m3) AS t3, count(*) AS n FROM g GROUP BY 1),
+  sm AS (SELECT g.k, g.ci, g.cj, sum(exp(-5e-1*(pow((g.ci-s.ci)*2,2)+pow((g.cj-s.cj)*2,2))/4e0)*s.m5)/sum(exp(-5e-1*(pow((g.ci-s.ci)*2,2)+pow((g.cj-s.cj)*2,2))/4e0)) AS sm FROM g JOIN g s ON s.k = g.k AND s.m5 > 0 GROUP BY 1,2,3),
+  tr AS (SELECT g.k, g.ci, g.cj, sum(4e-2*exp(mag-3)*greatest((pow(start-day+{TEST_DAYS}+1e-2, 1-11e-1)-pow(start-day+1e-2, 1-11e-1))/(1-11e-1), 0)*exp(-5e-1*(pow(lat-g.ci*2,2)+pow(lon-g.cj*2,2)))) AS tr FROM g JOIN q ON abs(lat-g.ci*2) <= 3 AND abs(lon-g.cj*2) <= 3 AND day < start AND day > start-365 WHERE mag >= 4 GROUP BY 1,2,3),
+  ob AS (SELECT k, ci, cj, count(*) AS obs FROM w JOIN q ON day >= start AND day < start+{TEST_DAYS} WHERE mag >= 5 GROUP BY 1,2,3),
+  fc AS (SELECT g.k, g.start, g.ci, g.cj, coalesce(obs,0) AS obs, t5/greatest(start,1)*{TEST_DAYS}/n AS uniform, coalesce(sm,0)/greatest(start,1)*{TEST_DAYS} AS smoothed, m3/greatest(t3,1)*(t5/greatest(start,1)*{TEST_DAYS}) AS relative_intensity, m5/greatest(start,1)*{TEST_DAYS} + coalesce(tr,0)*1e-2 AS simple_etas
+    FROM g JOIN tt USING (k) LEFT JOIN sm USING (k, ci, cj) LEFT JOIN tr USING (k, ci, cj) LEFT JOIN ob USING (k, ci, cj)),
+  ml AS (SELECT k, start, ci, cj, obs, unnest(['uniform','smoothed','relative_intensity','simple_etas']) AS model, unnest([uniform, smoothed, relative_intensity, simple_etas]) AS rate FROM fc),
+  rk AS (SELECT *, row_number() OVER x AS place, sum(obs) OVER (x ROWS UNBOUNDED PRECEDING) AS cum, sum(obs) OVER (PARTITION BY model, k) AS tob, count(*) OVER (PARTITION BY model, k) AS n FROM ml WINDOW x AS (PARTITION BY model, k ORDER BY round(rate, 12) DESC, ci, cj)),
+  ws AS (SELECT model, k, start, sum(rate) AS tf, CAST(sum(obs) AS BIGINT) AS tob, sum(obs*ln(greatest(rate,1e-10)) - greatest(rate,1e-10)) AS ll,
+    CASE WHEN max(tob) > 0 THEN 1 - 2*sum((2e0 - (cum-obs)/greatest(tob,1) - cum/greatest(tob,1))/2/n) ELSE 0 END AS skill FROM (SELECT model, k, start, rate, obs, cum, tob, n FROM rk) GROUP BY 1,2,3)"""
 
 
-def _window_sql(start):
-    test = _TEST.replace("2090", str(start + 90)).replace("2000", str(start))
-    return f"SELECT * FROM (WITH {test} SELECT model, {start} AS start, sum(rate) AS tf, CAST(sum(obs) AS BIGINT) AS tob, sum(obs*ln(greatest(rate,1e-10)) - greatest(rate,1e-10)) AS ll FROM ml GROUP BY 1) w{start}"
+def window_forecasts(v):
+    """Rates and observed events per (window, cell); windows follow each other from the first year's end to the end of the catalogue."""
+    b = v.quakes.agg(F.min("t").alias("a"), F.max("t").alias("z")).first()
+    first = (b["a"] - T0) // DAY + TRAIN_DAYS
+    count = math.floor(((b["z"] - T0) / DAY - TEST_DAYS - first) / TEST_STEP) + 1
+    return se.sliding_forecasts(v.quakes, catalogue_cells(v), first, TEST_STEP, count, TEST_DAYS, T0)
 
 
-_WINDOWS = "(" + " UNION ALL ".join(_window_sql(s) for s in STARTS) + ")"
+def cell_skill(rows, keys, score, hits, cells):
+    """1 - 2 x area under the miss curve of cells taken in falling order of `score`; 0 where nothing happened."""
+    order = W.partitionBy(*keys).orderBy(F.round(score, 12).desc(), *cells)  # cells of one window
+    x = rows.withColumns({"_cum": F.sum(hits).over(order.rowsBetween(W.unboundedPreceding, 0)), "_tot": F.sum(hits).over(W.partitionBy(*keys)), "_n": F.count(lit(1)).over(W.partitionBy(*keys))})
+    tot = F.greatest("_tot", lit(1))
+    strip = (lit(2.0) - (c("_cum") - c(hits)) / tot - c("_cum") / tot) / 2 / c("_n")
+    return x.groupBy(*keys).agg(F.when(F.max("_tot") > 0, lit(1.0) - lit(2.0) * F.sum(strip)).otherwise(0.0).alias("skill"))
 
 
 def forecast_windows(v):
     """Scores of every reference model in every test window, one row each."""
-    m = None
-    for s in STARTS:
-        p = by_model(with_observed(v, s, 90)).withColumn("start", lit(s))
-        m = p if m is None else m.unionByName(p)
+    m = sk.materialized(window_forecasts(v).unpivot(["k", "start", "ci", "cj", "obs"], MODELS, "model", "rate"), "forecast-windows")
     rate = F.greatest(c("rate"), lit(1e-10))
-    return m.groupBy("model", "start").agg(F.sum("rate").alias("tf"), F.sum("obs").alias("tob"), F.sum(c("obs") * F.log(rate) - rate).alias("ll"))
+    g = m.groupBy("model", "k", "start").agg(F.sum("rate").alias("tf"), F.sum("obs").alias("tob"), F.sum(c("obs") * F.log(rate) - rate).alias("ll"))
+    return g.join(cell_skill(m, ["model", "k"], "rate", "obs", ["ci", "cj"]), ["model", "k"])
 
 
-@query("G14_forecast_windows", f"SELECT model, start, round(tf, 6) AS total_forecast, tob AS total_observed, round(ll, 5) AS log_likelihood FROM {_WINDOWS} w")
+@query("G14_forecast_windows", f"WITH {_WINDOWS} SELECT model, k AS window_id, CAST(start AS BIGINT) AS start, round(tf, 6) AS total_forecast, tob AS total_observed, round(ll, 5) AS log_likelihood, 0.0 + round(skill, 4) AS skill FROM ws")
 def g14(v):
-    return forecast_windows(v).select("model", "start", R(c("tf")).alias("total_forecast"), c("tob").alias("total_observed"), R(c("ll"), 5).alias("log_likelihood"))
+    return forecast_windows(v).select("model", c("k").alias("window_id"), c("start").cast("long").alias("start"), R(c("tf")).alias("total_forecast"), c("tob").alias("total_observed"),
+                                      R(c("ll"), 5).alias("log_likelihood"), R(c("skill") + lit(1e-12), 4).alias("skill"))
 
 
-@query("A50_benchmark_rollup", f"SELECT model, count(*) AS windows, round(avg(ll), 5) AS mean_ll, round(stddev_samp(ll), 5) AS sd_ll, CAST(sum(tob) AS BIGINT) AS observed, round(sum(tf), 5) AS forecast FROM {_WINDOWS} w GROUP BY 1")
+@query("A50_benchmark_rollup", f"WITH {_WINDOWS} SELECT model, count(*) AS windows, round(avg(ll), 5) AS mean_ll, round(stddev_samp(ll), 5) AS sd_ll, CAST(sum(tob) AS BIGINT) AS observed, round(sum(tf), 5) AS forecast, round(avg(skill), 6) AS mean_skill FROM ws GROUP BY 1")
 def a50(v):
     g = forecast_windows(v)
-    return g.groupBy("model").agg(F.count(lit(1)).alias("windows"), R(F.avg("ll"), 5).alias("mean_ll"), R(F.stddev_samp("ll"), 5).alias("sd_ll"), F.sum("tob").alias("observed"), R(F.sum("tf"), 5).alias("forecast"))
+    return g.groupBy("model").agg(F.count(lit(1)).alias("windows"), R(F.avg("ll"), 5).alias("mean_ll"), R(F.stddev_samp("ll"), 5).alias("sd_ll"), F.sum("tob").alias("observed"), R(F.sum("tf"), 5).alias("forecast"),
+                                  R(F.avg("skill")).alias("mean_skill"))
+
+
+@query("A33b_cell_skill", f"WITH {_WINDOWS} SELECT model, CAST(count(*) FILTER (tob > 0) AS BIGINT) AS windows, round(avg(skill) FILTER (tob > 0), 6) AS mean_skill, round(max(skill) FILTER (tob > 0), 6) AS best_skill FROM ws GROUP BY 1")
+def a33b(v):
+    g = forecast_windows(v)
+    hit = c("tob") > 0
+    return g.groupBy("model").agg(F.count_if(hit).alias("windows"), R(F.avg(F.when(hit, c("skill")))).alias("mean_skill"), R(F.max(F.when(hit, c("skill")))).alias("best_skill"))
 
 
 @query("G12_spatial_smoothing", f"""WITH {_FC90}, p AS (SELECT ci, cj, 1-exp(-simple_etas) AS p FROM fc) SELECT a.ci, a.cj, round(sum(b.p*exp(-5e-1*(pow((a.ci-b.ci)*2,2)+pow((a.cj-b.cj)*2,2))/4e0))/sum(exp(-5e-1*(pow((a.ci-b.ci)*2,2)+pow((a.cj-b.cj)*2,2))/4e0)), 9) AS smoothed FROM p a JOIN p b ON abs(a.ci-b.ci)<=1 AND abs(a.cj-b.cj)<=1 GROUP BY 1,2""")

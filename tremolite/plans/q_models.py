@@ -241,29 +241,78 @@ def g07b(v):
     return fd.feed_table(v, base_grid(v)).select("ci", "cj", "step", *[R(c(n) + lit(1e-9)).alias(n) for n in fd.FEATURES])
 
 
-def gnss_features(days, keys, first, last, window=30):
-    """Station-day displacements to (cell, step) features; a station-day reaches the `window` steps after it."""
+# Days of the window, of a transient record, of its baseline and of its recent part; least points of record, baseline and
+# recent part; quietest baseline rate; floor of the earlier displacement; least points and spread of the anomaly count.
+GNSS_DAYS, RECORD, BASELINE, RECENT = 30, 180, 90, 7
+LEAST_RECORD, LEAST_BASELINE, LEAST_RECENT, QUIET, EARLIER_FLOOR, LEAST_ANOMALY, SPREAD_FLOOR = 10, 5, 2, 1e-3, 0.01, 5, 0.1
+
+
+def _reach(df, days):
+    """Every row once per step of the `days` steps after its day."""
+    return df.withColumn("step", F.explode(F.sequence(c("dn") + 1, c("dn") + days)))
+
+
+def transients(daily, keys):
+    """Recent over baseline displacement rate per (cell, step) from the cell-days (dn, d) of the last RECORD days; absent rows count as 0."""
+    k = [*keys, "step"]
+    r = _reach(daily, RECORD)
+    r = r.join(r.groupBy(*k).agg(F.max("dn").alias("_top"), F.count(lit(1)).alias("_all")), k)
+    old, new = (c("dn") >= c("_top") - BASELINE) & (c("dn") < c("_top") - RECENT), c("dn") >= c("_top") - RECENT
+    end = lambda f, on: f(F.when(on, F.struct("dn", "d")))
+    g = r.groupBy(*k).agg(F.max("_all").alias("n"), F.count_if(old).alias("n_old"), F.count_if(new).alias("n_new"), end(F.min, old).alias("a"), end(F.max, old).alias("b"), end(F.min, new).alias("e"), end(F.max, new).alias("f"))
+    rate = lambda x, y: F.abs(F.try_divide(c(f"{y}.d") - c(f"{x}.d"), c(f"{y}.dn") - c(f"{x}.dn")))
+    g = g.withColumns({"_old": rate("a", "b"), "_new": rate("e", "f")})
+    usable = (c("n") >= LEAST_RECORD) & (c("n_old") >= LEAST_BASELINE) & (c("n_new") >= LEAST_RECENT) & c("_old").isNotNull() & c("_new").isNotNull()
+    return g.where(usable).select(*k, F.when(c("_old") < QUIET, c("_new") * 100).otherwise(c("_new") / c("_old")).alias("gnss_transient"))
+
+
+def gnss_features(days, keys):
+    """Station-day displacements to (cell, step) features, for every step that a station-day reaches within GNSS_DAYS.
+
+    With the columns xk, yk (kilometres from the cell's middle) the strain of the latest day is added. A station-day counts as recent for
+    GNSS_DAYS steps and as earlier for as many more; what follows the scan is bounded by cells and calendar.
+    """
     d = days.withColumn("disp", sp.horizontal_norm(c("dx"), c("dy")))
-    lo, hi = F.greatest(c("dn") + 1, lit(first)), F.least(c("dn") + window, lit(last))
-    r = d.select(*keys, "station", "dn", "dx", "dy", "dz", "disp", *[x for x in ("xk", "yk") if x in d.columns], F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("step"))
     k = [*keys, "step"]
-    g = r.groupBy(*k).agg(F.max("disp").alias("gnss_disp_max"), F.avg("disp").alias("_m"), F.stddev_pop("disp").alias("_s"), F.count(lit(1)).alias("_n"), F.max("dn").alias("_last"),
-                          F.min(F.struct("dn", "dz")).alias("_a"), F.max(F.struct("dn", "dz")).alias("_b"))
-    hot = r.join(g.select(*k, (c("_m") + lit(2.0) * F.greatest("_s", lit(0.1))).alias("_cut"), c("_n").alias("_k")), k).groupBy(*k).agg(F.count_if((c("disp") > c("_cut")) & (c("_k") >= 5)).alias("gnss_anomaly_count"))
+    far = _reach(d.select(*keys, "station", "dn", "dx", "dy", "dz", "disp", *[x for x in ("xk", "yk") if x in d.columns]), 2 * GNSS_DAYS)
+    recent = c("step") - c("dn") <= GNSS_DAYS
+    now = lambda x: F.when(recent, c(x))
+    g = far.groupBy(*k).agg(F.max(now("disp")).alias("gnss_disp_max"), F.avg(now("disp")).alias("_m"), F.stddev_pop(now("disp")).alias("_s"), F.count_if(recent).alias("_n"), F.max(now("dn")).alias("_last"),
+                            F.avg(F.when(~recent, c("disp"))).alias("_before"), F.min(F.when(recent, F.struct("dn", "dz"))).alias("_a"), F.max(F.when(recent, F.struct("dn", "dz"))).alias("_b")).where("_n > 0")
+    r = far.where(recent)
+    hot = r.join(g.select(*k, (c("_m") + lit(2.0) * F.greatest("_s", lit(SPREAD_FLOOR))).alias("_cut"), c("_n").alias("_k")), k).groupBy(*k).agg(
+        F.count_if((c("disp") > c("_cut")) & (c("_k") >= LEAST_ANOMALY)).alias("gnss_anomaly_count"))
     span = c("_b.dn") - c("_a.dn")
-    rate = F.when((c("_n") >= 3) & (span > 0), F.try_divide(c("_b.dz") - c("_a.dz"), span)).otherwise(0.0)
-    out = g.join(hot, k).withColumn("gnss_vertical_rate", rate)
+    out = g.join(hot, k).withColumn("gnss_vertical_rate", F.when((c("_n") >= 3) & (span > 0), F.try_divide(c("_b.dz") - c("_a.dz"), span)).otherwise(0.0))
+    out = out.withColumn("gnss_disp_accel", F.when(c("_before").isNull(), 0.0).otherwise(c("_m") / F.greatest("_before", lit(EARLIER_FLOOR))))
+    out = out.join(transients(d.groupBy(*keys, "dn").agg(F.avg("disp").alias("d")), keys), k, "left").withColumn("gnss_transient", F.coalesce("gnss_transient", lit(0.0)))
     if "xk" in d.columns:
         latest = r.join(g.select(*k, c("_last").alias("dn")), [*k, "dn"])
         out = out.join(plane_strain(latest, k, "xk", "yk", "dx", "dy").select(*k, c("strain").alias("gnss_strain")), k, "left").withColumn("gnss_strain", F.coalesce("gnss_strain", lit(0.0)))
     return out
 
 
-@query("G08_gnss_features", f"""WITH {_GN}, d AS (SELECT *, sqrt(dx*dx+dy*dy) AS disp FROM gn), r AS (SELECT d.*, s.s AS step FROM d JOIN range(19738, 19755) s(s) ON s.s > dn AND s.s <= dn + 30), g AS (SELECT gi, gj, step, max(disp) AS mx, avg(disp)+2*greatest(stddev_pop(disp), 1e-1) AS cut, count(*) AS n, arg_min(dz, (dn, dz)) AS z0, arg_max(dz, (dn, dz)) AS z1, max(dn)-min(dn) AS sp FROM r GROUP BY 1,2,3)
-  SELECT gi, gj, step, round(any_value(mx), 6) AS gnss_disp_max, count(*) FILTER (disp > cut AND n >= 5) AS gnss_anomaly_count, 0.0 + round(any_value(CASE WHEN n >= 3 AND sp > 0 THEN (z1-z0)/sp ELSE 0 END), 6) AS gnss_vertical_rate FROM r JOIN g USING (gi, gj, step) GROUP BY 1,2,3""")
+@query("G08_gnss_features", f"""WITH {_GN}, d AS (SELECT *, sqrt(dx*dx+dy*dy) AS disp, (lo-gj*10)*11132e-2*cos(radians(gi*10)) AS xk, (la-gi*10)*11132e-2 AS yk FROM gn),
+  fr AS (SELECT d.*, unnest(range(dn+1, dn+61)) AS step FROM d), r AS (SELECT * FROM fr WHERE step - dn <= 30),
+  pv AS (SELECT gi, gj, step, avg(disp) AS before FROM fr WHERE step - dn > 30 GROUP BY 1,2,3),
+  g AS (SELECT gi, gj, step, max(disp) AS mx, avg(disp) AS md, avg(disp)+2*greatest(stddev_pop(disp), 1e-1) AS cut, count(*) AS n, arg_min(dz, (dn, dz)) AS z0, arg_max(dz, (dn, dz)) AS z1, max(dn)-min(dn) AS sp, max(dn) AS last FROM r GROUP BY 1,2,3),
+  an AS (SELECT gi, gj, step, count(*) FILTER (disp > cut AND n >= 5) AS k FROM r JOIN g USING (gi, gj, step) GROUP BY 1,2,3),
+  cd AS (SELECT gi, gj, dn, avg(disp) AS d FROM d GROUP BY 1,2,3), h AS (SELECT *, unnest(range(dn+1, dn+181)) AS step FROM cd), ht AS (SELECT *, max(dn) OVER (PARTITION BY gi, gj, step) AS top, count(*) OVER (PARTITION BY gi, gj, step) AS n FROM h),
+  tb AS (SELECT gi, gj, step, max(n) AS n, count(*) AS nb, (arg_max(d, dn)-arg_min(d, dn))/nullif(max(dn)-min(dn), 0) AS rb FROM ht WHERE dn >= top-90 AND dn < top-7 GROUP BY 1,2,3),
+  tn AS (SELECT gi, gj, step, count(*) AS nn, (arg_max(d, dn)-arg_min(d, dn))/nullif(max(dn)-min(dn), 0) AS rn FROM ht WHERE dn >= top-7 GROUP BY 1,2,3),
+  tr AS (SELECT gi, gj, step, CASE WHEN abs(rb) < 1e-3 THEN abs(rn)*100 ELSE abs(rn)/abs(rb) END AS tr FROM tb JOIN tn USING (gi, gj, step) WHERE n >= 10 AND nb >= 5 AND nn >= 2 AND rb IS NOT NULL AND rn IS NOT NULL),
+  m AS (SELECT gi, gj, dn, count(*) AS n, covar_pop(dx,xk) AS ux, covar_pop(dx,yk) AS uy, covar_pop(dy,xk) AS wx, covar_pop(dy,yk) AS wy, var_pop(xk) AS cx, var_pop(yk) AS cy, covar_pop(xk,yk) AS cxy FROM d GROUP BY 1,2,3 HAVING count(*) >= 3),
+  s AS (SELECT *, cx*cy-cxy*cxy AS det FROM m), z AS (SELECT gi, gj, dn, (ux*cy-uy*cxy)/det AS a, (uy*cx-ux*cxy)/det AS b, (wx*cy-wy*cxy)/det AS c, (wy*cx-wx*cxy)/det AS d, coalesce(det/nullif(cx*cy,0), 0) >= 1e-9 AS ok FROM s),
+  st AS (SELECT gi, gj, dn, CASE WHEN ok THEN sqrt(a*a+d*d+2*pow((b+c)/2,2))*1000 ELSE 0 END AS strain FROM z)
+  SELECT g.gi, g.gj, g.step, round(mx, 6) AS gnss_disp_max, k AS gnss_anomaly_count, 0.0 + round(CASE WHEN n >= 3 AND sp > 0 THEN (z1-z0)/sp ELSE 0 END, 6) AS gnss_vertical_rate,
+  round(CASE WHEN before IS NULL THEN 0 ELSE md/greatest(before, 1e-2) END, 6) AS gnss_disp_accel, round(coalesce(tr, 0), 4) AS gnss_transient, round(coalesce(strain, 0), 2) AS gnss_strain
+  FROM g JOIN an USING (gi, gj, step) LEFT JOIN pv USING (gi, gj, step) LEFT JOIN tr USING (gi, gj, step) LEFT JOIN st ON st.gi=g.gi AND st.gj=g.gj AND st.dn=g.last""")
 def g08(v):
-    f = gnss_features(gnss_days(v), ["gi", "gj"], 19738, 19754)
-    return f.select("gi", "gj", "step", R(c("gnss_disp_max")).alias("gnss_disp_max"), "gnss_anomaly_count", R(c("gnss_vertical_rate")).alias("gnss_vertical_rate"))
+    d = gnss_days(v)
+    d = d.withColumns({"xk": (c("lo") - c("gj") * 10) * lit(sp.DEG_KM) * F.cos(F.radians(c("gi") * 10)), "yk": (c("la") - c("gi") * 10) * lit(sp.DEG_KM)})
+    f = gnss_features(d, ["gi", "gj"])
+    return f.select("gi", "gj", "step", R(c("gnss_disp_max")).alias("gnss_disp_max"), "gnss_anomaly_count", R(c("gnss_vertical_rate")).alias("gnss_vertical_rate"),
+                    R(c("gnss_disp_accel")).alias("gnss_disp_accel"), R(c("gnss_transient"), 4).alias("gnss_transient"), R(c("gnss_strain"), 2).alias("gnss_strain"))
 
 
 # ---- outlook --------------------------------------------------------------------------------------------------------

@@ -215,3 +215,41 @@ def reference_forecasts(quakes: DataFrame, grid: DataFrame, start: int, window:
     return out.select("ci", "cj", (c("tot5") / days * w / c("cells")).alias("uniform"), (F.coalesce("sm", lit(0.0)) / days * w).alias("smoothed"),
                       (c("m3") / F.greatest(c("tot3"), lit(1)) * (c("tot5") / days * w)).alias("relative_intensity"),
                       (c("m5") / days * w + F.coalesce("tr", lit(0.0)) * lit(0.01)).alias("simple_etas"))
+
+
+def sliding_forecasts(quakes: DataFrame, grid: DataFrame, first: int, step: int, count: int, window: int, t0: int, sigma: float = 2.0) -> DataFrame:
+    """The rates of `reference_forecasts` and the observed M>=5 events for every test window `k` at once: day `first + step * k` on, `window` days long.
+
+    An event enters the counts of its cell at the first window behind it, so running sums over the calendar give every window's
+    training counts from one scan; the kernel is summed along one axis, then the other; a recent event meets the windows of
+    the next 365 days and the cells within 3 degrees.
+    """
+    day, keys = c("day"), ["k", "ci", "cj"]
+    q = quakes.withColumn("day", (c("t") - t0) / lit(float(DAY)))
+    behind = F.greatest(F.floor((day - first) / lit(float(step))) + 1, lit(0))
+    counts = q.withColumn("k", behind).where(c("k") < count).groupBy(*keys).agg(F.count_if(c("mag") >= 5).alias("m5"), F.count_if(c("mag") >= 3).alias("m3"))
+    g = grid.withColumn("k", F.explode(F.sequence(lit(0).cast("long"), lit(count - 1).cast("long")))).join(counts, keys, "left")
+    calendar, cells = W.partitionBy("ci", "cj").orderBy("k"), W.partitionBy("k")  # windows of a cell, cells of a window
+    g = g.select(*keys, *[F.coalesce(F.sum(x).over(calendar), lit(0)).alias(x) for x in ("m5", "m3")])
+    g = g.withColumns({"tot5": F.sum("m5").over(cells), "tot3": F.sum("m3").over(cells), "cells": F.count(lit(1)).over(cells)})
+    start = (lit(first) + lit(step) * c("k")).cast("double")
+    corner = grid.agg(*[f(x).alias(f"{x}{n}") for x in ("ci", "cj") for n, f in ((0, F.min), (1, F.max))]).first()
+    kernel = lambda a, b: F.exp(lit(-0.5 / (sigma * sigma)) * F.pow((c(a) - c(b)) * 2.0, 2))
+    across = lambda x: F.explode(F.sequence(lit(corner[f"{x}0"]), lit(corner[f"{x}1"])))
+    row = g.where("m5 > 0").select("k", c("ci").alias("si"), c("cj").alias("sj"), "m5", across("cj").alias("cj"))
+    row = row.groupBy("k", "si", "cj").agg(F.sum(kernel("cj", "sj") * c("m5")).alias("a"), F.sum(kernel("cj", "sj")).alias("b"))
+    both = row.withColumn("ci", across("ci"))
+    smooth = both.groupBy(*keys).agg((F.sum(kernel("ci", "si") * c("a")) / F.sum(kernel("ci", "si") * c("b"))).alias("sm"))
+    last = F.least(F.ceil((day + 365 - first) / lit(float(step))) - 1, lit(count - 1))
+    recent = q.where(c("mag") >= 4).select("lat", "lon", "mag", "day", "ci", "cj", F.explode(F.when(behind <= last, F.sequence(behind, last))).alias("k"))
+    near = jn.neighbours(recent, k=2, include_self=True).where((F.abs(c("lat") - c("ni") * 2.0) <= 3) & (F.abs(c("lon") - c("nj") * 2.0) <= 3))
+    dist2 = F.pow(c("lat") - c("ni") * 2.0, 2) + F.pow(c("lon") - c("nj") * 2.0, 2)
+    felt = ph.omori_integral(c("mag"), start - day, start - day + lit(float(window))) * F.exp(lit(-0.5) * dist2)
+    trig = near.groupBy("k", c("ni").alias("ci"), c("nj").alias("cj")).agg(F.sum(felt).alias("tr"))
+    from_k, to_k = F.greatest(F.floor((day - window - first) / lit(float(step))) + 1, lit(0)), F.least(F.floor((day - first) / lit(float(step))), lit(count - 1))
+    seen = q.where(c("mag") >= 5).select("ci", "cj", F.explode(F.when(from_k <= to_k, F.sequence(from_k, to_k))).alias("k")).groupBy(*keys).agg(F.count(lit(1)).alias("obs"))
+    out = g.join(smooth, keys, "left").join(trig, keys, "left").join(seen, keys, "left")
+    w, days = lit(float(window)), F.greatest(start, lit(1.0))
+    return out.select(*keys, start.alias("start"), (c("tot5") / days * w / c("cells")).alias("uniform"), (F.coalesce("sm", lit(0.0)) / days * w).alias("smoothed"),
+                      (c("m3") / F.greatest(c("tot3"), lit(1)) * (c("tot5") / days * w)).alias("relative_intensity"),
+                      (c("m5") / days * w + F.coalesce("tr", lit(0.0)) * lit(0.01)).alias("simple_etas"), F.coalesce("obs", lit(0)).alias("obs"))
