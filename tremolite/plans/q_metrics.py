@@ -430,7 +430,7 @@ def a57(v):
     return drift_series(vector_rows(v)).select("bin", R(c("drift"), 8).alias("drift"))
 
 
-@query("A58_theil_sen", f"WITH {_VEC} SELECT 0.0 + round(quantile_cont((b.drift-a.drift)/(b.bin-a.bin), 0.5), 8) AS slope, CAST(count(*) AS INT) AS n_pairs FROM dr a JOIN dr b ON b.bin > a.bin")
+@query("A58_theil_sen", f"WITH {_VEC} SELECT 0.0 + round(quantile_cont((b.drift-a.drift)/(b.bin-a.bin), 0.5), 8) AS slope, count(*) AS n_pairs FROM dr a JOIN dr b ON b.bin > a.bin")
 def a58(v):
     return rs.theil_sen(drift_series(vector_rows(v)), [], "bin", "drift").select(R(c("slope"), 8).alias("slope"), "n_pairs")
 
