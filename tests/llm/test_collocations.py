@@ -70,7 +70,8 @@ def test_trie_like_a_dictionary():
         phrases = sorted({tuple(words[min(int(rng.expovariate(8 / size)), size - 1)] for _ in range(rng.choice([2, 3]))) for _ in range(n)})
         trie = col.Trie([list(p) for p in phrases])
         tokens = [w for _ in range(4000) for w in (*rng.choice(phrases), rng.choice([*words[:3], b"?"]))]
-        ids = np.array([trie.words.get(w, -1) for w in tokens])
+        number = {w.encode(): i for i, w in enumerate(trie.words.to_pylist())}
+        ids = np.array([number.get(w, -1) for w in tokens])
         for fresh in (0, 2):
             want = Counter(tuple(tokens[i:i + k]) for k in (2, 3) for i in range(len(tokens) - k + 1) if i + k - 1 >= fresh)
             assert trie.count(ids, fresh, len(phrases)).tolist() == [want[p] for p in phrases]

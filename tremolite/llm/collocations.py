@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,8 @@ c, lit = F.col, F.lit
 #: Contract values: longest phrase, least count, share of a longer phrase that drops a shorter one (per cent), rows per language.
 LONGEST, LEAST, SWALLOWED, TOP = 3, 10, 50, 2000
 #: Words and bytes that a task takes at once; bytes of phrases in a block; bytes of tries broadcast together; bits of the bitmap.
-HELD, HELD_BYTES, BLOCK_BYTES, BROADCAST_BYTES, BITS = 4_000_000, 32 << 20, 4 << 20, 64 << 20, 1 << 27
-STOP = b"."
+HELD, HELD_BYTES, BLOCK_BYTES, BROADCAST_BYTES, BITS = 500_000, 6 << 20, 4 << 20, 64 << 20, 1 << 27
+STOP = "."
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else 46 if x in b".,;:!?\n\x0b\x0c\r" else 32 if x == 9 else x for x in range(256))
 
 
@@ -37,33 +37,29 @@ _FOLD = bytes(x + 32 if 65 <= x <= 90 else 46 if x in b".,;:!?\n\x0b\x0c\r" else
 
 
 class Chunk:
-    """Some texts of one language: `words` (distinct, as bytes), `ids` per place (-1 between pieces), `fresh`: the first place not counted before."""
-
-    def __init__(self, lang: str):
-        self.lang, self.fresh, self.size, self._parts = lang, 0, 0, []
-        self._number: defaultdict[bytes, int] = defaultdict()
-        self._number.default_factory = self._number.__len__
-
-    def add(self, tokens: list[bytes]) -> None:
-        self._parts.append(np.fromiter(map(self._number.__getitem__, tokens), np.int32, len(tokens)))
-        self.size += len(tokens)
-
-    def close(self) -> Chunk:
-        self.words = list(self._number)
-        ids = np.concatenate(self._parts).astype(np.int64)
-        self.ids = np.where(ids == self._number.get(STOP, -1), -1, ids)
-        return self
-
-    def rest(self) -> Chunk:
-        """An open chunk that begins with the last words of this closed one."""
-        out = Chunk(self.lang)
-        out.add([self.words[i] if i >= 0 else STOP for i in self.ids[-(LONGEST - 1):].tolist()])
-        out.fresh = out.size
-        return out
+    """Some texts of one language: `words` (distinct), `ids` per place (-1 between pieces), `fresh`: the first place not counted before."""
+
+    def __init__(self, lang: str, tokens: list[pa.Array], fresh: int = 0):
+        coded = pa.chunked_array(tokens, pa.string()).combine_chunks().dictionary_encode()
+        self.lang, self.words, self.fresh = lang, coded.dictionary, fresh
+        ids = coded.indices.to_numpy().astype(np.int64)
+        self.ids = np.where(ids == pc.index(coded.dictionary, STOP).as_py(), -1, ids)
+
+    def numbered(self, known: pa.Array) -> np.ndarray:
+        """Per place the number of its word among the `known`, else -1."""
+        place = pc.fill_null(pc.index_in(self.words, value_set=known), -1).to_numpy().astype(np.int64)
+        return np.append(place, -1)[self.ids]
+
 
-    def numbered(self, known: dict[bytes, int]) -> np.ndarray:
-        """Per place the number that `known` gives its word, else -1."""
-        return np.array([*(known.get(w, -1) for w in self.words), -1], np.int64)[self.ids]
+def tokens_of(folded: pa.Array) -> pa.Array:
+    """The words of all texts in a row, a STOP at every end of a piece."""
+    parts = pc.ascii_split_whitespace(pc.replace_substring(folded, STOP, f" {STOP} ")).flatten()
+    return parts.filter(pc.greater(pc.binary_length(parts), 0))
+
+
+def _fold(texts: pa.Array) -> pa.Array:
+    _, offsets, data = texts.buffers()
+    return pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_FOLD)), offset=texts.offset)
 
 
 def _cut(raw: bytes, size: int) -> Iterator[bytes]:
@@ -72,7 +68,7 @@ def _cut(raw: bytes, size: int) -> Iterator[bytes]:
     while at < len(raw):
         to = at + size
         if to < len(raw):
-            ends = [x + 1 for x in (raw.find(b" ", to), raw.find(STOP, to)) if x >= 0]
+            ends = [x + 1 for x in (raw.find(b" ", to), raw.find(STOP.encode(), to)) if x >= 0]
             to = min(ends, default=len(raw))
         yield raw[at:to]
         at = to
@@ -80,20 +76,30 @@ def _cut(raw: bytes, size: int) -> Iterator[bytes]:
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """Texts (lang, text) in chunks of at most about HELD words; a phrase that spans two chunks of a text ends in the second."""
-    held: dict[str, Chunk] = {}
+    stop, part_bytes = pa.array([STOP]), HELD_BYTES // 4
+    held: dict[str, list[pa.Array]] = {}
     words = size = 0
     for b in batches:
-        for lang, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-            for part in _cut((raw or b"").translate(_FOLD), HELD_BYTES // 4):
-                new = part.replace(STOP, b" . ").split()
-                held.setdefault(lang, Chunk(lang)).add(new)
-                words, size = words + len(new), size + len(part)
-                if words >= HELD or size >= HELD_BYTES:
-                    yield from (x.close() for x in held.values())
-                    held, words, size = {lang: held[lang].rest()}, 0, 0
-            if lang in held:
-                held[lang].add([STOP])
-    yield from (x.close() for x in held.values())
+        texts = b.column(1)
+        long = pc.greater(pc.binary_length(texts), part_bytes)
+        short = b.filter(pc.invert(long))
+        for lang in pc.unique(short.column(0)).to_pylist():
+            mine = _fold(short.column(1).filter(pc.equal(short.column(0), lang)))
+            new = tokens_of(pc.binary_join_element_wise(mine, STOP, " "))
+            held.setdefault(lang, []).append(new)
+            words, size = words + len(new), size + mine.nbytes
+        if words >= HELD or size >= HELD_BYTES:
+            yield from (Chunk(x, t) for x, t in held.items())
+            held, words, size = {}, 0, 0
+        for lang, raw in zip(b.column(0).filter(long).to_pylist(), raw_texts(texts.filter(long)), strict=True):
+            begun = []  # the last words of what was counted of this text
+            for part in _cut(raw.translate(_FOLD), part_bytes):
+                new = [*begun, tokens_of(pa.array([part], pa.binary()).cast(pa.string()))]
+                yield Chunk(lang, new, sum(map(len, begun)))
+                begun = [pa.concat_arrays(new)[-(LONGEST - 1):]]
+            held.setdefault(lang, []).append(stop)
+    yield from (Chunk(x, t) for x, t in held.items())
+    pa.default_memory_pool().release_unused()
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -106,10 +112,6 @@ def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), phrases.slice(at, 50_000), pa.array(some, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def _strings(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
-
-
 # --- words, candidates --------------------------------------------------------------------------------------------------
 
 
@@ -118,57 +120,69 @@ def _count_words(batches):
         seen = chunk.ids[chunk.fresh:]
         n = np.bincount(seen[seen >= 0], minlength=len(chunk.words))
         keep = np.flatnonzero(n)
-        yield from _rows(chunk.lang, _strings([chunk.words[i] for i in keep]), n[keep])
+        yield from _rows(chunk.lang, chunk.words.take(pa.array(keep)), n[keep])
 
 
-def _bit(lang: str, phrase: bytes) -> int:
-    return zlib.crc32(phrase, zlib.crc32(lang.encode() + b"\n")) % BITS
+def _prints(lang: str, words: list[bytes]) -> np.ndarray:
+    start = zlib.crc32(lang.encode() + b"\n")
+    return np.array([zlib.crc32(w, start) for w in words], np.uint64)
+
+
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bit of a pair of words from their prints; that of a word is its print modulo BITS."""
+    x = (first << np.uint64(32) | second) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)) % np.uint64(BITS)
+
+
+def _bits_of(batches):
+    """The bits of phrases of one or two words."""
+    for b in batches:
+        out = []
+        for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p = _prints(lang, phrase.encode().split(b" "))
+            out.append(int(p[0]) % BITS if len(p) == 1 else int(_mixed(p[:1], p[1:])[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["at"])
 
 
 def bitmap(phrases: DataFrame) -> bytes:
     """The phrases (lang, phrase) as BITS bits; pages of 4 kB are made by Spark, the driver puts at most BITS / 8 bytes in place."""
-    at = F.pmod(F.crc32(F.concat_ws("\n", "lang", "phrase").cast("binary")), lit(BITS)) + 1  # Spark numbers bits from 1
-    pages = phrases.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    at = phrases.select("lang", "phrase").mapInArrow(_bits_of, "at long").select((c("at") + 1).alias("at"))  # Spark numbers bits from 1
+    pages = at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray(max(BITS // 8, 4096))
     for r in pages.toLocalIterator():
         out[(r["page"] - 1) * 4096:r["page"] * 4096] = r["bits"]
     return bytes(out)
 
 
-def _in(bits: np.ndarray, lang: str, phrases: list[bytes]) -> np.ndarray:
-    start = zlib.crc32(lang.encode() + b"\n")
-    at = np.array([zlib.crc32(x, start) for x in phrases], np.int64) % BITS
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def _set(bits: bytes, at: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _candidates(length: int, words, pairs=None):
     """Distinct phrases of `length` words of a chunk whose parts may all be frequent, with their support capped at LEAST."""
     def run(batches):
-        frequent = np.frombuffer(words.value, np.uint8)
         for chunk in chunks(batches):
-            ids = chunk.ids
-            ok = np.array([*_in(frequent, chunk.lang, chunk.words), False])[ids]  # the last entry is that of -1
+            ids, prints = chunk.ids, _prints(chunk.lang, chunk.words.cast(pa.binary()).to_pylist())
+            ok = np.append(_set(words.value, prints % np.uint64(BITS)), False)[ids]  # the last entry is that of -1
             two = np.flatnonzero(ok[:-1] & ok[1:])
-            key, place, n = np.unique(ids[two] << 32 | ids[two + 1], return_inverse=True, return_counts=True)
-            first, second = key >> 32, key & 0xFFFFFFFF
             if length == 2:
-                n = np.bincount(place[two + 1 >= chunk.fresh], minlength=len(key))
-                keep = np.flatnonzero(n)
-                parts = first[keep], second[keep]
+                two = two[two + 1 >= chunk.fresh]
+                key, n = np.unique(ids[two] << 32 | ids[two + 1], return_counts=True)
+                parts = key >> 32, key & 0xFFFFFFFF
             else:
-                w = chunk.words
-                fits = _in(np.frombuffer(pairs.value, np.uint8), chunk.lang, [w[a] + b" " + w[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)])
-                pair = np.full(len(ids), -1)
-                pair[two] = np.where(fits[place], place, -1)
-                three = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
+                pair = np.zeros(len(ids), bool)
+                pair[two] = _set(pairs.value, _mixed(prints[ids[two]], prints[ids[two + 1]]))
+                three = np.flatnonzero(pair[:-1] & pair[1:])
                 three = three[three + 2 >= chunk.fresh]
-                key, n = np.unique(pair[three] << 32 | ids[three + 2], return_counts=True)
-                keep, parts = np.arange(len(key)), (first[key >> 32], second[key >> 32], key & 0xFFFFFFFF)
-            names = _strings(chunk.words)
-            for at in range(0, len(keep), 500_000):
-                some = slice(at, at + 500_000)
-                phrases = pc.binary_join_element_wise(*[names.take(pa.array(p[some])) for p in parts], " ")
-                yield from _rows(chunk.lang, phrases, np.minimum(n[keep[some]], LEAST))
+                key, place = np.unique(ids[three] << 32 | ids[three + 1], return_inverse=True)
+                long, n = np.unique(place << 32 | ids[three + 2], return_counts=True)
+                first = key[long >> 32]
+                parts = first >> 32, first & 0xFFFFFFFF, long & 0xFFFFFFFF
+            for at in range(0, len(n), 200_000):
+                some = slice(at, at + 200_000)
+                phrases = pc.binary_join_element_wise(*[chunk.words.take(pa.array(p[some])) for p in parts], " ")
+                yield from _rows(chunk.lang, phrases, np.minimum(n[some], LEAST))
     return run
 
 
@@ -184,12 +198,13 @@ class Trie:
 
     def __init__(self, phrases: list[list[bytes]]):
         often = Counter(w for p in phrases for w in p)
-        self.words = {w: i for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}
+        number = {w: i for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}
+        self.words = pa.array(number, pa.binary()).cast(pa.string())
         self.digits = 1 + (len(self.words) > 1 << 8) + (len(self.words) > 1 << 16) + (len(self.words) > 1 << 24)
         length = np.array([len(p) for p in phrases])
         path = np.full((len(phrases), LONGEST), -1, np.int64)
         for i, p in enumerate(phrases):
-            path[i, :len(p)] = [self.words[w] for w in p]
+            path[i, :len(p)] = [number[w] for w in p]
         self.base, self.check = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self._extend(len(self.words))
         self.check[:] = -3  # kept for first words
@@ -291,8 +306,8 @@ def blocks(candidates: DataFrame) -> DataFrame:
 def _count(tries: list):
     def run(batches):
         ready: dict[str, list] = {}
-        for block, lang, phrases, data in (x.value for x in tries):
-            ready.setdefault(lang, []).append((block, phrases, pickle.loads(data)))
+        for block, lang, phrases, trie in (x.value for x in tries):
+            ready.setdefault(lang, []).append((block, phrases, trie))
         total = {}
         for chunk in chunks(batches):
             for block, phrases, trie in ready.get(chunk.lang, ()):
@@ -326,7 +341,8 @@ def count_phrases(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         if not some:
             break
         wanted = " OR ".join("(lang = '{}' AND block = {})".format(a.replace("\\", "\\\\").replace("'", "\\'"), b) for a, b in some)
-        sent = [spark.sparkContext.broadcast(tuple(r)) for r in tries.where(wanted).select("block", "lang", "phrases", "trie").toLocalIterator()]
+        rows = tries.where(wanted).select("block", "lang", "phrases", "trie").toLocalIterator()
+        sent = [spark.sparkContext.broadcast((r["block"], r["lang"], r["phrases"], pickle.loads(r["trie"]))) for r in rows]
         n = materialized(texts.mapInArrow(_count(sent), "lang string, block long, number long, n long").groupBy("lang", "block", "number").agg(F.sum("n").alias("n")), "counts")
         for b in sent:
             b.destroy()
