@@ -29,6 +29,8 @@ c, lit = F.col, F.lit
 LONGEST, LEAST, SWALLOWED, TOP = 3, 10, 50, 2000
 #: Words and bytes that a task takes at once; bytes of phrases in a block; bytes of tries broadcast together; bits of the bitmap.
 HELD, HELD_BYTES, BLOCK_BYTES, BROADCAST_BYTES, BITS = 500_000, 6 << 20, 4 << 20, 64 << 20, 1 << 27
+#: Phrases whose counts travel together.
+PAGE = 4096
 STOP = "."
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else 46 if x in b".,;:!?\n\x0b\x0c\r" else 32 if x == 9 else x for x in range(256))
 
@@ -314,15 +316,42 @@ def _count(tries: list):
                 n = trie.count(chunk.numbered(trie.words), chunk.fresh, phrases)
                 key = chunk.lang, block
                 total[key] = total[key] + n if key in total else n
+        rows = []
         for (lang, block), n in total.items():
-            keep = np.flatnonzero(n)
-            for at in range(0, len(keep), 50_000):
-                some = keep[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.array(some), pa.array(n[some])],
-                                                 names=["lang", "block", "number", "n"])
+            for part in range(0, len(n), PAGE):
+                page = n[part:part + PAGE]
+                if (keep := np.flatnonzero(page)).size:
+                    rows.append((lang, block, part // PAGE, keep.astype("<u2").tobytes(), page[keep].tobytes()))
+        for at in range(0, len(rows), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at:at + 200], strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                             names=["lang", "block", "page", "places", "counts"])
     return run
 
 
+_PAGES = "lang string, block long, page long, places binary, counts binary"
+
+
+def _add_pages(batches):
+    """Pages of counts, sorted by (lang, block, page), to one row per phrase with its sum."""
+    now, total = None, np.zeros(PAGE, np.int64)
+
+    def made():
+        keep = np.flatnonzero(total)
+        lang, block, page = now
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(keep)), pa.repeat(pa.scalar(block, pa.int64()), len(keep)), pa.array(keep + page * PAGE), pa.array(total[keep])],
+                                          names=["lang", "block", "number", "n"])
+
+    for b in batches:
+        for lang, block, page, places, counts in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if (lang, block, page) != now:
+                if now is not None:
+                    yield made()
+                now, total = (lang, block, page), np.zeros(PAGE, np.int64)
+            total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, np.int64)
+    if now is not None:
+        yield made()
+
+
 def count_phrases(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(lang, phrase, n) of all candidates (lang, phrase): one pass over the texts per BROADCAST_BYTES of tries."""
     spark = texts.sparkSession
@@ -343,7 +372,8 @@ def count_phrases(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         wanted = " OR ".join("(lang = '{}' AND block = {})".format(a.replace("\\", "\\\\").replace("'", "\\'"), b) for a, b in some)
         rows = tries.where(wanted).select("block", "lang", "phrases", "trie").toLocalIterator()
         sent = [spark.sparkContext.broadcast((r["block"], r["lang"], r["phrases"], pickle.loads(r["trie"]))) for r in rows]
-        n = materialized(texts.mapInArrow(_count(sent), "lang string, block long, number long, n long").groupBy("lang", "block", "number").agg(F.sum("n").alias("n")), "counts")
+        pages = texts.mapInArrow(_count(sent), _PAGES).repartition("lang", "block", "page").sortWithinPartitions("lang", "block", "page")
+        n = materialized(pages.mapInArrow(_add_pages, "lang string, block long, number long, n long"), "counts")
         for b in sent:
             b.destroy()
         counted = n if counted is None else counted.unionByName(n)
