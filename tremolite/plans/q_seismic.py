@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od
-from . import seismicity as se
+from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od, sinks as sk
+from . import parents as pr, seismicity as se
 from .q_basic import DAY, R
 from .q_joins import CELL_SQL, ZONE_SQL, catalogue_cells, alarm_matches, alarms_targets, stress_sources, _AT, _KPA, _NEAR, _PAIR
 from .registry import query
@@ -23,19 +23,35 @@ VALLEY = LINKS + """, le AS (SELECT event_id, parent_id, log10(greatest(eta, 1e-
 ROOTS = VALLEY + """, tree AS (SELECT event_id, event_id AS root FROM cls WHERE cluster_class = 'background' UNION ALL SELECT c.event_id, t.root FROM tree t JOIN cls c ON c.parent_id = t.event_id AND c.cluster_class = 'clustered')"""
 
 
-@query("J09_nearest_parent", f"WITH {LINKS} SELECT event_id, parent_id, round(log10(eta), 6) AS log_eta, parent_mag, round(dt, 9) AS dt_days, round(r, 5) AS dist_km FROM links")
-def j09(v):
-    p = se.nearest_parents(v.quakes)
+J09 = f"WITH {LINKS} SELECT event_id, parent_id, round(log10(eta), 6) AS log_eta, parent_mag, round(dt, 9) AS dt_days, round(r, 5) AS dist_km FROM links"
+
+
+def _links_out(p):
     return p.select("event_id", "parent_id", R(c("log_eta")).alias("log_eta"), "parent_mag", R(c("dt_days"), 9).alias("dt_days"), R(c("dist_km"), 5).alias("dist_km"))
 
 
+@query("J09_nearest_parent", J09)
+def j09(v):
+    return _links_out(se.nearest_parents(v.quakes))
+
+
+@query("J09b_bounded_parent", J09)
+def j09b(v):
+    return _links_out(pr.bounded_parents(v.quakes))
+
+
+def links(v):
+    """Links are read several times by what follows: written once."""
+    return sk.materialized(se.nearest_parents(v.quakes), "links")
+
+
 @query("A56_valley_threshold", f"WITH {VALLEY} SELECT CAST(vb AS INT) AS valley_bin, 0.0 + round(thr, 6) AS threshold FROM th")
 def a56(v):
-    return se.valley(se.nearest_parents(v.quakes), "log_eta").select("valley_bin", R(c("threshold")).alias("threshold"))
+    return se.valley(links(v), "log_eta").select("valley_bin", R(c("threshold")).alias("threshold"))
 
 
 def classed(v):
-    return se.decluster(v.quakes, se.nearest_parents(v.quakes))
+    return se.decluster(v.quakes, links(v))
 
 
 @query("G04_declustering", f"WITH {VALLEY} SELECT cluster_class, count(*) AS n, round(avg(mag), 8) AS mean_mag FROM cls GROUP BY 1")
@@ -51,7 +67,7 @@ def g05(v):
 @query("A55_sequence_statistics", f"""WITH RECURSIVE {ROOTS}, m AS (SELECT cls.*, tree.root FROM cls JOIN tree USING (event_id)), w AS (SELECT *, count(*) OVER w AS n, max(mag) OVER w AS mx, avg(mag) OVER w AS av, min(t) OVER w AS t0 FROM m WINDOW w AS (PARTITION BY root ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT event_id, root, cluster_class, n AS n_foreshocks, mx AS max_foreshock_mag, round(av, 8) AS mean_foreshock_mag, round(CASE WHEN n > 0 THEN (t-t0)/864e2 ELSE 0 END, 9) AS duration_days FROM w WHERE mag >= 5""")
 def a55(v):
-    cl = classed(v)
+    cl = sk.materialized(classed(v), "classed")
     f = se.foreshocks(cl, se.sequence_roots(cl))
     return f.withColumn("mean_foreshock_mag", R(c("mean_foreshock_mag"), 8)).withColumn("duration_days", R(c("duration_days"), 9))
 

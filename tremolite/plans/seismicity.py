@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import physics as ph, spatial as sp
 from ..operators import joins as jn, ordered as od
 from ..session import checkpoint_root
+from . import parents as pr
 
 c, lit = F.col, F.lit
 DAY = 86400
@@ -49,16 +50,20 @@ def _best_parents(max_days: float, b: float, d_frac: float):
 
 
 def nearest_parents(events: DataFrame, max_days: float = 30.0, b: float = 1.0, d_frac: float = 1.6, block: int = 2048,
-                    slots: int = 3) -> DataFrame:
+                    slots: int = 3, crowd: int = 8192) -> DataFrame:
     """The earlier event within `max_days` that minimises dt * r^d_frac * 10^(-b M), per event.
 
-    Time is cut into max_days / slots buckets and a crowded bucket into hash blocks of about `block` rows, so one array
+    Where a time bucket holds more than `crowd` events, `parents.bounded_parents` finds the same rows without evaluating whole
+    windows; below that, whole windows are cheaper. Time is cut into max_days / slots buckets and a crowded bucket into hash blocks of about `block` rows, so one array
     row holds a bounded number of events. A child block meets the candidate blocks of its own and the earlier buckets;
     pairs are formed inside the task and only the best parent per child leaves it.
     """
     width = max_days * DAY / slots
     e = events.select("event_id", c("t").cast("double").alias("t"), "lat", "lon", "mag").withColumn("tb", F.floor(c("t") / lit(width)))
-    size = e.groupBy("tb").agg(F.ceil(F.count(lit(1)) / lit(float(block))).alias("nb"))
+    count = e.groupBy("tb").agg(F.count(lit(1)).alias("n"))
+    if (count.agg(F.max("n")).first()[0] or 0) > crowd:
+        return pr.bounded_parents(events, max_days, b, d_frac, slots=slots)
+    size = count.select("tb", F.ceil(c("n") / lit(float(block))).alias("nb"))
     e = e.join(size, "tb").withColumn("blk", F.pmod(F.xxhash64("event_id"), c("nb")))
     rows = e.groupBy("tb", "blk").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "lat", "lon", "mag"))).alias("rows"))
     child = rows.select("tb", c("rows.event_id").alias("c_id"), c("rows.t").alias("c_t"), c("rows.lat").alias("c_lat"), c("rows.lon").alias("c_lon"))
