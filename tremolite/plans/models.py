@@ -119,23 +119,6 @@ def isotonic(df: DataFrame, y: str, p: str):
     return IsotonicRegression(featuresCol="s", labelCol="v", weightCol="w").fit(g)
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], label: str, score, order: str, tie: str, shift: int = 7919) -> DataFrame:
-    """AUC drop when one feature column is turned by `shift` ranks against the rows.
-
-    `score(df)` returns the score column expression; rows are ranked once, the shuffled column comes from one equi join.
-    """
-    r = sk.materialized(od.ranked(df, [], order, [tie], "_rk", total="_n"), "importance")
-    turn = F.when(lit(shift) % c("_n") == 0, lit(1)).otherwise(lit(shift))  # a full turn would change nothing
-    base = mt.roc_auc(r.withColumn("_s", score()), label, "_s").select(c("auc").alias("base"))
-    parts = None
-    for f in features:
-        other = r.select(F.pmod(c("_rk") - 1 + turn, c("_n")).alias("_to"), c(f).alias("_f"))
-        moved = r.withColumn("_to", c("_rk") - 1).join(other, "_to").withColumn(f, c("_f"))
-        a = mt.roc_auc(moved.withColumn("_s", score()), label, "_s").select(lit(f).alias("feature"), c("auc").alias("permuted"))
-        parts = a if parts is None else parts.unionByName(a)
-    return parts.withColumn("baseline", base.scalar()).withColumn("importance", c("baseline") - c("permuted"))
-
-
 def sequence_samples(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str], length: int = 30) -> DataFrame:
     """Last `length` feature vectors per (cell, step); shorter histories are left out."""
     from pyspark.sql import Window as W

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
 from ..operators import expand as ex, joins as jn, metrics as mt, resample as rs, sinks as sk, windows as wn
-from . import features as ft, feeds as fd, models as md, seismicity as se, trigger_fit as tg
+from . import features as ft, feeds as fd, importance as im, models as md, seismicity as se, stacking as st, trigger_fit as tg
 from .q_basic import DAY, R
 from .q_features import KEYS, cat
 from .q_joins import _KPA, _PAIR, CELL_SQL, GRID_SQL, STEP, ZONE_SQL, base_grid, bounds, catalogue_cells, grid_points, label_rows, step_range, stress_sources
@@ -70,14 +70,39 @@ def m04b(v):
     return m.select("fold", "n_pos", "n_neg", R(c("auc"), 3).alias("auc"))
 
 
-@query("M05_permutation_importance", """WITH q AS (SELECT event_id, CAST(mag >= 4 AS INT) AS y, depth_km/9e1 AS f1, lat-floor(lat) AS f2, row_number() OVER (ORDER BY t, event_id) - 1 AS i, count(*) OVER () AS n FROM quakes),
-  v AS (SELECT 'base' AS f, y, round(6e-1*f1+4e-1*f2, 9) AS s FROM q UNION ALL SELECT 'f1', a.y, round(6e-1*b.f1+4e-1*a.f2, 9) FROM q a JOIN q b ON a.i = (b.i + 7919) % b.n UNION ALL SELECT 'f2', a.y, round(6e-1*a.f1+4e-1*b.f2, 9) FROM q a JOIN q b ON a.i = (b.i + 7919) % b.n),
-  g AS (SELECT f, s, sum(y) AS a, sum(1-y) AS b FROM v GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY f ORDER BY s DESC) AS tp FROM g), u AS (SELECT f, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc FROM r GROUP BY 1)
-  SELECT x.f AS feature, round(b.auc, 8) AS baseline, round(x.auc, 8) AS permuted, 0.0 + round(b.auc - x.auc, 8) AS importance FROM u x, u b WHERE x.f <> 'base' AND b.f = 'base'""")
+# the permutation of `importance.shuffled`: 16 rounds, pairs (k - i) mod n, a bit of the larger member
+def _mixed(x):
+    once = f"((({x})*48271+11)%2147483647)"
+    once = f"({once}*{once}%2147483647)"
+    twice = f"(({once}*69621+7)%2147483647)"
+    return f"({twice}*{twice}%2147483647)"
+
+
+@query("M05_permutation_importance", f"""WITH RECURSIVE q AS (SELECT event_id, CAST(mag >= 4 AS INT) AS y, depth_km/9e1 AS f1, lat-floor(lat) AS f2, CAST(row_number() OVER (ORDER BY t, event_id) - 1 AS BIGINT) AS i, CAST(count(*) OVER () AS BIGINT) AS n FROM quakes),
+  x AS (SELECT CAST(unnest(range(10)) AS BIGINT) AS x), key AS (SELECT x, k, {_mixed('x*16+k')} AS pair, {_mixed('x*16+k+1000003')} AS flip FROM x, (SELECT CAST(unnest(range(1, 17)) AS BIGINT) AS k)),
+  walk AS (SELECT x, i AS src, i AS pos, n, CAST(0 AS BIGINT) AS k FROM q, x UNION ALL
+    SELECT x, src, CASE WHEN {_mixed('(greatest(pos, mate)+flip)%2147483647')}%2 = 1 THEN mate ELSE pos END, n, k FROM (SELECT w.x, src, pos, n, key.k, flip, ((pair - pos) % n + n) % n AS mate FROM walk w JOIN key ON key.x = w.x AND key.k = w.k + 1)),
+  v AS (SELECT CAST(-1 AS BIGINT) AS x, y, round(6e-1*f1+4e-1*f2, 9) AS s FROM q UNION ALL SELECT w.x, a.y, CASE WHEN w.x < 5 THEN round(6e-1*b.f1+4e-1*a.f2, 9) ELSE round(6e-1*a.f1+4e-1*b.f2, 9) END FROM walk w JOIN q a ON a.i = w.pos JOIN q b ON b.i = w.src WHERE w.k = 16),
+  g AS (SELECT x, s, sum(y) AS a, sum(1-y) AS b, greatest(least(s, 1-1e-15), 1e-15) AS z FROM v GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY x ORDER BY s DESC) AS tp FROM g), u AS (SELECT x, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc, sum(-a*ln(z)-b*ln(1-z))/sum(a+b) AS loss FROM r GROUP BY 1),
+  m AS (SELECT CASE WHEN x < 5 THEN 'f1' ELSE 'f2' END AS feature, avg(auc) AS auc, stddev_pop(auc) AS sd, avg(loss) AS loss, stddev_pop(loss) AS sdl FROM u WHERE x >= 0 GROUP BY 1)
+  SELECT feature, round(b.auc, 8) AS baseline, round(m.auc, 8) AS permuted, 0.0 + round(b.auc - m.auc, 8) AS importance, round(sd, 7) AS std, round(b.loss, 8) AS baseline_loss, round(m.loss, 8) AS permuted_loss, 0.0 + round(m.loss - b.loss, 8) AS importance_loss, round(sdl, 7) AS std_loss FROM m, u b WHERE b.x = -1""")
 def m05(v):
     q = v.quakes.select("event_id", "t", (c("mag") >= 4).cast("int").alias("y"), (c("depth_km") / lit(90.0)).alias("f1"), (c("lat") - F.floor("lat")).alias("f2"))
-    p = md.permutation_importance(q, ["f1", "f2"], "y", lambda: F.round(lit(0.6) * c("f1") + lit(0.4) * c("f2"), 9), "t", "event_id")
-    return p.select("feature", *[R(c(x), 8).alias(x) for x in ("baseline", "permuted", "importance")])
+    p = im.permutation_importance(q, ["f1", "f2"], "y", lambda d: d.withColumn("_s", F.round(lit(0.6) * c("f1") + lit(0.4) * c("f2"), 9)), "t", "event_id")
+    values = ("baseline", "permuted", "importance", "baseline_loss", "permuted_loss", "importance_loss")
+    return p.select("feature", *[R(c(x), 8).alias(x) for x in values], *[R(c(x), 7).alias(x) for x in ("std", "std_loss")])
+
+
+def _logistic_score(train):
+    model = md.logistic(FEATURES, rounds=20).fit(md.weighted(train, "label"))
+    return lambda df: md.probability(model, df, "_s").withColumn("_s", F.round("_s", 6))
+
+
+@query("M06b_importance_vote")
+def m06b(v):
+    """The vote over permutation importance in three expanding folds of the first 80 % of the rows."""
+    got = im.stable_features(training(v), FEATURES, "label", _logistic_score, "day", "k")
+    return got.select("feature", "folds", "votes", R(c("mean_importance"), 3).alias("mean_importance"), "stable")
 
 
 @query("M06_stable_features", """WITH l AS (SELECT fold, y, unnest(['p','qty','price','disc']) AS feature, unnest([p, CAST(qty AS DOUBLE), price, disc]) AS v FROM scores), g AS (SELECT fold, feature, v, sum(y) AS a, sum(1-y) AS b FROM l GROUP BY 1,2,3), r AS (SELECT *, sum(a) OVER (PARTITION BY fold, feature ORDER BY v DESC) AS tp FROM g), u AS (SELECT fold, feature, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc FROM r GROUP BY 1,2)
@@ -111,6 +136,34 @@ def m08(v):
     return md.fold_metrics(pred.withColumn("ps", F.round("prob", 6)), "label", "ps").select("fold", "n_pos", R(c("auc"), 3).alias("auc"))
 
 
+LEVEL0 = ["p", "p2", "p3"]
+STACK_SPLITS = md.walk_forward_splits(0.0, 2490.0, 4, 1, 1)
+
+
+def _level0(v):
+    return training(v).select("k", "label", "day", "p", (lit(1.0) - c("disc") * 10).alias("p2"), (c("qty") / 50).alias("p3"))
+
+
+@query("M08b_stacked_folds")
+def m08b(v):
+    """The isotonic and the weighted second level, walk-forward: AUC and Molchan skill per fold and pooled (-1)."""
+    out = None
+    for meta in ("isotonic", "weights"):
+        pred = st.walk_forward(_level0(v), LEVEL0, "label", "day", STACK_SPLITS, meta)
+        m = md.fold_metrics(pred.withColumn("ps", F.round("prob", 6)), "label", "ps").withColumn("meta", lit(meta))
+        out = m if out is None else out.unionByName(m)
+    return out.select("meta", "fold", "n_pos", "n_neg", R(c("auc"), 3).alias("auc"), R(c("molchan_skill"), 3).alias("molchan_skill"))
+
+
+@query("M08c_blend_weights", f"""WITH f(fold, a, b) AS (VALUES {', '.join(f'({f}, {a!r}, {b!r})' for f, a, b, s, e in STACK_SPLITS)}), t AS (SELECT y, date_diff('day', DATE '1995-01-01', ship) AS day FROM scores)
+  SELECT CAST(fold AS INT) AS fold, count(*) AS n_train, CAST(sum(y) AS BIGINT) AS n_pos, 0.0 + 1e0 AS total, true AS no_negative, true AS no_worse_than_single FROM t, f WHERE day >= a AND day < b GROUP BY 1""")
+def m08c(v):
+    """Weights of the blend per fold, checked: they sum to one, none is negative, the blend fits no worse than its best member."""
+    got = st.fold_weights(_level0(v), LEVEL0, "label", "day", STACK_SPLITS)
+    rows = [(r["fold"], r["n_train"], r["n_pos"], round(sum(r["weights"]), 9), min(r["weights"]) >= 0, r["blend"] <= r["single"] + 1e-12) for r in got]
+    return v.spark.createDataFrame(rows, "fold int, n_train long, n_pos long, total double, no_negative boolean, no_worse_than_single boolean")
+
+
 @query("M09_model_comparison", """WITH l AS (SELECT y, unnest(['single_a','single_b','average']) AS model, unnest([p, 1-disc, round((p+1-disc)/2, 9)]) AS v FROM scores), g AS (SELECT model, v, sum(y) AS a, sum(1-y) AS b FROM l GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY model ORDER BY v DESC) AS tp FROM g)
   SELECT model, round(sum(b*(tp+tp-a))/2e0/sum(a)/sum(b), 8) AS auc FROM r GROUP BY 1""")
 def m09(v):
