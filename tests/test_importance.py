@@ -14,7 +14,7 @@ from tremolite.plans import importance as im, models as md, stacking as st
 def test_shuffled_is_a_permutation_per_key(spark, n):
     keys = 4
     df = spark.range(n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(keys - 1).cast("long"))))
-    got = df.select("k", "id", im.shuffled(F.col("id"), F.lit(n).cast("long"), F.col("k")).alias("to")).toPandas()
+    got = df.select("k", "id", im.shuffled(F.col("id"), F.lit(n).cast("long"), im.round_keys(F.col("k"))).alias("to")).toPandas()
     perms = []
     for _, g in got.groupby("k"):
         assert sorted(g["to"]) == list(range(n))
@@ -36,7 +36,7 @@ def swap_or_not(n, key):
         for k in range(1, im.ROUNDS + 1):
             x = key * im.ROUNDS + k
             mate = (mix(x) - i) % n
-            if mix((max(i, mate) + mix(x + 1000003)) % im.PRIME) % 2 == 1:
+            if (max(i, mate) * mix(x + 1000003) + mix(x + 2000003)) % im.PRIME % 2 == 1:
                 i = mate
         out.append(i)
     return out

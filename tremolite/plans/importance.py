@@ -22,14 +22,20 @@ def _mix(x: Column) -> Column:
     return x
 
 
-def shuffled(i: Column, n: Column, key: Column) -> Column:
-    """Where a keyed permutation of 0..n-1 puts i. A round pairs i with (k - i) mod n and swaps the pair or not, by a bit
-    drawn for its larger member: each round is its own inverse, so any n has a permutation and nothing is sorted."""
+def round_keys(draw: Column) -> Column:
+    """The keys of one permutation: per round the sum of its pairs, and factor and offset of the bit."""
+    x = lambda k: draw * lit(ROUNDS) + k
+    one = lambda k: F.struct(_mix(x(k)).alias("pair"), _mix(x(k) + lit(1000003)).alias("factor"), _mix(x(k) + lit(2000003)).alias("offset"))
+    return F.transform(F.sequence(lit(1).cast("long"), lit(ROUNDS).cast("long")), one)
+
+
+def shuffled(i: Column, n: Column, keys: Column) -> Column:
+    """Where a keyed permutation of 0..n-1 puts i. A round pairs i with (pair - i) mod n and swaps the two or not, by a bit
+    drawn for the larger: each round is its own inverse, so any n has a permutation and nothing is sorted."""
     def round_(at: Column, k: Column) -> Column:
-        x = key * lit(ROUNDS) + k
-        mate = F.pmod(_mix(x) - at, n)
-        return F.when(_mix((F.greatest(at, mate) + _mix(x + lit(1000003))) % lit(PRIME)) % 2 == 1, mate).otherwise(at)
-    return F.aggregate(F.sequence(lit(1).cast("long"), lit(ROUNDS).cast("long")), i.cast("long"), round_)
+        mate = F.pmod(k["pair"] - at, n)
+        return F.when((F.greatest(at, mate) % lit(PRIME) * k["factor"] + k["offset"]) % lit(PRIME) % 2 == 1, mate).otherwise(at)
+    return F.aggregate(keys, i.cast("long"), round_)
 
 
 def _by_score(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -57,7 +63,9 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, s
     last = lit(len(features) * repeats - 1).cast("long")
     sent = r.select(*keys, "_rk", "_n", F.array(*features).alias("_f"), F.explode(F.sequence(lit(0).cast("long"), last)).alias("_draw"))
     which = F.floor(c("_draw") / lit(repeats)).cast("int")
-    sent = sent.select(*keys, "_draw", F.get("_f", which).alias("_v"), (shuffled(c("_rk") - 1, c("_n"), c("_draw")) + 1).alias("_rk"))
+    # one row of keys per feature and repeat
+    draws = df.sparkSession.range(len(features) * repeats).select(c("id").alias("_draw"), round_keys(c("id")).alias("_keys"))
+    sent = sent.join(draws, "_draw").select(*keys, "_draw", F.get("_f", which).alias("_v"), (shuffled(c("_rk") - 1, c("_n"), c("_keys")) + 1).alias("_rk"))
     moved = r.join(sent, [*keys, "_rk"])
     for k, f in enumerate(features):
         moved = moved.withColumn(f, F.when(which == k, c("_v")).otherwise(c(f)))

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import expand as ex, metrics as mt, ordered as od, sinks as sk
+from ..operators import metrics as mt, ordered as od
 
 c, lit = F.col, F.lit
 YEAR = 365.25

@@ -79,9 +79,9 @@ def _mixed(x):
 
 
 @query("M05_permutation_importance", f"""WITH RECURSIVE q AS (SELECT event_id, CAST(mag >= 4 AS INT) AS y, depth_km/9e1 AS f1, lat-floor(lat) AS f2, CAST(row_number() OVER (ORDER BY t, event_id) - 1 AS BIGINT) AS i, CAST(count(*) OVER () AS BIGINT) AS n FROM quakes),
-  x AS (SELECT CAST(unnest(range(10)) AS BIGINT) AS x), key AS (SELECT x, k, {_mixed('x*16+k')} AS pair, {_mixed('x*16+k+1000003')} AS flip FROM x, (SELECT CAST(unnest(range(1, 17)) AS BIGINT) AS k)),
+  x AS (SELECT CAST(unnest(range(10)) AS BIGINT) AS x), key AS (SELECT x, k, {_mixed('x*16+k')} AS pair, {_mixed('x*16+k+1000003')} AS factor, {_mixed('x*16+k+2000003')} AS shift FROM x, (SELECT CAST(unnest(range(1, 17)) AS BIGINT) AS k)),
   walk AS (SELECT x, i AS src, i AS pos, n, CAST(0 AS BIGINT) AS k FROM q, x UNION ALL
-    SELECT x, src, CASE WHEN {_mixed('(greatest(pos, mate)+flip)%2147483647')}%2 = 1 THEN mate ELSE pos END, n, k FROM (SELECT w.x, src, pos, n, key.k, flip, ((pair - pos) % n + n) % n AS mate FROM walk w JOIN key ON key.x = w.x AND key.k = w.k + 1)),
+    SELECT x, src, CASE WHEN (greatest(pos, mate)%2147483647*factor+shift)%2147483647%2 = 1 THEN mate ELSE pos END, n, k FROM (SELECT w.x, src, pos, n, key.k, factor, shift, ((pair - pos) % n + n) % n AS mate FROM walk w JOIN key ON key.x = w.x AND key.k = w.k + 1)),
   v AS (SELECT CAST(-1 AS BIGINT) AS x, y, round(6e-1*f1+4e-1*f2, 9) AS s FROM q UNION ALL SELECT w.x, a.y, CASE WHEN w.x < 5 THEN round(6e-1*b.f1+4e-1*a.f2, 9) ELSE round(6e-1*a.f1+4e-1*b.f2, 9) END FROM walk w JOIN q a ON a.i = w.pos JOIN q b ON b.i = w.src WHERE w.k = 16),
   g AS (SELECT x, s, sum(y) AS a, sum(1-y) AS b, greatest(least(s, 1-1e-15), 1e-15) AS z FROM v GROUP BY 1,2), r AS (SELECT *, sum(a) OVER (PARTITION BY x ORDER BY s DESC) AS tp FROM g), u AS (SELECT x, sum(b*(tp+tp-a))/2e0/sum(a)/sum(b) AS auc, sum(-a*ln(z)-b*ln(1-z))/sum(a+b) AS loss FROM r GROUP BY 1),
   m AS (SELECT CASE WHEN x < 5 THEN 'f1' ELSE 'f2' END AS feature, avg(auc) AS auc, stddev_pop(auc) AS sd, avg(loss) AS loss, stddev_pop(loss) AS sdl FROM u WHERE x >= 0 GROUP BY 1)
