@@ -150,6 +150,7 @@ def m08b(v):
     out = None
     for meta in ("isotonic", "weights"):
         pred = st.walk_forward(_level0(v), LEVEL0, "label", "day", STACK_SPLITS, meta)
+        pred = sk.materialized(pred, "stacked")
         m = md.fold_metrics(pred.withColumn("ps", F.round("prob", 6)), "label", "ps").withColumn("meta", lit(meta))
         out = m if out is None else out.unionByName(m)
     return out.select("meta", "fold", "n_pos", "n_neg", R(c("auc"), 3).alias("auc"), R(c("molchan_skill"), 3).alias("molchan_skill"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import sinks as sk
 from . import models as md
 
 c, lit = F.col, F.lit
@@ -73,7 +74,8 @@ def fold_weights(df: DataFrame, scores: Sequence[str], label: str, day: str, spl
 
 
 def _weighted_sum(scores: Sequence[str], w: Sequence[float]) -> Column:
-    return F.aggregate(F.array(*[c(s).cast("double") * lit(float(x)) for s, x in zip(scores, w)]), lit(0.0), lambda a, v: a + v)
+    first, *rest = [c(s).cast("double") * lit(float(x)) for s, x in zip(scores, w)]
+    return sum(rest, first)
 
 
 def walk_forward(df: DataFrame, scores: Sequence[str], label: str, day: str, splits: list[tuple], meta: str = "weights", bins: int = 30,
@@ -95,7 +97,8 @@ def walk_forward(df: DataFrame, scores: Sequence[str], label: str, day: str, spl
         if min(n.get("train") or 0, n.get("test") or 0) < min_pos:
             continue
         w = weights[split[0]] if meta == "weights" else [1.0 / len(scores)] * len(scores)
-        parts = parts.withColumn("_blend", _weighted_sum(scores, w))
+        # written once: read by the bins, and by every branch of the interpolation
+        parts = sk.materialized(parts.withColumn("_blend", _weighted_sum(scores, w)), "blend")
         points = md.binned_calibration(parts.where("part = 'train'"), label, "_blend", bins)
         pred = parts.where("part = 'test'").withColumn("prob", md.interpolate(c("_blend"), points)).drop("_blend")
         out = pred if out is None else out.unionByName(pred)
