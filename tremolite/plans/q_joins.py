@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, spatial as sp
-from ..operators import aggregates as ag, expand as ex, joins as jn
+from ..operators import aggregates as ag, expand as ex, joins as jn, thresholds as th
 from .q_basic import DAY, R
 from .registry import query
 
@@ -250,6 +250,10 @@ def j16(v):
     return v.quakes.groupBy(sp.zone_of(c("lat"), c("lon")).alias("zone")).agg(F.count(lit(1)).alias("n"), R(F.avg("mag"), 8).alias("mean_mag"))
 
 
+def stress_kpa():
+    return ph.stress_change(c("src_lat"), c("src_lon"), c("src_depth"), c("src_mag"), c("lat"), c("lon"), c("depth_km")) / lit(1000.0)
+
+
 def stress_sources(targets, sources, max_km=500.0, max_years=10.0):
     """Target x earlier source pairs inside the box, with the stress change of each pair in kPa.
 
@@ -259,8 +263,7 @@ def stress_sources(targets, sources, max_km=500.0, max_years=10.0):
     s = sources.select(c("event_id").alias("src_id"), c("t").alias("src_t"), c("lat").alias("src_lat"), c("lon").alias("src_lon"),
                        c("depth_km").alias("src_depth"), c("mag").alias("src_mag"))
     p = jn.range_join(targets, s, time=("t", "src_t", -max_years * 365.25 * DAY, 0), closed="left", box=("lat", "lon", "src_lat", "src_lon", r), salt=4)
-    kpa = ph.stress_change(c("src_lat"), c("src_lon"), c("src_depth"), c("src_mag"), c("lat"), c("lon"), c("depth_km")) / lit(1000.0)
-    return p.withColumn("kpa", kpa)
+    return p.withColumn("kpa", stress_kpa())
 
 
 _R500 = 500.0 / sp.DEG_KM
@@ -278,10 +281,12 @@ def j17(v):
 @query("T05_top_sources", f"""WITH p AS (SELECT q.event_id, s.mag, {_KPA} AS kpa, row_number() OVER (PARTITION BY q.event_id ORDER BY s.mag DESC, s.t DESC, s.event_id) AS rk FROM quakes q JOIN quakes s ON {_PAIR} WHERE q.mag >= 45e-1)
   SELECT event_id, count(*) AS n, round(sum(kpa), 5) AS stress_kpa FROM p WHERE rk <= 5 GROUP BY 1""")
 def t05(v):
-    p = stress_sources(v.quakes.where("mag >= 4.5"), v.quakes.where("mag >= 5"))
-    # per-target window with a rank limit: Spark keeps only the leading rows of each group before the shuffle
-    w = W.partitionBy("event_id").orderBy(F.desc("src_mag"), F.desc("src_t"), "src_id")
-    return p.withColumn("rk", F.row_number().over(w)).where("rk <= 5").groupBy("event_id").agg(F.count(lit(1)).alias("n"), R(F.sum("kpa"), 5).alias("stress_kpa"))
+    q = v.quakes
+    sources = q.where("mag >= 5").select(c("event_id").alias("src_id"), c("t").alias("src_t"), c("lat").alias("src_lat"), c("lon").alias("src_lon"),
+                                         c("depth_km").alias("src_depth"), c("mag").alias("src_mag"))
+    p = th.top_k_within(q.where("mag >= 4.5").select("event_id", "t", "lat", "lon", "depth_km"), sources, ["event_id"], 5, ("t", "src_t", 10 * 365.25 * DAY),
+                        ("lat", "lon", "src_lat", "src_lon", 500.0 / sp.DEG_KM), "src_mag", 0.25, [F.desc("src_t"), c("src_id")])
+    return p.withColumn("kpa", stress_kpa()).groupBy("event_id").agg(F.count(lit(1)).alias("n"), R(F.sum("kpa"), 5).alias("stress_kpa"))
 
 
 @query("J18_next_day_pairs", """WITH p AS (SELECT station, dn, max(value) AS v FROM daily_obs GROUP BY 1,2), g AS (SELECT *, lead(dn) OVER w AS nd, lead(v) OVER w AS nv FROM p WINDOW w AS (PARTITION BY station ORDER BY dn))

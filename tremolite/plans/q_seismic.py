@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od, sinks as sk
+from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od, sinks as sk, thresholds as th
 from . import parents as pr, seismicity as se
 from .q_basic import DAY, R
 from .q_joins import CELL_SQL, ZONE_SQL, catalogue_cells, alarm_matches, alarms_targets, stress_sources, _AT, _KPA, _NEAR, _PAIR
@@ -115,9 +115,9 @@ def a25(v):
   SELECT event_id, n, round(q2/q - pow(q1/q, 2), 7) AS kappa1 FROM g""")
 def w29(v):
     q = v.quakes
-    p = se.neighbourhood(q.where("mag >= 5").select("event_id", "t", "lat", "lon"), q.select("event_id", "t", "lat", "lon", "mag"), 365, 2.0)
-    w = W.partitionBy("event_id").orderBy(F.desc("e_t"), F.desc("e_event_id"))
-    l = p.withColumn("rk", F.row_number().over(w)).where("rk <= 50").withColumn("n", F.count(lit(1)).over(W.partitionBy("event_id")))
+    e = q.select(*[c(x).alias(f"e_{x}") for x in ("event_id", "t", "lat", "lon", "mag")])
+    l = th.top_k_within(q.where("mag >= 5").select("event_id", "t", "lat", "lon"), e, ["event_id"], 50, ("t", "e_t", 365 * DAY), ("lat", "lon", "e_lat", "e_lon", 2.0),
+                        "e_t", 5.0 * DAY, [F.desc("e_event_id")]).withColumn("n", F.count(lit(1)).over(W.partitionBy("event_id")))
     qq, chi = ph.p10(lit(1.5) * c("e_mag")), (c("n") - c("rk") + 1) / c("n")
     g = l.groupBy("event_id").agg(F.max("n").alias("n"), F.sum(qq).alias("q"), F.sum(qq * chi).alias("q1"), F.sum(qq * chi * chi).alias("q2")).where("n >= 6")
     return g.select("event_id", "n", R(c("q2") / c("q") - F.pow(c("q1") / c("q"), 2), 7).alias("kappa1"))
