@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sinks as sk
-from ..streaming import ingest as si
+from ..operators import bucketed as bk, sinks as sk
+from ..streaming import in_order as so, ingest as si
 from .q_basic import R
 from .registry import query
 from .views import _DEFS
@@ -22,6 +22,11 @@ def stream_view(v, name, extra=()):
 EVENT_TS = "cast(ts as timestamp) AS ts"
 
 
+def dealt(rows, by, n=3):
+    """The rows dealt to n batches by a hash: each batch holds rows of all times."""
+    return [rows.where(F.pmod(F.xxhash64(by), lit(n)) == i) for i in range(n)]
+
+
 @query("R01_stream_dedup", "SELECT DISTINCT station, h FROM station_obs")
 def r01(v):
     s = stream_view(v, "station_obs", [EVENT_TS])
@@ -56,21 +61,23 @@ def r04(v):
 @query("R05_stream_rolling_alarms", """WITH a AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY name ORDER BY t_us, id ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING))
   SELECT name, id, 0.0 + round((value-m)/s, 4) AS sigma FROM a WHERE n >= 6 AND s >= 1e-10 AND abs((value-m)/s) >= 2""")
 def r05(v):
-    _, out = si.run_available(si.rolling_alarms(stream_view(v, "series"), "name", "t_us", "id", "value"), name="alarms")
-    return v.spark.read.parquet(out).select("name", "id", R(c("sigma"), 4).alias("sigma"))
+    rows = v.series.select("name", "id", F.timestamp_micros("t_us").alias("ts"), "value")
+    root = so.land_batches(v.spark, dealt(rows, "id"), "ts", 60, "series")
+    out = so.drained(v.spark, root, lambda s: so.rolling_alarms(s, "name", "ts", "id", "value", "60 days"), "alarms")
+    return out.select("name", "id", R(c("sigma"), 4).alias("sigma"))
 
 
 @query("R06_stream_upsert", "SELECT station, arg_max(value, (t_us, id)) AS level FROM station_obs GROUP BY 1")
 def r06(v):
-    spark, root = v.spark, sk.scratch(v.spark, "levels")
-
-    def merge(batch, batch_id):
-        new = batch.select("station", c("value").alias("level"), "t_us", "id")
-        old = spark.read.parquet(f"{root}/{batch_id - 1}") if batch_id else new.select("station", "level").where("false")
-        sk.upsert(old, new, ["station"], ["level"], ["t_us", "id"]).write.mode("overwrite").parquet(f"{root}/{batch_id}")
-    q = (stream_view(v, "station_obs").writeStream.option("checkpointLocation", sk.scratch(spark, "levels-state")).trigger(availableNow=True).foreachBatch(merge).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/{q.lastProgress['batchId']}")
+    """Three batches, each with rows of all times: a row older than the one the table holds does not replace it."""
+    spark, root = v.spark, sk.scratch(v.spark, "obs")
+    rows = v.station_obs.select("station", c("value").alias("level"), "t_us", "id")
+    for part in dealt(rows, "id"):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/rows.parquet")
+    table = bk.BucketedTable(spark, sk.scratch(spark, "levels"), rows.schema, ["station"], ["t_us", "id"], buckets=16)
+    s = si.landed(spark, root, "rows", files_per_batch=1)
+    s.writeStream.option("checkpointLocation", sk.scratch(spark, "levels-state")).trigger(availableNow=True).foreachBatch(table.merge).start().awaitTermination()
+    return table.read().select("station", "level")
 
 
 @query("R07_stream_health", "SELECT count(*) AS rows_in, CAST(0 AS BIGINT) AS late_rows FROM station_obs")
@@ -116,5 +123,6 @@ def r10(v):
 @query("R11_stream_cycle_counts", """WITH r AS (SELECT ci, cj, event_id, mag, sum(CASE WHEN mag >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY ci, cj ORDER BY t, event_id) - CASE WHEN mag >= 5 THEN 1 ELSE 0 END AS cyc FROM quakes)
   SELECT ci, cj, max(CASE WHEN mag >= 5 THEN event_id END) AS event_id, count(*) FILTER (mag < 5) AS since_last FROM r GROUP BY ci, cj, cyc HAVING count(*) FILTER (mag >= 5) > 0""")
 def r11(v):
-    _, out = si.run_available(si.counts_since_large(stream_view(v, "quakes"), ["ci", "cj"], "t", "event_id", "mag"), name="cycles")
-    return v.spark.read.parquet(out).drop("_batch")
+    rows = v.quakes.select("ci", "cj", "event_id", F.timestamp_seconds("t").alias("ts"), "mag")
+    root = so.land_batches(v.spark, dealt(rows, "event_id"), "ts", 4000, "quakes")
+    return so.drained(v.spark, root, lambda s: so.counts_since_large(s, ["ci", "cj"], "ts", "event_id", "mag", "4000 days"), "cycles")

@@ -57,7 +57,7 @@ def follow_up(alarms: DataFrame, targets: DataFrame, key: str, hours: int, late:
 
 
 def rolling_alarms(stream: DataFrame, key: str, order: str, tie: str, value: str, back: int = 72, min_points: int = 6, sigma: float = 2.0) -> DataFrame:
-    """Rolling-baseline alarms; the state of a series is its last `back` values."""
+    """Rolling-baseline alarms for batches that come in the order of time (else `in_order.rolling_alarms`): emitted at once; the state of a series is its last `back` values."""
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values([order, tie])
         past = list(state.get[0]) if state.exists else []
@@ -74,7 +74,7 @@ def rolling_alarms(stream: DataFrame, key: str, order: str, tie: str, value: str
 
 
 def counts_since_large(stream: DataFrame, keys: Sequence[str], order: str, tie: str, mag: str, large: float = 5.0) -> DataFrame:
-    """Small events since the last large one of each cell, emitted at every large event; the state is one counter."""
+    """Small events since the last large one of each cell, emitted at every large event, for batches in the order of time (else `in_order.counts_since_large`); the state is one counter."""
     keys = list(keys)
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
