@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import spatial as sp
 from .ordered import carry_forward
 
 EDGE = 1e-9
@@ -155,3 +156,13 @@ def nearest_join(left: DataFrame, right: DataFrame, ids: Sequence[str], left_pos
             .groupBy(*ids).agg(F.min(F.struct(F.col("_d").alias("distance"), F.col(right_id))).alias("_m"))
             .select(*ids, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.distance").alias("distance")))
     return left.join(best, list(ids), how)
+
+
+def within_km(events: DataFrame, stations: DataFrame, km: float) -> DataFrame:
+    """(event, station) pairs, positions lat, lon and slat, slon, at most `km` apart. Every event has its own reach in longitude, which grows with its latitude."""
+    deg = km / sp.DEG_KM
+    wide = F.least(F.lit(deg) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9)), F.lit(360.0))
+    band = lambda x, r: F.sequence(F.floor((x - r) / F.lit(deg) - F.lit(1e-9)).cast("long"), F.floor((x + r) / F.lit(deg) + F.lit(1e-9)).cast("long"))
+    e = events.select("*", F.explode(band(F.col("lat"), F.lit(deg))).alias("_y")).select("*", F.explode(band(F.col("lon"), wide)).alias("_x"))
+    s = stations.withColumns({"_y": F.floor(F.col("slat") / F.lit(deg)).cast("long"), "_x": F.floor(F.col("slon") / F.lit(deg)).cast("long")})
+    return e.join(s, ["_y", "_x"]).withColumn("km", sp.flat_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).where(F.col("km") <= km).drop("_y", "_x")

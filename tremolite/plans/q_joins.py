@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, spatial as sp
@@ -125,10 +123,7 @@ def j08(v):
   SELECT event_id, count(*) AS n, round(min(km), 4) AS nearest_km FROM d WHERE km <= 150 GROUP BY 1""")
 def j10(v):
     q = v.quakes.where("mag >= 4").select("event_id", "lat", "lon")
-    north = q.agg(F.max(F.abs("lat"))).first()[0] or 0.0  # where 150 km span most degrees of longitude
-    wide = 150 / (111.32 * max(math.cos(math.radians(north)), 1e-3))
-    p = jn.range_join(q, v.stations.select("sid", "slat", "slon"), box=("lat", "lon", "slat", "slon", wide))
-    p = p.withColumn("km", sp.flat_km(c("lat"), c("lon"), c("slat"), c("slon"))).where("km <= 150")
+    p = jn.within_km(q, v.stations.select("sid", "slat", "slon"), 150.0)
     return p.groupBy("event_id").agg(F.count(lit(1)).alias("n"), R(F.min("km"), 4).alias("nearest_km"))
 
 

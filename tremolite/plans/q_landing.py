@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import spectral as sp
-from ..operators import quality as ql, sinks as sk
+from ..operators import joins as jn, quality as ql, sinks as sk
 from ..sources import binary as bi, json as sj, text as st
+from . import epochs as ep
 from .q_basic import DAY, NOW, R
 from .q_joins import CELL_SQL, bounds, catalogue_cells
 from .registry import query
@@ -421,6 +422,46 @@ def a62(v):
     return r.select("vec_id", *[R(c(x)).alias(x) for x in r.columns[1:]])
 
 
+_EPOCHS = """o AS (SELECT station % 10 AS station, t, flag AS z, value AS h FROM station_obs WHERE flag IS NOT NULL AND value IS NOT NULL AND (t % 86400)//3600 BETWEEN 15 AND 21),
+  site AS (SELECT sid % 10 AS station, arg_min(slat, sid) AS slat, arg_min(slon, sid) AS slon FROM stations GROUP BY 1), span AS (SELECT min(t) AS t0, max(t) - min(t) + 1 AS len FROM station_obs),
+  ev AS (SELECT event_id, station, t0 + t % len AS ev_t FROM quakes, site, span WHERE mag >= 45e-1 AND sqrt(pow((lat-slat)*11132e-2,2)+pow((lon-slon)*11132e-2*cos(radians(lat)),2)) <= 300),
+  m AS (SELECT event_id, station, CASE WHEN t < ev_t THEN 'pre' ELSE 'post' END AS side, t, z::DOUBLE AS z, h FROM ev JOIN o USING (station) WHERE t BETWEEN ev_t - 604800 AND ev_t + 604800 AND t <> ev_t),
+  r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_id, station, side) AS n FROM m WINDOW w AS (PARTITION BY event_id, station, side ORDER BY t, z, h)),
+  p AS (SELECT *, z - avg(z) OVER s AS zc, h - avg(h) OVER s AS hc, pow(2, ceil(log2(least(n, 60)))) AS pad FROM r WHERE i < 60 WINDOW s AS (PARTITION BY event_id, station, side)),
+  k AS (SELECT unnest(range(0, 32)) AS k), dft AS (SELECT event_id, station, side, k, any_value(pad) AS pad, sum(zc*cos(2*pi()*k*i/pad)) AS zr, sum(zc*sin(2*pi()*k*i/pad)) AS zi, sum(hc*cos(2*pi()*k*i/pad)) AS hr, sum(hc*sin(2*pi()*k*i/pad)) AS hi
+    FROM p, k WHERE k < pad/2 AND k/pad/60 BETWEEN 1e-3 AND 1e-1 GROUP BY 1, 2, 3, 4),
+  pw AS (SELECT event_id, station, side, avg(zr*zr + zi*zi)/any_value(pad) AS pz, avg(hr*hr + hi*hi)/any_value(pad) AS ph FROM dft GROUP BY 1, 2, 3),
+  f AS (SELECT event_id, station, side, i, z, least(n, 120) AS n FROM r WHERE i < 120), st AS (SELECT unnest(range(1, 11)) AS k),
+  ju AS (SELECT a.event_id, a.station, a.side, k, a.i % k AS o, any_value(a.n) AS n, sum(abs(b.z - a.z)) AS s FROM f a, st JOIN f b ON b.event_id = a.event_id AND b.station = a.station AND b.side = a.side AND b.i = a.i + k GROUP BY 1, 2, 3, 4, 5),
+  le AS (SELECT event_id, station, side, k, avg(s/((n - 1 - o)//k))*any_value(n - 1)/(k*k) AS l FROM ju GROUP BY 1, 2, 3, 4 HAVING any_value(n) >= 40),
+  fd AS (SELECT event_id, station, side, CASE WHEN count(*) >= 3 THEN regr_slope(ln(l), -ln(k)) END AS fd FROM le WHERE l > 0 GROUP BY 1, 2, 3),
+  cn AS (SELECT event_id, station, side, count(*) AS n FROM m GROUP BY 1, 2, 3), a AS (SELECT event_id, station, side, n, pz, CASE WHEN ph >= 1e-10 THEN pz/ph END AS pol, fd FROM cn LEFT JOIN pw USING (event_id, station, side) LEFT JOIN fd USING (event_id, station, side)),
+  es AS (SELECT e.event_id, e.station, e.n AS n_pre, l.n AS n_post, e.pz AS pre_power_z, l.pz AS post_power_z, e.pol AS pre_polarization, l.pol AS post_polarization, e.fd AS pre_fractal_dim, l.fd AS post_fractal_dim, CASE WHEN l.pz > 0 THEN e.pz/l.pz END AS power_ratio
+    FROM a e JOIN a l ON e.event_id = l.event_id AND e.station = l.station AND e.side = 'pre' AND l.side = 'post' WHERE e.n >= 30 AND l.n >= 30)"""
+_EPOCH_VALUES = ["pre_power_z", "post_power_z", "pre_polarization", "post_polarization", "pre_fractal_dim", "post_fractal_dim", "power_ratio"]
+_SUMMARY_VALUES = ["mean_ratio", "share_15", "share_20", "pre_polarization", "post_polarization", "pre_fractal_dim", "post_fractal_dim"]
+
+
+def epochs(v):
+    """Ten sites with the observations as two components; events are moved into the time of the observations."""
+    samples = v.station_obs.select((c("station") % 10).alias("station"), "t", c("flag").alias("z"), c("value").alias("h"))
+    sites = v.stations.groupBy((c("sid") % 10).alias("station")).agg(F.min_by("slat", "sid").alias("slat"), F.min_by("slon", "sid").alias("slon"))
+    first, length = v.station_obs.select(F.min("t")).scalar(), v.station_obs.select(F.max("t") - F.min("t") + 1).scalar()
+    events = v.quakes.where("mag >= 4.5").select("event_id", "lat", "lon", (first + c("t") % length).alias("t"))
+    return ep.epoch_spectra(jn.within_km(events, sites, 300.0), ep.night_days(samples))
+
+
+@query("A62b_epoch_spectra", f"WITH {_EPOCHS} SELECT event_id, station, n_pre, n_post, {', '.join(f'round({x}, 5) AS {x}' for x in _EPOCH_VALUES)} FROM es")
+def a62b(v):
+    return epochs(v).select("event_id", "station", "n_pre", "n_post", *[R(c(x), 5).alias(x) for x in _EPOCH_VALUES])
+
+
+@query("A62c_epoch_summary", f"""WITH {_EPOCHS} SELECT station, count(*) AS n_pairs, {', '.join(f'round({x}, 5) AS {n}' for n, x in zip(_SUMMARY_VALUES, ['avg(power_ratio)', 'avg(CAST(power_ratio > 1.5 AS INT))', 'avg(CAST(power_ratio > 2 AS INT))']
+  + [f'avg({x})' for x in _SUMMARY_VALUES[3:]]))} FROM es GROUP BY 1""")
+def a62c(v):
+    return ep.summary(epochs(v), ["station"]).select("station", "n_pairs", *[R(c(x), 5).alias(x) for x in _SUMMARY_VALUES])
+
+
 @query("A65_rms_envelope", """WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, len(embedding)//8 AS nb FROM embeddings) SELECT vec_id, CAST(i//8 AS INT) AS bin, round(sqrt(sum(CAST(x AS DOUBLE)*x)/8e0), 6) AS rms FROM e WHERE i//8 < nb GROUP BY 1, 2""")
 def a65(v):
     e = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
