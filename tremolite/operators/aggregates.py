@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -28,12 +29,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
             .select(*keys, *[F.col(f"_m.{c}").alias(c) for c in rest]))
 
 
-def sessions(df: DataFrame, key: str, t: str, gap: int, value: str, chunk: int = 86400) -> DataFrame:
+def sessions(df: DataFrame, key: str, t: str, gap: int, value: str, chunk: int = 86400, extra: dict[str, tuple] | None = None) -> DataFrame:
     """Gap sessions (a pause longer than `gap` starts a new one) with count, span, mean, std, min and max.
 
+    extra = {name: (column, F.min | F.max | F.sum)} adds further measures of a session.
+
     Rows become pieces inside (key, chunk of time). Only the first and the last piece of a chunk can go on in another
     chunk: those are merged per key, at most two rows per chunk whatever the key holds; all others are sessions as they are.
     """
+    more = extra or {}
     rows = df.withColumn("_chunk", F.floor(F.col(t) / F.lit(chunk)))
     w = W.partitionBy(key, "_chunk").orderBy(t)
     rows = rows.withColumn("_new", (F.col(t) - F.lag(t).over(w) > F.lit(gap)).cast("int"))
@@ -41,7 +45,7 @@ def sessions(df: DataFrame, key: str, t: str, gap: int, value: str, chunk: int =
     v = F.col(value)
     pieces = rows.groupBy(key, "_chunk", "_piece").agg(
         F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"),
-        F.sum(v * v).alias("_q"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        F.sum(v * v).alias("_q"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), *[fn(x).alias(name) for name, (x, fn) in more.items()])
     edge = (F.col("_piece") == 0) | (F.col("_piece") == F.max("_piece").over(W.partitionBy(key, "_chunk")))
     # lane: all edges of a key together, the others by chunk, where each piece starts anew
     pieces = pieces.withColumn("_lane", F.when(edge, F.lit(-(1 << 62))).otherwise(F.col("_chunk").cast("long")))
@@ -52,7 +56,25 @@ def sessions(df: DataFrame, key: str, t: str, gap: int, value: str, chunk: int =
     return pieces.groupBy(key, "_lane", "_sid").agg(
         F.min("_t0").alias("t_start"), F.max("_t1").alias("t_end"), n.alias("n"), (s / n).alias("mean"),
         F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std"),
-        F.min("_lo").alias("low"), F.max("_hi").alias("high")).drop("_lane", "_sid")
+        F.min("_lo").alias("low"), F.max("_hi").alias("high"), *[fn(name).alias(name) for name, (_, fn) in more.items()]).drop("_lane", "_sid")
+
+
+def passes(df: DataFrame, key: str, t: str, gap: int, lat: str, lon: str, value: str, vector: Sequence[str]) -> DataFrame:
+    """Passes of a moving sensor: sessions of at least two samples with duration, bounding box, mean and sample deviation of
+    `value` (null below one or two values) and mean and largest length of `vector`, over the samples that hold all its components."""
+    parts = [F.col(x).cast("double") for x in vector]
+    whole = reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in parts])
+    length = F.when(whole, F.sqrt(reduce(lambda a, b: a + b, [x * x for x in parts])))
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    extra = {"lat_min": (F.col(lat), F.min), "lat_max": (F.col(lat), F.max), "lon_min": (F.col(lon), F.min), "lon_max": (F.col(lon), F.max),
+             "_vn": (v.isNotNull().cast("long"), F.sum), "_vs": (v, F.sum), "_vq": (v * v, F.sum),
+             "_ln": (length.isNotNull().cast("long"), F.sum), "_ls": (length, F.sum), "residual_max": (length, F.max)}
+    s = sessions(df, key, t, gap, value, extra=extra).where("n >= 2")
+    n = F.col("_vn")
+    spread = F.greatest(F.col("_vq") - F.col("_vs") * F.col("_vs") / n, F.lit(0.0)) / (n - 1)
+    return s.select(key, "t_start", (F.col("t_end") - F.col("t_start")).alias("duration_s"), "n", "lat_min", "lat_max", "lon_min", "lon_max",
+                    F.when(n > 0, F.col("_vs") / n).alias("value_mean"), F.when(n > 1, F.sqrt(spread)).alias("value_std"),
+                    F.when(F.col("_ln") > 0, F.col("_ls") / F.col("_ln")).alias("residual_mean"), "residual_max")
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], shares: dict[str, Column] | None = None

@@ -93,6 +93,18 @@ def export_xml_lines(df: DataFrame, path: str, row_tag: str = "Cell") -> None:
     df.select(F.to_xml(F.struct(*df.columns), {"rowTag": row_tag}).alias("value")).write.mode("overwrite").text(path)
 
 
+def export_xml(df: DataFrame, path: str, row_tag: str = "Cell", root_tag: str = "Forecast") -> None:
+    """Well-formed XML parts: one element per row, its columns as attributes."""
+    df.select(*[c(x).alias(f"_{x}") for x in df.columns]).write.mode("overwrite").format("xml").options(rowTag=row_tag, rootTag=root_tag, attributePrefix="_").save(path)
+
+
+def read_xml(spark: SparkSession, path: str, schema: str, row_tag: str = "Cell") -> DataFrame:
+    """Elements written by `export_xml` as rows of `schema` (column definitions of plain types, comma-separated); elements that do not parse are an error."""
+    fields = [x.split() for x in schema.split(",")]
+    rows = spark.read.format("xml").schema(", ".join(f"_{n} {t}" for n, t in fields)).options(rowTag=row_tag, attributePrefix="_", mode="FAILFAST").load(path)
+    return rows.select(*[c(f"_{n}").alias(n) for n, _ in fields])
+
+
 def export_tables(tables: dict[str, DataFrame | None], root: str) -> list[str]:
     """Write the named tables; a missing one is skipped and reported by absence."""
     done = []

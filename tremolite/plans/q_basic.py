@@ -325,6 +325,20 @@ def a17(v):
     return s.where("n >= 2").select("station", "t_start", "t_end", "n", R(c("mean"), 4).alias("mean"), R(c("std"), 4).alias("std"), "low", "high")
 
 
+_MOVING = ["id", "station", "t", "CASE WHEN id % 11 <> 0 THEN value END AS value", "26 + ((id*7 + station*13) % 2001)/1e2 AS lat", "128 + ((id*17 + station*131) % 2001)/1e2 AS lon",
+           "CAST(flag AS DOUBLE) AS rx", "value/1e1 AS ry", "CASE WHEN id % 5 <> 0 THEN CAST(id % 97 AS DOUBLE) END AS rz"]
+
+
+@query("A17b_passes", f"""WITH o AS (SELECT {", ".join(_MOVING)} FROM station_obs), a AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY station ORDER BY t, id) > 3600 THEN 1 ELSE 0 END AS f, sqrt(rx*rx + ry*ry + rz*rz) AS len FROM o),
+  b AS (SELECT *, sum(f) OVER (PARTITION BY station ORDER BY t, id) AS s FROM a)
+  SELECT station, min(t) AS t_start, max(t) - min(t) AS duration_s, count(*) AS n, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, round(avg(value), 4) AS value_mean, round(stddev_samp(value), 4) AS value_std,
+   round(avg(len), 4) AS residual_mean, round(max(len), 4) AS residual_max FROM b GROUP BY station, s HAVING count(*) >= 2""")
+def a17b(v):
+    """One row in eleven lacks the value, one in five a component of the vector: some passes have neither."""
+    s = ag.passes(v.station_obs.selectExpr(*_MOVING), "station", "t", 3600, "lat", "lon", "value", ["rx", "ry", "rz"])
+    return s.select("station", "t_start", "duration_s", "n", "lat_min", "lat_max", "lon_min", "lon_max", *[R(c(x), 4).alias(x) for x in ("value_mean", "value_std", "residual_mean", "residual_max")])
+
+
 @query("A18_month_climatology", """SELECT gi, gj, CAST(month(d) AS INT) AS mon, round(avg(value), 6) AS mean_value, round(coalesce(stddev_samp(value), 0), 6) AS std_value
   FROM grid_obs GROUP BY 1, 2, 3""")
 def a18(v):

@@ -271,7 +271,10 @@ def f15(v):
     return bin_rates(p, "prob", 90).select("ci", "cj", "mag_min", "mag_max", R(c("rate"), 11).alias("rate"))
 
 
-@query("G15_forecast_table", f"""WITH {_FC90}, b(mag_min, mag_max, f) AS (VALUES {_BINSQL}) SELECT ci*2e0-1 AS lat_min, ci*2e0+1 AS lat_max, cj*2e0-1 AS lon_min, cj*2e0+1 AS lon_max, 0e0 AS depth_min, 1e2 AS depth_max, CAST(mag_min AS DOUBLE) AS mag_min, CAST(mag_max AS DOUBLE) AS mag_max, round(-ln(1-least(1-exp(-smoothed), 999e-3))/90e0*f, 11) AS rate FROM fc, b""")
+_G15 = f"""WITH {_FC90}, b(mag_min, mag_max, f) AS (VALUES {_BINSQL}) SELECT ci*2e0-1 AS lat_min, ci*2e0+1 AS lat_max, cj*2e0-1 AS lon_min, cj*2e0+1 AS lon_max, 0e0 AS depth_min, 1e2 AS depth_max, CAST(mag_min AS DOUBLE) AS mag_min, CAST(mag_max AS DOUBLE) AS mag_max, round(-ln(1-least(1-exp(-smoothed), 999e-3))/90e0*f, 11) AS rate FROM fc, b"""
+
+
+@query("G15_forecast_table", _G15)
 def g15(v):
     p = forecasts(v, 2000, 90).select("ci", "cj", (lit(1.0) - F.exp(-c("smoothed"))).alias("prob"))
     b = bin_rates(p, "prob", 90)
@@ -279,6 +282,14 @@ def g15(v):
     return b.select((la - 1).alias("lat_min"), (la + 1).alias("lat_max"), (lo - 1).alias("lon_min"), (lo + 1).alias("lon_max"), lit(0.0).alias("depth_min"), lit(100.0).alias("depth_max"), "mag_min", "mag_max", R(c("rate"), 11).alias("rate"))
 
 
+@query("K08b_forecast_xml_cells", _G15)
+def k08b(v):
+    """The forecast written as XML, one element per cell and bin, and read back from the files."""
+    b, path = g15(v), sk.scratch(v.spark, "forecast-xml")
+    sk.export_xml(b, path)
+    return sk.read_xml(v.spark, path, ", ".join(f"{x} double" for x in b.columns))
+
+
 @query("F19_forecast_json")
 def f19(v):
     b = g15(v)
