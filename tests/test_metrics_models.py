@@ -71,3 +71,17 @@ def test_calibration_is_monotone(spark):
     assert list(xs) == sorted(xs) and list(ys) == sorted(ys) and len(pts) == 20
     f = spark.createDataFrame([(-1.0,), ((xs[3] + xs[4]) / 2,), (2.0,)], "p double").select(md.interpolate(F.col("p"), pts).alias("q")).collect()
     assert [r["q"] for r in f] == pytest.approx([ys[0], (ys[3] + ys[4]) / 2, ys[-1]])
+
+
+def test_rank_shares(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 500), "id": np.arange(500), "p": np.round(rng.random(500), 1), "q": rng.random(500)})
+    pdf.loc[:9, "p"] = np.nan
+    df = spark.createDataFrame(pdf.astype({"k": object}).where(pdf.k.notna(), None).assign(p=pdf.p, q=pdf.q, id=pdf.id), "k string, id long, p double, q double")
+    got = {r["id"]: (r["rp"], r["rq"]) for r in mt.rank_shares(df, {"rp": "p", "rq": "q"}, ["k"]).collect()}
+    want = pdf.assign(k=pdf.k.fillna("none")).groupby("k")[["p", "q"]].rank(method="average", pct=True)
+    assert len(got) == 500
+    for i, (p, q) in got.items():
+        assert q == pytest.approx(want.q[i])
+        assert (p is None) if np.isnan(want.p[i]) else p == pytest.approx(want.p[i])
+    assert mt.rank_shares(df.where("false"), {"rp": "p"}).count() == 0

@@ -49,6 +49,23 @@ def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Data
     return running(g, keys, "_desc", {"tp": F.col("_p"), "fp": F.col("_m")}, totals=True).drop("_desc")
 
 
+def rank_shares(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """`df` with, per entry new -> column, the rank of the column among the rows of the key, divided by their number.
+
+    Equal values share their mean rank; the largest of n different values has share 1. Nulls and NaN have no rank: their share is
+    null and they don't count. `df` is read once per column and once more: write it first where it is costly.
+    """
+    # one text per key, so that rows of a null key are a group like any other
+    out = df = df.withColumn("_key", F.to_json(F.struct(F.lit(1).alias("_"), *keys)))
+    for new, name in columns.items():
+        known = df.where(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
+        counts = known.groupBy("_key", F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_k"))
+        r = running(counts, ["_key"], "_value", {"_upto": F.col("_k")}, totals=True)
+        share = (F.col("_upto") - (F.col("_k") - 1) / F.lit(2.0)) / F.col("_upto_total")
+        out = out.withColumn("_value", F.col(name)).join(r.select("_key", "_value", share.alias(new)), ["_key", "_value"], "left").drop("_value")
+    return out.drop("_key")
+
+
 def roc_auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """Exact trapezoid AUC per key; 0.5 when a class is missing."""
     c = score_curve(df, y, p, keys)

@@ -447,11 +447,13 @@ def g16(v):
 
 
 def _two_models(feats, train, rows):
-    """Mean probability of a penalised logistic model and boosted trees, both fitted on `train`."""
+    """Mean of the rank shares, among `rows`, of a penalised logistic model and boosted trees, both fitted on `train`: a model whose
+    probabilities are spread wider does not outweigh the other."""
     train = md.weighted(train, "label")
     a = md.probability(md.logistic(feats, l2=0.01, l1_ratio=0.5, rounds=20).fit(train), rows, "pa")
     both = md.probability(md.boosted(feats, rounds=10, depth=3).fit(train), a, "pb")
-    return both.select("ci", "cj", "step", "label", F.round((c("pa") + c("pb")) / 2, 9).alias("score"))
+    both = sk.materialized(both.select("ci", "cj", "step", "label", F.round("pa", 9).alias("pa"), F.round("pb", 9).alias("pb")), "outlook-pair")
+    return mt.rank_shares(both, {"ra": "pa", "rb": "pb"}).select("ci", "cj", "step", "label", ((c("ra") + c("rb")) / 2).alias("score"))
 
 
 @query("G17_monthly_outlook")
