@@ -135,3 +135,27 @@ def test_embeddings_of_table(spark):
     assert len(got) == len(rows)
     found = sum(r["n_links"] for r in got)
     assert all(r["n_links"] <= links[r["vec_id"]] for r in got) and found >= 0.95 * sum(links.values())
+
+
+def test_embeddings_of_table_with_planted_copies(spark):
+    """The table itself holds no pair at 0.95; here every third vector has a near copy and one has a group of 150, on both sides of the threshold."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    rng = np.random.default_rng(6)
+    near = lambda x, far: np.asarray(x, np.float64) + rng.normal(size=len(x)) * far * np.linalg.norm(x) / np.sqrt(len(x))
+    made = [near(r["embedding"], rng.choice([0.05, 0.2, 0.3, 0.4])) for r in rows[::3]] + [near(rows[1]["embedding"], 0.15) for _ in range(150)]
+    top = max(r["vec_id"] for r in rows)
+    extra = spark.createDataFrame([(top + 1 + i, [float(v) for v in np.asarray(x, np.float32)], 0) for i, x in enumerate(made)], "vec_id long, embedding array<float>, label int")
+    both = df.select("vec_id", "embedding", "label").unionByName(extra)
+    x = np.array([np.asarray(r["embedding"], np.float32) for r in rows] + [np.asarray(v, np.float32) for v in made], np.float64)
+    ids = [r["vec_id"] for r in rows] + [top + 1 + i for i in range(len(made))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = u @ u.T
+    s = cosine >= 0.95
+    want = dict(zip(ids, (s.sum(1) - 1).tolist()))
+    assert sum(v > 0 for v in want.values()) > 200 and ((cosine > 0.9) & ~s).any()
+    comp = plain_components(len(x), [(int(i), int(j)) for i, j in zip(*np.nonzero(s)) if j < i])
+    got = {r["vec_id"]: (r["_emb_links"], r["_emb_component"]) for r in embedding_dedup.near_duplicates(both).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] <= n for k, n in want.items()) and sum(got[k][0] for k in want) >= 0.99 * sum(want.values())
+    assert sum(got[k][1] == ids[comp[i]] for i, k in enumerate(ids)) >= 0.99 * len(ids)
