@@ -69,3 +69,23 @@ def test_empty_inputs(spark):
     pairs = spark.createDataFrame([(1, 1, 0)], "event_id long, station long, t long")
     assert ep.epoch_spectra(pairs, ep.night_days(s)).count() == 0
     assert ep.summary(ep.epoch_spectra(pairs.where("false"), ep.night_days(s)), ["station"]).count() == 0
+
+
+def test_sides_that_begin_alike_are_transformed_once(spark, monkeypatch):
+    """Events of one day gap begin and end their sides at the same samples: a dense record meets them once, not once per event."""
+    seen, real = spark.sparkContext.accumulator(0), ep.spec.ulf_features
+
+    def counted(fs):
+        inner = real(fs).func
+
+        @F.pandas_udf("power_z double, power_h double, polarization double, fractal_dim double")
+        def run(z: pd.Series, h: pd.Series) -> pd.DataFrame:
+            seen.add(len(z))
+            return inner(z, h)
+        return run
+    monkeypatch.setattr(ep.spec, "ulf_features", counted)
+    s = spark.range(30 * 480).select(F.lit(1).alias("station"), (F.col("id") * 180).alias("t"), F.sin("id").alias("z"), F.cos("id").alias("h"))
+    pairs = spark.range(200).select(F.col("id").alias("event_id"), F.lit(1).alias("station"), (10 * DAY + F.col("id") * 100).alias("t"))
+    out = ep.epoch_spectra(pairs, ep.night_days(s)).collect()
+    assert len(out) == 200 and len({tuple(r)[2:] for r in out}) == 1 and out[0]["n_pre"] == out[0]["n_post"] == 7 * 140
+    assert seen.value <= 16  # two arrays of two sides; 800 when each pair is transformed by itself

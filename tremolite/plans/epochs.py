@@ -1,7 +1,8 @@
 """Spectra of station records before and after events: one row per (event, station) with both sides.
 
-Samples lie as one array per (station, day), so an event meets at most 15 rows of a station however dense the record is, and only the
-first samples of a side leave a day. What is gathered per (event, station) has a fixed size.
+Samples of a station are numbered in their order, and the four ends of an event's sides take their place in the same numbering. A side is then
+a number and a count; its first samples lie in one of the pages into which the numbered samples are cut. No event meets the samples between,
+and sides that begin alike are transformed once.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spectral as spec
+from ..operators import ordered as od, sinks as sk
 
 c, lit = F.col, F.lit
 DAY = 86400
@@ -16,37 +18,48 @@ POWER, FRACTAL, LEAST = 60, 120, 30  # first samples of a side for power and dim
 
 
 def night_days(samples: DataFrame, first_hour: int = 15, last_hour: int = 21) -> DataFrame:
-    """(station, day, rows): samples of the night hours (UTC) with both components, in the order (t, z, h).
-
-    A row holds one day of one station: its size is that of the cadence.
-    """
+    """(station, t, z, h): samples of the night hours (UTC) with both components."""
     hour = F.floor(F.pmod(c("t"), lit(DAY)) / 3600)
-    s = samples.where(hour.between(first_hour, last_hour) & c("h").isNotNull() & c("z").isNotNull())
-    return s.groupBy("station", F.floor(c("t") / DAY).alias("day")).agg(F.sort_array(F.collect_list(F.struct("t", "z", "h"))).alias("rows"))
+    return samples.where(hour.between(first_hour, last_hour) & c("h").isNotNull() & c("z").isNotNull()).select("station", "t", "z", "h")
+
+
+def _placed(pairs: DataFrame, samples: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Samples with their number `i` (from 0) in the order (t, z, h) of their station; (event_id, station, at, side, start, n) per side with samples."""
+    # `turn` places an end before (0) or behind (2) the samples of its second (1)
+    ends = [("pre", "start", -span, 0), ("pre", "stop", 0, 0), ("post", "start", 0, 2), ("post", "stop", span, 2)]
+    ends = F.inline(F.array(*[F.struct(lit(side).alias("side"), lit(end).alias("end"), (c("t") + lit(by)).alias("t"), lit(turn).alias("turn")) for side, end, by, turn in ends]))
+    probes = pairs.where(c("t").isNotNull()).select("event_id", "station", c("t").alias("at"), "t").select("event_id", "station", "at", ends)
+    both = samples.withColumns({"turn": lit(1), "one": lit(1)}).unionByName(probes.withColumn("one", lit(0)), allowMissingColumns=True)
+    both = sk.materialized(od.running(sk.materialized(both, "epoch-rows"), ["station"], "t", {"upto": c("one").cast("long")}, ["turn", "z", "h"]), "epoch-places")
+    at = {end: F.max(F.when(c("end") == end, c("upto"))) for end in ("start", "stop")}
+    sides = both.where(c("turn") != 1).groupBy("event_id", "station", "at", "side").agg(at["start"].alias("start"), (at["stop"] - at["start"]).alias("n"))
+    return both.where(c("turn") == 1).select("station", (c("upto") - 1).alias("i"), "z", "h"), sides
 
 
-def epoch_spectra(pairs: DataFrame, days: DataFrame, back: int = 7, fs: float = 1 / 60.0) -> DataFrame:
+def epoch_spectra(pairs: DataFrame, samples: DataFrame, back: int = 7, fs: float = 1 / 60.0) -> DataFrame:
     """Band power, polarisation and fractal dimension before [t - back days, t) and after (t, t + back days] each (event_id, station, t).
 
     Pairs with fewer than 30 samples on a side are left out. Measures are null where a side is too short for them.
     """
-    span = back * DAY
-    around = F.explode(F.sequence(F.floor((c("t") - span) / DAY), F.floor((c("t") + span) / DAY)))
-    met = pairs.select("event_id", "station", c("t").alias("at"), around.alias("day")).join(days, ["station", "day"])
-    sides = {"pre": lambda r: (r["t"] >= c("at") - span) & (r["t"] < c("at")), "post": lambda r: (r["t"] > c("at")) & (r["t"] <= c("at") + span)}
-    met = met.select("event_id", "station", "day", *[F.filter("rows", f).alias(k) for k, f in sides.items()])
-    per_day = F.struct("day", *[F.slice(k, 1, FRACTAL).alias(k) for k in sides])
-    g = met.groupBy("event_id", "station").agg(*[F.sum(F.size(k)).alias(f"n_{k}") for k in sides], F.sort_array(F.collect_list(per_day)).alias("days"))
-    g = g.where((c("n_pre") >= LEAST) & (c("n_post") >= LEAST))
+    numbered, sides = _placed(pairs, samples, back * DAY)
+    place = ["event_id", "station", "at"]
+    ns = sides.groupBy(*place).agg(*[F.max(F.when(c("side") == k, c("n"))).alias(f"n_{k}") for k in ("pre", "post")])
+    ns = ns.where((c("n_pre") >= LEAST) & (c("n_post") >= LEAST))
+    heads = sides.join(ns, place).withColumn("n", F.least("n", lit(FRACTAL)))
+    # a page holds its own samples and those of the next, so that a head lies in one page
+    page = F.floor(c("i") / FRACTAL)
+    pages = numbered.withColumn("page", F.explode(F.array(page, page - 1))).groupBy("station", "page").agg(F.sort_array(F.collect_list(F.struct("i", "z", "h"))).alias("rows"))
+    alike = heads.select("station", "start", "n").distinct().withColumn("page", F.floor(c("start") / FRACTAL)).join(pages, ["station", "page"])
     f = spec.ulf_features(fs)
 
-    def first(side: str, n: int) -> list[Column]:
-        rows = F.slice(F.flatten(c(f"days.{side}")), 1, n)
+    def first(n: int) -> list[Column]:
+        rows = F.slice("rows", (c("start") - c("page") * FRACTAL + 1).cast("int"), F.least(c("n"), lit(n)).cast("int"))
         return [F.transform(rows, lambda r: r[x].cast("double")) for x in ("z", "h")]
-    for k in sides:
-        g = g.withColumns({f"_{k}": f(*first(k, POWER)), f"_{k}_long": f(*first(k, FRACTAL))})
-    out = [x for k in sides for x in (c(f"_{k}.power_z").alias(f"{k}_power_z"), c(f"_{k}.polarization").alias(f"{k}_polarization"), c(f"_{k}_long.fractal_dim").alias(f"{k}_fractal_dim"))]
-    g = g.select("event_id", "station", "n_pre", "n_post", *out)
+    alike = alike.withColumns({"_short": f(*first(POWER)), "_long": f(*first(FRACTAL))})
+    values = ("power_z", "polarization", "fractal_dim")
+    alike = alike.select("station", "start", "n", "_short.power_z", "_short.polarization", "_long.fractal_dim")
+    g = heads.join(alike, ["station", "start", "n"]).groupBy(*place, "n_pre", "n_post").agg(
+        *[F.max(F.when(c("side") == k, c(x))).alias(f"{k}_{x}") for k in ("pre", "post") for x in values]).drop("at")
     return g.withColumn("power_ratio", F.when(c("post_power_z") > 0, c("pre_power_z") / c("post_power_z")))
 
 
