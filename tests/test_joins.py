@@ -1,8 +1,12 @@
 """Join helpers against nested loops; half of all rows sit in one place and time."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tremolite.functions import spatial as sp
 from tremolite.operators import aggregates as ag, joins as jn
@@ -74,3 +78,50 @@ def test_sessions_across_chunks(spark):
     rows = [("s", t, 1.0) for t in (0, 60, 121, 86390, 86400, 86460, 200000)]
     got = ag.sessions(spark.createDataFrame(rows, "k string, t long, v double"), "k", "t", 60, "v").orderBy("t_start").collect()
     assert [(r["t_start"], r["t_end"], r["n"]) for r in got] == [(0, 60, 2), (121, 121, 1), (86390, 86460, 3), (200000, 200000, 1)]
+
+
+def _nearest_k_case(spark, events, stations):
+    return {(r["event_id"], r["rk"]): (r["sid"], r["km"]) for r in jn.nearest_k(
+        spark.createDataFrame(events, "event_id long, lat double, lon double"), spark.createDataFrame(stations, "sid long, slat double, slon double"),
+        ["event_id"], 5, 300.0, (3.0, 4.0), ("lat", "lon", "slat", "slon"), "sid").collect()}
+
+
+def test_nearest_k_against_all_pairs(spark):
+    """Crowds, copies of one position, empty sea, high latitudes and the limits of the box."""
+    rng = random.Random(3)
+    stations = [(i, 30 + rng.random() * 20, 130 + rng.random() * 20) for i in range(300)] + [(1000 + i, 35 + rng.random() / 200, 140 + rng.random() / 200) for i in range(300)]
+    stations += [(2000 + i, 41.0, 141.0) for i in range(30)] + [(3000 + i, 84 + rng.random() * 5, 140 + rng.random() * 20) for i in range(60)]
+    events = [(i, 28 + rng.random() * 24, 128 + rng.random() * 24) for i in range(150)] + [(200 + i, 35 + rng.random() / 100, 140 + rng.random() / 100) for i in range(40)]
+    events += [(300 + i, 84 + rng.random() * 5.9, 140 + rng.random() * 20) for i in range(40)] + [(400, 41.0, 141.0), (401, 38.0, 141.0), (402, None, 140.0)]
+    want = {}
+    for e, la, lo in events:
+        if la is None:
+            continue
+        near = []
+        for sid, sa, so in stations:
+            if abs(la - sa) <= 3 and abs(lo - so) <= 4:
+                a = math.sin(math.radians(sa - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(sa)) * math.sin(math.radians(so - lo) / 2) ** 2
+                near.append((2 * 6371.0 * math.asin(min(1.0, math.sqrt(a))), sid))
+        for rk, (km, sid) in enumerate(sorted(x for x in near if x[0] <= 300)[:5], 1):
+            want[(e, rk)] = (sid, pytest.approx(km, abs=1e-6))
+    assert _nearest_k_case(spark, events, stations) == want
+
+
+def test_nearest_k_does_not_meet_whole_crowds(spark):
+    """40 events amid 4,000 stations: the station selection met all 160,000 pairs before it kept five of each."""
+    rng = random.Random(4)
+    stations = [(i, 35 + rng.random(), 140 + rng.random()) for i in range(4000)]
+    events = [(i, 35 + rng.random(), 140 + rng.random()) for i in range(40)]
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean", useArrow=False)
+    def seen(_):
+        met.add(1)
+        return True
+    real = jn.sp.haversine_km
+    jn.sp.haversine_km = lambda *x: F.when(seen(x[2]), real(*x))
+    try:
+        got = _nearest_k_case(spark, events, stations)
+    finally:
+        jn.sp.haversine_km = real
+    assert len(got) == 200 and 0 < met.value < 160_000 / 2  # the plan may look at a pair twice

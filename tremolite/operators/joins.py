@@ -7,10 +7,11 @@ No helper asks for a broadcast: Spark picks one only when the measured size allo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import spatial as sp
 from .ordered import carry_forward
@@ -166,3 +167,61 @@ def within_km(events: DataFrame, stations: DataFrame, km: float) -> DataFrame:
     e = events.select("*", F.explode(band(F.col("lat"), F.lit(deg))).alias("_y")).select("*", F.explode(band(F.col("lon"), wide)).alias("_x"))
     s = stations.withColumns({"_y": F.floor(F.col("slat") / F.lit(deg)).cast("long"), "_x": F.floor(F.col("slon") / F.lit(deg)).cast("long")})
     return e.join(s, ["_y", "_x"]).withColumn("km", sp.flat_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).where(F.col("km") <= km).drop("_y", "_x")
+
+
+def _reach(left: DataFrame, spots: DataFrame, ids: Sequence[str], k: int, km: float, box: tuple, pos: tuple, grid: float, levels: int) -> DataFrame:
+    """`left` with `_km`: a distance within which k spots are known to lie, `km` where none is known.
+
+    Whole cells of `grid` degrees inside the limits give a bound per cell of the left side. Where a left row's own cell is crowded, the finest
+    halving of it that still holds k spots gives a closer one. Parallels are longest at the equator, so the corners of cells bound what they hold.
+    """
+    la, lo, ra, ro = pos
+    col, lit, deg = F.col, F.lit, math.radians(sp.EARTH_RADIUS_KM)
+    cells = spots.groupBy(_bucket(col(ra), grid).alias("_y"), _bucket(col(ro), grid).alias("_x")).agg(F.count(lit(1)).alias("_n"))
+    left = left.withColumns({"_cy": _bucket(col(la), grid), "_cx": _bucket(col(lo), grid)})
+    met = left.select("_cy", "_cx").distinct()
+    for at, step, b in (("_cy", "_dy", box[0]), ("_cx", "_dx", box[1])):
+        most = int(min(b, km / deg) / grid + EDGE) - 1
+        met = met.withColumn(step, F.explode(F.sequence(lit(-most), lit(most))))
+    met = met.withColumn("_d", lit(deg * grid) * F.hypot(F.abs("_dy") + 1, F.abs("_dx") + 1)).where(col("_d") <= lit(float(km)))
+    met = met.withColumns({"_y": col("_cy") + col("_dy"), "_x": col("_cx") + col("_dx")}).join(cells, ["_y", "_x"])
+    outwards = W.partitionBy("_cy", "_cx").orderBy("_d")  # the cells around one cell: bounded by the grid
+    own = F.when((col("_dy") == 0) & (col("_dx") == 0), col("_n"))
+    met = met.withColumn("_m", F.sum("_n").over(outwards)).groupBy("_cy", "_cx").agg(F.min(F.when(col("_m") >= k, col("_d"))).alias("_km"), F.max(own).alias("_own"))
+    left = left.join(met, ["_cy", "_cx"], "left")
+    place = lambda y, x: F.inline(F.array(*[F.struct(lit(i).alias("_l"), _bucket(col(y), grid / 2 ** i).alias("_y"), _bucket(col(x), grid / 2 ** i).alias("_x")) for i in range(1, levels + 1)]))
+    crowds = spots.select(place(ra, ro)).groupBy("_l", "_y", "_x").agg(F.count(lit(1)).alias("_n")).where(col("_n") >= k).drop("_n")
+    row = [*ids, la, lo]
+    fine = left.where(col("_own") >= 4 * k).select(*row, place(la, lo)).join(crowds, ["_l", "_y", "_x"], "left_semi").groupBy(*row).agg(F.max("_l").alias("_l"))
+    diagonal = lit(deg * grid * math.sqrt(2.0)) / F.pow(lit(2.0), col("_l"))
+    return left.join(fine, row, "left").withColumn("_km", F.least("_km", diagonal, lit(float(km)))).drop("_cy", "_cx", "_own", "_l")
+
+
+def nearest_k(left: DataFrame, right: DataFrame, ids: Sequence[str], k: int, km: float, box: tuple, pos: tuple, right_id: str,
+              grid: float = 0.25, levels: int = 8) -> DataFrame:
+    """The k nearest right rows (great circle, ties to the smaller id) of each left row, at most `km` and `box` degrees away, with `km` and their place `rk`.
+
+    box = (latitude, longitude), pos = (left_lat, left_lon, right_lat, right_lon). Left rows without a right row in reach are absent. A first bound
+    on the k-th distance decides how far a row searches and in cells of which size, so crowded places cost no more than others.
+    """
+    la, lo, ra, ro = pos
+    col, lit = F.col, F.lit
+    same = W.partitionBy(ra, ro).orderBy(right_id)  # of rows at one position only the first k can be among the nearest
+    spots = right.withColumn("_same", F.row_number().over(same)).where(col("_same") <= k).drop("_same")
+    probe = _reach(left, spots, ids, k, km, box, pos, grid, levels)
+    wide, angle = float(max(box)), (col("_km") + lit(1e-6)) / lit(sp.EARTH_RADIUS_KM)
+    up = F.least(F.degrees(angle), lit(float(box[0]))) + lit(EDGE)
+    slant = F.sin(angle) / F.greatest(F.cos(F.radians(col(la))), lit(1e-12))
+    side = F.least(F.when((F.abs(F.radians(col(la))) + angle < lit(math.pi / 2)) & (slant < 1), F.degrees(F.asin(F.least(slant, lit(1.0))))).otherwise(lit(float(box[1]))), lit(float(box[1]))) + lit(EDGE)
+    finest = math.ceil(math.log2(wide / grid)) + levels
+    probe = probe.withColumns({"_up": up, "_side": side, "_l": F.least(F.greatest(F.floor(F.log2(lit(wide) / up)), lit(0)), lit(finest)).cast("int")})
+    size = lambda: lit(wide) / F.pow(lit(2.0), col("_l"))
+    for tag, x, r in (("_y", la, "_up"), ("_x", lo, "_side")):
+        cell = lambda v: F.floor(v / size()).cast("long")
+        probe = probe.withColumn(tag, F.explode(F.sequence(cell(col(x) - col(r)), cell(col(x) + col(r)))))
+    spots = spots.withColumn("_l", F.explode(F.sequence(lit(0), lit(finest)))).withColumns({tag: F.floor(col(x) / size()).cast("long") for tag, x in (("_y", ra), ("_x", ro))})
+    near = (F.abs(col(la) - col(ra)) <= lit(float(box[0]))) & (F.abs(col(lo) - col(ro)) <= lit(float(box[1])))
+    pairs = probe.join(spots, ["_l", "_y", "_x"]).where(near & (F.abs(col(la) - col(ra)) <= col("_up")) & (F.abs(col(lo) - col(ro)) <= col("_side")))
+    pairs = pairs.withColumn("km", sp.haversine_km(col(la), col(lo), col(ra), col(ro))).where(col("km") <= lit(float(km)))
+    order = W.partitionBy(*ids).orderBy("km", right_id)  # Spark keeps at most k rows per left row and task before the shuffle
+    return pairs.withColumn("rk", F.row_number().over(order)).where(col("rk") <= k).drop("_l", "_y", "_x", "_up", "_side", "_km")

@@ -529,11 +529,10 @@ def a63(v):
   SELECT event_id, sid, CAST(rk AS INT) AS rk, round(km, 4) AS km FROM r WHERE rk <= 5 AND n >= 2""")
 def a64(v):
     q = v.quakes.where("mag >= 4").select("event_id", "lat", "lon")
-    p = jn.range_join(q, v.stations.select("sid", "slat", "slon"), box=("lat", "lon", "slat", "slon", 4.0), residual=F.abs(c("lat") - c("slat")) <= 3)
-    p = p.withColumn("km", sp.haversine_km(c("lat"), c("lon"), c("slat"), c("slon"))).where("km <= 300")
-    w = W.partitionBy("event_id")
-    r = p.withColumns({"rk": F.row_number().over(w.orderBy("km", "sid")), "n": F.count(lit(1)).over(w)})
-    return r.where("rk <= 5 AND n >= 2").select("event_id", "sid", "rk", R(c("km"), 4).alias("km"))
+    near = jn.nearest_k(q, v.stations.select("sid", "slat", "slon"), ["event_id"], 5, 300.0, (3.0, 4.0), ("lat", "lon", "slat", "slon"), "sid")
+    # two stations in reach are two among the nearest five
+    r = near.withColumn("n", F.count(lit(1)).over(W.partitionBy("event_id")))
+    return r.where("n >= 2").select("event_id", "sid", "rk", R(c("km"), 4).alias("km"))
 
 
 @query("A68_isolated_day_night", f"""WITH a AS ({_PREZ.format(g=_gsql('2e0'), s='2e0')}), z AS (SELECT event_id, (obs-m)/s AS z FROM a WHERE n >= 5 AND s >= 1e-2 AND obs IS NOT NULL), iso AS (SELECT a.event_id FROM quakes a WHERE NOT EXISTS (SELECT 1 FROM quakes b WHERE b.t >= a.t-259200 AND b.t < a.t AND abs(a.lat-b.lat) <= 15e-1 AND abs(a.lon-b.lon) <= 15e-1 AND b.mag >= a.mag-5e-1))
