@@ -107,3 +107,21 @@ def test_zone_parameters_feed_the_expected_counts(spark):
             want = sum(par["K"] * math.exp(par["alpha"] * (m - par["mc"])) * sum((step - w - t / 86400 + w * (k + 0.5) / 7 + par["c"]) ** -par["p"] for k in range(7)) * w / 7
                        for _, i, j, t, d, m in rows if (i, j) == (ci, cj) and d < step - w)
             assert (x or 0) == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_a_pass_gathers_few_cells_and_keeps_their_sums(spark):
+    """20,000 events in mixed order: a pass once sent a row per event and level of its batch, now only cells of the coarse levels leave the blocks."""
+    rng = np.random.default_rng(7)
+    rows = [("z", t, 3 + m) for t, m in zip(rng.uniform(0, 2000, 20000), rng.exponential(0.4, 20000), strict=True)]
+    events = frame(spark, rows)
+    like = tf.Likelihood(events, tf.zone_spans(events))
+    point = tf.start_point(20000, 2000.0)
+    far = like._far(like.blocks, {"z": point})["z"]
+    held = [x for x in far if x is not None]
+    assert len(held) == like.levels - like.coarse and len(held[0][0]) <= min(tf.COARSE, 4 * like.blocks.count())
+    weight = np.exp(point[2] * (np.array([m for _, _, m in rows]) - 3))
+    t = np.array([t for _, t, _ in rows]) - min(t for _, t, _ in rows)
+    for level, (cells, m, _) in zip(range(like.coarse, like.levels), held, strict=True):
+        size = like.width * 2.0 ** level
+        power = (((np.floor(t / size) + 0.5) * size - t) / (size / 2))[:, None] ** np.arange(tf.ORDER)
+        assert m.sum(0) == pytest.approx((weight[:, None] * power).sum(0), rel=1e-9, abs=1e-6)

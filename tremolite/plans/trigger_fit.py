@@ -3,9 +3,10 @@
 The conditional rate at an event is mu + sum of K exp(alpha (m - mc)) (age + c)^-p over all earlier events of its zone. Summing pairs would
 take the square of the catalogue, so time is cut into cells of 2^level widths: predecessors in the event's own cell and the two before it count one
 by one, older ones through the power moments of their cell, at the level where the cell is 3 to 5 widths away. A cell is then seen
-under a fifth of its distance at most and ORDER moments give the sum to about 1e-8. One pass is one shuffle of bounded rows: blocks of events meet
-the moments they need. It yields the likelihood, its gradient and the information matrix of
-every zone; only those 21 numbers per zone reach the driver, which takes a damped scoring step inside the bounds for all zones at once.
+under a fifth of its distance at most and ORDER moments give the sum to about 1e-8. Events are written once as blocks of cells, each with the
+block before it, so a pass only maps over them: the moments of small cells are formed inside the block, those of the COARSE largest cells or fewer
+are gathered first and sent to all tasks. A pass shuffles no events. It yields the likelihood, its gradient and the information matrix of
+every zone; those 21 numbers per zone reach the driver, which takes a damped scoring step inside the bounds for all zones at once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ..operators import sinks as sk
 
 c, lit = F.col, F.lit
 ORDER, NEAR, PER_CELL, BLOCK_LEVELS = 11, 3, 8, 9
+COARSE = 1 << 14  # cells, over all zones, whose moments pass through the driver
 # Starting point and bounds of (ln mu, ln K, alpha, ln c, p), least events and days of a fit, completeness.
 START = (0.3, 0.04, 1.0, 0.01, 1.1)
 LOW = np.array([math.log(0.001), math.log(0.001), 0.1, math.log(0.0001), 1.001])
@@ -49,28 +51,37 @@ class Likelihood:
         longest = max(last - first for _, first, last in spans.values())
         self.width = 2.0 ** math.floor(math.log2(max(min(PER_CELL * (b - a) / n for n, a, b in spans.values()), 1e-6)))
         self.levels = max(1, math.ceil(math.log2(max(longest / self.width, 2.0))) + 1)
+        cells = sum((b - a) / self.width + 1 for _, a, b in spans.values())
+        # cells below this level are summed inside a block of 8 of its own halves, from the block and the one before
+        self.coarse = max(BLOCK_LEVELS - 2, math.ceil(math.log2(cells / COARSE)))
         first = F.create_map(*[x for z, (_, a, _) in sorted(spans.items()) for x in (lit(z), lit(float(a)))])
         own = events.where(c("zone").isin(sorted(spans))).select("zone", (c("day") - first[c("zone")]).alias("t"), c("mag").cast("double").alias("mag"))
         own = own.withColumn("cell", F.floor(c("t") / self.width))
-        block = lambda k: F.shiftright(c("cell") + k, BLOCK_LEVELS)
-        # an event also goes to the blocks whose first cells count it one by one
-        self.events = sk.materialized(own.withColumn("block", block(0)).repartition("zone", "block"), "trigger-events")
-        self.copies = self.events.select("zone", "t", "mag", "cell", block(0).alias("home"), F.explode(F.array_distinct(F.array(*[block(k) for k in range(NEAR)]))).alias("block"))
+        home = F.shiftright("cell", self.coarse + 2)
+        both = own.select("zone", "t", "mag", "cell", F.explode(F.array(F.struct(home.alias("block"), lit(True).alias("own")), F.struct((home + 1).alias("block"), lit(False).alias("own")))).alias("_b"))
+        rows = both.groupBy("zone", "_b.block").agg(F.sort_array(F.collect_list(F.struct("t", "mag", "cell", "_b.own"))).alias("e"))
+        rows = rows.where(F.exists("e", lambda x: x["own"])).select("zone", "block", *[c(f"e.{x}").alias(x) for x in ("t", "mag", "cell", "own")])
+        self.blocks = sk.materialized(rows, "trigger-blocks")
+
+    def _far(self, blocks: DataFrame, points: dict[str, np.ndarray]) -> dict[str, list]:
+        """zone -> per level (cells, moments, moments times magnitude), None below the coarse level: at most COARSE rows are gathered."""
+        got = blocks.mapInPandas(_moments(points, self.width, self.coarse), "zone string, cell long, moments array<double>").toPandas()
+        out = {}
+        for zone, g in got.groupby("zone"):
+            g = g.sort_values("cell")
+            cells, m = g["cell"].to_numpy(), np.stack(g["moments"].to_list()).reshape(-1, 2, ORDER)
+            levels = [None] * self.levels
+            for level in range(self.coarse, self.levels):
+                levels[level] = cells, m[:, 0], m[:, 1]
+                cells, m = _parents(cells, m)
+            out[zone] = levels
+        return out
 
     def __call__(self, points: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
         """zone -> (log-likelihood, gradient, information) at its point; zones left out are not visited."""
-        mine = c("zone").isin(sorted(points))
-        moments = self.events.where(mine).select("zone", "t", "mag", "cell").mapInPandas(
-            _moments(points, self.width, self.levels), "zone string, level int, cell long, moments array<double>")
-        low, up = c("cell") + NEAR, c("cell") + 2 * NEAR - 1
-        down, wide = F.greatest(lit(BLOCK_LEVELS) - c("level"), lit(0)), F.greatest(c("level") - BLOCK_LEVELS, lit(0))
-        last = F.create_map(*[x for z, (_, a, b) in sorted(self.spans.items()) for x in (lit(z), lit(int((b - a) / self.width) >> BLOCK_LEVELS))])
-        shift = lambda x: F.call_function("shiftleft", x, wide)
-        begin = F.when(c("level") <= BLOCK_LEVELS, F.call_function("shiftright", low, down)).otherwise(shift(low))
-        end = F.least(F.when(c("level") <= BLOCK_LEVELS, F.call_function("shiftright", up, down)).otherwise(shift(up + 1) - 1), last[c("zone")].cast("long"))
-        seen = moments.withColumn("block", F.explode(F.when(begin <= end, F.sequence(begin, end))))
-        sums = self.copies.where(mine).groupBy("zone", "block").cogroup(seen.groupBy("zone", "block")).applyInPandas(
-            _block(points, self.spans, self.width, self.levels), "zone string, i int, x double")
+        blocks = self.blocks.where(c("zone").isin(sorted(points)))
+        far = self._far(blocks, points) if self.coarse < self.levels else {}
+        sums = blocks.mapInPandas(_block(points, self.spans, self.width, self.levels, self.coarse, far), "zone string, i int, x double")
         got: dict[str, np.ndarray] = {}
         for r in sums.groupBy("zone", "i").agg(F.sum("x").alias("x")).collect():  # 21 numbers per zone
             got.setdefault(r["zone"], np.zeros(6 + len(UPPER[0])))[r["i"]] = r["x"]
@@ -84,28 +95,37 @@ class Likelihood:
         return out
 
 
-def _moments(points, width: float, levels: int):
+def _cell_moments(t, cell, both, width: float, level: int):
+    """(cells of the level, moments (cell, both, ORDER)) of events in time order; a moment holds powers of (middle - time) / half."""
+    at = cell >> level
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    size = width * 2.0 ** level
+    power = (((at + 0.5) * size - t) / (size / 2))[None, :] ** np.arange(ORDER)[:, None]
+    sums = np.add.reduceat((both[:, None, :] * power).reshape(2 * ORDER, -1), start, axis=1)
+    return at[start], sums.T.reshape(-1, 2, ORDER)
+
+
+def _parents(cells: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Moments of the next level: those of both halves about the middle of the whole, by the binomial theorem."""
+    k = np.arange(ORDER)
+    comb = np.array([[math.comb(i, j) for j in k] for i in k], float) * 0.5 ** k[:, None]
+    sign = np.where(cells & 1, -1.0, 1.0)[:, None, None] ** np.maximum(k[:, None] - k[None, :], 0)
+    moved = np.einsum("nij,nbj->nbi", comb * sign, m)
+    up, place = np.unique(cells >> 1, return_inverse=True)
+    out = np.zeros((len(up), *m.shape[1:]))
+    np.add.at(out, place, moved)
+    return up, out
+
+
+def _moments(points, width: float, level: int):
+    """Moments of one level, each cell from the block that owns it."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            zones, at_level, cells, values = [], [], [], []
-            for zone, e in frame.groupby("zone"):
-                t, rel, cell = e["t"].to_numpy(), e["mag"].to_numpy() - MC, e["cell"].to_numpy()
-                order = np.argsort(cell, kind="stable")
-                t, rel, cell = t[order], rel[order], cell[order]
-                weight = np.exp(points[zone][2] * rel)
-                both = np.stack([weight, weight * rel])
-                for level in range(levels):
-                    at = cell >> level
-                    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    size = width * 2.0 ** level
-                    power = (((at + 0.5) * size - t) / (size / 2))[None, :] ** np.arange(ORDER)[:, None]
-                    values.append(np.add.reduceat((both[:, None, :] * power).reshape(2 * ORDER, -1), start, axis=1))
-                    cells.append(at[start])
-                    at_level.append(np.full(len(start), level, np.int32))
-                    zones.append(np.full(len(start), zone, object))
-            if zones:
-                sums = list(np.concatenate(values, axis=1).T)
-                yield pd.DataFrame({"zone": np.concatenate(zones), "level": np.concatenate(at_level), "cell": np.concatenate(cells), "moments": sums})
+            for r in frame.itertuples(index=False):
+                t, rel, cell = r.t[r.own], r.mag[r.own] - MC, r.cell[r.own]
+                weight = np.exp(points[r.zone][2] * rel)
+                cells, m = _cell_moments(t, cell, np.stack([weight, weight * rel]), width, level)
+                yield pd.DataFrame({"zone": r.zone, "cell": cells, "moments": list(m.reshape(len(cells), -1))})
     return run
 
 
@@ -164,24 +184,18 @@ def _far_sums(child, moments, theta, width: float, levels: int, out) -> None:
             out[3][hit] += base * (mq @ harmonic * 1.0 - np.log(x) * s)
 
 
-def _block(points, spans, width: float, levels: int):
-    def run(key, events: pd.DataFrame, moments: pd.DataFrame) -> pd.DataFrame:
-        zone, block = key[0], key[1]
-        if not len(events) or not (events["home"] == block).any():
-            return pd.DataFrame({"zone": [], "i": [], "x": []})
+def _block(points, spans, width: float, levels: int, coarse: int, far):
+    def one(zone: str, t, rel, cell, own) -> pd.DataFrame:
         theta = points[zone]
         log_mu, log_k, alpha, log_c, p = theta
         mu, k, cc = math.exp(log_mu), math.exp(log_k), math.exp(log_c)
-        e = events.sort_values("t", kind="stable")
-        t, cell, rel = e["t"].to_numpy(), e["cell"].to_numpy(), e["mag"].to_numpy() - MC
-        own = (e["home"] == block).to_numpy()
         child = t[own], cell[own]
-        by_level = [None] * levels
-        for level, m in moments.groupby("level"):
-            cells, place = np.unique(m["cell"].to_numpy(), return_inverse=True)
-            v = np.zeros((len(cells), 2 * ORDER))
-            np.add.at(v, place, np.stack(m["moments"].to_list()))
-            by_level[level] = cells, v[:, :ORDER], v[:, ORDER:]
+        weight = np.exp(alpha * rel)
+        both = np.stack([weight, weight * rel])
+        by_level = list(far[zone]) if far else [None] * levels
+        for level in range(min(coarse, levels)):
+            cells, m = _cell_moments(t, cell, both, width, level)
+            by_level[level] = cells, m[:, 0], m[:, 1]
         sums = [np.zeros(own.sum()) for _ in range(4)]
         _near_sums(child, (t, cell, rel), theta, sums)
         _far_sums(child, by_level, theta, width, levels, sums)
@@ -200,6 +214,11 @@ def _block(points, spans, width: float, levels: int):
         info = score @ score.T
         row = np.r_[np.log(rate).sum() - expected.sum(), score.sum(1) - drop, info[UPPER]]
         return pd.DataFrame({"zone": zone, "i": np.arange(len(row)), "x": row})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                yield one(r.zone, r.t, r.mag - MC, r.cell, r.own)
     return run
 
 
