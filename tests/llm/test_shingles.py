@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tremolite.llm import shingles
+from tremolite.llm import shingles, simhash
 
 
 def sets_of(text):
@@ -77,3 +77,19 @@ def test_keys_miss_hardly_any(spark):
         b = shingles.np.array(sorted(set(b.tolist()) - set(h[:14])), shingles.np.uint64)
         missed += not (shingles.band_keys(a) == shingles.band_keys(b)).any()
     assert missed == 0
+
+
+
+def test_stage_takes_candidates_by_simhash(spark, monkeypatch):
+    """Fingerprints that link bring candidates; a linked pair that is not similar enough stays apart."""
+    rng, real, seen = random.Random(11), simhash.linked, []
+    monkeypatch.setattr(simhash, "linked", lambda fps: seen.append(sorted(r[0] for r in fps.collect())) or real(fps))
+    while True:  # one word in the middle of a short text changes five shingles
+        words = [f"v{rng.randrange(9999)}" for _ in range(24)]
+        a, b = " ".join(words), " ".join([*words[:12], "changed", *words[13:]])
+        if ((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())) & (1 << 64) - 1).bit_count() <= 4:
+            break
+    long = " ".join(f"u{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate([a, b, long, long + " more"])], "doc_id long, text string, source string")
+    assert {r[0] for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == {0, 1, 2}
+    assert seen == [sorted({simhash.fingerprint(t.encode()) for t in (a, b, long, long + " more")})]
