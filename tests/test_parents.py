@@ -71,3 +71,31 @@ def test_most_pairs_are_never_evaluated(spark):
         seen = pr.parent_search(spark.createDataFrame(pdf), size=64).agg({"evaluated": "sum"}).first()[0]
         share.append(seen / window)
     assert share[1] < 0.12 and share[1] < share[0]  # and the share falls as the catalogue grows
+
+
+def test_small_groups_and_small_batches(spark, monkeypatch):
+    pdf = catalogue(1500, seed=5)
+    want = every_pair(pdf)
+    got = {r["event_id"]: (r["eta"], r["parent_id"]) for r in pr.parent_search(spark.createDataFrame(pdf), size=16, group=64).where("eta IS NOT NULL").collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    # one group that takes its candidates in many batches
+    monkeypatch.setattr(pr, "BATCH", 100)
+    cols = {"t": "t", "event_id": "id", "lat": "lat", "lon": "lon", "mag": "mag"}
+    piece = lambda part: {new: part[old].to_numpy() for old, new in cols.items()}
+    parts = [pdf.iloc[i::10] for i in range(10)]
+    rows = pd.DataFrame([{"grp": 1, "low": -1.0 if i < 2 else float(i), **piece(part)} for i, part in enumerate(parts)])
+    out = pd.concat(pr._visited(pr._Rescaled(30.0, 1.0, 1.6))(iter([rows.iloc[:4], rows.iloc[4:]])))
+    assert len(out) == len(parts[0]) + len(parts[1])
+    assert all(want.get(r.event_id, (None, -1))[1] == r.parent_id for r in out.itertuples())
+
+
+def test_events_without_magnitude_or_place(spark):
+    schema = "event_id long, t long, lat double, lon double, mag double"
+    rows = [(1, 100, 35.0, 140.0, 4.0), (2, 150, 35.0, 140.0, None), (3, 160, None, 140.0, 9.0), (4, 200, 35.0, 140.0, float("nan")), (5, 300, 35.0, 140.0, 3.0)]
+    got = {r["event_id"]: r["parent_id"] for r in pr.bounded_parents(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {2: 1, 4: 1, 5: 1}
+
+
+def test_evaluated_per_event_hardly_grows(spark):
+    each = [pr.parent_search(spark.createDataFrame(catalogue(n)), size=64).agg({"evaluated": "sum"}).first()[0] / n for n in (4000, 16000)]
+    assert each[1] < 1.25 * each[0] and max(each) < 100

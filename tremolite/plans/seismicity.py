@@ -50,7 +50,7 @@ def _best_parents(max_days: float, b: float, d_frac: float):
 
 
 def nearest_parents(events: DataFrame, max_days: float = 30.0, b: float = 1.0, d_frac: float = 1.6, block: int = 2048,
-                    slots: int = 3, crowd: int = 8192) -> DataFrame:
+                    slots: int = 3, crowd: int = 2048) -> DataFrame:
     """The earlier event within `max_days` that minimises dt * r^d_frac * 10^(-b M), per event.
 
     Where a time bucket holds more than `crowd` events, `parents.bounded_parents` finds the same rows without evaluating whole
