@@ -3,6 +3,7 @@
 import io
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -145,6 +146,15 @@ def test_ionosphere_maps(spark):
     assert {x.lat for x in r} == {35.0, 32.5} and len(got) == 2 * 8 - 1 and str(r[0].epoch)[:13] in ("2024-01-01 02",)
 
 
+def test_ionosphere_map_with_a_long_line(spark):
+    band = f"{35.0:8.1f}{-180.0:6.1f}{180.0:6.1f}{5.0:6.1f}{450.0:6.1f}".ljust(60) + "LAT/LON1/LON2/DLON/H\n" + " ".join(["7"] * 73) + "\n"
+    d = "START OF TEC MAP\n  2024     1     1     2     0     0   EPOCH\n" + band + "x" * 200_000 + "\n     1      END OF TEC MAP\n"
+    start = time.time()
+    r = st.parse_ionosphere_maps(doc(spark, d)).collect()
+    assert len(r) == 8 and time.time() - start < 15  # the pattern for the end mark took the square of the line
+    assert len(st.parse_ionosphere_maps(doc(spark, d.split("x")[0])).collect()) == 8  # without an end mark the rest counts
+
+
 def test_array_text(spark):
     d = "Dataset: a\nColumnX.ColumnX[1][2][3]\nColumnX[0][5], 0.5, -1.2676506e+30, 1.25\nColumnX[0][6], , 2, 3\n"
     r = {(x.lat, x.lon): x.value for x in st.parse_array_text(doc(spark, d), "ColumnX", 30.0, 130.0).collect()}

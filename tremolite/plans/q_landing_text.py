@@ -18,8 +18,9 @@ c, lit = F.col, F.lit
 def s08(v):
     # the source is one small file here: spread it before the documents are made
     o = v.station_obs.repartition(2 * v.spark.sparkContext.defaultParallelism)
-    vals = F.transform(F.sequence(lit(0), lit(72)), lambda j: F.lpad((c("flag") + j).cast("string"), 5, " "))
-    rows = F.array_join(F.transform(F.sequence(lit(0), lit(4)), lambda i: F.array_join(F.slice(vals, i * 16 + 1, lit(16)), "")), "\n")
+    # the 73 values are a column of their own: inside a function over the lines they would be formatted once per line
+    o = o.withColumn("vals", F.transform(F.sequence(lit(0), lit(72)), lambda j: F.lpad((c("flag") + j).cast("string"), 5, " ")))
+    rows = F.array_join(F.array(*[F.array_join(F.slice("vals", i * 16 + 1, 16), "") for i in range(5)]), "\n")
     band = F.concat(F.format_string("%8.1f", lit(20.0) + (c("id") % 7) * 5), lit("-180.0 180.0   5.0 450.0".ljust(52)), lit("LAT/LON1/LON2/DLON/H\n"), rows, lit("\n"))
     doc = F.concat(lit("    -1".ljust(60) + "EXPONENT\n" + " " * 60 + "END OF HEADER\n     1".ljust(60) + "START OF TEC MAP\n"), lit("  2024     1     1     2     0     0".ljust(60) + "EPOCH OF CURRENT MAP\n"), band, lit("     1".ljust(60) + "END OF TEC MAP\n"))
     return st.parse_ionosphere_maps(text(o, doc)).groupBy("lat", "lon").agg(F.count(lit(1)).alias("n"), R(F.max("tec")).alias("tec_max"))

@@ -134,17 +134,21 @@ def parse_ionosphere_maps(docs: DataFrame, bbox=(20.0, 50.0, 120.0, 155.0)) -> D
     """Maps of latitude bands with an exponent scale; 9999 is missing, only bands and columns of the box are kept."""
     la0, la1, lo0, lo1 = bbox
     expo = F.expr(r"coalesce(try_cast(nullif(trim(regexp_extract(value, '(?m)^(.{6}).*EXPONENT', 1)), '') AS INT), -1)")
-    d = docs.select(expo.alias("expo"), F.explode(F.slice(F.split("value", "START OF TEC MAP"), 2, F.greatest(F.size(F.split("value", "START OF TEC MAP")) - 1, lit(0)))).alias("m"))
-    d = d.withColumn("m", F.split("m", r"[^\n]*END OF TEC MAP")[0])
+    d = docs.select(expo.alias("expo"), F.split("value", "START OF TEC MAP").alias("p"))
+    d = d.select("expo", F.explode(F.slice("p", lit(2), F.greatest(F.size("p") - 1, lit(0)))).alias("m"))
+    # up to the line of the end mark; a pattern for that line would be tried from every character of every line
+    head = F.substring_index("m", "END OF TEC MAP", 1)
+    before = F.left(head, F.length(head) - F.length(F.substring_index(head, "\n", -1)))
+    d = d.withColumn("m", F.when(F.contains("m", lit("END OF TEC MAP")), before).otherwise(c("m")))
     ep = F.split(F.trim(F.regexp_extract("m", r"(?m)^[ \t]*(\d{4}(?:[ \t]+\d+){5})", 1)), r"\s+")
     band = r"(?m)^(.{8}.{6}.{6}.{6}).*LAT/LON1/LON2/DLON/H[^\n]*\n((?:[ \t]*-?\d+(?:[ \t]+-?\d+)*[ \t]*\r?(?:\n|$))+)"
     # the pattern is passed as a literal column so that its backslashes reach the regex engine unchanged
-    heads, vals = F.regexp_extract_all("m", lit(band), lit(1)), F.regexp_extract_all("m", lit(band), lit(2))
+    whole_band = F.regexp_extract_all("m", lit(band), lit(0))
     d = d.withColumn("e", ep).where(F.size("e") == 6).select(
         "expo", F.expr("try_make_timestamp(try_cast(e[0] AS INT), try_cast(e[1] AS INT), try_cast(e[2] AS INT), try_cast(e[3] AS INT), try_cast(e[4] AS INT), try_cast(e[5] AS DECIMAL(8,3)))").alias("epoch"),
-        F.explode(F.arrays_zip(heads.alias("h"), vals.alias("v"))).alias("b"))
-    cut = lambda a, n: F.expr(f"try_cast(trim(substring(b.h, {a + 1}, {n})) AS DOUBLE)")
-    d = d.select("expo", "epoch", cut(0, 8).alias("lat"), cut(8, 6).alias("lon1"), cut(20, 6).alias("dlon"), F.split(F.trim("b.v"), r"\s+").alias("t")).where(c("lat").between(la0, la1))
+        F.explode(whole_band).alias("b"))
+    cut = lambda a, n: F.expr(f"try_cast(trim(substring(b, {a + 1}, {n})) AS DOUBLE)")
+    d = d.select("expo", "epoch", cut(0, 8).alias("lat"), cut(8, 6).alias("lon1"), cut(20, 6).alias("dlon"), F.split(F.trim(F.expr(r"substring(b, instr(b, '\n') + 1)")), r"\s+").alias("t")).where(c("lat").between(la0, la1))
     d = d.select("expo", "epoch", "lat", "lon1", "dlon", F.posexplode("t").alias("j", "raw")).withColumn("lon", c("lon1") + c("j") * c("dlon"))
     v = F.expr("try_cast(raw AS INT)")
     return d.where(c("lon").between(lo0, lo1) & (v != 9999)).select("epoch", "lat", "lon", (v * F.pow(lit(10.0), c("expo"))).alias("tec"))
