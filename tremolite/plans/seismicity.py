@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import physics as ph, spatial as sp
-from ..operators import joins as jn, ordered as od
+from ..operators import blocks as bl, joins as jn, ordered as od
 from ..session import checkpoint_root
 from . import parents as pr
 
@@ -130,12 +130,6 @@ def foreshocks(classed: DataFrame, roots: DataFrame, min_mag: float = 5.0) -> Da
                       F.when(n > 0, (c("t") - c("_t0")) / lit(float(DAY))).otherwise(0.0).alias("duration_days"))
 
 
-def neighbourhood(targets: DataFrame, events: DataFrame, days: float, radius: float, salt: int = 4) -> DataFrame:
-    """Events in [t - days, t) and inside the box of each target; event columns get the prefix e_."""
-    e = events.select(*[c(x).alias(f"e_{x}") for x in events.columns])
-    return jn.range_join(targets, e, time=("t", "e_t", -days * DAY, 0), closed="left", box=("lat", "lon", "e_lat", "e_lon", radius), salt=salt)
-
-
 def cycles(quakes: DataFrame, cell: list[str], min_mag: float = 5.0) -> DataFrame:
     """Number of small events between consecutive large ones per cell, plus the open cycle (`closed` = 0)."""
     big = c("mag") >= min_mag
@@ -163,9 +157,9 @@ def potential_scores(quakes: DataFrame, cell: list[str], min_mag: float = 5.0, m
 def load_ratio(targets: DataFrame, quakes: DataFrame, days: int = 90, radius: float = 2.0, alpha: float = 0.7, min_n: int = 10) -> DataFrame:
     """Loading over unloading energy before each target; phase from the mean lunar hour angle and the regional strike."""
     strike = F.when(c("depth_km") > 70, 200.0).when((c("lon") > 142) & (c("lat") > 35), 200.0).when((c("lon") < 137) & (c("lat") < 35), 240.0).otherwise(200.0)
-    e = quakes.select("t", "lat", "lon", ph.p10(lit(alpha) * c("mag")).alias("en"), ph.tidal_loading(c("t"), c("lon"), strike).alias("load"))
-    g = neighbourhood(targets.select("event_id", "t", "lat", "lon"), e, days, radius).groupBy("event_id").agg(
-        F.count(lit(1)).alias("n"), F.sum(F.when(c("e_load"), c("e_en")).otherwise(0.0)).alias("l"), F.sum(F.when(~c("e_load"), c("e_en")).otherwise(0.0)).alias("u"))
+    en, load = ph.p10(lit(alpha) * c("mag")), ph.tidal_loading(c("t"), c("lon"), strike)
+    e = quakes.select("event_id", "t", "lat", "lon", F.when(load, en).otherwise(0.0).alias("l"), F.when(~load, en).otherwise(0.0).alias("u"))
+    g = bl.window_sums(targets, e, ["event_id"], [days], radius, ["l", "u"]).select("event_id", c(f"n{days}").alias("n"), c(f"sum_l{days}").alias("l"), c(f"sum_u{days}").alias("u"))
     return g.where(c("n") >= min_n).where("u >= 1e-10").select("event_id", "n", (c("l") / c("u")).alias("lurr"))
 
 
