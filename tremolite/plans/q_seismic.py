@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, scalar as sc, spatial as sp
-from ..operators import aggregates as ag, expand as ex, joins as jn, metrics as mt, ordered as od, sinks as sk, thresholds as th
+from ..operators import aggregates as ag, blocks as bl, expand as ex, joins as jn, metrics as mt, ordered as od, sinks as sk, thresholds as th
 from . import parents as pr, seismicity as se
 from .q_basic import DAY, R
 from .q_joins import CELL_SQL, ZONE_SQL, catalogue_cells, alarm_matches, alarms_targets, stress_sources, _AT, _KPA, _NEAR, _PAIR
@@ -92,14 +92,10 @@ def a22b(v):
 def a23(v):
     q = v.quakes
     t = q.where("mag >= 5").select("event_id", "t", "lat", "lon", F.when(c("depth_km") < 30, "shallow").when(c("depth_km") < 70, "mid").otherwise("deep").alias("depth_class"))
-    n = se.neighbourhood(t, q.select("t", "lat", "lon", "mag"), 180, 3.0)
     days = [7, 14, 30, 60, 90, 180]
-    # one pass keeps the six windows as conditional aggregates instead of repeating the pairs six times
-    aggs = []
-    for d in days:
-        m = F.when(c("e_t") >= c("t") - d * DAY, c("e_mag"))
-        aggs.append(F.struct(lit(d).alias("days"), F.count(m).alias("n"), F.avg(m).alias("m"), F.min(m).alias("lo")))
-    g = n.groupBy("event_id", "depth_class").agg(F.array(*aggs).alias("w")).select("depth_class", F.inline("w"))
+    n = bl.window_sums(t, q.select("event_id", "t", "lat", "lon", "mag"), ["event_id", "depth_class"], days, 3.0, ["mag"])
+    w = [F.struct(lit(d).alias("days"), c(f"n{d}").alias("n"), F.try_divide(c(f"sum_mag{d}"), c(f"n{d}")).alias("m"), c(f"min_mag{d}").alias("lo")) for d in days]
+    g = n.select("depth_class", F.inline(F.array(*w)))
     g = g.withColumn("b", ph.b_min(c("n"), c("m"), c("lo"), 10)).where("b IS NOT NULL")
     return g.groupBy("days", "depth_class").agg(F.count(lit(1)).alias("n"), R(F.avg("b")).alias("mean_b"))
 
