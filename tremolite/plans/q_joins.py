@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import physics as ph, spatial as sp
-from ..operators import aggregates as ag, expand as ex, joins as jn, thresholds as th
+from ..operators import aggregates as ag, blocks as bl, expand as ex, joins as jn, thresholds as th
 from .q_basic import DAY, R
 from .registry import query
 
@@ -269,8 +269,8 @@ _PAIR = f"s.mag >= 5 AND s.t >= q.t - 315576000 AND s.t < q.t AND abs(q.lat-s.la
 
 @query("J17_stress_sum", f"""SELECT q.event_id, count(*) AS n_sources, round(sum({_KPA}), 5) AS stress_kpa FROM quakes q JOIN quakes s ON {_PAIR} WHERE q.mag >= 45e-1 GROUP BY 1""")
 def j17(v):
-    p = stress_sources(v.quakes.where("mag >= 4.5"), v.quakes.where("mag >= 5"))
-    return p.groupBy("event_id").agg(F.count(lit(1)).alias("n_sources"), R(F.sum("kpa"), 5).alias("stress_kpa"))
+    p = bl.stress_sums(v.quakes.where("mag >= 4.5"), v.quakes.where("mag >= 5"), ["event_id"])
+    return p.select("event_id", "n_sources", R(c("kpa"), 5).alias("stress_kpa"))
 
 
 @query("T05_top_sources", f"""WITH p AS (SELECT q.event_id, s.mag, {_KPA} AS kpa, row_number() OVER (PARTITION BY q.event_id ORDER BY s.mag DESC, s.t DESC, s.event_id) AS rk FROM quakes q JOIN quakes s ON {_PAIR} WHERE q.mag >= 45e-1)
