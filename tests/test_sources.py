@@ -193,3 +193,17 @@ def test_seismic_samples(spark, tmp_path, order):
     (tmp_path / "b.sac").write_bytes(b"short")
     r = sb.read_waveforms(spark, str(tmp_path)).collect()
     assert len(r) == 1 and r[0].samples == [1.0, 2.0, 3.0, 4.0] and r[0].fs == pytest.approx(100.0, rel=1e-6) and (r[0].lat, r[0].lon) == (36.5, 140.25)
+
+
+@pytest.mark.parametrize("parse,splits", [(st.parse_earth_rotation, 1)])
+def test_fields_and_dates_are_evaluated_once(spark, parse, splits):
+    """Filters on fields used to repeat the split, the line below it and the date for every field they look at."""
+    lines = spark.range(3).selectExpr("concat_ws(' ', 2020, 1, id, 'x') AS value")
+    plan = parse(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == splits and plan.count("gettimestamp(") == 1
+
+
+def test_odd_lines_are_dropped_and_null_lines_too(spark):
+    lines = ["2020 1 2 5 0.1 0.2 0.3 0.004", "  2020   1  3   5 0.1 0.2 0.3 0.004 x ", "# 2020 1 2 5 1 1 1 1", "", "   ", "2020 1 2 5 0.1 0.2 0.3", "2020 13 2 5 1 1 1 1", "2020 1 2 5 - 1 1 1", "x 1 2 5 1 1 1 1", "2010 1 2 5 1 1 1 1", None]
+    got = st.parse_earth_rotation(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert sorted((str(r["date"]), r["x"], r["lod"]) for r in got) == [("2020-01-02", 0.1, 4.0), ("2020-01-03", 0.1, 4.0)]

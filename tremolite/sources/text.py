@@ -15,12 +15,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """`df` with new columns that are evaluated once a row: a generator of one row, below which filters on them are not moved.
+
+    Plain columns are copied into every filter above them, and every reference evaluates them again.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(name) for name, x in cols.items()]))))
+
+
 def fields(lines: DataFrame, sep: str = r"\s+", at_least: int = 1, comment: str | None = "#") -> DataFrame:
     """Trimmed lines split into `f`, without comments, blank lines and short lines."""
-    d = lines.select("*", F.trim("value").alias("_l")).where(F.length("_l") > 0)
+    d = once(lines, _l=F.trim("value")).where(F.length("_l") > 0)
     if comment:
         d = d.where(~F.startswith("_l", lit(comment)))
-    return d.withColumn("f", F.split("_l", sep)).where(F.size("f") >= at_least).drop("_l")
+    return once(d, f=F.split("_l", sep)).where(F.size("f") >= at_least).drop("_l")
 
 
 def num(i: int) -> Column:
@@ -31,6 +39,10 @@ def whole(i: int) -> Column:
     return F.expr(f"try_cast(f[{i}] AS INT)")
 
 
+def _date() -> Column:
+    return F.expr("try_to_date(concat_ws('-', f[0], f[1], f[2]), 'y-M-d')")
+
+
 def missing(x: Column, bad: Column) -> Column:
     """NULL where the sentinel condition holds."""
     return F.when(~bad, x)
@@ -56,8 +68,8 @@ def parse_proton_flux(lines: DataFrame, limit: float = 99999.0) -> DataFrame:
 def parse_earth_rotation(lines: DataFrame, first_year: int = 2011) -> DataFrame:
     """Space-separated pole and length-of-day series; length of day goes from seconds to milliseconds."""
     d = fields(lines, at_least=8).where(whole(0) >= first_year)
-    return d.select(F.expr("try_to_date(concat_ws('-', f[0], f[1], f[2]), 'y-M-d')").alias("date"), num(4).alias("x"), num(5).alias("y"), num(6).alias("dut1"),
-                    (num(7) * 1000).alias("lod")).where("date IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND dut1 IS NOT NULL AND lod IS NOT NULL")
+    d = once(d, date=_date(), x=num(4), y=num(5), dut1=num(6), lod=num(7) * 1000)
+    return d.select("date", "x", "y", "dut1", "lod").where("date IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND dut1 IS NOT NULL AND lod IS NOT NULL")
 
 
 def parse_rotation_bulletin(lines: DataFrame, first_year: int = 2011) -> DataFrame:
@@ -80,7 +92,7 @@ def parse_wide_kp(lines: DataFrame, first_year: int = 2011, first: int = 7) -> D
     """Eight three-hour values per line become eight rows."""
     d = fields(lines, at_least=first + 8).where(whole(0) >= first_year)
     slots = F.transform(F.sequence(lit(0), lit(7)), lambda i: F.struct((i * 3).alias("hour"), F.try_element_at("f", i + first + 1).alias("raw")))
-    d = d.select(F.expr("try_to_date(concat_ws('-', f[0], f[1], f[2]), 'y-M-d')").alias("date"), F.explode(slots).alias("s"))
+    d = d.select(_date().alias("date"), F.explode(slots).alias("s"))
     return d.select(F.expr("make_timestamp(year(date), month(date), day(date), s.hour, 0, 0)").alias("time_tag"), F.expr("try_cast(s.raw AS DOUBLE)").alias("kp")).where("kp IS NOT NULL AND time_tag IS NOT NULL")
 
 
@@ -107,7 +119,7 @@ def parse_position_document(docs: DataFrame) -> DataFrame:
                     F.regexp_extract("value", r"(?s)\n\+DATA[^\n]*\n(.*?)(?:\n-DATA|$)", 1).alias("_b"))
     d = d.select("station_id", "station_name", F.explode(F.split("_b", r"\r?\n")).alias("value"))
     d = fields(d, at_least=10, comment="*")
-    return d.select("station_id", "station_name", F.expr("try_to_date(concat_ws('-', f[0], f[1], f[2]), 'y-M-d')").alias("date"), num(4).alias("x"), num(5).alias("y"), num(6).alias("z"),
+    return d.select("station_id", "station_name", _date().alias("date"), num(4).alias("x"), num(5).alias("y"), num(6).alias("z"),
                     num(7).alias("lat"), num(8).alias("lon"), num(9).alias("height")).where("date IS NOT NULL AND x IS NOT NULL AND height IS NOT NULL")
 
 
