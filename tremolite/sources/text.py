@@ -92,7 +92,7 @@ def parse_wide_kp(lines: DataFrame, first_year: int = 2011, first: int = 7) -> D
     """Eight three-hour values per line become eight rows."""
     d = fields(lines, at_least=first + 8).where(whole(0) >= first_year)
     slots = F.transform(F.sequence(lit(0), lit(7)), lambda i: F.struct((i * 3).alias("hour"), F.try_element_at("f", i + first + 1).alias("raw")))
-    d = d.select(_date().alias("date"), F.explode(slots).alias("s"))
+    d = once(d, date=_date()).select("date", F.explode(slots).alias("s"))
     return d.select(F.expr("make_timestamp(year(date), month(date), day(date), s.hour, 0, 0)").alias("time_tag"), F.expr("try_cast(s.raw AS DOUBLE)").alias("kp")).where("kp IS NOT NULL AND time_tag IS NOT NULL")
 
 
