@@ -195,7 +195,7 @@ def test_seismic_samples(spark, tmp_path, order):
     assert len(r) == 1 and r[0].samples == [1.0, 2.0, 3.0, 4.0] and r[0].fs == pytest.approx(100.0, rel=1e-6) and (r[0].lat, r[0].lon) == (36.5, 140.25)
 
 
-@pytest.mark.parametrize("parse,splits", [(st.parse_earth_rotation, 1), (st.parse_wide_kp, 1)])
+@pytest.mark.parametrize("parse,splits", [(st.parse_earth_rotation, 1), (st.parse_wide_kp, 1), (st.parse_position_document, 2)])
 def test_fields_and_dates_are_evaluated_once(spark, parse, splits):
     """Filters on fields used to repeat the split, the line below it and the date for every field they look at."""
     lines = spark.range(3).selectExpr("concat_ws(' ', 2020, 1, id, 'x') AS value")

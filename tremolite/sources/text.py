@@ -119,8 +119,8 @@ def parse_position_document(docs: DataFrame) -> DataFrame:
                     F.regexp_extract("value", r"(?s)\n\+DATA[^\n]*\n(.*?)(?:\n-DATA|$)", 1).alias("_b"))
     d = d.select("station_id", "station_name", F.explode(F.split("_b", r"\r?\n")).alias("value"))
     d = fields(d, at_least=10, comment="*")
-    return d.select("station_id", "station_name", _date().alias("date"), num(4).alias("x"), num(5).alias("y"), num(6).alias("z"),
-                    num(7).alias("lat"), num(8).alias("lon"), num(9).alias("height")).where("date IS NOT NULL AND x IS NOT NULL AND height IS NOT NULL")
+    d = once(d, date=_date(), x=num(4), height=num(9))
+    return d.select("station_id", "station_name", "date", "x", num(5).alias("y"), num(6).alias("z"), num(7).alias("lat"), num(8).alias("lon"), "height").where("date IS NOT NULL AND x IS NOT NULL AND height IS NOT NULL")
 
 
 def parse_moment_tensors(docs: DataFrame, first_year: int = 2011, bbox=(20.0, 50.0, 120.0, 155.0)) -> DataFrame:
