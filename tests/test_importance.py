@@ -126,3 +126,17 @@ def test_second_level_walk_forward(spark):
             assert auc(g.y.to_numpy(), g.prob.to_numpy()) > 0.55
     with pytest.raises(ValueError):
         st.walk_forward(df, scores, "y", "day", splits, "median")
+
+
+def test_rows_are_sent_batch_wise_where_the_column_form_sends_them(spark):
+    """The column form, an interpreted loop, was evaluated per row and permutation."""
+    n = 500
+    r = spark.range(n).selectExpr("id + 1 AS _rk", f"{n}L AS _n", "id * 0.5D AS a", "-id * 1.0D AS b", "'x' AS g")
+    got = r.select("g", "_rk", "_n", "a", "b").mapInArrow(im._sent(["a", "b"], ["g"], 3), "g string, _draw long, _v double, _rk long")
+    rows = spark.range(6).selectExpr("id AS _draw").crossJoin(r)
+    to = im.shuffled(F.col("_rk") - 1, F.col("_n"), im.round_keys(F.col("_draw"))) + 1
+    want = rows.select("g", "_draw", F.when(F.col("_draw") < 3, F.col("a")).otherwise(F.col("b")).alias("_v"), to.alias("_rk"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    s = sample(200).assign(_g="x")
+    plan = im.permutation_importance(spark.createDataFrame(s), ["a"], "y", lambda d: d.withColumn("_s", F.lit(0.5)), "day", "k", repeats=2)
+    assert "lambdafunction" not in plan._jdf.queryExecution().logical().toString()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as sc
@@ -38,6 +40,34 @@ def shuffled(i: Column, n: Column, keys: Column) -> Column:
     return F.aggregate(keys, i.cast("long"), round_)
 
 
+def _draw_keys(draw: int) -> list[tuple[int, int, int]]:
+    """`round_keys` of one permutation as plain numbers."""
+    def mix(x: int) -> int:
+        for a, b in ((48271, 11), (69621, 7)):
+            x = (x * a + b) % PRIME
+            x = x * x % PRIME
+        return x
+    return [tuple(mix(draw * ROUNDS + k + add) for add in (0, 1000003, 2000003)) for k in range(1, ROUNDS + 1)]
+
+
+def _sent(features: Sequence[str], keys: Sequence[str], repeats: int):
+    """Every row once per feature and repeat, with the feature's value and the rank that `shuffled` gives it: whole batches round by
+    round, as the column form costs a few microseconds a row and permutation."""
+    draws = [(d, _draw_keys(d), features[d // repeats]) for d in range(len(features) * repeats)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, n = batch.column("_rk").to_numpy().astype(np.int64) - 1, batch.column("_n").to_numpy().astype(np.int64)
+            for draw, rounds, feature in draws:
+                at = start
+                for pair, factor, offset in rounds:
+                    mate = (pair - at) % n
+                    at = np.where((np.maximum(at, mate) % PRIME * factor + offset) % PRIME % 2 == 1, mate, at)
+                cols = [*[batch.column(k) for k in keys], pa.array(np.full(len(at), draw, dtype=np.int64)), batch.column(feature), pa.array(at + 1)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "_draw", "_v", "_rk"])
+    return run
+
+
 def _by_score(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """AUC and log loss per key from the counts of each distinct score."""
     y = c(label).cast("long")
@@ -60,12 +90,10 @@ def permutation_importance(df: DataFrame, features: Sequence[str], label: str, s
     keys = list(keys)
     plain = df.withColumns({f: c(f).cast("double") for f in features})
     r = sk.materialized(od.ranked(plain, keys, order, [tie], "_rk", total="_n"), "ranked")
-    last = lit(len(features) * repeats - 1).cast("long")
-    sent = r.select(*keys, "_rk", "_n", F.array(*features).alias("_f"), F.explode(F.sequence(lit(0).cast("long"), last)).alias("_draw"))
     which = F.floor(c("_draw") / lit(repeats)).cast("int")
-    # one row of keys per feature and repeat
-    draws = df.sparkSession.range(len(features) * repeats).select(c("id").alias("_draw"), round_keys(c("id")).alias("_keys"))
-    sent = sent.join(draws, "_draw").select(*keys, "_draw", F.get("_f", which).alias("_v"), (shuffled(c("_rk") - 1, c("_n"), c("_keys")) + 1).alias("_rk"))
+    types = dict(r.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_draw long", "_v double", "_rk long"])
+    sent = r.select(*keys, "_rk", "_n", *features).mapInArrow(_sent(list(features), keys, repeats), schema)
     moved = r.join(sent, [*keys, "_rk"])
     for k, f in enumerate(features):
         moved = moved.withColumn(f, F.when(which == k, c("_v")).otherwise(c(f)))
