@@ -85,3 +85,15 @@ def test_rank_shares(spark):
         assert q == pytest.approx(want.q[i])
         assert (p is None) if np.isnan(want.p[i]) else p == pytest.approx(want.p[i])
     assert mt.rank_shares(df.where("false"), {"rp": "p"}).count() == 0
+
+
+def test_fits_read_no_row_again_for_the_class_weight(spark):
+    """The weight was a scalar subquery, evaluated in every pass of a fit, and folds an interpreted loop over their list."""
+    df = spark.range(100).selectExpr("id", "cast(id % 4 = 0 AS int) AS label", "cast(id AS double) AS day")
+    w = md.weighted(df, "label")
+    assert {(r.label, r._w) for r in w.collect()} == {(0, 1.0), (1, 3.0)}
+    folds = md.assign_folds(w, "day", [(0, 0.0, 40.0, 40.0, 60.0), (1, 0.0, 60.0, 60.0, 80.0)], 5.0)
+    got = {(r.fold, r.part): (r.n, r.a, r.b) for r in folds.groupBy("fold", "part").agg(F.count("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()}
+    assert got == {(0, "train"): (35, 0, 34), (0, "test"): (20, 40, 59), (1, "train"): (55, 0, 54), (1, "test"): (20, 60, 79)}
+    plan = folds._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in plan and "lambdafunction" not in plan

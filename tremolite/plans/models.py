@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import metrics as mt, ordered as od
+from ..operators import metrics as mt, ordered as od, sinks as sk
 
 c, lit = F.col, F.lit
 YEAR = 365.25
@@ -26,10 +26,10 @@ def walk_forward_splits(start: float, end: float, initial_years=5, step_years=1,
 
 def assign_folds(df: DataFrame, day: str, splits: list[tuple], embargo: float = 0.0) -> DataFrame:
     """Rows repeated per fold they take part in, with their part; the fold list is a literal, not a join."""
-    arr = F.array(*[F.struct(lit(f).alias("fold"), lit(float(a)).alias("a"), lit(float(b)).alias("b"), lit(float(s)).alias("s"), lit(float(e)).alias("e")) for f, a, b, s, e in splits])
-    part = lambda x: F.when((c(day) >= x["a"]) & (c(day) < x["b"] - embargo), "train").when((c(day) >= x["s"]) & (c(day) < x["e"]), "test")
-    hits = F.filter(F.transform(arr, lambda x: F.struct(x["fold"].alias("fold"), part(x).alias("part"))), lambda x: x["part"].isNotNull())
-    return df.withColumn("_h", F.explode(hits)).select(*df.columns, c("_h.fold").alias("fold"), c("_h.part").alias("part"))
+    def part(a, b, s, e):
+        return F.when((c(day) >= lit(float(a))) & (c(day) < lit(float(b)) - embargo), "train").when((c(day) >= lit(float(s))) & (c(day) < lit(float(e))), "test")
+    one = lambda f, *edges: F.struct(lit(f).alias("fold"), part(*edges).alias("part"))
+    return df.select(*df.columns, F.inline(F.array(*[one(*x) for x in splits]))).where("part IS NOT NULL")
 
 
 def _assembled(features: Sequence[str], model, scale: bool = False) -> Pipeline:
@@ -42,9 +42,12 @@ def _assembled(features: Sequence[str], model, scale: bool = False) -> Pipeline:
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
-    """Positive rows weighted by the class ratio, as one scalar subquery."""
-    ratio = df.select(F.sum(1 - c(label)) / F.greatest(F.sum(label), lit(1))).scalar()
-    return df.withColumn("_w", F.when(c(label) == 1, ratio).otherwise(1.0))
+    """Positive rows weighted by the class ratio, a number by now: a scalar subquery would read the rows again in every pass of a fit."""
+    return _weighted(df, label, df.select(F.sum(1 - c(label)) / F.greatest(F.sum(label), lit(1))).first()[0])
+
+
+def _weighted(df: DataFrame, label: str, ratio: float | None) -> DataFrame:
+    return df.withColumn("_w", F.when(c(label) == 1, lit(ratio).cast("double")).otherwise(1.0))
 
 
 def boosted(features, label="label", rounds=20, depth=4, seed=7) -> Pipeline:
@@ -69,10 +72,12 @@ def walk_forward(df: DataFrame, make, day: str, splits, label="label", min_pos=5
     out = None
     for split in splits:
         parts = assign_folds(df, day, [split], embargo)
-        train, test = weighted(parts.where("part = 'train'"), label), parts.where("part = 'test'")
-        n = parts.groupBy("part").agg(F.sum(label).alias("pos")).collect()  # two rows
+        train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
+        ratio = F.sum(1 - c(label)) / F.greatest(F.sum(label), lit(1))
+        n = parts.groupBy("part").agg(F.sum(label).alias("pos"), ratio.alias("ratio")).collect()  # two rows
         if any(r["pos"] < min_pos for r in n) or len(n) < 2:
             continue
+        train = _weighted(train, label, next(r["ratio"] for r in n if r["part"] == "train"))
         pred = probability(make().fit(train), test)
         out = pred if out is None else out.unionByName(pred)
     if out is None:
@@ -82,7 +87,9 @@ def walk_forward(df: DataFrame, make, day: str, splits, label="label", min_pos=5
 
 def fold_metrics(pred: DataFrame, label="label", prob="prob") -> DataFrame:
     """AUC and Molchan skill per fold plus the pooled row (fold -1)."""
-    both = pred.select("fold", label, prob).unionByName(pred.select(lit(-1).alias("fold"), label, prob))
+    # written once: a score may be a model's, and both curves read it twice for each of its two copies
+    pred = sk.materialized(pred.select("fold", label, prob), "predictions")
+    both = pred.unionByName(pred.select(lit(-1).alias("fold"), label, prob))
     return mt.roc_auc(both, label, prob, ["fold"]).join(mt.molchan_skill(both, label, prob, ["fold"]), "fold", "left")
 
 
