@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tremolite.operators import metrics as mt, resample as rs
@@ -97,3 +98,19 @@ def test_fits_read_no_row_again_for_the_class_weight(spark):
     assert got == {(0, "train"): (35, 0, 34), (0, "test"): (20, 40, 59), (1, "train"): (55, 0, 54), (1, "test"): (20, 60, 79)}
     plan = folds._jdf.queryExecution().optimizedPlan().toString()
     assert "subquery" not in plan and "lambdafunction" not in plan
+
+
+def test_logistic_scores_are_columns(spark):
+    """A vector was built, scaled and scored per row; rows that lack a value stay NaN, constant features count nothing."""
+    rng = np.random.default_rng(1)
+    a, b = rng.random(400), rng.random(400)
+    pdf = pd.DataFrame({"k": np.arange(400), "a": a, "b": b, "flat": 2.0, "y": (rng.random(400) < 0.15 + 0.6 * a + 0.1 * b).astype("int32")})
+    df = spark.createDataFrame(pdf)
+    model = md.logistic(["a", "b", "flat"], label="y").fit(md.weighted(df, "y"))
+    odd = df.unionByName(df.where("k < 3").withColumn("b", F.when(F.col("k") > 0, F.lit(float("nan")))))
+    got = md.probability(model, odd, "s")
+    assert "UDF" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = model.transform(odd).select("k", "b", vector_to_array("probability")[1].alias("s"))
+    key = lambda r: (r["k"], repr(r["b"]))
+    for x, y in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key)):
+        assert x["s"] == pytest.approx(y["s"], abs=1e-12, nan_ok=True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,7 +62,20 @@ def logistic(features, label="label", l2=0.1, l1_ratio=0.0, rounds=50) -> Pipeli
     return _assembled(features, LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=l2, elasticNetParam=l1_ratio, maxIter=rounds), scale=True)
 
 
+def _logistic_column(assembler: VectorAssembler, scaler: StandardScalerModel, model: LogisticRegressionModel) -> Column:
+    """The fitted probability of label 1 as column arithmetic; as in the assembler, a null is NaN."""
+    margin = lit(0.0)
+    for f, mean, std, weight in zip(assembler.getInputCols(), scaler.mean, scaler.std, model.coefficients):
+        x = F.coalesce(c(f).cast("double"), lit(float("nan"))) - lit(float(mean))
+        margin = margin + x * lit(1 / float(std) if std else 0.0) * lit(float(weight))
+    return lit(1.0) - lit(1.0) / (lit(1.0) + F.exp(margin + lit(float(model.intercept))))
+
+
 def probability(model, df: DataFrame, name: str = "prob") -> DataFrame:
+    """`df` with the fitted probability of label 1. Scaled two-class logistic models score as columns: no vector is built per row."""
+    kinds = [type(s) for s in model.stages]
+    if kinds == [VectorAssembler, StandardScalerModel, LogisticRegressionModel] and model.stages[2].numClasses == 2:
+        return df.select(*df.columns, _logistic_column(*model.stages).alias(name))
     out = model.transform(df)
     return out.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
