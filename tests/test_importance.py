@@ -4,6 +4,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,38 @@ def test_rows_are_sent_batch_wise_where_the_column_form_sends_them(spark):
     s = sample(200).assign(_g="x")
     plan = im.permutation_importance(spark.createDataFrame(s), ["a"], "y", lambda d: d.withColumn("_s", F.lit(0.5)), "day", "k", repeats=2)
     assert "lambdafunction" not in plan._jdf.queryExecution().logical().toString()
+
+
+def test_values_travel_packed_by_blocks(spark, monkeypatch):
+    """Values moved as a row per row and draw through an equi join; blocks, keys, nulls and NaN must come out the same."""
+    n, pairs = 1000, ["a", "b"]
+    monkeypatch.setattr(im, "BLOCK", 64)
+    monkeypatch.setattr(im, "HELD", 700)
+    a = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN double('NaN') ELSE id * 1.0D END"
+    r = spark.range(n).selectExpr("id % 3 AS g", "floor(id / 3) + 1 AS _rk", f"floor(({n - 1} - id % 3) / 3) + 1 AS _n", f"{a} AS a", "-id * 1.0D AS b")
+    sent = [x for x in im._sent(pairs, ["g"], 2)(r.select("g", "_rk", "_n", "a", "b").toArrow().to_batches())]
+    want = {}
+    for b in sent:
+        want.update({(x["g"], x["_draw"], x["_rk"]): x["_v"] for x in b.to_pylist()})
+    assert len(want) == 4 * n
+    packed = pa.Table.from_batches(list(im._packed(pairs, ["g"], 2)(r.select("g", "_rk", "_n", "a", "b").toArrow().to_batches())))
+    rows = r.selectExpr("*", "(_rk - 1) div 64 AS _block", "_rk AS place").toArrow()
+    seen = 0
+    for g in range(3):
+        for block in range(6):
+            part = lambda t: t.filter((pc.field("g") == g) & (pc.field("_block") == block))
+            for x in im._unpacked(pairs, 2)(part(rows), part(packed)).to_pylist():
+                if x["_draw"] >= 0:
+                    seen += 1
+                    assert repr(x[pairs[x["_draw"] // 2]]) == repr(want[g, x["_draw"], x["place"]])
+    assert seen == 4 * n
+    s = spark.createDataFrame(sample(200).assign(_g="x"))
+    plan = im.permutation_importance(s, ["a"], "y", lambda d: d.withColumn("_s", F.round("a", 2)), "day", "k", repeats=2)
+    assert {r["feature"] for r in plan.collect()} == {"a"}
+
+
+def test_odd_residues():
+    rng = np.random.default_rng(3)
+    p = im.PRIME
+    x = np.concatenate([rng.integers(0, 2 ** 62 + 2 ** 31, 10000), [0, 1, p - 1, p, p + 1, 2 * p, 2 * p + 1, p * p, p * p + 1, (p - 1) * (p - 1) + p - 1, 2 ** 62 + 2 ** 31 - 1, 2 ** 32 - 1, 2 ** 32]])
+    assert (im._odd(x) == (x % p % 2 == 1)).all()
