@@ -99,3 +99,16 @@ def test_events_without_magnitude_or_place(spark):
 def test_evaluated_per_event_hardly_grows(spark):
     each = [pr.parent_search(spark.createDataFrame(catalogue(n)), size=64).agg({"evaluated": "sum"}).first()[0] / n for n in (4000, 16000)]
     assert each[1] < 1.25 * each[0] and max(each) < 100
+
+
+def test_events_that_move_per_event_do_not_grow(spark, monkeypatch):
+    """Whole windows sent every block of candidates to every block of children: the copies of an event grew with the catalogue."""
+    def counted(kernel):
+        def run(batches):
+            for batch in batches:
+                got = batch.t.map(len).groupby(batch.grp).sum()
+                yield pd.DataFrame({"event_id": got.index, "eta": 0.0, "parent_t": 0.0, "parent_id": 0, "parent_mag": 0.0, "dt_days": 0.0, "dist_km": 0.0, "evaluated": got.to_numpy()})
+        return run
+    monkeypatch.setattr(pr, "_visited", counted)
+    each = [pr.parent_search(spark.createDataFrame(catalogue(n)), size=64).agg({"evaluated": "sum"}).first()[0] / n for n in (2000, 16000)]
+    assert each[1] < 1.1 * each[0] and max(each) <= 4.0  # the own bucket and the three before it, at most
