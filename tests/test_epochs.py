@@ -1,6 +1,7 @@
 """Epoch spectra against plain sums, and the radius join near the pole."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremolite.operators import joins as jn
-from tremolite.plans import epochs as ep
+from tremolite.plans import epochs as ep, q_landing as ql
 
 DAY = 86400
 
@@ -89,3 +90,54 @@ def test_sides_that_begin_alike_are_transformed_once(spark, monkeypatch):
     out = ep.epoch_spectra(pairs, ep.night_days(s)).collect()
     assert len(out) == 200 and len({tuple(r)[2:] for r in out}) == 1 and out[0]["n_pre"] == out[0]["n_post"] == 7 * 140
     assert seen.value <= 16  # two arrays of two sides; 800 when each pair is transformed by itself
+
+
+def plain_dimension(x, strides=10):
+    lengths = []
+    for k in range(1, strides + 1):
+        steps = [(len(x) - 1 - o) // k for o in range(k)]
+        lengths.append(np.mean([sum(abs(x[o + (i + 1) * k] - x[o + i * k]) for i in range(m)) * (len(x) - 1) / (k * m * k) for o, m in enumerate(steps)]))
+    return np.polyfit(-np.log(np.arange(1, strides + 1)), np.log(lengths), 1)[0]
+
+
+def observations(spark):
+    """Two sites with 245 night samples a week whose character changes after the first 120 samples of a side, four events at the first."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for station in (1, 2):
+        for t in range(0, 21 * DAY, 720):
+            rows.append((station, t, int(rng.integers(0, 50) + t // DAY % 7 * 300), float(rng.normal(20, 2) + t // DAY % 7 * 30)))
+    obs = spark.createDataFrame(rows, "station long, t long, flag int, value double")
+    sites = spark.createDataFrame([(1, 30.0, 130.0), (2, 40.0, 140.0)], "sid long, slat double, slon double")
+    events = [(1, 7 * DAY), (2, 10 * DAY + 16 * 3600), (3, 10 * DAY + 3600), (4, 14 * DAY)]
+    quakes = spark.createDataFrame([(e, 30.0, 130.0, 5.0, t) for e, t in events], "event_id long, lat double, lon double, mag double, t long")
+    want = {}
+    for e, t in events:
+        night = [(x[1], x[2], x[3]) for x in rows if x[0] == 1 and 15 <= x[1] % DAY // 3600 <= 21]
+        first = rows[0][1]
+        at = first + t % (max(x[1] for x in rows) - first + 1)
+        want[e] = [[x for x in night if lo <= x[0] <= hi and x[0] != at] for lo, hi in ((at - 7 * DAY, at - 1), (at + 1, at + 7 * DAY))]
+    return SimpleNamespace(station_obs=obs, stations=sites, quakes=quakes), want
+
+
+def test_the_query_takes_whole_sides(spark):
+    v, want = observations(spark)
+    got = {r["event_id"]: r for r in ql.epochs(v).collect()}
+    assert set(got) == set(want) and min(len(side) for sides in want.values() for side in sides) > 200
+    for e, sides in want.items():
+        for name, side in zip(("pre", "post"), sides):
+            z, h = [x[1] for x in side], [x[2] for x in side]
+            assert got[e][f"n_{name}"] == len(side)
+            assert got[e][f"{name}_power_z"] == pytest.approx(power(z), rel=1e-9)
+            assert got[e][f"{name}_polarization"] == pytest.approx(power(z) / power(h), rel=1e-9)
+            assert got[e][f"{name}_fractal_dim"] == pytest.approx(plain_dimension(z), rel=1e-9)
+            assert abs(power(z) / power(z[:60]) - 1) > 0.5  # the beginning alone says something else
+
+
+def test_sides_dealt_to_many_tasks(spark, monkeypatch):
+    """A page that goes to a part of its sides at a time gives the same rows."""
+    v, want = observations(spark)
+    whole = sorted(tuple(r) for r in ql.epochs(v).collect())
+    monkeypatch.setattr(ep, "TOGETHER", 300)
+    got = sorted(tuple(r) for r in ql.epochs(v).collect())
+    assert len(got) == len(want) and all(a == pytest.approx(b, rel=1e-12) for a, b in zip(got, whole, strict=True))

@@ -142,12 +142,15 @@ def ulf_features(fs: float = 1 / 60.0, lo: float = 0.001, hi: float = 0.1):
     """Pandas UDF over (z, h) arrays: band power of each, their ratio and the fractal dimension of z."""
     names = ["power_z", "power_h", "polarization", "fractal_dim"]
 
+    def power(a: np.ndarray) -> np.ndarray:
+        return dft_power(a, fs, lo, hi)[:, None]
+
     def one(a: np.ndarray) -> np.ndarray:
         return np.stack([dft_power(a, fs, lo, hi), higuchi(a)], 1)
 
     @F.pandas_udf("power_z double, power_h double, polarization double, fractal_dim double")
     def run(z: pd.Series, h: pd.Series) -> pd.DataFrame:
-        pz, ph = stacked([z], 2, one), stacked([h], 2, one)[:, 0]
+        pz, ph = stacked([z], 2, one), stacked([h], 1, power)[:, 0]
         ratio = np.where(ph >= LEAST_HORIZONTAL, pz[:, 0] / np.where(ph >= LEAST_HORIZONTAL, ph, 1), np.nan)
         return frame(np.stack([pz[:, 0], ph, ratio, pz[:, 1]], 1), names)
     return run

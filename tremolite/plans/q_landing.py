@@ -427,11 +427,11 @@ _EPOCHS = """o AS (SELECT station % 10 AS station, t, flag AS z, value AS h FROM
   ev AS (SELECT event_id, station, t0 + t % len AS ev_t FROM quakes, site, span WHERE mag >= 45e-1 AND sqrt(pow((lat-slat)*11132e-2,2)+pow((lon-slon)*11132e-2*cos(radians(lat)),2)) <= 300),
   m AS (SELECT event_id, station, CASE WHEN t < ev_t THEN 'pre' ELSE 'post' END AS side, t, z::DOUBLE AS z, h FROM ev JOIN o USING (station) WHERE t BETWEEN ev_t - 604800 AND ev_t + 604800 AND t <> ev_t),
   r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_id, station, side) AS n FROM m WINDOW w AS (PARTITION BY event_id, station, side ORDER BY t, z, h)),
-  p AS (SELECT *, z - avg(z) OVER s AS zc, h - avg(h) OVER s AS hc, pow(2, ceil(log2(least(n, 60)))) AS pad FROM r WHERE i < 60 WINDOW s AS (PARTITION BY event_id, station, side)),
-  k AS (SELECT unnest(range(0, 32)) AS k), dft AS (SELECT event_id, station, side, k, any_value(pad) AS pad, sum(zc*cos(2*pi()*k*i/pad)) AS zr, sum(zc*sin(2*pi()*k*i/pad)) AS zi, sum(hc*cos(2*pi()*k*i/pad)) AS hr, sum(hc*sin(2*pi()*k*i/pad)) AS hi
+  p AS (SELECT *, z - avg(z) OVER s AS zc, h - avg(h) OVER s AS hc, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS pad FROM r WINDOW s AS (PARTITION BY event_id, station, side)),
+  k AS (SELECT unnest(range(0, (SELECT max(pad)//2 FROM p))) AS k), dft AS (SELECT event_id, station, side, k, any_value(pad) AS pad, sum(zc*cos(2*pi()*(k*i % pad)/pad)) AS zr, sum(zc*sin(2*pi()*(k*i % pad)/pad)) AS zi, sum(hc*cos(2*pi()*(k*i % pad)/pad)) AS hr, sum(hc*sin(2*pi()*(k*i % pad)/pad)) AS hi
     FROM p, k WHERE k < pad/2 AND k/pad/60 BETWEEN 1e-3 AND 1e-1 GROUP BY 1, 2, 3, 4),
   pw AS (SELECT event_id, station, side, avg(zr*zr + zi*zi)/any_value(pad) AS pz, avg(hr*hr + hi*hi)/any_value(pad) AS ph FROM dft GROUP BY 1, 2, 3),
-  f AS (SELECT event_id, station, side, i, z, least(n, 120) AS n FROM r WHERE i < 120), st AS (SELECT unnest(range(1, 11)) AS k),
+  f AS (SELECT event_id, station, side, i, z, n FROM r), st AS (SELECT unnest(range(1, 11)) AS k),
   ju AS (SELECT a.event_id, a.station, a.side, k, a.i % k AS o, any_value(a.n) AS n, sum(abs(b.z - a.z)) AS s FROM f a, st JOIN f b ON b.event_id = a.event_id AND b.station = a.station AND b.side = a.side AND b.i = a.i + k GROUP BY 1, 2, 3, 4, 5),
   le AS (SELECT event_id, station, side, k, avg(s/((n - 1 - o)//k))*any_value(n - 1)/(k*k) AS l FROM ju GROUP BY 1, 2, 3, 4 HAVING any_value(n) >= 40),
   fd AS (SELECT event_id, station, side, CASE WHEN count(*) >= 3 THEN regr_slope(ln(l), -ln(k)) END AS fd FROM le WHERE l > 0 GROUP BY 1, 2, 3),
@@ -443,12 +443,12 @@ _SUMMARY_VALUES = ["mean_ratio", "share_15", "share_20", "pre_polarization", "po
 
 
 def epochs(v):
-    """Ten sites with the observations as two components; events are moved into the time of the observations."""
+    """Ten sites with the observations as two components; events are moved into the time of the observations. Sides are taken whole."""
     samples = v.station_obs.select((c("station") % 10).alias("station"), "t", c("flag").alias("z"), c("value").alias("h"))
     sites = v.stations.groupBy((c("sid") % 10).alias("station")).agg(F.min_by("slat", "sid").alias("slat"), F.min_by("slon", "sid").alias("slon"))
     first, length = v.station_obs.select(F.min("t")).scalar(), v.station_obs.select(F.max("t") - F.min("t") + 1).scalar()
     events = v.quakes.where("mag >= 4.5").select("event_id", "lat", "lon", (first + c("t") % length).alias("t"))
-    return ep.epoch_spectra(jn.within_km(events, sites, 300.0), ep.night_days(samples))
+    return ep.epoch_spectra(jn.within_km(events, sites, 300.0), ep.night_days(samples), first=None)
 
 
 @query("A62b_epoch_spectra", f"WITH {_EPOCHS} SELECT event_id, station, n_pre, n_post, {', '.join(f'round({x}, 5) AS {x}' for x in _EPOCH_VALUES)} FROM es")
