@@ -141,3 +141,14 @@ def test_sides_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(ep, "TOGETHER", 300)
     got = sorted(tuple(r) for r in ql.epochs(v).collect())
     assert len(got) == len(want) and all(a == pytest.approx(b, rel=1e-12) for a, b in zip(got, whole, strict=True))
+
+
+def test_the_summary_averages_whole_sides(spark):
+    v, want = observations(spark)
+    got, = ql.a62c(v).collect()
+    assert (got["station"], got["n_pairs"]) == (1, len(want))
+    z = [[[x[1] for x in side] for side in sides] for sides in want.values()]
+    ratios = [power(pre) / power(post) for pre, post in z]
+    assert got["mean_ratio"] == pytest.approx(np.mean(ratios), abs=1e-5)
+    assert got["share_15"] == pytest.approx(np.mean([r > 1.5 for r in ratios]), abs=1e-5)
+    assert [got["pre_fractal_dim"], got["post_fractal_dim"]] == pytest.approx([np.mean([plain_dimension(sides[k]) for sides in z]) for k in (0, 1)], abs=1e-5)
