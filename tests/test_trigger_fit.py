@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tremolite.plans import trigger_fit as tf
@@ -125,3 +126,19 @@ def test_a_pass_gathers_few_cells_and_keeps_their_sums(spark):
         size = like.width * 2.0 ** level
         power = (((np.floor(t / size) + 0.5) * size - t) / (size / 2))[:, None] ** np.arange(tf.ORDER)
         assert m.sum(0) == pytest.approx((weight[:, None] * power).sum(0), rel=1e-9, abs=1e-6)
+
+
+def test_a_block_forms_moments_once_and_evaluates_one_series(monkeypatch):
+    """Events enter moments once per pass, not once per level, and no event meets the cells of all levels; the sums are those of all pairs."""
+    rng = np.random.default_rng(9)
+    width, coarse, levels = 2.0 ** -4, 7, 8
+    t, mag = np.r_[0.0, np.sort(rng.uniform(0, (2 << coarse) * width, 2999))], 3 + rng.exponential(0.4, 3000)
+    theta = np.array([math.log(0.5), math.log(0.03), 1.1, math.log(0.03), 1.3])
+    seen, met = [], []
+    real, far = tf._cell_moments, tf._far_sums
+    monkeypatch.setattr(tf, "_cell_moments", lambda t, *rest: seen.append(len(t)) or real(t, *rest))
+    monkeypatch.setattr(tf, "_far_sums", lambda t, cell, cells, series, *rest: met.append((len(t), series.shape)) or far(t, cell, cells, series, *rest))
+    run = tf._block({"z": theta}, {"z": (3000, 0.0, t[-1])}, width, levels, coarse, {})
+    got, = run(iter([pd.DataFrame({"zone": ["z"], "block": [0], "t": [t], "mag": [mag]})]))
+    assert seen == [3000] and met == [(3000, (len(np.unique(t // width)), 3, tf.ORDER))]
+    assert got["x"][0] - 0.5 * t[-1] == pytest.approx(plain(t, mag, theta), rel=1e-8)

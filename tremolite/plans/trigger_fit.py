@@ -2,26 +2,29 @@
 
 The conditional rate at an event is mu + sum of K exp(alpha (m - mc)) (age + c)^-p over all earlier events of its zone. Summing pairs would
 take the square of the catalogue, so time is cut into cells of 2^level widths: predecessors in the event's own cell and the two before it count one
-by one, older ones through the power moments of their cell, at the level where the cell is 3 to 5 widths away. A cell is then seen
-under a fifth of its distance at most and ORDER moments give the sum to about 1e-8. Events are written once as blocks of cells, each with the
-block before it, so a pass only maps over them: the moments of small cells are formed inside the block, those of the COARSE largest cells or fewer
-are gathered first and sent to all tasks. A pass shuffles no events. It yields the likelihood, its gradient and the information matrix of
-every zone; those 21 numbers per zone reach the driver, which takes a damped scoring step inside the bounds for all zones at once.
+by one, older ones through the power moments of their cell, at the level where the cell is 3 to 5 widths away. There the moments become a power
+series about the middle of the event's cell, series move down to smaller cells, and an event evaluates one series for all its older
+predecessors. Both cells are seen under a fifth of the distance that remains, so ORDER terms give the sum to about 1e-8. Events are written once as
+blocks of cells, each with the end of the block before it, so a pass only maps over them: small cells are handled inside the block; the moments of
+the COARSE largest cells or fewer are gathered first, and their series sent to all tasks. A pass shuffles no events. It yields the likelihood, its
+gradient and the information matrix of every zone; those 21 numbers per zone reach the driver, which takes a damped scoring step inside the bounds
+for all zones at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import sinks as sk
+from ..session import checkpoint_root
 
 c, lit = F.col, F.lit
-ORDER, NEAR, PER_CELL, BLOCK_LEVELS = 11, 3, 8, 9
+ORDER, NEAR, PER_CELL, BLOCK_LEVELS = 12, 3, 8, 9
 COARSE = 1 << 14  # cells, over all zones, whose moments pass through the driver
 # Starting point and bounds of (ln mu, ln K, alpha, ln c, p), least events and days of a fit, completeness.
 START = (0.3, 0.04, 1.0, 0.01, 1.1)
@@ -52,16 +55,19 @@ class Likelihood:
         self.width = 2.0 ** math.floor(math.log2(max(min(PER_CELL * (b - a) / n for n, a, b in spans.values()), 1e-6)))
         self.levels = max(1, math.ceil(math.log2(max(longest / self.width, 2.0))) + 1)
         cells = sum((b - a) / self.width + 1 for _, a, b in spans.values())
-        # cells below this level are summed inside a block of 8 of its own halves, from the block and the one before
+        # cells below this level are handled inside a block of 8 of its own halves, from the block and the last 5 halves of the one before
         self.coarse = max(BLOCK_LEVELS - 2, math.ceil(math.log2(cells / COARSE)))
         first = F.create_map(*[x for z, (_, a, _) in sorted(spans.items()) for x in (lit(z), lit(float(a)))])
         own = events.where(c("zone").isin(sorted(spans))).select("zone", (c("day") - first[c("zone")]).alias("t"), c("mag").cast("double").alias("mag"))
-        own = own.withColumn("cell", F.floor(c("t") / self.width))
-        home = F.shiftright("cell", self.coarse + 2)
-        both = own.select("zone", "t", "mag", "cell", F.explode(F.array(F.struct(home.alias("block"), lit(True).alias("own")), F.struct((home + 1).alias("block"), lit(False).alias("own")))).alias("_b"))
-        rows = both.groupBy("zone", "_b.block").agg(F.sort_array(F.collect_list(F.struct("t", "mag", "cell", "_b.own"))).alias("e"))
-        rows = rows.where(F.exists("e", lambda x: x["own"])).select("zone", "block", *[c(f"e.{x}").alias(x) for x in ("t", "mag", "cell", "own")])
-        self.blocks = sk.materialized(rows, "trigger-blocks")
+        cell = F.floor(c("t") / self.width)
+        home = F.shiftright(cell, self.coarse + 2)
+        late = F.shiftright(cell, self.coarse - 1) - home * 8 >= 3
+        both = own.select("zone", "t", "mag", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("block"))
+        rows = both.groupBy("zone", "block").agg(F.sort_array(F.collect_list(F.struct("t", "mag"))).alias("e"))
+        rows = rows.select("zone", "block", *[c(f"e.{x}").alias(x) for x in ("t", "mag")]).where(F.floor(F.element_at("t", -1) / self.width) >= c("block") * (1 << (self.coarse + 2)))
+        checkpoint_root(events.sparkSession)
+        # small tasks of mixed zones: every pass takes as long as its slowest core
+        self.blocks = rows.repartition(4 * events.sparkSession.sparkContext.defaultParallelism, F.xxhash64("block", "zone")).checkpoint()
 
     def _far(self, blocks: DataFrame, points: dict[str, np.ndarray]) -> dict[str, list]:
         """zone -> per level (cells, moments, moments times magnitude), None below the coarse level: at most COARSE rows are gathered."""
@@ -81,7 +87,8 @@ class Likelihood:
         """zone -> (log-likelihood, gradient, information) at its point; zones left out are not visited."""
         blocks = self.blocks.where(c("zone").isin(sorted(points)))
         far = self._far(blocks, points) if self.coarse < self.levels else {}
-        sums = blocks.mapInPandas(_block(points, self.spans, self.width, self.levels, self.coarse, far), "zone string, i int, x double")
+        series = {z: (rows[self.coarse][0], _series(rows, [r and r[0] for r in rows], points[z], self.width, self.coarse, None)) for z, rows in far.items()}
+        sums = blocks.mapInPandas(_block(points, self.spans, self.width, self.levels, self.coarse, series), "zone string, i int, x double")
         got: dict[str, np.ndarray] = {}
         for r in sums.groupBy("zone", "i").agg(F.sum("x").alias("x")).collect():  # 21 numbers per zone
             got.setdefault(r["zone"], np.zeros(6 + len(UPPER[0])))[r["i"]] = r["x"]
@@ -100,21 +107,117 @@ def _cell_moments(t, cell, both, width: float, level: int):
     at = cell >> level
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = width * 2.0 ** level
-    power = (((at + 0.5) * size - t) / (size / 2))[None, :] ** np.arange(ORDER)[:, None]
-    sums = np.add.reduceat((both[:, None, :] * power).reshape(2 * ORDER, -1), start, axis=1)
-    return at[start], sums.T.reshape(-1, 2, ORDER)
+    x = ((at + 0.5) * size - t) / (size / 2)
+    out = np.empty((len(start), len(both), ORDER))
+    power = np.array(both, float)
+    for k in range(ORDER):
+        out[:, :, k] = np.add.reduceat(power, start, axis=1).T
+        power *= x
+    return at[start], out
 
 
-def _parents(cells: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Moments of the next level: those of both halves about the middle of the whole, by the binomial theorem."""
+def _shifts(left: float, right: float) -> tuple[np.ndarray, np.ndarray]:
+    """For both halves of a cell the matrix that moves series down; transposed, with signs changed, moments up."""
     k = np.arange(ORDER)
     comb = np.array([[math.comb(i, j) for j in k] for i in k], float) * 0.5 ** k[:, None]
-    sign = np.where(cells & 1, -1.0, 1.0)[:, None, None] ** np.maximum(k[:, None] - k[None, :], 0)
-    moved = np.einsum("nij,nbj->nbi", comb * sign, m)
-    up, place = np.unique(cells >> 1, return_inverse=True)
-    out = np.zeros((len(up), *m.shape[1:]))
-    np.add.at(out, place, moved)
-    return up, out
+    return tuple(comb * s ** np.maximum(k[:, None] - k[None, :], 0) for s in (left, right))
+
+
+DOWN, UP = _shifts(-1.0, 1.0), tuple(x.T for x in _shifts(1.0, -1.0))
+
+
+def _by_half(cells: np.ndarray, x: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    odd = (cells & 1).astype(bool)
+    out = np.empty_like(x)
+    for side, half in zip((~odd, odd), halves):
+        out[side] = (x[side].reshape(-1, ORDER) @ half).reshape(-1, *x.shape[1:])
+    return out
+
+
+def _parents(cells: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Moments of the next level: those of both halves about the middle of the whole, by the binomial theorem; cells come in order."""
+    moved = _by_half(cells, m, UP)
+    up = cells >> 1
+    start = np.flatnonzero(np.r_[True, up[1:] != up[:-1]])
+    return up[start], np.add.reduceat(moved, start, axis=0)
+
+
+@lru_cache(512)  # a pass asks for three per level and zone, in every block
+def _kernels(back: int, size: float, log_c: float, p: float) -> np.ndarray:
+    """Matrix from the moments of a cell to the series of the kernel, and of its derivative by p, in a cell `back` cells later."""
+    k = np.arange(2 * ORDER - 1)
+    binom = np.r_[1.0, np.cumprod(-(p + k[:-1]) / (k[:-1] + 1))]
+    harmonic = np.r_[0.0, np.cumsum(1 / (p + k[:-1]))]
+    # the age is that of the middles plus half a cell times (place in the later cell plus place in the earlier one)
+    x = back * size + math.exp(log_c)
+    series = x ** -p * binom * (size / 2 / x) ** k
+    i = np.arange(ORDER)
+    comb = np.array([[math.comb(a + b, a) for b in i] for a in i], float)
+    both = i[:, None] + i[None, :]
+    return np.hstack([comb * series[both], comb * (series * (harmonic - math.log(x)))[both]])
+
+
+def _series(moments, targets, theta, width: float, bottom: int, above: np.ndarray | None) -> np.ndarray:
+    """Series (target of the bottom level, kernel | times magnitude | by p, ORDER) of all predecessors NEAR cells away or more.
+
+    `moments` and `targets` go by level, targets are cells in order, `above` is the series of the targets one level above the last.
+    """
+    upper = None
+    for level in range(len(targets) - 1, bottom - 1, -1):
+        at = targets[level]
+        out = np.zeros((len(at), 3, ORDER)) if above is None else _by_half(at, above if upper is None else above[np.searchsorted(upper, at >> 1)], DOWN)
+        cells, m, a = moments[level]
+        for back in range(NEAR, 2 * NEAR):
+            b = at - back
+            place = np.minimum(np.searchsorted(cells, b), len(cells) - 1)
+            hit = np.flatnonzero((cells[place] == b) & ((at >> 1) - (b >> 1) < NEAR))
+            if not len(hit):
+                continue
+            kernel = _kernels(back, width * 2.0 ** level, float(theta[3]), float(theta[4]))
+            add = np.empty((len(hit), 3, ORDER))
+            add[:, ::2] = (m[place[hit]] @ kernel).reshape(-1, 2, ORDER)
+            add[:, 1] = a[place[hit]] @ kernel[:, :ORDER]
+            out[hit] += add
+        above, upper = out, at
+    return above
+
+
+def _near_sums(at: int, t, cell, weight, rel, theta, out) -> None:
+    """Predecessors in the last NEAR cells of the events from place `at` on: the latest of each event, then the one before it, and so on."""
+    log_c, p = theta[3:]
+    cc = math.exp(log_c)
+    high = np.searchsorted(t, t[at:], "left")
+    count = np.maximum(high - np.searchsorted(cell, cell[at:] - (NEAR - 1), "left"), 0)
+    turn = np.argsort(-count, kind="stable")
+    last, when = high[turn], t[at:][turn] + cc
+    left = len(turn) - np.cumsum(np.bincount(count))  # events with more than d predecessors
+    sums = np.zeros((4, len(turn)))
+    for d, n in enumerate(left[:-1]):
+        j = last[:n] - (d + 1)
+        x = when[:n] - t[j]
+        log_x = np.log(x)
+        f = weight[j] * np.exp(-p * log_x)
+        sums[0, :n] += f
+        sums[1, :n] += f * rel[j]
+        sums[2, :n] -= f / x
+        sums[3, :n] -= f * log_x
+    sums[2] *= p
+    out[:, turn] += sums
+
+
+def _far_sums(t, cell, cells, series, width: float, out) -> None:
+    """Older predecessors by the series of each event's cell."""
+    place = np.searchsorted(cells, cell)
+    x = (t - (cell + 0.5) * width) / (width / 2)
+    plain, by_mag, by_p = np.ascontiguousarray(series.transpose(1, 2, 0))
+    s, slope, s_mag, s_p = np.zeros((4, len(t)))
+    for k in range(ORDER - 1, -1, -1):
+        slope *= x
+        slope += s
+        for total, row in ((s, plain), (s_mag, by_mag), (s_p, by_p)):
+            total *= x
+            total += row[k][place]
+    out += np.stack([s, s_mag, slope / (width / 2), s_p])
 
 
 def _moments(points, width: float, level: int):
@@ -122,95 +225,51 @@ def _moments(points, width: float, level: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                t, rel, cell = r.t[r.own], r.mag[r.own] - MC, r.cell[r.own]
+                cell = np.floor(r.t / width).astype(np.int64)
+                at = np.searchsorted(cell, r.block << (level + 2))
+                rel = r.mag[at:] - MC
                 weight = np.exp(points[r.zone][2] * rel)
-                cells, m = _cell_moments(t, cell, np.stack([weight, weight * rel]), width, level)
+                cells, m = _cell_moments(r.t[at:], cell[at:], np.stack([weight, weight * rel]), width, level)
                 yield pd.DataFrame({"zone": r.zone, "cell": cells, "moments": list(m.reshape(len(cells), -1))})
     return run
 
 
-def _near_sums(child, parents, theta, out) -> None:
-    """Predecessors in the last NEAR cells, pair by pair in bounded slices."""
-    t, cell = child
-    pt, pcell, prel = parents
-    _, _, alpha, log_c, p = theta
-    cc = math.exp(log_c)
-    low, high = np.searchsorted(pcell, cell - (NEAR - 1), "left"), np.searchsorted(pt, t, "left")
-    count = np.maximum(high - low, 0)
-    ends = np.cumsum(count)
-    at = 0
-    while at < len(t):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
-        n = count[at:to]
-        who = np.repeat(np.arange(at, to), n)
-        j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)
-        x = t[who] - pt[j] + cc
-        f = np.exp(alpha * prel[j]) * x ** -p
-        for row, values in zip(out, (f, f * prel[j], -p * f / x, -np.log(x) * f), strict=True):
-            row[at:to] += np.bincount(who - at, values, to - at)
-        at = to
-
-
-def _far_sums(child, moments, theta, width: float, levels: int, out) -> None:
-    """Older predecessors by the expansion of the kernel around the middle of their cells."""
-    t, cell = child
-    _, _, _, log_c, p = theta
-    cc = math.exp(log_c)
-    binom, harmonic = np.ones(ORDER), np.zeros(ORDER)
-    for k in range(1, ORDER):
-        binom[k] = binom[k - 1] * -(p + k - 1) / k
-        harmonic[k] = harmonic[k - 1] + 1 / (p + k - 1)
-    for level in range(levels):
-        rows = moments[level]
-        if rows is None:
-            continue
-        cells, m, a = rows
-        half, at = width * 2.0 ** level / 2, cell >> level
-        for back in range(NEAR, 2 * NEAR):
-            b = at - back
-            place = np.minimum(np.searchsorted(cells, b), len(cells) - 1)
-            hit = np.flatnonzero((cells[place] == b) & ((at >> 1) - (b >> 1) < NEAR))
-            if not len(hit):
-                continue
-            mm, aa = m[place[hit]], a[place[hit]]
-            x = t[hit] - (2 * b[hit] + 1) * half + cc
-            # a moment holds powers of (middle - time) / half, so the age is that of the middle plus half times it
-            q = (half / x)[:, None] ** np.arange(ORDER) * binom
-            base, mq = x ** -p, mm * q
-            s = mq.sum(1)
-            out[0][hit] += base * s
-            out[1][hit] += base * (aa * q).sum(1)
-            out[2][hit] -= base / x * (mq @ (p + np.arange(ORDER)))
-            out[3][hit] += base * (mq @ harmonic * 1.0 - np.log(x) * s)
-
-
-def _block(points, spans, width: float, levels: int, coarse: int, far):
-    def one(zone: str, t, rel, cell, own) -> pd.DataFrame:
+def _block(points, spans, width: float, levels: int, coarse: int, series):
+    def one(zone: str, block: int, t, rel) -> pd.DataFrame:
         theta = points[zone]
         log_mu, log_k, alpha, log_c, p = theta
         mu, k, cc = math.exp(log_mu), math.exp(log_k), math.exp(log_c)
-        child = t[own], cell[own]
+        cell = np.floor(t / width).astype(np.int64)
+        start = block << (coarse + 2)
+        at = int(np.searchsorted(cell, start))
         weight = np.exp(alpha * rel)
-        both = np.stack([weight, weight * rel])
-        by_level = list(far[zone]) if far else [None] * levels
+        cells, m = _cell_moments(t, cell, np.stack([weight, weight * rel]), width, 0)
+        moments, targets = [], []
         for level in range(min(coarse, levels)):
-            cells, m = _cell_moments(t, cell, both, width, level)
-            by_level[level] = cells, m[:, 0], m[:, 1]
-        sums = [np.zeros(own.sum()) for _ in range(4)]
-        _near_sums(child, (t, cell, rel), theta, sums)
-        _far_sums(child, by_level, theta, width, levels, sums)
+            if level:
+                cells, m = _parents(cells, m)
+            moments.append((cells, m[:, 0], m[:, 1]))
+            targets.append(cells[cells >= start >> level])
+        above = None
+        if series:
+            large, rows = series[zone]
+            above = rows[np.searchsorted(large, targets[-1] >> 1)]
+        sums = np.zeros((4, len(t) - at))
+        _near_sums(at, t, cell, weight, rel, theta, sums)
+        _far_sums(t[at:], cell[at:], targets[0], _series(moments, targets, theta, width, 0, above), width, sums)
         s, s_alpha, s_c, s_p = sums
         rate = mu + k * s
         score = np.stack([np.full(len(s), mu), k * s, k * s_alpha, k * cc * s_c, k * s_p]) / rate
         # expected triggered count of each event up to the end of its zone
         n, first, last = spans[zone]
-        x = np.maximum(last - first - child[0], 0.0) + cc
-        weight, u = k * np.exp(alpha * rel[own]), 1 - p
-        hi, lo = x ** u, cc ** u
+        x = np.maximum(last - first - t[at:], 0.0) + cc
+        weight, u, rel = k * weight[at:], 1 - p, rel[at:]
+        log_x = np.log(x)
+        hi, lo = np.exp(u * log_x), cc ** u
         body = (hi - lo) / u
-        d_u = (hi * np.log(x) - lo * log_c) / u - body / u
+        d_u = (hi * log_x - lo * log_c) / u - body / u
         expected = weight * body
-        drop = np.array([0.0, expected.sum(), (expected * rel[own]).sum(), (weight * cc * (x ** -p - cc ** -p)).sum(), (-weight * d_u).sum()])
+        drop = np.array([0.0, expected.sum(), (expected * rel).sum(), (weight * cc * (hi / x - lo / cc)).sum(), (-weight * d_u).sum()])
         info = score @ score.T
         row = np.r_[np.log(rate).sum() - expected.sum(), score.sum(1) - drop, info[UPPER]]
         return pd.DataFrame({"zone": zone, "i": np.arange(len(row)), "x": row})
@@ -218,7 +277,7 @@ def _block(points, spans, width: float, levels: int, coarse: int, far):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                yield one(r.zone, r.t, r.mag - MC, r.cell, r.own)
+                yield one(r.zone, r.block, r.t, r.mag - MC)
     return run
 
 
