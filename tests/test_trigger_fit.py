@@ -135,10 +135,46 @@ def test_a_block_forms_moments_once_and_evaluates_one_series(monkeypatch):
     t, mag = np.r_[0.0, np.sort(rng.uniform(0, (2 << coarse) * width, 2999))], 3 + rng.exponential(0.4, 3000)
     theta = np.array([math.log(0.5), math.log(0.03), 1.1, math.log(0.03), 1.3])
     seen, met = [], []
-    real, far = tf._cell_moments, tf._far_sums
-    monkeypatch.setattr(tf, "_cell_moments", lambda t, *rest: seen.append(len(t)) or real(t, *rest))
+    real, far = tf.mo.cell_moments, tf._far_sums
+    monkeypatch.setattr(tf.mo, "cell_moments", lambda t, *rest: seen.append(len(t)) or real(t, *rest))
     monkeypatch.setattr(tf, "_far_sums", lambda t, cell, cells, series, *rest: met.append((len(t), series.shape)) or far(t, cell, cells, series, *rest))
     run = tf._block({"z": theta}, {"z": (3000, 0.0, t[-1])}, width, levels, coarse, {})
     got, = run(iter([pd.DataFrame({"zone": ["z"], "block": [0], "t": [t], "mag": [mag]})]))
     assert seen == [3000] and met == [(3000, (len(np.unique(t // width)), 3, tf.ORDER))]
     assert got["x"][0] - 0.5 * t[-1] == pytest.approx(plain(t, mag, theta), rel=1e-8)
+
+
+def test_expected_counts_meet_moments_instead_of_events(spark, monkeypatch):
+    """Probes once met every earlier event of their cell; now a cell of any number of events is no more than its calendar, and the counts are those of all events."""
+    from tremolite.functions import physics as ph
+    from tremolite.plans import features as ft
+
+    met, real = spark.sparkContext.accumulator(0), ft._kernel_sums
+
+    def counted(*args):
+        inner = real(*args)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    arrays = [np.concatenate([np.atleast_1d(y) for y in x]) for name in batch.columns for x in batch[name] if isinstance(x, (list, np.ndarray))]
+                    met.add(sum(map(len, arrays)))
+                    yield batch
+            yield from inner(seen())
+        return run
+    monkeypatch.setattr(ft, "_kernel_sums", counted)
+    rng = np.random.default_rng(6)
+    t = np.sort(np.r_[rng.integers(700 * 86400, 704 * 86400, 20000), [3 * 86400, 86400 * 9 - 1, 86400 * 9, 400 * 86400 + 5]])
+    mag = 3 + rng.exponential(0.4, len(t))
+    quakes = spark.createDataFrame([(i, 13, 64, int(a), int(a // 86400), float(m)) for i, (a, m) in enumerate(zip(t, mag))], "event_id long, ci int, cj int, t long, dn long, mag double")
+    steps = [8, 10, 11, 16, 39, 40, 500, 708, 711, 712, 740, 2400]
+    grid = spark.createDataFrame([(13, 64, s) for s in steps], "ci int, cj int, step long")
+    got = {r["step"]: r for r in ft.triggering_expected(quakes, grid).collect()}
+    assert set(got) == set(steps) - {8, 10}  # nothing lies before the windows of the first two
+    for s, r in got.items():
+        for w in (7, 30):
+            before = t < (s - w) * 86400
+            age = s - w - t[before, None] / 86400 + w * (np.arange(7) + 0.5) / 7 + ph.TRIGGER["c"]
+            want = (ph.TRIGGER["K"] * np.exp(mag[before] - 3)[:, None] * age ** -ph.TRIGGER["p"]).sum() * w / 7
+            assert (r[f"_x{w}"] or 0) == pytest.approx(want, rel=1e-10, abs=0), (s, w)
+    assert met.value < 2000

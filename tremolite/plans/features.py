@@ -6,6 +6,7 @@ day boundaries, which makes every window a range frame over day numbers: one shu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import physics as ph, spatial as sp
-from ..operators import joins as jn, ordered as od, sinks as sk
+from ..operators import joins as jn, moments as mo, ordered as od, sinks as sk
 from ..operators.windows import frame_slope
 
 c, lit = F.col, F.lit
@@ -166,49 +167,83 @@ def stress_features(pairs: DataFrame, grid: DataFrame, rates: DataFrame) -> Data
     return maps.join(best, ["ci", "cj", "step"], "left").withColumn("cfs_rate_state", F.greatest(F.coalesce("_rs", lit(1.0)), lit(1.0))).drop("_rs")
 
 
-def _kernel_sums(points: int, zone_params: dict | None):
-    """Triggered counts of a block of probes from one block of events; rows of arrays in, one row per probe out."""
-    fitted = zone_params or {}
+ORDER, APART = 18, 3  # moments of a cell of time, cells between a probe's day and the cells that stand for their events (a fifth of the distance: 5^-18)
 
+
+def _finest(windows, points: int) -> float:
+    """Width in days of the smallest cells: half the shortest time from the end of the events to a point of a window."""
+    return min(1.0, 2.0 ** math.floor(math.log2(min(windows) / points / 4)))
+
+
+def _day_moments(width: float, fitted: dict):
+    """Events of a grid cell and a block of days -> cells of time and their moments, flat."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                par = fitted.get(r.zone, ph.TRIGGER)
+                t = np.asarray(r.t, dtype="float64") / DAY
+                weight = par["K"] * np.exp(par["alpha"] * (np.asarray(r.mag, dtype="float64") - par["mc"]))
+                cells, m = mo.cell_moments(t, np.floor(t / width).astype(np.int64), weight[None, :], width, 0, ORDER)
+                yield pd.DataFrame({"ci": [r.ci], "cj": [r.cj], "block": [r.block], "cells": [cells], "moments": [m.ravel()]})
+    return run
+
+
+def _kernel_sums(points: int, width: float, fitted: dict):
+    """Triggered counts of the probes of a grid cell from the moments of its cells of time, one row per probe that has events before it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 par = fitted.get(r.zone, ph.TRIGGER)
-                hi, day, w = (np.asarray(x, dtype="float64") for x in (r.hi, r.day, r.w))
-                rk, et, mag = (np.asarray(x, dtype="float64") for x in (r.rk, r.et, r.mag))
-                prod = par["K"] * np.exp(par["alpha"] * (mag - par["mc"]))
-                total = np.zeros(len(hi))
-                for lo in range(0, len(hi), 128):
-                    part = slice(lo, lo + 128)
-                    use = rk[None, :] <= hi[part, None]
-                    age = np.where(use, day[part, None] - et[None, :] / DAY, 1.0)
-                    dens = sum((age + w[part, None] * ((k + 0.5) / points) + par["c"]) ** -par["p"] for k in range(points))
-                    total[part] = (np.where(use, dens, 0.0) * prod[None, :]).sum(axis=1) * w[part] / points
-                yield pd.DataFrame({"ci": r.ci, "cj": r.cj, "step": np.asarray(r.step), "w": np.asarray(r.w), "x": total})
+                cells, m = np.concatenate(list(r.cells)), np.concatenate(list(r.moments)).reshape(-1, 1, ORDER)
+                step, w, day = (np.asarray(x) for x in (r.step, r.w, r.day))
+                end = np.rint(day / width).astype(np.int64)
+                use = end > cells[0]
+                step, w, day, end = (x[use] for x in (step, w, day, end))
+                at = day[:, None] + w[:, None] * ((np.arange(points) + 0.5) / points) + par["c"]
+                binom = mo.binomials(par["p"], ORDER)
+                total = np.zeros(at.shape)
+                level = 0
+                while True:
+                    # cells of this level up to `last`, without those that lie in a cell of the next level that is used
+                    last = (end >> level) - (APART if level else 1)
+                    first = 2 * ((end >> (level + 1)) - APART + 1)
+                    half = width * 2.0 ** level / 2
+                    for back in range((last - first).max(initial=-1) + 1):
+                        b = last - back
+                        place = np.minimum(np.searchsorted(cells, b), len(cells) - 1)
+                        hit = np.flatnonzero((b >= first) & (cells[place] == b))
+                        x = at[hit] - (2 * b[hit, None] + 1) * half
+                        q, mm = half / x, m[place[hit], 0] * binom
+                        dens = np.zeros(x.shape)
+                        for k in range(ORDER - 1, -1, -1):
+                            dens = dens * q + mm[:, k, None]
+                        total[hit] += x ** -par["p"] * dens
+                    if not (first > cells[0]).any():
+                        break
+                    cells, m = mo.parents(cells, m)
+                    level += 1
+                yield pd.DataFrame({"ci": r.ci, "cj": r.cj, "step": step, "w": w, "x": total.sum(axis=1) * w / points})
     return run
 
 
-def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, block=2048, zone_params: dict | None = None) -> DataFrame:
+def triggering_expected(quakes: DataFrame, grid: DataFrame, windows=(7, 30), points=7, block=64, zone_params: dict | None = None) -> DataFrame:
     """Expected triggered count per (cell, step, window) from all events before the window.
 
     `zone_params` (see `trigger_fit.zone_parameters`) replaces the standard parameters in the zones it names.
 
-    Events carry their rank in the cell and travel in blocks of `block` ranks; a probe meets the blocks up to the rank at its
-    window start. Sums are formed inside the task, one row per probe and block.
+    Events of a cell travel once, in blocks of `block` days, and leave the task as moments of short cells of time, so a cell holds no more than
+    its calendar. A probe adds up the few cells of time, longer with age, that make up all days before its window.
     """
-    ev = od.ranked(quakes.select("ci", "cj", "t", "event_id", "mag"), ["ci", "cj"], "t", ["event_id"], "rk")
-    blocks = ev.groupBy("ci", "cj", F.floor((c("rk") - 1) / block).alias("rb")).agg(F.collect_list(F.struct("rk", c("t").alias("et"), "mag")).alias("e"))
-    blocks = blocks.select("ci", "cj", "rb", *[c(f"e.{x}").alias(x) for x in ("rk", "et", "mag")])
-    daily = quakes.groupBy("ci", "cj", c("dn").alias("day")).agg(F.count(lit(1)).alias("n"))
+    fitted, width = zone_params or {}, _finest(windows, points)
+    zone = sp.zone_of(c("ci") * SIZE, c("cj") * SIZE).alias("zone")
+    days = quakes.where(c("t").isNotNull()).groupBy("ci", "cj", F.floor(c("t") / lit(DAY * block)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("t", "mag"))).alias("e"))
+    days = days.select("ci", "cj", "block", c("e.t").alias("t"), c("e.mag").alias("mag"), zone)
+    rows = days.mapInPandas(_day_moments(width, fitted), "ci int, cj int, block long, cells array<long>, moments array<double>")
+    cells = rows.groupBy("ci", "cj").agg(F.sort_array(F.collect_list(F.struct("block", "cells", "moments"))).alias("m")).select("ci", "cj", c("m.cells").alias("cells"), c("m.moments").alias("moments"))
     probes = grid.select("ci", "cj", "step", F.explode(F.array(*[lit(w) for w in windows])).alias("w")).withColumn("day", c("step") - c("w"))
-    u = daily.withColumn("step", lit(None).cast("long")).withColumn("w", lit(None).cast("int")).unionByName(probes.withColumn("n", lit(None).cast("long")))
-    hi = F.coalesce(F.sum("n").over(W.partitionBy("ci", "cj").orderBy("day").rangeBetween(W.unboundedPreceding, -1)), lit(0))
-    probes = u.withColumn("hi", hi).where("step IS NOT NULL AND hi > 0")
-    probes = probes.select("ci", "cj", "step", "w", "hi", "day", F.explode(F.sequence(lit(0).cast("bigint"), F.floor((c("hi") - 1) / block))).alias("rb"))
-    probes = probes.groupBy("ci", "cj", "rb", F.floor(c("step") / 1024).alias("part")).agg(F.collect_list(F.struct("step", "w", "hi", "day")).alias("q"))
-    probes = probes.select("ci", "cj", "rb", *[c(f"q.{x}").alias(x) for x in ("step", "w", "hi", "day")])
-    met = probes.join(blocks, ["ci", "cj", "rb"]).withColumn("zone", sp.zone_of(c("ci") * SIZE, c("cj") * SIZE))
-    sums = met.mapInPandas(_kernel_sums(points, zone_params), "ci int, cj int, step long, w int, x double")
+    probes = probes.groupBy("ci", "cj").agg(F.collect_list(F.struct("step", "w", "day")).alias("q"))
+    met = probes.join(cells, ["ci", "cj"]).select("ci", "cj", *[c(f"q.{x}").alias(x) for x in ("step", "w", "day")], "cells", "moments", zone)
+    sums = met.mapInPandas(_kernel_sums(points, width, fitted), "ci int, cj int, step long, w int, x double")
     return sums.groupBy("ci", "cj", "step").agg(*[F.sum(F.when(c("w") == w, c("x"))).alias(f"_x{w}") for w in windows])
 
 

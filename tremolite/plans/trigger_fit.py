@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import moments as mo
 from ..session import checkpoint_root
 
 c, lit = F.col, F.lit
@@ -79,7 +80,7 @@ class Likelihood:
             levels = [None] * self.levels
             for level in range(self.coarse, self.levels):
                 levels[level] = cells, m[:, 0], m[:, 1]
-                cells, m = _parents(cells, m)
+                cells, m = mo.parents(cells, m)
             out[zone] = levels
         return out
 
@@ -102,55 +103,14 @@ class Likelihood:
         return out
 
 
-def _cell_moments(t, cell, both, width: float, level: int):
-    """(cells of the level, moments (cell, both, ORDER)) of events in time order; a moment holds powers of (middle - time) / half."""
-    at = cell >> level
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    size = width * 2.0 ** level
-    x = ((at + 0.5) * size - t) / (size / 2)
-    out = np.empty((len(start), len(both), ORDER))
-    power = np.array(both, float)
-    for k in range(ORDER):
-        out[:, :, k] = np.add.reduceat(power, start, axis=1).T
-        power *= x
-    return at[start], out
-
-
-def _shifts(left: float, right: float) -> tuple[np.ndarray, np.ndarray]:
-    """For both halves of a cell the matrix that moves series down; transposed, with signs changed, moments up."""
-    k = np.arange(ORDER)
-    comb = np.array([[math.comb(i, j) for j in k] for i in k], float) * 0.5 ** k[:, None]
-    return tuple(comb * s ** np.maximum(k[:, None] - k[None, :], 0) for s in (left, right))
-
-
-DOWN, UP = _shifts(-1.0, 1.0), tuple(x.T for x in _shifts(1.0, -1.0))
-
-
-def _by_half(cells: np.ndarray, x: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    odd = (cells & 1).astype(bool)
-    out = np.empty_like(x)
-    for side, half in zip((~odd, odd), halves):
-        out[side] = (x[side].reshape(-1, ORDER) @ half).reshape(-1, *x.shape[1:])
-    return out
-
-
-def _parents(cells: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Moments of the next level: those of both halves about the middle of the whole, by the binomial theorem; cells come in order."""
-    moved = _by_half(cells, m, UP)
-    up = cells >> 1
-    start = np.flatnonzero(np.r_[True, up[1:] != up[:-1]])
-    return up[start], np.add.reduceat(moved, start, axis=0)
-
-
 @lru_cache(512)  # a pass asks for three per level and zone, in every block
 def _kernels(back: int, size: float, log_c: float, p: float) -> np.ndarray:
     """Matrix from the moments of a cell to the series of the kernel, and of its derivative by p, in a cell `back` cells later."""
     k = np.arange(2 * ORDER - 1)
-    binom = np.r_[1.0, np.cumprod(-(p + k[:-1]) / (k[:-1] + 1))]
     harmonic = np.r_[0.0, np.cumsum(1 / (p + k[:-1]))]
     # the age is that of the middles plus half a cell times (place in the later cell plus place in the earlier one)
     x = back * size + math.exp(log_c)
-    series = x ** -p * binom * (size / 2 / x) ** k
+    series = x ** -p * mo.binomials(p, len(k)) * (size / 2 / x) ** k
     i = np.arange(ORDER)
     comb = np.array([[math.comb(a + b, a) for b in i] for a in i], float)
     both = i[:, None] + i[None, :]
@@ -165,7 +125,7 @@ def _series(moments, targets, theta, width: float, bottom: int, above: np.ndarra
     upper = None
     for level in range(len(targets) - 1, bottom - 1, -1):
         at = targets[level]
-        out = np.zeros((len(at), 3, ORDER)) if above is None else _by_half(at, above if upper is None else above[np.searchsorted(upper, at >> 1)], DOWN)
+        out = np.zeros((len(at), 3, ORDER)) if above is None else mo.by_half(at, above if upper is None else above[np.searchsorted(upper, at >> 1)], mo.shifts(-1.0, 1.0, ORDER))
         cells, m, a = moments[level]
         for back in range(NEAR, 2 * NEAR):
             b = at - back
@@ -229,7 +189,7 @@ def _moments(points, width: float, level: int):
                 at = np.searchsorted(cell, r.block << (level + 2))
                 rel = r.mag[at:] - MC
                 weight = np.exp(points[r.zone][2] * rel)
-                cells, m = _cell_moments(r.t[at:], cell[at:], np.stack([weight, weight * rel]), width, level)
+                cells, m = mo.cell_moments(r.t[at:], cell[at:], np.stack([weight, weight * rel]), width, level, ORDER)
                 yield pd.DataFrame({"zone": r.zone, "cell": cells, "moments": list(m.reshape(len(cells), -1))})
     return run
 
@@ -243,11 +203,11 @@ def _block(points, spans, width: float, levels: int, coarse: int, series):
         start = block << (coarse + 2)
         at = int(np.searchsorted(cell, start))
         weight = np.exp(alpha * rel)
-        cells, m = _cell_moments(t, cell, np.stack([weight, weight * rel]), width, 0)
+        cells, m = mo.cell_moments(t, cell, np.stack([weight, weight * rel]), width, 0, ORDER)
         moments, targets = [], []
         for level in range(min(coarse, levels)):
             if level:
-                cells, m = _parents(cells, m)
+                cells, m = mo.parents(cells, m)
             moments.append((cells, m[:, 0], m[:, 1]))
             targets.append(cells[cells >= start >> level])
         above = None
