@@ -178,3 +178,16 @@ def test_expected_counts_meet_moments_instead_of_events(spark, monkeypatch):
             want = (ph.TRIGGER["K"] * np.exp(mag[before] - 3)[:, None] * age ** -ph.TRIGGER["p"]).sum() * w / 7
             assert (r[f"_x{w}"] or 0) == pytest.approx(want, rel=1e-10, abs=0), (s, w)
     assert met.value < 2000
+
+
+def test_a_burst_is_cut_into_narrow_cells(spark):
+    """Cells once followed the mean rate alone, so the events of a burst met each other pair by pair."""
+    rng = np.random.default_rng(10)
+    t = np.r_[0.0, rng.uniform(0, 2000, 1000), 1000 + rng.exponential(0.5, 3000), 2000.0]
+    mag = 3 + rng.exponential(0.4, len(t))
+    events = frame(spark, [("z", a, m) for a, m in zip(t, mag)])
+    like = tf.Likelihood(events, tf.zone_spans(events))
+    inside = np.unique(np.floor(t / like.width), return_counts=True)[1]
+    assert (inside ** 2).sum() / len(t) < 4 * tf.PER_CELL
+    point = tf.start_point(len(t), 2000.0)
+    assert like({"z": point})["z"][0] == pytest.approx(plain(t, mag, point), rel=1e-8)

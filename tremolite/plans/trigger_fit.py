@@ -54,12 +54,16 @@ class Likelihood:
         self.spans = spans
         longest = max(last - first for _, first, last in spans.values())
         self.width = 2.0 ** math.floor(math.log2(max(min(PER_CELL * (b - a) / n for n, a, b in spans.values()), 1e-6)))
+        first = F.create_map(*[x for z, (_, a, _) in sorted(spans.items()) for x in (lit(z), lit(float(a)))])
+        own = events.where(c("zone").isin(sorted(spans))).select("zone", (c("day") - first[c("zone")]).alias("t"), c("mag").cast("double").alias("mag"))
+        # bursts: narrower cells until the mean event shares its cell with about PER_CELL others
+        counts = own.groupBy("zone", F.floor(c("t") / self.width).alias("cell")).agg(F.count(lit(1)).alias("n"))
+        shared = counts.agg(F.sum(c("n") * c("n").cast("double")) / F.sum("n")).first()[0]
+        self.width = max(self.width * 2.0 ** -max(0, math.ceil(math.log2(shared / (2 * PER_CELL)))), 2.0 ** -20)
         self.levels = max(1, math.ceil(math.log2(max(longest / self.width, 2.0))) + 1)
         cells = sum((b - a) / self.width + 1 for _, a, b in spans.values())
         # cells below this level are handled inside a block of 8 of its own halves, from the block and the last 5 halves of the one before
         self.coarse = max(BLOCK_LEVELS - 2, math.ceil(math.log2(cells / COARSE)))
-        first = F.create_map(*[x for z, (_, a, _) in sorted(spans.items()) for x in (lit(z), lit(float(a)))])
-        own = events.where(c("zone").isin(sorted(spans))).select("zone", (c("day") - first[c("zone")]).alias("t"), c("mag").cast("double").alias("mag"))
         cell = F.floor(c("t") / self.width)
         home = F.shiftright(cell, self.coarse + 2)
         late = F.shiftright(cell, self.coarse - 1) - home * 8 >= 3
@@ -68,7 +72,8 @@ class Likelihood:
         rows = rows.select("zone", "block", *[c(f"e.{x}").alias(x) for x in ("t", "mag")]).where(F.floor(F.element_at("t", -1) / self.width) >= c("block") * (1 << (self.coarse + 2)))
         checkpoint_root(events.sparkSession)
         # small tasks of mixed zones: every pass takes as long as its slowest core
-        self.blocks = rows.repartition(4 * events.sparkSession.sparkContext.defaultParallelism, F.xxhash64("block", "zone")).checkpoint()
+        tasks = min(4 * events.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(n for n, _, _ in spans.values()) / 16384))
+        self.blocks = rows.repartition(tasks, F.xxhash64("block", "zone")).checkpoint()
 
     def _far(self, blocks: DataFrame, points: dict[str, np.ndarray]) -> dict[str, list]:
         """zone -> per level (cells, moments, moments times magnitude), None below the coarse level: at most COARSE rows are gathered."""
