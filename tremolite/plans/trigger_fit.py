@@ -7,7 +7,7 @@ series about the middle of the event's cell, series move down to smaller cells,
 predecessors. Both cells are seen under a fifth of the distance that remains, so ORDER terms give the sum to about 1e-8. Events are written once as
 blocks of cells, each with the end of the block before it, so a pass only maps over them: small cells are handled inside the block; the moments of
 the COARSE largest cells or fewer are gathered first, and their series sent to all tasks. A pass shuffles no events. It yields the likelihood, its
-gradient and the information matrix of every zone; those 21 numbers per zone reach the driver, which takes a damped scoring step inside the bounds
+gradient and the information matrix of every zone; 21 numbers per zone and task reach the driver, which takes a damped scoring step inside the bounds
 for all zones at once.
 """
 
@@ -73,7 +73,7 @@ class Likelihood:
         checkpoint_root(events.sparkSession)
         # small tasks of mixed zones: every pass takes as long as its slowest core
         tasks = min(4 * events.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(n for n, _, _ in spans.values()) / 16384))
-        self.blocks = rows.repartition(tasks, F.xxhash64("block", "zone")).checkpoint()
+        self.blocks = rows.repartition(tasks).checkpoint()
 
     def _far(self, blocks: DataFrame, points: dict[str, np.ndarray]) -> dict[str, list]:
         """zone -> per level (cells, moments, moments times magnitude), None below the coarse level: at most COARSE rows are gathered."""
@@ -96,8 +96,8 @@ class Likelihood:
         series = {z: (rows[self.coarse][0], _series(rows, [r and r[0] for r in rows], points[z], self.width, self.coarse, None)) for z, rows in far.items()}
         sums = blocks.mapInPandas(_block(points, self.spans, self.width, self.levels, self.coarse, series), "zone string, i int, x double")
         got: dict[str, np.ndarray] = {}
-        for r in sums.groupBy("zone", "i").agg(F.sum("x").alias("x")).collect():  # 21 numbers per zone
-            got.setdefault(r["zone"], np.zeros(6 + len(UPPER[0])))[r["i"]] = r["x"]
+        for r in sums.collect():  # 21 numbers per zone from each task
+            got.setdefault(r["zone"], np.zeros(6 + len(UPPER[0])))[r["i"]] += r["x"]
         out = {}
         for zone, x in got.items():
             _, a, b = self.spans[zone]
@@ -200,7 +200,7 @@ def _moments(points, width: float, level: int):
 
 
 def _block(points, spans, width: float, levels: int, coarse: int, series):
-    def one(zone: str, block: int, t, rel) -> pd.DataFrame:
+    def one(zone: str, block: int, t, rel) -> np.ndarray:
         theta = points[zone]
         log_mu, log_k, alpha, log_c, p = theta
         mu, k, cc = math.exp(log_mu), math.exp(log_k), math.exp(log_c)
@@ -236,13 +236,15 @@ def _block(points, spans, width: float, levels: int, coarse: int, series):
         expected = weight * body
         drop = np.array([0.0, expected.sum(), (expected * rel).sum(), (weight * cc * (hi / x - lo / cc)).sum(), (-weight * d_u).sum()])
         info = score @ score.T
-        row = np.r_[np.log(rate).sum() - expected.sum(), score.sum(1) - drop, info[UPPER]]
-        return pd.DataFrame({"zone": zone, "i": np.arange(len(row)), "x": row})
+        return np.r_[np.log(rate).sum() - expected.sum(), score.sum(1) - drop, info[UPPER]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: dict[str, np.ndarray] = {}
         for frame in frames:
             for r in frame.itertuples(index=False):
-                yield one(r.zone, r.block, r.t, r.mag - MC)
+                got[r.zone] = got.get(r.zone, 0.0) + one(r.zone, r.block, r.t, r.mag - MC)
+        for zone, row in got.items():
+            yield pd.DataFrame({"zone": zone, "i": np.arange(len(row)), "x": row})
     return run
 
 
